@@ -1 +1,12 @@
 """Registered queries: each reads the given tables through the views and names its SQL twin."""
+
+from __future__ import annotations
+
+import importlib
+
+FAMILIES = ("cleaning",)
+
+
+def load_all() -> None:
+    for family in FAMILIES:
+        importlib.import_module(f"ratescale.catalog.{family}")

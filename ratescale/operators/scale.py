@@ -49,19 +49,32 @@ def attach_group_stats(
     The slice number follows the input partition, so it does not change when a task is run again.
     Rows whose key is null get null aggregates.
     """
+    table = rows.dropna(subset=list(keys)).groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), *[c.alias(n) for n, c in stats.items()])
+    return attach_table(rows, keys, table, list(stats), "_n", hot_rows, hot_keys)
+
+
+def attach_table(
+    rows: DataFrame,
+    keys: Sequence[str],
+    table: DataFrame,
+    columns: Sequence[str],
+    size: str,
+    hot_rows: int = HOT_ROWS,
+    hot_keys: int = HOT_KEYS,
+) -> DataFrame:
+    """Left join of `rows` with a table of one row per key that knows how many rows each key has (`size`)."""
     keys = list(keys)
-    table = rows.dropna(subset=keys).groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), *[c.alias(n) for n, c in stats.items()])
     hot = (
-        table.filter(F.col("_n") >= hot_rows)
-        .orderBy(F.desc("_n"), *keys)
+        table.filter(F.col(size) >= hot_rows)
+        .orderBy(F.desc(size), *keys)
         .limit(hot_keys)
-        .select(*keys, F.struct("_n", *stats).alias("_hot"))
+        .select(*keys, F.struct(*columns).alias("_hot"))
     )
     spread = F.when(F.col("_hot").isNotNull(), F.lit(1) + F.pmod(F.spark_partition_id(), F.lit(HOT_SPREAD))).otherwise(0)
     marked = rows.join(F.broadcast(hot), keys, "left").withColumn("_slice", spread)
-    cold = table.withColumn("_slice", F.lit(0)).withColumnsRenamed({n: f"_cold_{n}" for n in stats}).drop("_n")
+    cold = table.select(*keys, F.lit(0).alias("_slice"), *[F.col(n).alias(f"_cold_{n}") for n in columns])
     joined = marked.join(cold, keys + ["_slice"], "left")
-    return joined.select(*rows.columns, *[F.coalesce(F.col(f"_hot.{n}"), F.col(f"_cold_{n}")).alias(n) for n in stats])
+    return joined.select(*rows.columns, *[F.coalesce(F.col(f"_hot.{n}"), F.col(f"_cold_{n}")).alias(n) for n in columns])
 
 
 def _bucket(h: Column) -> Column:
