@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-FAMILIES = ("cleaning",)
+FAMILIES = ("cleaning", "reliability", "evaluation")
 
 
 def load_all() -> None:

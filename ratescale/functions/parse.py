@@ -12,6 +12,7 @@ BARE_DIGIT = r"\b([1-7])(?:\.0?|[\s.,;:)!?\]]|$)"
 ORDINAL = r"(?i)\b([1-7])(?:st|nd|rd|th)\b"
 ISOLATED_DIGIT = r"\b([1-7])\b"
 RATING_WORDS = ("one", "two", "three", "four", "five", "six", "seven")
+WORDS = r"\b(" + "|".join(RATING_WORDS) + r")\b"
 
 # The phrases of the five abstention families.
 ABSTENTION_FAMILIES = {
@@ -38,17 +39,21 @@ def _first(text: Column, pattern: str) -> Column:
 def rating_tolerant(text: Column) -> Column:
     """Digit, then number word, then ordinal, then any lone digit 1-7.
 
-    A digit followed by a point already counts, so "4.5" gives 4.
+    A digit followed by a point already counts, so "4.5" gives 4. The stripped text is bound once, as the
+    element of a one-value array, to keep the expression small.
     """
-    s = strip(text)
-    low = F.lower(s)
-    words = [F.when(F.regexp_like(low, F.lit(rf"\b{w}\b")), F.lit(i)) for i, w in enumerate(RATING_WORDS, RATING_MIN)]
-    return F.coalesce(_first(s, BARE_DIGIT), *words, _first(s, ORDINAL), _first(s, ISOLATED_DIGIT))
+
+    def read(s: Column) -> Column:
+        found = F.regexp_extract_all(F.lower(s), F.lit(WORDS), F.lit(1))
+        word = F.array_min(F.transform(found, lambda w: F.array_position(F.array(*[F.lit(x) for x in RATING_WORDS]), w))).cast("int")
+        return F.coalesce(_first(s, BARE_DIGIT), word, _first(s, ORDINAL), _first(s, ISOLATED_DIGIT))
+
+    return F.get(F.transform(F.array(strip(text)), read), F.lit(0))
 
 
 def rating_strict(text: Column) -> Column:
     """The first lone digit 1-7."""
-    return _first(strip(text), ISOLATED_DIGIT)
+    return _first(text, ISOLATED_DIGIT)
 
 
 def rating_from_ranked(tokens: Column) -> Column:
@@ -74,8 +79,7 @@ def rating_from_scores(prefix: str = "logit_") -> Column:
 
 def clean_rating(value: Column) -> Column:
     """A rating as a double; -1, NaN and texts that are no number count as missing."""
-    num = value.try_cast("double")
-    return F.when((num == -1) | F.isnan(num), None).otherwise(num)
+    return F.nullif(F.nanvl(value.try_cast("double"), F.lit(None).cast("double")), F.lit(-1.0))
 
 
 def in_scale(value: Column) -> Column:

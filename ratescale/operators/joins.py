@@ -134,11 +134,14 @@ def pooled(rows: DataFrame, column: str = "dataset", label: str = "all") -> Data
 
 
 def column_drift(tables: Mapping[str, DataFrame]) -> DataFrame:
-    """Which columns occur in which share of the tables; `common` ones are in all of them."""
-    spark = next(iter(tables.values())).sparkSession
-    cells = [(name, c) for name, t in tables.items() for c in t.columns]
-    listed = spark.createDataFrame(cells, "table_name string, column_name string")
-    return listed.groupBy("column_name").agg(F.count_distinct("table_name").alias("n_tables")).withColumn(
+    """In how many tables each column occurs and how many values it holds; `common` ones are in all tables."""
+    def cells(table: DataFrame) -> DataFrame:
+        one = table.agg(*[F.count(c).alias(c) for c in table.columns])
+        lines = F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(c).alias("n")) for c in table.columns])
+        return one.select(F.explode(lines).alias("cell")).select("cell.*")
+
+    listed = union_all(*[cells(t) for t in tables.values()])
+    return listed.groupBy("column_name").agg(F.count(F.lit(1)).alias("n_tables"), F.sum("n").alias("n_values")).withColumn(
         "common", F.col("n_tables") == len(tables)
     )
 

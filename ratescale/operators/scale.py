@@ -120,14 +120,17 @@ def value_prefix(values: DataFrame, value: str, weight: str, within: Sequence[st
 
     `values` holds one row per (`within`, value). The value axis is cut at a repeatable random sample of
     the values (those with the smallest md5), so cuts are even whatever the distribution, and every
-    running window covers one cut. The sample is at most `cuts` values.
+    running window covers one cut. The sample is at most `cuts` values; 0 means no cut, for many small groups.
     """
     within = list(within)
-    sample = values.select(F.col(value).alias("_v")).distinct().orderBy(F.md5(F.col("_v").cast("string")), "_v").limit(cuts)
-    edges = sample.agg(F.sort_array(F.collect_list("_v")))
-    cut = values.withColumn("_edges", edges.scalar()).withColumn(
-        "_cut", F.size(F.filter("_edges", lambda e: e <= F.col(value)))
-    ).drop("_edges")
+    if cuts:
+        sample = values.select(F.col(value).alias("_v")).distinct().orderBy(F.md5(F.col("_v").cast("string")), "_v").limit(cuts)
+        edges = sample.agg(F.sort_array(F.collect_list("_v")))
+        cut = values.withColumn("_edges", edges.scalar()).withColumn(
+            "_cut", F.size(F.filter("_edges", lambda e: e <= F.col(value)))
+        ).drop("_edges")
+    else:
+        cut = values.withColumn("_cut", F.lit(0))
     totals = cut.groupBy(*within, "_cut").agg(F.sum(weight).alias("_total"))
     per = W.partitionBy(*within)
     offsets = totals.select(
