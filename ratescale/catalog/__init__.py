@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-FAMILIES = ("cleaning", "reliability", "evaluation")
+FAMILIES = ("cleaning", "reliability", "evaluation", "analyses")
 
 
 def load_all() -> None:

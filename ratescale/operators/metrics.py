@@ -29,7 +29,8 @@ def pearson(x: Column, y: Column, on_degenerate: str = "null", least: int = 2) -
     cx, cy = F.when(both, x), F.when(both, y)
     varies = (F.min(cx) < F.max(cx)) & (F.min(cy) < F.max(cy))
     flat = F.lit(0.0) if on_degenerate == "zero" else F.lit(None).cast("double")
-    return F.when(F.count(cx) < least, None).when(varies, F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.corr(cx, cy)))).otherwise(flat)
+    r = F.try_divide(F.covar_pop(cx, cy), F.stddev_pop(cx) * F.stddev_pop(cy))
+    return F.when(F.count(cx) < least, None).when(varies, F.greatest(F.lit(-1.0), F.least(F.lit(1.0), r))).otherwise(flat)
 
 
 def error_columns(x: Column, y: Column) -> list[Column]:
@@ -118,22 +119,31 @@ def method_columns(metrics: DataFrame, keys: Sequence[str], columns: Sequence[st
     return metrics.groupBy(*keys).agg(*aggs)
 
 
-def spearman(pairs: DataFrame, x: str, y: str, slices: Sequence[str], cuts: int = 255) -> DataFrame:
+def spearman(pairs: DataFrame, x: str, y: str, slices: Sequence[str], many_small: bool = False) -> DataFrame:
     """Rank correlation per slice, average ranks on ties.
 
     Pairs collapse to distinct values with counts; ranks come from value counts and prefix sums, so a slice with
-    most of the rows is spread over value cuts like the others. `cuts=0` suits many small slices.
+    most of the rows is spread over value cuts like the others. `many_small` is for slices with few distinct
+    values each (one attribute's ratings): then the collapsed values of a slice fit one window.
     """
     slices = list(slices)
     cells = pairs.dropna(subset=[x, y]).groupBy(*slices, F.col(x).alias("_x"), F.col(y).alias("_y")).agg(F.count(F.lit(1)).alias("_w"))
 
     def ranks(value: str) -> DataFrame:
         counts = cells.groupBy(*slices, value).agg(F.sum("_w").alias("_c"))
-        placed = value_prefix(counts, value, "_c", slices, cuts)
+        placed = value_prefix(counts, value, "_c", slices)
         centred = F.col("_before") + (F.col("_c") + 1) / 2 - (F.col("_all") + 1) / 2
         return placed.select(*slices, value, centred.alias(f"{value}_rank"))
 
-    both = null_safe(null_safe(cells, ranks("_x"), [*slices, "_x"]), ranks("_y"), [*slices, "_y"])
+    def window_rank(value: str) -> Column:
+        upto = F.sum("_w").over(W.partitionBy(*slices).orderBy(value).rangeBetween(W.unboundedPreceding, W.currentRow))
+        ties = F.sum("_w").over(W.partitionBy(*slices, value))
+        return upto - (ties - 1) / 2 - (F.sum("_w").over(W.partitionBy(*slices)) + 1) / 2
+
+    if many_small:
+        both = cells.withColumn("_x_rank", window_rank("_x")).withColumn("_y_rank", window_rank("_y"))
+    else:
+        both = null_safe(null_safe(cells, ranks("_x"), [*slices, "_x"]), ranks("_y"), [*slices, "_y"])
     w, rx, ry = F.col("_w"), F.col("_x_rank"), F.col("_y_rank")
     sums = both.groupBy(*slices).agg(
         F.sum("_w").alias("n"), F.sum(w * rx * ry).alias("_xy"), F.sum(w * rx * rx).alias("_xx"), F.sum(w * ry * ry).alias("_yy")
@@ -250,7 +260,7 @@ def attribute_metrics(responses: DataFrame) -> DataFrame:
     long = unpivot_methods(responses, ["model", "dataset", "attribute"]).dropna(subset=["predicted", "avg_rating"])
     x, y = F.col("predicted"), F.col("avg_rating")
     base = long.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.sqrt(F.avg((x - y) * (x - y))).alias("rmse"), pearson(x, y, "zero", 3).alias("pearson_r"))
-    rank = spearman(long, "predicted", "avg_rating", keys, cuts=0).drop("n")
+    rank = spearman(long, "predicted", "avg_rating", keys, many_small=True).drop("n")
     rho = F.when(F.col("n") > 2, F.coalesce("spearman_r", F.lit(0.0)))
     return base.join(rank, keys).withColumn("spearman_r", rho)
 
@@ -288,9 +298,12 @@ def largest_errors(predictions: DataFrame, k: int = 4) -> DataFrame:
 
 def calibration(predictions: DataFrame) -> DataFrame:
     """Slope and intercept of predicted on true ratings, per term and overall."""
+    both = F.col("predicted").isNotNull() & F.col("true_rating").isNotNull()
+    p, y = F.when(both, F.col("predicted")), F.when(both, F.col("true_rating"))
+    slope = F.try_divide(F.covar_pop(p, y), F.var_pop(y))
     grouped = predictions.rollup("person_term").agg(
-        F.regr_slope("predicted", "true_rating").alias("slope"),
-        F.regr_intercept("predicted", "true_rating").alias("intercept"),
+        slope.alias("slope"),
+        (F.avg(p) - slope * F.avg(y)).alias("intercept"),
         F.count(F.lit(1)).alias("n"),
         F.grouping("person_term").alias("_g"),
     )
