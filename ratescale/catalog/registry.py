@@ -31,8 +31,8 @@ class Source:
         raise AttributeError(name)
 
     def _over_files(self, sql: str) -> str:
-        pattern = r"\b(FROM|JOIN)\s+(" + "|".join(TABLES) + r")\b"
-        return re.sub(pattern, lambda m: f"{m[1]} parquet.`{self.folder}/{m[2]}.parquet` {m[2]}", sql)
+        pattern = r"\b(FROM|JOIN)\s+(" + "|".join(TABLES) + r")\b(\s+[a-z]\b)?"
+        return re.sub(pattern, lambda m: f"{m[1]} parquet.`{self.folder}/{m[2]}.parquet`{m[3] or ' ' + m[2]}", sql)
 
 
 @dataclass
@@ -76,10 +76,12 @@ def query(name: str, views: str = "", sql: str | None = None, num: str = "", int
             body = sql.strip().rstrip(";")
             head = "SELECT *" + (f" REPLACE ({', '.join(repl)})" if repl else "")
             rest = ""
+            recursive = body.upper().startswith("WITH RECURSIVE ")
             if body.upper().startswith("WITH "):
-                ctes, body = _split_ctes(body)
-                rest = ctes
+                rest, body = _split_ctes(body[15:] if recursive else body[5:])
             twin = with_views(views.split(), f"{head} FROM ({body}) AS result_rows", rest)
+            if recursive:
+                twin = "WITH RECURSIVE " + twin[5:]
         if name in REGISTRY:
             raise ValueError(f"query {name} is registered twice")
         REGISTRY[name] = Query(name, build, twin)
@@ -89,14 +91,14 @@ def query(name: str, views: str = "", sql: str | None = None, num: str = "", int
 
 
 def _split_ctes(sql: str) -> tuple[str, str]:
-    """Split `WITH a AS (...), b AS (...) SELECT ...` into its CTE list and its body."""
-    rest, depth, quote = sql[5:], 0, False
+    """Split `a AS (...), b AS (...) SELECT ...` into the CTE list and the body."""
+    rest, depth, quote = sql, 0, False
     for i, ch in enumerate(rest):
         if ch == "'":
             quote = not quote
         elif not quote:
             depth += (ch == "(") - (ch == ")")
-            if depth == 0 and ch == ")" and not re.match(r"\s*(,|AS\b)", rest[i + 1:], re.I):
+            if depth == 0 and ch == ")":
                 if re.match(r"\s*SELECT\b", rest[i + 1:], re.I):
                     return rest[: i + 1], rest[i + 1:].strip()
     raise ValueError("no body after the CTEs")

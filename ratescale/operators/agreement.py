@@ -9,16 +9,14 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ratescale.operators.scale import null_safe
 
 
 def label_counts(labels: DataFrame, item: Sequence[str], by: Sequence[str]) -> DataFrame:
-    """Per item: number of labels, agreeing ordered pairs, and the counts per label as a map of its few labels."""
-    one = labels.filter(F.col("label").isNotNull()).groupBy(*by, *item, "label").agg(F.count(F.lit(1)).alias("c"))
-    return one
+    """How often each label was given to each item."""
+    return labels.filter(F.col("label").isNotNull()).groupBy(*by, *item, "label").agg(F.count(F.lit(1)).alias("c"))
 
 
 def pairwise_agreement(labels: DataFrame, item: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
@@ -138,9 +136,3 @@ def evaluate_label_types(sheets: DataFrame, item: Sequence[str], truth: str, rat
     )
     own = confusion_metrics(long, truth, ["label_name", "annotator"])
     return own.join(inter, by, "left")
-
-
-def item_majority(labels: DataFrame, item: Sequence[str]) -> DataFrame:
-    """Label counts per item with their place; the first place is shared on ties."""
-    counts = labels.filter(F.col("label").isNotNull()).groupBy(*item, "label").agg(F.count(F.lit(1)).alias("c"))
-    return counts.withColumn("place", F.rank().over(W.partitionBy(*item).orderBy(F.desc("c"))))

@@ -131,9 +131,13 @@ def sample_share(rows: DataFrame, share: float, strata: Sequence[str], key: Sequ
 
 
 def positives_and_controls(records: DataFrame, share: float, strata: Sequence[str], seed: int = 42) -> DataFrame:
-    """A share of the flagged responses and as many unflagged ones."""
-    positives = sample_share(abstention_pool(records), share, strata, ["item_id"], seed)
-    controls = stratified_sample(non_abstention_pool(records), positives.count(), strata, ["item_id"], seed)
+    """A share of the flagged responses and as many unflagged ones.
+
+    Sampling reads its pool several times, so each pool is written to the checkpoint folder first.
+    """
+    flagged, unflagged = cut_lineage(abstention_pool(records)), cut_lineage(non_abstention_pool(records))
+    positives = cut_lineage(sample_share(flagged, share, strata, ["item_id"], seed))
+    controls = stratified_sample(unflagged, positives.count(), strata, ["item_id"], seed)
     return positives.unionByName(controls.select(*positives.columns))
 
 
