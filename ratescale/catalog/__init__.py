@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-FAMILIES = ("cleaning", "reliability", "evaluation", "analyses", "splitting", "agreement")
+FAMILIES = ("cleaning", "reliability", "evaluation", "analyses", "splitting", "agreement", "corpus", "experiments", "participants")
 
 
 def load_all() -> None:
