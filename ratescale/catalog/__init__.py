@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import importlib
 
-FAMILIES = ("cleaning", "reliability", "evaluation", "analyses", "splitting", "agreement", "corpus", "experiments", "participants")
+FAMILIES = (
+    "cleaning", "reliability", "evaluation", "analyses", "splitting", "agreement", "corpus", "experiments", "participants", "storage", "jobs",
+)
 
 
 def load_all() -> None:

@@ -79,7 +79,7 @@ def _(t):
 POSSESSED = "CASE p_partkey % 5 WHEN 0 THEN 'his ' || p_name WHEN 1 THEN 'Her ' || p_name || 's' WHEN 2 THEN 'she her ' || p_name WHEN 3 THEN p_name || ' himself' ELSE 'his anvil, her rods' END"
 
 
-@query("t8_possessives", "", """SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN article || p_name WHEN 1 THEN p_name || 's' WHEN 2 THEN article || p_name WHEN 3 THEN p_name ELSE 'an anvil , rods' END AS phrase
+@query("t8_possessives", "", """SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN article || p_name WHEN 1 THEN CASE WHEN p_name LIKE '%widget' THEN article ELSE '' END || p_name || 's' WHEN 2 THEN article || p_name WHEN 3 THEN p_name ELSE 'an anvil , rods' END AS phrase
 FROM (SELECT *, CASE WHEN substr(p_name, 1, 1) IN ('a','e','i','o','u') THEN 'an ' ELSE 'a ' END AS article FROM part) p""", ints="p_partkey")
 def _(t):
     return t.part.select("p_partkey", X.rewrite_possessives(F.expr(POSSESSED), TOOLS).alias("phrase"))

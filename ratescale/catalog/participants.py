@@ -39,9 +39,9 @@ def _(t):
     return joins.backend_keys(t.participants_a, t.participants_b)
 
 
-@query("j8_unresolved_keys", "participants_a participants_b", """SELECT DISTINCT parent_key FROM participants_b WHERE prolific_id NOT IN (SELECT prolific_id FROM participants_a WHERE rating > 99)""")
+@query("j8_unresolved_keys", "participants_a participants_b", """SELECT DISTINCT parent_key FROM participants_b WHERE prolific_id NOT IN (SELECT prolific_id FROM participants_a WHERE prolific_id < '8')""")
 def _(t):
-    return joins.unresolved_keys(joins.backend_keys(t.participants_a.filter("rating > 99"), t.participants_b)).select("parent_key")
+    return joins.unresolved_keys(joins.backend_keys(t.participants_a.filter("prolific_id < '8'"), t.participants_b)).select("parent_key")
 
 
 @query("d3_pseudonymous_a", "participants_a participants_b", f"""WITH {MAP} SELECT p.pseudonym AS prolific_id, s.pseudonym AS submission_id, rating FROM participants_a a JOIN m p ON p.id_column = 'prolific_id' AND p.original = a.prolific_id

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ratescale.operators.joins import append_distinct, backend_keys
 from ratescale.operators.scale import attach_table, value_prefix
+from ratescale.session import cut_lineage
 
 # Prefixes of the pseudonyms and columns that must not be published.
 ID_PREFIXES = {"prolific_id": "P", "submission_id": "S"}
@@ -73,8 +74,11 @@ def resolve_backend_key(table: DataFrame, keys: DataFrame, key: str = "parent_ke
 
 
 def deidentify(tables: Mapping[str, DataFrame], key: str = "parent_key", drop: Sequence[str] = SENSITIVE) -> tuple[dict[str, DataFrame], DataFrame]:
-    """All tables without sensitive columns and with pseudonyms, and the re-link table."""
-    relink = id_mappings(list(tables.values()))
+    """All tables without sensitive columns and with pseudonyms, and the re-link table.
+
+    Every table joins the re-link table, so it is written to the checkpoint folder once.
+    """
+    relink = cut_lineage(id_mappings(list(tables.values())))
     keyed = [t for t in tables.values() if {"prolific_id", "submission_id"} <= set(t.columns)]
     out = {}
     for name, table in tables.items():
