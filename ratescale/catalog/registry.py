@@ -25,7 +25,7 @@ class Source:
 
     def __getattr__(self, name: str) -> DataFrame:
         if name in VIEWS:
-            return self.spark.sql(self._over_files(with_views([name], f"SELECT * FROM {name}")))
+            return self.spark.sql(self._over_files(unfold_models(with_views([name], f"SELECT * FROM {name}"))))
         if name in TABLES:
             return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
         raise AttributeError(name)
@@ -35,6 +35,13 @@ class Source:
         return re.sub(pattern, lambda m: f"{m[1]} parquet.`{self.folder}/{m[2]}.parquet`{m[3] or ' ' + m[2]}", sql)
 
 
+def unfold_models(sql: str) -> str:
+    """The few models as an unfolded array instead of a join, which Spark plans without a product of tables."""
+    rows = re.findall(r"\((\d+),('[^']+')\)", VIEWS["models"][1])
+    models = ", ".join(f"struct({i}, {name})" for i, name in rows)
+    return sql.replace("FROM items CROSS JOIN models", f"FROM items LATERAL VIEW inline(array({models})) m AS model_idx, model")
+
+
 @dataclass
 class Query:
     name: str

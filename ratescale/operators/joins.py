@@ -68,7 +68,8 @@ def attach_scores(rows: DataFrame, scores: DataFrame, column: str = "predicted_r
     """Scores of the distinct pairs put back on all rows of the pair."""
     sizes = rows.groupBy(*ITEM).agg(F.count(F.lit(1)).alias("_n"))
     table = scores.select(*ITEM, column).join(sizes, ITEM, "inner")
-    return attach_table(rows.drop(column), ITEM, table, [column], "_n")
+    out = attach_table(rows.drop(column), ITEM, table, [column], "_n")
+    return out.select(*rows.columns) if column in rows.columns else out
 
 
 def backend_keys(with_submission: DataFrame, with_key: DataFrame, key: str = "parent_key") -> DataFrame:

@@ -18,6 +18,7 @@ from ratescale.operators.metrics import evaluation_table
 from ratescale.operators.splits import assign_splits, fold_groups
 from ratescale.operators.scale import attach_table
 from ratescale.schemas import TERMS
+from ratescale.session import cut_lineage
 
 EDGE = 0.01  # targets at the scale's ends are moved in by this much before the logit
 
@@ -37,7 +38,7 @@ def term_vector(rows: DataFrame, terms: Sequence[str] = TERMS) -> DataFrame:
     return rows.withColumn("term_vector", array_to_vector(flags))
 
 
-def text_stages(size: int = 1 << 12) -> list:
+def text_stages(size: int = 1 << 10) -> list:
     """Hashed words of the attribute weighted by rarity, next to the term."""
     return [
         RegexTokenizer(inputCol="attribute", outputCol="_words", pattern=r"\W+"),
@@ -48,7 +49,8 @@ def text_stages(size: int = 1 << 12) -> list:
 
 
 def regression(reg: float = 0.01) -> LinearRegression:
-    return LinearRegression(featuresCol="features", labelCol="target", predictionCol="linear", regParam=reg, solver="l-bfgs", maxIter=50)
+    """Least squares; up to 4096 features Spark solves it in one pass over the rows."""
+    return LinearRegression(featuresCol="features", labelCol="target", predictionCol="linear", regParam=reg, solver="auto")
 
 
 def predict(model, rows: DataFrame) -> DataFrame:
@@ -57,7 +59,7 @@ def predict(model, rows: DataFrame) -> DataFrame:
     return model.transform(rows).select(*keys, squash(F.col("linear")).alias("predicted"), F.col("avg_rating").alias("true_rating"))
 
 
-def train_on_text(items: DataFrame, test_size: float = 0.25, val_size: float = 0.15, seed: int = 42, reg: float = 0.01, size: int = 1 << 12) -> DataFrame:
+def train_on_text(items: DataFrame, test_size: float = 0.25, val_size: float = 0.15, seed: int = 42, reg: float = 0.01, size: int = 1 << 10) -> DataFrame:
     """Fit on the train groups and predict the test groups. Validation groups stay out of both."""
     rows = term_vector(assign_splits(items, test_size, val_size, seed)).withColumn("target", logit_target(F.col("avg_rating")))
     model = Pipeline(stages=[*text_stages(size), regression(reg)]).fit(rows.filter("split = 'train'"))
@@ -77,7 +79,7 @@ def evaluate(predictions: DataFrame) -> DataFrame:
 
 def choose_regularisation(items: DataFrame, grid: Sequence[float], vector: str = "embedding", k: int = 3, seed: int = 42) -> DataFrame:
     """RMSE of every grid point averaged over grouped folds, lowest first. One line per grid point."""
-    folds = fold_groups(items, k, seed).withColumn("fold", (F.col("fold") - 1).cast("int"))
+    folds = cut_lineage(fold_groups(items, k, seed).withColumn("fold", (F.col("fold") - 1).cast("int")))  # read by every fit
     rows = attach_table(items, ["attribute"], folds, ["fold"], "size")
     rows = rows.withColumn("features", array_to_vector(F.col(vector).cast("array<double>"))).withColumn("target", logit_target(F.col("avg_rating")))
     lr = regression()

@@ -80,9 +80,8 @@ def stratum_quotas(rows: DataFrame, n: int, strata: Sequence[str]) -> DataFrame:
     """
     counts = rows.groupBy(*strata).agg(F.count(F.lit(1)).alias("size"))
     everything = W.partitionBy()  # one row per stratum
-    total = counts.agg(F.sum("size")).scalar()
     exact = F.col("size") * F.lit(float(n)) / F.col("_total")
-    shared = counts.withColumn("_total", total).withColumn("_floor", F.floor(exact)).withColumn("_rest", F.round(exact - F.floor(exact), 9))
+    shared = counts.withColumn("_total", F.sum("size").over(everything)).withColumn("_floor", F.floor(exact)).withColumn("_rest", F.round(exact - F.floor(exact), 9))
     order = everything.orderBy(F.desc("_rest"), *strata)
     short = F.lit(n) - F.sum("_floor").over(everything)
     quota = F.when(F.col("_total") <= n, F.col("size")).otherwise(F.least("size", F.col("_floor") + (F.row_number().over(order) <= short).cast("long")))
@@ -99,7 +98,7 @@ def stratified_sample(rows: DataFrame, n: int, strata: Sequence[str], key: Seque
 def composition(population: DataFrame, sample: DataFrame, strata: Sequence[str]) -> DataFrame:
     """Counts and shares per stratum in the population and in the sample."""
     def side(df: DataFrame, name: str) -> DataFrame:
-        total = df.agg(F.count(F.lit(1))).scalar()
+        total = F.sum(f"{name}_n").over(W.partitionBy())  # one row per stratum
         return df.groupBy(*strata).agg(F.count(F.lit(1)).alias(f"{name}_n")).withColumn(f"{name}_pct", F.try_divide(F.col(f"{name}_n").cast("double"), total))
 
     # the sample is part of the population, so the population has every stratum

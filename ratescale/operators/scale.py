@@ -7,6 +7,7 @@ totals per cut are small, and running values are put together from cut totals.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -49,7 +50,8 @@ def attach_group_stats(
     The slice number follows the input partition, so it does not change when a task is run again.
     Rows whose key is null get null aggregates.
     """
-    table = rows.dropna(subset=list(keys)).groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), *[c.alias(n) for n, c in stats.items()])
+    known = reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys])
+    table = rows.filter(known).groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), *[c.alias(n) for n, c in stats.items()])
     return attach_table(rows, keys, table, list(stats), "_n", hot_rows, hot_keys)
 
 
@@ -72,7 +74,8 @@ def attach_table(
     )
     spread = F.when(F.col("_hot").isNotNull(), F.lit(1) + F.pmod(F.spark_partition_id(), F.lit(HOT_SPREAD))).otherwise(0)
     marked = rows.join(F.broadcast(hot), keys, "left").withColumn("_slice", spread)
-    cold = table.select(*keys, F.lit(0).alias("_slice"), *[F.col(n).alias(f"_cold_{n}") for n in columns])
+    # the filter keeps `size` in the plan, so both uses of the table share one shuffle
+    cold = table.filter(F.col(size) > 0).select(*keys, F.lit(0).alias("_slice"), *[F.col(n).alias(f"_cold_{n}") for n in columns])
     joined = marked.join(cold, keys + ["_slice"], "left")
     return joined.select(*rows.columns, *[F.coalesce(F.col(f"_hot.{n}"), F.col(f"_cold_{n}")).alias(n) for n in columns])
 
