@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 
 from ratescale.functions import text as X
 from ratescale.schemas import EXTRACTION
+from ratescale.session import cut_lineage
 
 Extractor = Callable[[pd.DataFrame], pd.Series]
 ATTRIBUTES = EXTRACTION["physical_attributes"].dataType
@@ -100,9 +101,10 @@ def skipped_sentences(extracted: DataFrame, key: str = "doc_id") -> DataFrame:
 def extract_phrases(documents: DataFrame, lexicon: X.Lexicon, extractor: Extractor | None = None, key: str = "doc_id") -> dict[str, DataFrame]:
     """The whole job: kept phrases, rejected phrases and skipped sentences.
 
-    The lexicon filter runs before the extractor, which may be costly.
+    The lexicon filter runs before the extractor, which may be costly; its answers are written to the
+    checkpoint folder once, since all three results read them and a lost executor must not ask again.
     """
     found = attribute_sentences(sentence_rows(documents, key), lexicon)
-    extracted = extract_batches(found, extractor) if extractor else extract_lexical(found)
+    extracted = cut_lineage(extract_batches(found, extractor)) if extractor else extract_lexical(found)
     kept, rejected = postprocess(expand_attributes(extracted, lexicon, key), lexicon)
     return {"phrases": kept, "rejected": rejected, "skipped": skipped_sentences(extracted, key)}

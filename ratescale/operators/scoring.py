@@ -17,6 +17,7 @@ from ratescale.functions.parse import rating_tolerant
 from ratescale.functions.terms import term_index
 from ratescale.operators.joins import ITEM, attach_scores, pending, replicate_terms
 from ratescale.schemas import TERMS
+from ratescale.session import cut_lineage
 
 Scorer = Callable[[pd.DataFrame], pd.DataFrame]
 SCORES = "predicted_rating double, generation string"
@@ -68,7 +69,8 @@ def score_column(pairs: DataFrame, expression: Column) -> DataFrame:
 
 
 def _score(pairs: DataFrame, scorer: Scorer | Column) -> DataFrame:
-    return score_column(pairs, scorer) if isinstance(scorer, Column) else score_batches(pairs, scorer)
+    """Answers of a plug-in are written to the checkpoint folder, so that no pair is asked twice."""
+    return score_column(pairs, scorer) if isinstance(scorer, Column) else cut_lineage(score_batches(pairs, scorer))
 
 
 def finished_pairs(results: DataFrame) -> Column:
