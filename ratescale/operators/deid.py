@@ -65,12 +65,13 @@ def apply_mapping(table: DataFrame, relink: DataFrame, columns: Sequence[str] =
 
 def resolve_backend_key(table: DataFrame, keys: DataFrame, key: str = "parent_key") -> DataFrame:
     """Submission ids filled in from the backend key, which is then dropped; an unresolved key fails the job."""
-    named = keys.select(key, F.col("submission_id").alias("_sid"), F.lit(True).alias("_known"))
-    joined = table.join(named, key, "left")
+    sizes = table.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
+    named = keys.select(key, F.col("submission_id").alias("_sid")).join(sizes, key)
+    joined = attach_table(table, [key], named, ["_sid"], "_n")
     fail = F.raise_error(F.concat(F.lit("backend key without submission: "), F.col(key))).cast("string")
     found = F.when(F.col(key).isNotNull() & F.col("_sid").isNull(), fail).otherwise(F.col("_sid"))
     current = F.coalesce(F.col("submission_id").cast("string"), found) if "submission_id" in table.columns else found
-    return joined.withColumn("submission_id", current).drop(key, "_sid", "_known")
+    return joined.withColumn("submission_id", current).drop(key, "_sid")
 
 
 def deidentify(tables: Mapping[str, DataFrame], key: str = "parent_key", drop: Sequence[str] = SENSITIVE) -> tuple[dict[str, DataFrame], DataFrame]:

@@ -32,7 +32,9 @@ def restrict_to_items(ratings: DataFrame, items: DataFrame) -> DataFrame:
 
 def attach_source(predictions: DataFrame, sources: DataFrame, strict: bool = True) -> DataFrame:
     """Source of each attribute; with `strict` an attribute without source fails the job."""
-    out = predictions.drop("source").join(sources.select("attribute", "source"), "attribute", "left")
+    sizes = predictions.groupBy("attribute").agg(F.count(F.lit(1)).alias("_n"))
+    lookup = sources.select("attribute", "source").join(sizes, "attribute")
+    out = attach_table(predictions.drop("source"), ["attribute"], lookup, ["source"], "_n")
     if not strict:
         return out
     fail = F.raise_error(F.concat(F.lit("no source for attribute "), F.coalesce("attribute", F.lit("<missing>")))).cast("string")

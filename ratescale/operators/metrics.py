@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ratescale.functions.parse import clean_rating
 from ratescale.functions.terms import normalize_term, term_slug
-from ratescale.operators.scale import first_per_key, null_safe, top_per_group, value_prefix
+from ratescale.operators.scale import first_per_key, join_small, null_safe, top_per_group, value_prefix
 from ratescale.schemas import TERMS
 
 METHODS = {"method1": "method1_rating", "method2": "method2_rating"}
@@ -347,7 +347,7 @@ def residual_bins(predictions: DataFrame, parts: int = 6, group: str = "person_t
     edges = weighted_quantiles(predictions, "true_rating", [group], parts)
     e = F.col("predicted") - F.col("true_rating")
     # one row of at most parts+1 numbers per group
-    binned = null_safe(predictions, edges, [group]).withColumn(
+    binned = join_small(predictions, edges, [group]).withColumn(
         "bin", F.greatest(F.lit(1), F.size(F.filter("edges", lambda x: x < F.col("true_rating"))))
     )
     return binned.groupBy(group, "bin").agg(

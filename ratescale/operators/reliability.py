@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ratescale.operators.joins import restrict_to_items
 from ratescale.operators.metrics import pearson
-from ratescale.operators.scale import attach_group_stats
+from ratescale.operators.scale import attach_group_stats, attach_table, join_small
 from ratescale.schemas import RATING_MAX, RATING_MIN
 
 ITEM = ["attribute", "person_term"]
@@ -120,11 +120,9 @@ def icc_bootstrap(ratings: DataFrame, n_boot: int = 200, seed: int = 42, item: S
     digits = lambda rep: F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), "scope", rep.cast("string"), F.col(rater).cast("string"))), 1, 8)
     kept = F.filter(F.sequence(F.lit(0), F.lit(n_boot - 1)), lambda rep: F.conv(digits(rep), 16, 10).cast("double") / 2**32 < F.col("_p"))
     # the flags depend on the rater only: worked out once per rater and scope
-    chosen = scoped.select("scope", rater).distinct().join(raters, "scope").select("scope", rater, kept.alias("_reps"))
-    sizes = scoped.groupBy("scope", rater).agg(F.count(F.lit(1)).alias("_n"))
-    from ratescale.operators.scale import attach_table
-
-    drawn = attach_table(scoped, ["scope", rater], chosen.join(sizes, ["scope", rater]), ["_reps"], "_n")
+    own = join_small(scoped.groupBy("scope", rater).agg(F.count(F.lit(1)).alias("_rows")), raters, ["scope"])
+    chosen = own.select("scope", rater, "_rows", kept.alias("_reps"))
+    drawn = attach_table(scoped, ["scope", rater], chosen, ["_reps"], "_rows")
     reps = drawn.withColumn("rep", F.explode("_reps")).drop("_reps")
     items = item_moments(reps, ["scope", "rep", *item])
     each = icc_from_items(items, ["scope", "rep"], levels)

@@ -39,13 +39,12 @@ def balanced_quotas(rows: DataFrame, flag: str, n: int, within: Sequence[str] =
 
 def balanced_sample(rows: DataFrame, flag: str, n: int, key: Sequence[str], within: Sequence[str] = (), seed: int = 42) -> DataFrame:
     """n rows per group, half with the flag and half without as far as there are enough."""
-    quotas = balanced_quotas(rows, flag, n, within)
-    marked = null_safe(rows.withColumn("_h", hash_order(seed, *key)), quotas, [*within, flag])
-    return take_by_hash(marked, "_h", list(key), "_quota", [*within, flag]).drop("_h", "_quota", "_rank")
+    hashed = rows.withColumn("_h", hash_order(seed, *key))
+    return take_by_hash(hashed, "_h", list(key), balanced_quotas(rows, flag, n, within), [*within, flag]).drop("_h")
 
 
 def uniform_sample(rows: DataFrame, n: int, key: Sequence[str], within: Sequence[str] = (), seed: int = 42) -> DataFrame:
-    return take_by_hash(rows.withColumn("_h", hash_order(seed, *key)), "_h", list(key), F.lit(n), within).drop("_h", "_rank")
+    return take_by_hash(rows.withColumn("_h", hash_order(seed, *key)), "_h", list(key), n, within).drop("_h")
 
 
 def sample_per_book(
@@ -60,10 +59,9 @@ def sample_per_book(
     pool = cut_lineage(phrases.withColumn("_h", hash_order(seed, book, key)))
     for _ in range(rounds):
         if balanced:
-            marked = null_safe(pool, balanced_quotas(pool, balanced, n, [book]), [book, balanced])
-            chosen = take_by_hash(marked, "_h", [key], "_quota", [book, balanced]).drop("_quota", "_rank")
+            chosen = take_by_hash(pool, "_h", [key], balanced_quotas(pool, balanced, n, [book]), [book, balanced])
         else:
-            chosen = take_by_hash(pool, "_h", [key], F.lit(n), [book]).drop("_rank")
+            chosen = take_by_hash(pool, "_h", [key], n, [book])
         chosen = cut_lineage(chosen)
         winners = chosen.groupBy(key).agg(F.min(book).alias("_winner"))
         lost = chosen.join(winners, key).filter(F.col(book) != F.col("_winner")).select(book, key)
@@ -91,8 +89,7 @@ def stratum_quotas(rows: DataFrame, n: int, strata: Sequence[str]) -> DataFrame:
 def stratified_sample(rows: DataFrame, n: int, strata: Sequence[str], key: Sequence[str], seed: int = 42) -> DataFrame:
     """n rows with the strata in proportion; rows within a stratum by hash. Null strata are strata too."""
     quotas = stratum_quotas(rows, n, strata).select(*strata, F.col("quota").alias("_quota"))
-    marked = null_safe(rows.withColumn("_h", hash_order(seed, *key)), quotas, strata)
-    return take_by_hash(marked, "_h", list(key), "_quota", strata).drop("_h", "_quota", "_rank")
+    return take_by_hash(rows.withColumn("_h", hash_order(seed, *key)), "_h", list(key), quotas, strata).drop("_h")
 
 
 def composition(population: DataFrame, sample: DataFrame, strata: Sequence[str]) -> DataFrame:

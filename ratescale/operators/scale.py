@@ -13,11 +13,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ratescale.session import cut_lineage
+
 HOT_KEYS = 1000  # at most this many keys are broadcast
 HOT_ROWS = 100_000  # a key below this size is never hot
 HOT_SPREAD = 256  # slices a hot key is spread over
 HASH_DIGITS = 3  # hex digits of the bucket: 4096 buckets
 VALUE_CUTS = 255
+SMALL_ROWS = 200_000  # a table up to this many narrow rows is broadcast
 
 
 def hash_order(seed: int | str, *keys: str | Column) -> Column:
@@ -27,12 +30,15 @@ def hash_order(seed: int | str, *keys: str | Column) -> Column:
     return F.md5(F.concat_ws("|", *parts))
 
 
-def null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
-    """Equi join in which null keys match each other; the key columns come from the left."""
+def null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner", small: bool = False) -> DataFrame:
+    """Equi join in which null keys match each other; the key columns come from the left.
+
+    `small` broadcasts the right side; only callers that know its size say so.
+    """
     names = {k: f"_r_{k}" for k in keys}
     renamed = right.withColumnsRenamed(names)
     cond = [left[k].eqNullSafe(renamed[n]) for k, n in names.items()]
-    return left.join(renamed, cond, how).drop(*names.values())
+    return left.join(F.broadcast(renamed) if small else renamed, cond, how).drop(*names.values())
 
 
 def attach_group_stats(
@@ -84,38 +90,57 @@ def _bucket(h: Column) -> Column:
     return F.substring(h, 1, HASH_DIGITS)
 
 
+def join_small(rows: DataFrame, table: DataFrame, keys: Sequence[str], how: str = "inner", most: int = SMALL_ROWS) -> DataFrame:
+    """Null-safe join with a table that should be small, such as one row per stratum.
+
+    The table is written to the checkpoint folder and counted. Up to `most` rows it is broadcast, so the rows are
+    not shuffled on what may be a handful of keys; beyond that it is a plain join.
+    """
+    table = cut_lineage(table)
+    small = table.limit(most + 1).count() <= most
+    return null_safe(rows, table, keys, how, small)
+
+
+def _earlier_totals(cut: DataFrame, bucket: str, weight: Column, within: Sequence[str]) -> DataFrame:
+    """Per bucket: the weight of all earlier buckets of its group (`_offset`) and of the group (`_all`)."""
+    totals = cut.groupBy(*within, bucket).agg(F.sum(weight).alias("_total"))
+    per = W.partitionBy(*within)  # the buckets of one group: a few thousand rows at most
+    before = F.sum("_total").over(per.orderBy(bucket).rowsBetween(W.unboundedPreceding, -1))
+    return totals.select(*within, bucket, F.coalesce(before, F.lit(0)).alias("_offset"), F.sum("_total").over(per).alias("_all"))
+
+
 def hash_prefix(groups: DataFrame, size: str, order: str, tie: Sequence[str] = (), within: Sequence[str] = ()) -> DataFrame:
     """`_before`: sum of `size` over all rows earlier in the hash order `order`, per `within`.
 
-    Bucket totals (4096 per `within` value) carry the sum from bucket to bucket; the running window
-    covers one bucket only.
+    Bucket totals carry the sum from bucket to bucket; the running window covers one bucket only. Without
+    `within` there are at most 4096 totals, which are broadcast.
     """
     within = list(within)
     cut = groups.withColumn("_bucket", _bucket(F.col(order)))
-    totals = cut.groupBy(*within, "_bucket").agg(F.sum(size).alias("_total"))
-    earlier = W.partitionBy(*within).orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
-    offsets = totals.select(*within, "_bucket", F.coalesce(F.sum("_total").over(earlier), F.lit(0)).alias("_offset"))
+    offsets = _earlier_totals(cut, "_bucket", F.col(size), within).drop("_all")
     inside = W.partitionBy(*within, "_bucket").orderBy(order, *tie).rowsBetween(W.unboundedPreceding, -1)
-    joined = null_safe(cut, offsets, within + ["_bucket"])
+    joined = null_safe(cut, offsets, within + ["_bucket"], small=not within)
     return joined.withColumn("_before", F.col("_offset") + F.coalesce(F.sum(size).over(inside), F.lit(0))).drop("_bucket", "_offset")
 
 
-def take_by_hash(rows: DataFrame, order: str, tie: Sequence[str], quota: Column | str, within: Sequence[str] = ()) -> DataFrame:
-    """The `quota` first rows of every `within` group in hash order, whatever the group's size.
+def take_by_hash(rows: DataFrame, order: str, tie: Sequence[str], quotas: DataFrame | int, within: Sequence[str] = ()) -> DataFrame:
+    """The first rows of every `within` group in hash order, whatever the group's size.
 
-    `quota` is a column, constant within a group. Buckets that lie wholly beyond the quota are dropped
-    before anything is sorted; a sort covers one bucket of one group.
+    `quotas` is one number for all groups or a table of `within` and `_quota`. Rows are counted per group and
+    bucket; buckets wholly beyond the quota are dropped before anything is shuffled, and a sort covers one
+    bucket of one group.
     """
     within = list(within)
-    limit = F.col(quota) if isinstance(quota, str) else quota
     cut = rows.withColumn("_bucket", _bucket(F.col(order)))
-    totals = cut.groupBy(*within, "_bucket").agg(F.count(F.lit(1)).alias("_total"))
-    earlier = W.partitionBy(*within).orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
-    offsets = totals.select(*within, "_bucket", F.coalesce(F.sum("_total").over(earlier), F.lit(0)).alias("_offset"))
-    near = null_safe(cut, offsets, within + ["_bucket"]).filter(F.col("_offset") < limit)
+    offsets = _earlier_totals(cut, "_bucket", F.lit(1), within).drop("_all")
+    if isinstance(quotas, int):
+        wanted = offsets.withColumn("_quota", F.lit(quotas))
+    else:
+        wanted = null_safe(offsets, quotas.select(*within, "_quota"), within)
+    near = join_small(cut, wanted.filter("_offset < _quota"), within + ["_bucket"])
     inside = W.partitionBy(*within, "_bucket").orderBy(order, *tie)
     ranked = near.withColumn("_rank", F.col("_offset") + F.row_number().over(inside))
-    return ranked.filter(F.col("_rank") <= limit).drop("_bucket", "_offset")
+    return ranked.filter("_rank <= _quota").drop("_bucket", "_offset", "_quota", "_rank")
 
 
 def value_prefix(values: DataFrame, value: str, weight: str, within: Sequence[str] = (), cuts: int = VALUE_CUTS) -> DataFrame:
@@ -131,16 +156,9 @@ def value_prefix(values: DataFrame, value: str, weight: str, within: Sequence[st
     cut = values.withColumn("_edges", edges.scalar()).withColumn(
         "_cut", F.size(F.filter("_edges", lambda e: e <= F.col(value)))
     ).drop("_edges")
-    totals = cut.groupBy(*within, "_cut").agg(F.sum(weight).alias("_total"))
-    per = W.partitionBy(*within)
-    offsets = totals.select(
-        *within,
-        "_cut",
-        F.coalesce(F.sum("_total").over(per.orderBy("_cut").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_offset"),
-        F.sum("_total").over(per).alias("_all"),
-    )
+    offsets = _earlier_totals(cut, "_cut", F.col(weight), within)
     inside = W.partitionBy(*within, "_cut").orderBy(value).rowsBetween(W.unboundedPreceding, -1)
-    joined = null_safe(cut, offsets, within + ["_cut"])
+    joined = null_safe(cut, offsets, within + ["_cut"], small=not within)
     return joined.withColumn("_before", F.col("_offset") + F.coalesce(F.sum(weight).over(inside), F.lit(0))).drop("_cut", "_offset")
 
 

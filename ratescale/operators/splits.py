@@ -27,8 +27,9 @@ def split_groups(rows: DataFrame, test_size: float, val_size: float = 0.0, seed:
     """
     if not (0 <= test_size <= 1 and 0 <= val_size < 1 and test_size + val_size <= 1):
         raise ValueError("sizes must be shares that add up to at most 1")
-    placed = hash_prefix(group_sizes(rows, group, seed), "size", "h", [group])
-    total = placed.agg(F.sum("size")).scalar()
+    sizes = group_sizes(rows, group, seed)
+    placed = hash_prefix(sizes, "size", "h", [group])
+    total = sizes.agg(F.sum("size")).scalar()
 
     def target(share: float):
         return F.greatest(F.lit(1), F.ceil(total * F.lit(float(share))))

@@ -62,7 +62,7 @@ def test_value_prefix_of_texts(spark, skewed):
 
 def test_take_by_hash(spark, skewed):
     df = spark.createDataFrame(skewed).withColumn("h", hash_order(1, "i"))
-    got = take_by_hash(df, "h", ["i"], F.lit(5), ["key"]).toPandas()
+    got = take_by_hash(df, "h", ["i"], 5, ["key"]).toPandas()
     all_rows = df.toPandas().sort_values("h").groupby("key").head(5)
     assert set(got.i) == set(all_rows.i)
 
