@@ -114,6 +114,19 @@ def _(t):
     return extraction.expand_attributes(some, LEXICON).select("doc_id", "text_id", "attribute_text_id", "attribute")
 
 
+def stubborn(batch):
+    """An extractor plug-in that cannot do some sentences and finds nothing in the others."""
+    if batch["text"].str.contains("tion").any():
+        raise ValueError("no answer")
+    return batch["text"].map(lambda _: "[]")
+
+
+@query("s12_skipped_sentences", "", f"WITH {PAIRS} SELECT DISTINCT sent.doc_id, sent.sentence_idx, md5(sent.text) AS digest, 'ValueError: no answer' AS error FROM sent JOIN pr USING (doc_id, sentence_idx) WHERE sent.text LIKE '%tion%'", ints="doc_id sentence_idx")
+def _(t):
+    out = extraction.extract_phrases(t.documents, LEXICON, stubborn)["skipped"]
+    return out.select("doc_id", "sentence_idx", F.md5("text").alias("digest"), "error")
+
+
 GTERM = r"regexp_matches(pair, '(?i)\b(his|her|he|she|him|hers|herself|himself|man|woman|boy|girl|male|female|guy|gal|dude|lady|gentleman)\b')"
 
 

@@ -6,9 +6,38 @@ from ratescale.catalog.evaluation import CI_LONG, correlation_ci, parsed
 from ratescale.catalog.registry import query
 from ratescale.catalog.snippets import PARSED
 from ratescale.operators import metrics, novels
+from ratescale.schemas import PHRASES, RESPONSES
+from ratescale.session import shared_folder
 from ratescale.sources import sinks, tables
 
 
+@query("s1_csv_round_trip", "responses", """SELECT model, dataset, attribute, person_term, CASE WHEN generation = '' THEN NULL ELSE generation || chr(10) || '"quoted", ' END AS generation, avg_rating FROM responses""", num="avg_rating")
+def _(t):
+    cols = ["model", "dataset", "attribute", "person_term", "generation", "avg_rating"]
+    messy = F.when(F.col("generation") != "", F.concat("generation", F.lit('\n"quoted", ')))
+    table = t.responses.withColumn("generation", messy).select(*cols)
+    path = shared_folder(t.spark, "csv")
+    sinks.write_csv(table, path)
+    return tables.read_table(t.spark, path, table.schema)
+
+
+@query("s2_extracted_files", "phrases", "SELECT source_novel, text_id, attribute, llm_gender, CASE source_novel WHEN 'novel1' THEN 'first' ELSE 'other' END AS source FROM phrases", ints="text_id")
+def _(t):
+    path = shared_folder(t.spark, "extracted")
+    sinks.write_csv_tree(t.phrases.select("source_novel", "text_id", "attribute", "llm_gender"), path, ["source_novel"])
+    rules = [("novel1_", "never", "male"), ("novel10", "other", "male"), ("novel11", "other", "male"), ("novel12", "other", "male"), ("novel13", "other", "male"), ("novel14", "other", "male"),
+             ("novel15", "other", "male"), ("novel16", "other", "male"), ("novel17", "other", "male"), ("novel18", "other", "male"), ("novel19", "other", "male"), ("novel1", "first", "female"), ("novel", "other", "male")]
+    got = tables.read_extracted(t.spark, f"{path}/*", PHRASES, rules)
+    return got.select("source_novel", "text_id", "attribute", "llm_gender", "source")
+
+
+@query("s7_results_tree", "responses", "SELECT model, dataset, count(*) AS n, sum(avg_rating) AS total FROM responses GROUP BY 1, 2", num="total", ints="n")
+def _(t):
+    path = shared_folder(t.spark, "results")
+    sinks.write_csv_tree(t.responses.select("model", "dataset", "attribute", "person_term", "generation", "avg_rating"), path, ["model", "dataset"])
+    return tables.read_results(t.spark, path, RESPONSES).groupBy("model", "dataset").agg(F.count(F.lit(1)).alias("n"), F.sum("avg_rating").alias("total"))
+
+
 @query("s3_decoded_documents", "", "SELECT doc_id, md5(replace(replace(text, chr(13) || chr(10), ' '), chr(10), ' ')) AS digest FROM documents", ints="doc_id")
 def _(t):
     from ratescale.functions.text import decode_text

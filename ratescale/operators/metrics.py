@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ratescale.functions.parse import clean_rating
 from ratescale.functions.terms import normalize_term, term_slug
-from ratescale.operators.scale import first_per_key, join_small, null_safe, top_per_group, value_prefix
+from ratescale.operators.scale import first_per_key, join_small, top_per_group, value_prefix
 from ratescale.schemas import TERMS
 
 METHODS = {"method1": "method1_rating", "method2": "method2_rating"}
@@ -127,7 +127,7 @@ def spearman(pairs: DataFrame, x: str, y: str, slices: Sequence[str], many_small
     values each (one attribute's ratings): then the collapsed values of a slice fit one window.
     """
     slices = list(slices)
-    cells = pairs.dropna(subset=[x, y]).groupBy(*slices, F.col(x).alias("_x"), F.col(y).alias("_y")).agg(F.count(F.lit(1)).alias("_w"))
+    cells = pairs.dropna(subset=[x, y, *slices]).groupBy(*slices, F.col(x).alias("_x"), F.col(y).alias("_y")).agg(F.count(F.lit(1)).alias("_w"))
 
     def ranks(value: str) -> DataFrame:
         counts = cells.groupBy(*slices, value).agg(F.sum("_w").alias("_c"))
@@ -143,7 +143,7 @@ def spearman(pairs: DataFrame, x: str, y: str, slices: Sequence[str], many_small
     if many_small:
         both = cells.withColumn("_x_rank", window_rank("_x")).withColumn("_y_rank", window_rank("_y"))
     else:
-        both = null_safe(null_safe(cells, ranks("_x"), [*slices, "_x"]), ranks("_y"), [*slices, "_y"])
+        both = cells.join(ranks("_x"), [*slices, "_x"]).join(ranks("_y"), [*slices, "_y"])
     w, rx, ry = F.col("_w"), F.col("_x_rank"), F.col("_y_rank")
     sums = both.groupBy(*slices).agg(
         F.sum("_w").alias("n"), F.sum(w * rx * ry).alias("_xy"), F.sum(w * rx * rx).alias("_xx"), F.sum(w * ry * ry).alias("_yy")
@@ -316,7 +316,7 @@ def weighted_quantiles(values: DataFrame, value: str, within: Sequence[str], par
     Works on value counts and prefix sums: no group is gathered in one place.
     """
     within = list(within)
-    counts = values.groupBy(*within, value).agg(F.count(F.lit(1)).alias("_c"))
+    counts = values.dropna(subset=[*within, value]).groupBy(*within, value).agg(F.count(F.lit(1)).alias("_c"))
     placed = value_prefix(counts, value, "_c", within)
     # position p = (n-1) q/parts lies between the sorted values number floor(p) and floor(p)+1
     marks = F.filter(

@@ -113,13 +113,13 @@ def hash_prefix(groups: DataFrame, size: str, order: str, tie: Sequence[str] = (
     """`_before`: sum of `size` over all rows earlier in the hash order `order`, per `within`.
 
     Bucket totals carry the sum from bucket to bucket; the running window covers one bucket only. Without
-    `within` there are at most 4096 totals, which are broadcast.
+    `within` there are at most 4096 totals, which are broadcast. `within` must not be null.
     """
     within = list(within)
     cut = groups.withColumn("_bucket", _bucket(F.col(order)))
     offsets = _earlier_totals(cut, "_bucket", F.col(size), within).drop("_all")
     inside = W.partitionBy(*within, "_bucket").orderBy(order, *tie).rowsBetween(W.unboundedPreceding, -1)
-    joined = null_safe(cut, offsets, within + ["_bucket"], small=not within)
+    joined = cut.join(F.broadcast(offsets) if not within else offsets, within + ["_bucket"])
     return joined.withColumn("_before", F.col("_offset") + F.coalesce(F.sum(size).over(inside), F.lit(0))).drop("_bucket", "_offset")
 
 
@@ -146,7 +146,7 @@ def take_by_hash(rows: DataFrame, order: str, tie: Sequence[str], quotas: DataFr
 def value_prefix(values: DataFrame, value: str, weight: str, within: Sequence[str] = (), cuts: int = VALUE_CUTS) -> DataFrame:
     """`_before` and `_all`: weight before each value in value order and in total, per `within`.
 
-    `values` holds one row per (`within`, value). The value axis is cut at a repeatable random sample of
+    `values` holds one row per (`within`, value), without nulls. The value axis is cut at a repeatable random sample of
     the values (those with the smallest md5), so cuts are even whatever the distribution, and every
     running window covers one cut. The sample is at most `cuts` values.
     """
@@ -158,7 +158,7 @@ def value_prefix(values: DataFrame, value: str, weight: str, within: Sequence[st
     ).drop("_edges")
     offsets = _earlier_totals(cut, "_cut", F.col(weight), within)
     inside = W.partitionBy(*within, "_cut").orderBy(value).rowsBetween(W.unboundedPreceding, -1)
-    joined = null_safe(cut, offsets, within + ["_cut"], small=not within)
+    joined = cut.join(F.broadcast(offsets) if not within else offsets, within + ["_cut"])
     return joined.withColumn("_before", F.col("_offset") + F.coalesce(F.sum(weight).over(inside), F.lit(0))).drop("_cut", "_offset")
 
 

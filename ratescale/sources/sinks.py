@@ -9,8 +9,17 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+# whitespace at the ends of cells belongs to the text
+CSV = {"header": "true", "escape": '"', "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
+
+
 def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
-    df.write.mode(mode).option("header", True).option("escape", '"').option("quoteAll", False).csv(path)
+    df.write.mode(mode).options(**CSV).csv(path)
+
+
+def write_csv_tree(df: DataFrame, path: str, folders: Sequence[str]) -> None:
+    """One folder per value of the named columns; the files hold the other columns."""
+    df.write.mode("overwrite").options(**CSV).partitionBy(*folders).csv(path)
 
 
 def write_rejects(rejected: DataFrame, path: str, source: str = "source_novel") -> None:

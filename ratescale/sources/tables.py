@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -50,11 +50,17 @@ def read_tables(spark: SparkSession, path: str, schema: T.StructType) -> DataFra
     return out.select("*", *missing)
 
 
+def table_name(path: Column) -> Column:
+    """Path of the table a file belongs to: the file itself, or the folder of part files Spark wrote."""
+    return F.regexp_replace(path, r"/part-[^/]+$", "")
+
+
 def read_extracted(spark: SparkSession, path: str, schema: T.StructType, rules: Sequence[tuple[str, str, str]] = ()) -> DataFrame:
     """Phrase tables of all novels, the novel's name from the file name, and its source where rules are given."""
     table = read_tables(spark, path, schema)
-    named = table.withColumn("source_novel", F.regexp_replace(file_stem(F.col("path")), "_physattr$", ""))
-    return match_prefix(named, file_stem(F.col("path")), rules) if rules else named
+    stem = F.regexp_replace(file_stem(F.url_decode(table_name(F.col("path")))), "^source_novel=", "")
+    named = table.withColumn("source_novel", F.regexp_replace(stem, "_physattr$", ""))
+    return match_prefix(named, F.col("source_novel"), rules) if rules else named
 
 
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
@@ -114,11 +120,14 @@ def verify_files(spark: SparkSession, folder: str, manifest_path: str) -> DataFr
     return checksum_status(files, read_manifest(spark, manifest_path))
 
 
+RESULT_PATH = r"/(?:model=)?([^/]+)/(?:dataset=)?([^/]+?)(?:\.csv)?$"
+
+
 def read_results(spark: SparkSession, root: str, schema: T.StructType) -> DataFrame:
-    """All `<model>/<dataset>.csv` files under a folder, with model, dataset and the row's place in its file."""
-    rows = read_tables(spark, f"{root}/*/*.csv", schema)
-    place = F.regexp_extract("path", r"([^/]+)/([^/]+)\.csv$", 1), F.regexp_extract("path", r"([^/]+)/([^/]+)\.csv$", 2)
-    return rows.withColumn("model", F.url_decode(place[0])).withColumn("dataset", F.url_decode(place[1])).drop("path")
+    """All tables `<model>/<dataset>.csv`, or `model=.../dataset=...` as Spark writes them, with model and dataset."""
+    rows = read_tables(spark, f"{root}/*/*", schema).drop("model", "dataset")
+    name = F.url_decode(table_name(F.col("path")))
+    return rows.withColumn("model", F.regexp_extract(name, RESULT_PATH, 1)).withColumn("dataset", F.regexp_extract(name, RESULT_PATH, 2)).drop("path")
 
 
 RUN_PATH = r"/([^/]+)/(run_[^/]+)/(?:(seed[^/]+|aggregate)/)?(.+)$"
