@@ -38,8 +38,13 @@ def extract_lexical(sentences: DataFrame) -> DataFrame:
     )
 
 
-def extract_batches(sentences: DataFrame, extractor: Extractor) -> DataFrame:
-    """Extractor plug-in on Arrow batches: returns JSON lists; a failing sentence gets an error and no attributes."""
+def extract_batches(sentences: DataFrame, extractor: Extractor, tasks: int | None = None) -> DataFrame:
+    """Extractor plug-in on Arrow batches: returns JSON lists; a failing sentence gets an error and no attributes.
+
+    `tasks` sets how many tasks call the extractor.
+    """
+    if tasks:
+        sentences = sentences.repartition(tasks)
     schema = T.StructType([*sentences.schema.fields, T.StructField("llm_response", T.StringType()), T.StructField("error", T.StringType())])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -98,13 +103,13 @@ def skipped_sentences(extracted: DataFrame, key: str = "doc_id") -> DataFrame:
     return extracted.filter(F.col("error").isNotNull()).select(key, "sentence_idx", "text", "error")
 
 
-def extract_phrases(documents: DataFrame, lexicon: X.Lexicon, extractor: Extractor | None = None, key: str = "doc_id") -> dict[str, DataFrame]:
+def extract_phrases(documents: DataFrame, lexicon: X.Lexicon, extractor: Extractor | None = None, key: str = "doc_id", tasks: int | None = None) -> dict[str, DataFrame]:
     """The whole job: kept phrases, rejected phrases and skipped sentences.
 
     The lexicon filter runs before the extractor, which may be costly; its answers are written to the
     checkpoint folder once, since all three results read them and a lost executor must not ask again.
     """
     found = attribute_sentences(sentence_rows(documents, key), lexicon)
-    extracted = cut_lineage(extract_batches(found, extractor)) if extractor else extract_lexical(found)
+    extracted = cut_lineage(extract_batches(found, extractor, tasks)) if extractor else extract_lexical(found)
     kept, rejected = postprocess(expand_attributes(extracted, lexicon, key), lexicon)
     return {"phrases": kept, "rejected": rejected, "skipped": skipped_sentences(extracted, key)}

@@ -78,10 +78,12 @@ def attach_table(
         .limit(hot_keys)
         .select(*keys, F.struct(*columns).alias("_hot"))
     )
-    spread = F.when(F.col("_hot").isNotNull(), F.lit(1) + F.pmod(F.spark_partition_id(), F.lit(HOT_SPREAD))).otherwise(0)
+    spread = F.when(F.col("_hot").isNotNull(), F.lit(1) + F.pmod(F.spark_partition_id(), F.lit(HOT_SPREAD))).otherwise(0).cast("int")
     marked = rows.join(F.broadcast(hot), keys, "left").withColumn("_slice", spread)
-    # the filter keeps `size` in the plan, so both uses of the table share one shuffle
-    cold = table.filter(F.col(size) > 0).select(*keys, F.lit(0).alias("_slice"), *[F.col(n).alias(f"_cold_{n}") for n in columns])
+    # the filter keeps `size` in the plan, so both uses of the table share one shuffle; the slice is 0, but not
+    # a literal, which would be moved out of the join key and leave hot rows in one place
+    none = F.least(F.col(size), F.lit(0)).cast("int").alias("_slice")
+    cold = table.filter(F.col(size) > 0).select(*keys, none, *[F.col(n).alias(f"_cold_{n}") for n in columns])
     joined = marked.join(cold, keys + ["_slice"], "left")
     return joined.select(*rows.columns, *[F.coalesce(F.col(f"_hot.{n}"), F.col(f"_cold_{n}")).alias(n) for n in columns])
 

@@ -30,8 +30,13 @@ def lexical_score(attribute: Column, term: Column) -> Column:
     return F.lit(1.0) + F.pmod(F.conv(digits, 16, 10).cast("long"), F.lit(7)).cast("double")
 
 
-def score_batches(pairs: DataFrame, scorer: Scorer, retries: int = 1) -> DataFrame:
-    """Pairs with predicted_rating, generation and error."""
+def score_batches(pairs: DataFrame, scorer: Scorer, retries: int = 1, tasks: int | None = None) -> DataFrame:
+    """Pairs with predicted_rating, generation and error.
+
+    `tasks` sets how many tasks call the scorer; without it, small data may end up in one.
+    """
+    if tasks:
+        pairs = pairs.repartition(tasks)
     names = list(pairs.columns)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pairs.schema.fields) + f", {SCORES}, error string"
 
@@ -68,9 +73,9 @@ def score_column(pairs: DataFrame, expression: Column) -> DataFrame:
     )
 
 
-def _score(pairs: DataFrame, scorer: Scorer | Column) -> DataFrame:
+def _score(pairs: DataFrame, scorer: Scorer | Column, tasks: int | None) -> DataFrame:
     """Answers of a plug-in are written to the checkpoint folder, so that no pair is asked twice."""
-    return score_column(pairs, scorer) if isinstance(scorer, Column) else cut_lineage(score_batches(pairs, scorer))
+    return score_column(pairs, scorer) if isinstance(scorer, Column) else cut_lineage(score_batches(pairs, scorer, tasks=tasks))
 
 
 def finished_pairs(results: DataFrame) -> Column:
@@ -79,7 +84,7 @@ def finished_pairs(results: DataFrame) -> Column:
     return done & ~F.coalesce(F.startswith("generation", F.lit(ERROR_PREFIX)), F.lit(False)) if "generation" in results.columns else done
 
 
-def score_distinct(rows: DataFrame, scorer: Scorer | Column, finished: DataFrame | None = None, limit: int | None = None) -> DataFrame:
+def score_distinct(rows: DataFrame, scorer: Scorer | Column, finished: DataFrame | None = None, limit: int | None = None, tasks: int | None = None) -> DataFrame:
     """Every distinct attribute and term scored once, results of an earlier run reused, scores put on all rows."""
     pairs = rows.select(*ITEM).distinct()
     if finished is not None:
@@ -89,19 +94,19 @@ def score_distinct(rows: DataFrame, scorer: Scorer | Column, finished: DataFrame
         done, todo = None, pairs
     if limit is not None:  # the caller asked for the first pairs only
         todo = todo.orderBy(*ITEM).limit(limit)
-    scores = _score(todo, scorer).select(*ITEM, "predicted_rating")
+    scores = _score(todo, scorer, tasks).select(*ITEM, "predicted_rating")
     if done is not None:
         scores = scores.unionByName(done)
     return attach_scores(rows, scores)
 
 
-def score_attributes(attributes: DataFrame, scorer: Scorer | Column, finished: DataFrame | None = None, terms: Sequence[str] = TERMS) -> DataFrame:
+def score_attributes(attributes: DataFrame, scorer: Scorer | Column, finished: DataFrame | None = None, terms: Sequence[str] = TERMS, tasks: int | None = None) -> DataFrame:
     """All attributes with all terms, minus finished pairs, scored; finished results are kept as they are."""
     wanted = replicate_terms(attributes.select("attribute").distinct(), terms)
     if finished is None:
-        return _score(wanted, scorer)
+        return _score(wanted, scorer, tasks)
     kept = finished.filter(finished_pairs(finished)).select(*ITEM, "predicted_rating", "generation").withColumn("error", F.lit(None).cast("string"))
-    return kept.unionByName(_score(pending(wanted, kept), scorer))
+    return kept.unionByName(_score(pending(wanted, kept), scorer, tasks))
 
 
 def failed_rows(scored: DataFrame) -> DataFrame:
