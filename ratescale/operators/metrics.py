@@ -17,10 +17,11 @@ from pyspark.sql import functions as F
 from ratescale.functions.parse import clean_rating
 from ratescale.functions.terms import normalize_term, term_slug
 from ratescale.operators.scale import first_per_key, join_small, top_per_group, value_prefix
-from ratescale.schemas import TERMS
+from ratescale.schemas import RATING_MAX, RATING_MIN, TERMS
+from ratescale.session import cut_lineage
 
 METHODS = {"method1": "method1_rating", "method2": "method2_rating"}
-SPREAD_FLOOR = 1e-12
+CENTRE = (RATING_MIN + RATING_MAX) / 2
 
 
 def pearson(x: Column, y: Column, on_degenerate: str = "null", least: int = 2) -> Column:
@@ -119,15 +120,26 @@ def method_columns(metrics: DataFrame, keys: Sequence[str], columns: Sequence[st
     return metrics.groupBy(*keys).agg(*aggs)
 
 
-def spearman(pairs: DataFrame, x: str, y: str, slices: Sequence[str], many_small: bool = False) -> DataFrame:
-    """Rank correlation per slice, average ranks on ties.
+def value_cells(pairs: DataFrame, x: str, y: str, slices: Sequence[str]) -> DataFrame:
+    """Distinct value pairs per slice with their count `_w`. Rows without slice or value are left out."""
+    return pairs.dropna(subset=[x, y, *slices]).groupBy(*slices, F.col(x).alias("_x"), F.col(y).alias("_y")).agg(F.count(F.lit(1)).alias("_w"))
 
-    Pairs collapse to distinct values with counts; ranks come from value counts and prefix sums, so a slice with
-    most of the rows is spread over value cuts like the others. `many_small` is for slices with few distinct
-    values each (one attribute's ratings): then the collapsed values of a slice fit one window.
-    """
+
+def rank_cells(cells: DataFrame, slices: Sequence[str]) -> DataFrame:
+    """Centred average ranks of both values, for slices with few distinct values: one window per value."""
+    def rank(value: str) -> Column:
+        spec = W.partitionBy(*slices).orderBy(value)
+        upto = F.sum("_w").over(spec.rangeBetween(W.unboundedPreceding, W.currentRow))
+        ties = F.sum("_w").over(spec.rangeBetween(W.currentRow, W.currentRow))
+        return upto - (ties - 1) / 2 - (F.sum("_w").over(W.partitionBy(*slices)) + 1) / 2
+
+    return cells.withColumn("_x_rank", rank("_x")).withColumn("_y_rank", rank("_y"))
+
+
+def rank_cells_by_cuts(cells: DataFrame, slices: Sequence[str]) -> DataFrame:
+    """The same for slices of any size: value counts and prefix sums, spread over value cuts."""
     slices = list(slices)
-    cells = pairs.dropna(subset=[x, y, *slices]).groupBy(*slices, F.col(x).alias("_x"), F.col(y).alias("_y")).agg(F.count(F.lit(1)).alias("_w"))
+    cells = cut_lineage(cells)  # read five times below
 
     def ranks(value: str) -> DataFrame:
         counts = cells.groupBy(*slices, value).agg(F.sum("_w").alias("_c"))
@@ -135,20 +147,23 @@ def spearman(pairs: DataFrame, x: str, y: str, slices: Sequence[str], many_small
         centred = F.col("_before") + (F.col("_c") + 1) / 2 - (F.col("_all") + 1) / 2
         return placed.select(*slices, value, centred.alias(f"{value}_rank"))
 
-    def window_rank(value: str) -> Column:
-        upto = F.sum("_w").over(W.partitionBy(*slices).orderBy(value).rangeBetween(W.unboundedPreceding, W.currentRow))
-        ties = F.sum("_w").over(W.partitionBy(*slices, value))
-        return upto - (ties - 1) / 2 - (F.sum("_w").over(W.partitionBy(*slices)) + 1) / 2
+    return cells.join(ranks("_x"), [*slices, "_x"]).join(ranks("_y"), [*slices, "_y"])
 
-    if many_small:
-        both = cells.withColumn("_x_rank", window_rank("_x")).withColumn("_y_rank", window_rank("_y"))
-    else:
-        both = cells.join(ranks("_x"), [*slices, "_x"]).join(ranks("_y"), [*slices, "_y"])
+
+def rank_correlation() -> Column:
     w, rx, ry = F.col("_w"), F.col("_x_rank"), F.col("_y_rank")
-    sums = both.groupBy(*slices).agg(
-        F.sum("_w").alias("n"), F.sum(w * rx * ry).alias("_xy"), F.sum(w * rx * rx).alias("_xx"), F.sum(w * ry * ry).alias("_yy")
-    )
-    return sums.select(*slices, "n", F.try_divide(F.col("_xy"), F.sqrt(F.col("_xx")) * F.sqrt(F.col("_yy"))).alias("spearman_r"))
+    return F.try_divide(F.sum(w * rx * ry), F.sqrt(F.sum(w * rx * rx)) * F.sqrt(F.sum(w * ry * ry)))
+
+
+def spearman(pairs: DataFrame, x: str, y: str, slices: Sequence[str], many_small: bool = False) -> DataFrame:
+    """Rank correlation per slice, average ranks on ties.
+
+    Pairs collapse to distinct values with counts first. `many_small` is for slices with few distinct values
+    each, such as the ratings of one attribute.
+    """
+    cells = value_cells(pairs, x, y, slices)
+    ranked = rank_cells(cells, slices) if many_small else rank_cells_by_cuts(cells, slices)
+    return ranked.groupBy(*slices).agg(F.sum("_w").alias("n"), rank_correlation().alias("spearman_r"))
 
 
 def _beta_tail(a: np.ndarray, x: np.ndarray) -> np.ndarray:
@@ -255,14 +270,20 @@ def response_summary(responses: DataFrame, terms: Sequence[str] = TERMS, methods
 
 
 def attribute_metrics(responses: DataFrame) -> DataFrame:
-    """Per attribute: correlation, rank correlation and RMSE of each method."""
+    """Per attribute: correlation, rank correlation and RMSE of each method, all from counted value pairs."""
     keys = ["model", "dataset", "method", "attribute"]
-    long = unpivot_methods(responses, ["model", "dataset", "attribute"]).dropna(subset=["predicted", "avg_rating"])
-    x, y = F.col("predicted"), F.col("avg_rating")
-    base = long.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.sqrt(F.avg((x - y) * (x - y))).alias("rmse"), pearson(x, y, "zero", 3).alias("pearson_r"))
-    rank = spearman(long, "predicted", "avg_rating", keys, many_small=True).drop("n")
-    rho = F.when(F.col("n") > 2, F.coalesce("spearman_r", F.lit(0.0)))
-    return base.join(rank, keys).withColumn("spearman_r", rho)
+    long = unpivot_methods(responses, ["model", "dataset", "attribute"])
+    cells = rank_cells(value_cells(long, "predicted", "avg_rating", keys), keys)
+    w, x, y = F.col("_w"), F.col("_x") - CENTRE, F.col("_y") - CENTRE
+    sums = cells.groupBy(*keys).agg(
+        F.sum("_w").alias("n"), F.sum(w * x).alias("_sx"), F.sum(w * y).alias("_sy"), F.sum(w * x * x).alias("_xx"), F.sum(w * y * y).alias("_yy"),
+        F.sum(w * x * y).alias("_xy"), F.sum(w * (x - y) * (x - y)).alias("_ee"), ((F.min("_x") < F.max("_x")) & (F.min("_y") < F.max("_y"))).alias("_varies"),
+        rank_correlation().alias("_rho"),
+    )
+    n, sx, sy = F.col("n"), F.col("_sx"), F.col("_sy")
+    r = F.try_divide(n * F.col("_xy") - sx * sy, F.sqrt(n * F.col("_xx") - sx * sx) * F.sqrt(n * F.col("_yy") - sy * sy))
+    enough = lambda c: F.when(n > 2, F.when(F.col("_varies"), c).otherwise(0.0))
+    return sums.select(*keys, "n", F.sqrt(F.col("_ee") / n).alias("rmse"), enough(r).alias("pearson_r"), enough(F.col("_rho")).alias("spearman_r"))
 
 
 def attribute_metric_spread(per_attribute: DataFrame) -> DataFrame:
