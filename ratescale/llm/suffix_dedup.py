@@ -7,8 +7,11 @@ rounds rank runs and windows at growing lengths, and what is unique leaves:
 
 1. the cores, at one position for each run;
 2. whole runs, the text from the first window's start to the last one's end: if it occurs twice, all its windows do;
-3. single windows of the runs that are left, as pairs of the ranks of their first half and of the half at the offset length / 2.
+3. of the runs that are left, parts of `PART` windows, which lie at fixed distances from the core: first the text that all
+   windows of the part share, then the text of the whole part;
+4. the single windows of the parts that are left, as pairs of the ranks of their first half and of the half at the offset length / 2.
 
+From round 2 on, one run of each kind goes on, and only where its core also has a run that is unique.
 Ranks are 64-bit hashes, of which only equality counts.
 """
 
@@ -27,6 +30,7 @@ from pyspark.sql import functions as F
 from ratescale.llm.common import text_rows, written
 
 LENGTH, CORE = 200, 48
+PART = 8  # window starts of a part
 BUFFER = 1 << 20  # bytes hashed together
 INDEX_BITS = 22
 PART_BITS = 36  # a document's key: partition, and bytes before it in the partition
@@ -76,11 +80,16 @@ def sliding_min(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(backward[:n - width + 1], forward[width - 1:n])
 
 
+def packed_run(first: np.ndarray, final: np.ndarray, core: np.ndarray) -> np.ndarray:
+    """A run as one number: first window start, further starts (8 bits), distance of the core from the first start (8 bits)."""
+    return first << 16 | (final - first) << 8 | core - first
+
+
 def runs_of(data: np.ndarray, doc_starts: np.ndarray, doc_ends: np.ndarray, length: int, core: int) -> tuple[np.ndarray, ...]:
-    """Runs of window starts with one core each: first and last start, hash of the core, hash of the whole run."""
+    """Runs of window starts with one core each: first and last start, place of the core, its hash, hash of the whole run."""
     none = np.zeros(0, np.int64)
     if len(data) < length:
-        return none, none, none, none
+        return none, none, none, none, none
     hashes = Hashes(data)
     at = np.arange(len(data) - core + 1)
     width = length - core + 1
@@ -97,7 +106,7 @@ def runs_of(data: np.ndarray, doc_starts: np.ndarray, doc_ends: np.ndarray, leng
     first = np.flatnonzero(change)
     final = np.append(first[1:], len(least)) - 1
     first, final = first[inside[first]], final[inside[first]]
-    return first, final, ranked[least[first]], hashes.of(first, final + length)
+    return first, final, least[first], ranked[least[first]], hashes.of(first, final + length)
 
 
 def _stored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -150,17 +159,29 @@ def _runs(length: int, core: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for data, starts, ends, docs, offsets in _buffers(batch, length):
-                first, final, cores, hulls = runs_of(data, starts, ends, length, core)
+                first, final, place, cores, hulls = runs_of(data, starts, ends, length, core)
                 mine = np.searchsorted(starts, first, side="right") - 1
-                place = offsets[mine] + first - starts[mine]
-                columns = [pa.array(docs[mine]), pa.array(place << 8 | final - first), _signed(cores), _signed(hulls)]
+                shift = offsets[mine] - starts[mine]
+                columns = [pa.array(docs[mine]), pa.array(packed_run(first + shift, final + shift, place + shift)), _signed(cores), _signed(hulls)]
                 yield pa.RecordBatch.from_arrays(columns, names=["doc", "run", "core", "hull"])
 
     return run
 
 
-def _windows(length: int):
-    """Every window of the runs that are asked for, as the pair of the ranks of its halves."""
+def parts_of(codes: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Runs cut into parts of `width` window starts at fixed distances from the core: first and last start, core, number of the part."""
+    first, more, core = codes >> 16, (codes >> 8) & 255, codes & 255
+    # the part of a start is its distance from the core, divided by the width
+    low, high = (core - more) // width, core // width
+    n = high - low + 1
+    ends = np.cumsum(n)
+    number = np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(low - (ends - n), n)
+    first, last, place = np.repeat(first, n), np.repeat(first + more, n), np.repeat(first + core, n)
+    return np.maximum(first, place - number * width - width + 1), np.minimum(last, place - number * width), place, number
+
+
+def _parts(length: int, width: int):
+    """Parts of the runs that are asked for, with the rank of what their windows share and of all their text; for single windows the halves' ranks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         half = length // 2
@@ -168,29 +189,29 @@ def _windows(length: int):
             for doc, packed, wanted in zip(*[batch.column(c).to_pylist() for c in ("doc", "raw", "wanted")]):
                 data = np.frombuffer(zlib.decompress(packed), np.uint8)
                 codes = np.sort(np.array(wanted, np.int64))
-                for i in range(0, len(codes), 4096):
-                    first, more = codes[i:i + 4096] >> 8, codes[i:i + 4096] & 255
-                    ends = np.cumsum(more + 1)
-                    at = np.arange(int(ends[-1])) + np.repeat(first - (ends - more - 1), more + 1)
-                    for low in range(int(at[0]), int(at[-1]) + 1, BUFFER - length):
-                        some = at[(at >= low) & (at < low + BUFFER - length)]
-                        if not len(some):
-                            continue
-                        hashes = Hashes(data[low:int(some[-1]) + length])
-                        s = some - low
-                        columns = [pa.array(np.full(len(some), doc, np.int64)), pa.array(some), _signed(hashes.of(s, s + half)), _signed(hashes.of(s + length - half, s + length))]
-                        yield pa.RecordBatch.from_arrays(columns, names=["doc", "at", "left", "right"])
+                piece = (codes >> 16) // (BUFFER // 2)  # a run and its text lie in one stretch of a buffer's length
+                for p in np.unique(piece).tolist():
+                    low = p * (BUFFER // 2)
+                    first, last, place, number = (x - low if k < 3 else x for k, x in enumerate(parts_of(codes[piece == p], width)))
+                    hashes = Hashes(data[low:low + BUFFER])
+                    if width == 1:
+                        core, hull = hashes.of(first, first + half), hashes.of(first + length - half, first + length)
+                    else:
+                        shared = place - number * width
+                        core, hull = hashes.of(shared, shared + length - width + 1), hashes.of(first, last + length)
+                    columns = [pa.array(np.full(len(first), doc, np.int64)), pa.array(packed_run(first + low, last + low, place + low)), _signed(core), _signed(hull)]
+                    yield pa.RecordBatch.from_arrays(columns, names=["doc", "run", "core", "hull"])
 
     return run
 
 
 def removed_runs(codes: list[int] | None, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """Maximal removed stretches from runs of repeated windows (first start << 8 | further starts)."""
+    """Maximal removed stretches from runs of repeated windows (as `packed_run` makes them)."""
     if not codes:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     code = np.sort(np.array(codes, np.int64))
-    starts = code >> 8
-    ends = np.maximum.accumulate(starts + (code & 255) + length)
+    starts = code >> 16
+    ends = np.maximum.accumulate(starts + ((code >> 8) & 255) + length)
     new = np.append(True, starts[1:] > ends[:-1])
     return starts[new], ends[np.append(np.flatnonzero(new)[1:], len(ends)) - 1]
 
@@ -213,21 +234,35 @@ def _cut(length: int, keep: bool):
     return run
 
 
-def repeated_runs(stored: DataFrame, length: int = LENGTH, core: int = CORE) -> DataFrame:
-    """(doc, code): runs of window starts whose windows occur elsewhere too."""
-    runs = written(stored.select("doc", "n_bytes", "raw").mapInArrow(_runs(length, core), "doc long, run long, core long, hull long"), "runs")
+RUNS = "doc long, run long, core long, hull long"
+
+
+def repeated_runs(stored: DataFrame, length: int = LENGTH, core: int = CORE, width: int = PART) -> DataFrame:
+    """(doc, run): runs of window starts whose windows occur elsewhere too."""
+    runs = written(stored.select("doc", "n_bytes", "raw").mapInArrow(_runs(length, core), RUNS), "runs")
+    whole, asked = _ranked(runs)
+    parts = written(_asked_parts(stored, asked, length, width), "parts")
+    some, asked = _ranked(parts)
+    windows = written(_asked_parts(stored, asked, length, 1), "windows")
+    again = windows.groupBy("core", "hull").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("core", "hull")
+    single = windows.join(again, ["core", "hull"], "left_semi").select("doc", "run")
+    return whole.unionByName(some).unionByName(single)
+
+
+def _asked_parts(stored: DataFrame, asked: DataFrame, length: int, width: int) -> DataFrame:
+    wanted = asked.groupBy("doc").agg(F.collect_list("run").alias("wanted"))
+    return stored.select("doc", "raw").join(wanted, "doc").mapInArrow(_parts(length, width), RUNS)
+
+
+def _ranked(runs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Runs that occur twice as a whole; and one run of each kind, of the cores that also have a run of which there is one alone."""
     twice = runs.groupBy("core").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("core")
     left = written(runs.join(twice, "core", "left_semi"), "runs-left")
-    hulls = written(left.groupBy("core", "hull").agg(F.count(F.lit(1)).alias("n"), F.min_by("doc", F.struct("doc", "run")).alias("doc"), F.min_by("run", F.struct("doc", "run")).alias("run")), "hulls")
-    whole = left.join(hulls.filter("n > 1").select("core", "hull"), ["core", "hull"], "left_semi").select("doc", F.col("run").alias("code"))
-    # runs that are unique as a whole, and one of each other kind with their core, window by window
-    mixed = hulls.groupBy("core").agg(F.min("n").alias("least"), F.count(F.lit(1)).alias("kinds")).filter("least = 1 AND kinds > 1")
-    asked = hulls.join(mixed.select("core"), "core", "left_semi").groupBy("doc").agg(F.collect_list("run").alias("wanted"))
-    windows = stored.select("doc", "raw").join(asked, "doc").mapInArrow(_windows(length), "doc long, at long, left long, right long")
-    windows = written(windows, "windows")
-    again = windows.groupBy("left", "right").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("left", "right")
-    single = windows.join(again, ["left", "right"], "left_semi").select("doc", F.shiftleft("at", 8).alias("code"))
-    return whole.unionByName(single)
+    kinds = left.groupBy("core", "hull").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc", "run")).alias("one"))
+    kinds = written(kinds.select("core", "hull", "n", "one.doc", "one.run"), "run-kinds")
+    whole = left.join(kinds.filter("n > 1").select("core", "hull"), ["core", "hull"], "left_semi").select("doc", "run")
+    mixed = kinds.groupBy("core").agg(F.min("n").alias("least"), F.count(F.lit(1)).alias("kinds")).filter("least = 1 AND kinds > 1")
+    return whole, kinds.join(mixed.select("core"), "core", "left_semi").select("doc", "run")
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, with_text: bool = False, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -240,7 +275,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, with_text: bool = Fals
     if not CORE < length <= CORE + 255:
         raise ValueError(f"length must lie between {CORE + 1} and {CORE + 255}")
     stored = written(text_rows(docs, id_column, text_column).mapInArrow(_stored, "doc long, doc_id long, n_bytes long, raw binary"), "stored")
-    codes = repeated_runs(stored, length).groupBy("doc").agg(F.collect_list("code").alias("codes"))
+    codes = repeated_runs(stored, length).groupBy("doc").agg(F.collect_list("run").alias("codes"))
     out = "doc_id long, n_bytes long, n_removed long, spans array<struct<start:long,end:long>>, kept_sha256 string, kept binary"
     cut = stored.join(codes, "doc", "left").select("doc_id", "raw", "codes").mapInArrow(_cut(length, with_text), out)
     return cut if with_text else cut.drop("kept")
