@@ -15,6 +15,7 @@ from ratescale.llm.common import batch_texts, encoder, text_rows, written
 
 CAPACITY = 2048
 GROUP_ITEMS = 100_000  # items that one task packs; more make more tasks
+OTHER_BINS = 4  # bins that go to the exchange with each of the emptiest ones
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, ids binary"
 
@@ -92,21 +93,29 @@ def _pack_group(capacity: int, round_no: int):
         bins, offsets, fill = best_fit(lengths, capacity)
         bound = lower_bound(np.bincount(lengths, minlength=capacity + 1), capacity)
         number = ((round_no << 20) + int(key[0]) << 32) + bins
-        return pd.DataFrame({"item": rows["item"], "length": lengths, "sequence_id": number, "offset": offsets, "fill": fill[bins], "gap": len(fill) - bound})
+        # to the exchange go the emptiest bins, one more than the gap, and for each of them some of the most and so smallest items
+        gap = len(fill) - bound
+        give = np.zeros(len(fill), bool)
+        emptiest = np.argsort(fill, kind="stable")[:gap + 1]
+        emptiest = emptiest[fill[emptiest] < capacity]
+        give[emptiest] = True
+        others = np.flatnonzero(~give)
+        give[others[np.argsort(-np.bincount(bins)[others], kind="stable")][:OTHER_BINS * len(emptiest)]] = True
+        return pd.DataFrame({"item": rows["item"], "length": lengths, "sequence_id": number, "offset": offsets, "give": give[bins], "gap": gap})
 
     return run
 
 
-PACKED = "item long, length long, sequence_id long, offset long, fill long, gap long"
+PACKED = "item long, length long, sequence_id long, offset long, give boolean, gap long"
 
 
 def place(items: DataFrame, capacity: int = CAPACITY, group_items: int = GROUP_ITEMS) -> DataFrame:
     """Sequence and offset of every item (`item` unique, `length` 1..capacity) in as few sequences as can be found.
 
     Items are dealt at random to groups of about `group_items`. Each is packed by best-fit decreasing and certified: `gap` is its bin
-    count less its lower bound. While the total is above the bound of the whole histogram, the items of bins with room left, of groups
-    with a gap or, if none has one, of all groups, are dealt anew over the fewest groups that hold them. A round that gains nothing
-    is dropped and ends the search.
+    count less its lower bound. A group at its bound can still be above its share of the bound of the whole histogram, as it rounds up.
+    So while the total is above that bound, all groups give up their emptiest bins and some of many items (more where `gap` is above 0),
+    and these items are dealt anew over the fewest groups that hold them. A round that gains nothing is dropped and ends the search.
     """
     histogram = np.zeros(capacity + 1, np.int64)
     for length, n in items.groupBy("length").count().collect():  # at most `capacity` rows
@@ -118,19 +127,16 @@ def place(items: DataFrame, capacity: int = CAPACITY, group_items: int = GROUP_I
         groups = -(-left // group_items)
         dealt = rest.withColumn("group", F.pmod(F.xxhash64("item", F.lit(round_no)), F.lit(groups)).cast("int"))
         packed = written(dealt.groupBy("group").applyInPandas(_pack_group(capacity, round_no), PACKED), f"packed-{round_no}")
-        heads, gapped = packed.filter("offset = 0"), F.col("gap") > 0
-        open_bin = F.col("fill") < capacity
-        bins, gaps = heads.agg(F.count(F.lit(1)), F.count(F.when(gapped & open_bin, 1))).first()
+        bins = packed.filter("offset = 0").count()
         if given_up is not None and bins >= given_up[1]:
             packed, bins = given_up
             break
         if closed + bins <= bound or (given_up is not None and groups == 1):
             break
-        moving = open_bin & gapped if gaps else open_bin
-        kept = packed.filter(~moving)
+        kept = packed.filter("NOT give")
         settled = settled.unionByName(kept.select("item", "sequence_id", "offset"))
         closed += kept.filter("offset = 0").count()
-        moved = packed.filter(moving)
+        moved = packed.filter("give")
         given_up = (moved, moved.filter("offset = 0").count())
         rest, left, round_no = moved.select("item", "length"), moved.count(), round_no + 1
     if not int(histogram.sum()):

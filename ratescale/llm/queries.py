@@ -50,7 +50,8 @@ def op8_quality(spark: SparkSession, folder: str) -> DataFrame:
 def op9_personal_data(spark: SparkSession, folder: str) -> DataFrame:
     found = personal_data.find_personal_data(_table(spark, folder, "documents"))
     spelled = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
-    counts = [F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in personal_data.KINDS]
+    kinds = F.transform("base", lambda s: s["kind"])
+    counts = [F.size(F.filter(kinds, lambda k: k == kind)).cast("long").alias(f"n_{kind}") for kind in personal_data.KINDS]
     return found.select("doc_id", *counts, F.sha2(spelled("base"), 256).alias("base_sha256"), spelled("spans").alias("spans"))
 
 
