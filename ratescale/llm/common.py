@@ -6,6 +6,7 @@ import json
 import re
 import unicodedata
 from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -20,6 +21,9 @@ SLICE_CHARS = 1 << 21
 SPACES = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 INNER_SPACE = re.compile(r"(?<=\S) (?=\S)")
 LETTER_RUNS = regex.compile(r"[^\p{L}]*\p{L}+|[^\p{L}]+")
+# letters up to U+00FF; texts without later characters are in NFC
+LATIN = re.compile("[\x00-\xff]+")
+LATIN_RUNS = re.compile("[^A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff]*[A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff]+|[^A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff]+")
 ONE_WORD = re.compile(r" ?\S+")
 
 
@@ -113,8 +117,8 @@ def spelled(chunk: str) -> str:
 
 def parts_of(chunk: str) -> list[str]:
     """A chunk cut after each run of letters, where both patterns end a token; special strings stay whole."""
-    if chunk[1:].isalpha() and chunk.isascii():
-        return [chunk]
+    if LATIN.fullmatch(chunk):
+        return LATIN_RUNS.findall(chunk) if "<|" not in chunk else [chunk]
     if "<|" in chunk or not unicodedata.is_normalized("NFC", chunk):
         return [chunk]
     return LETTER_RUNS.findall(chunk)
@@ -126,7 +130,7 @@ class TextEncoder:
     The caches only save time: when one is full it is emptied. File kinds: byte-level BPE, and BPE with word ends.
     """
 
-    def __init__(self, file: str, chunks: int = 500_000, parts: int = 1_000_000):
+    def __init__(self, file: str, chunks: int = 900_000, parts: int = 1_000_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(file)
@@ -175,15 +179,15 @@ class TextEncoder:
             self.parts.add(hard, np.array([x for one in ids for x in one], np.uint32), np.array([len(one) for one in ids], np.int64))
 
     def _learn(self, keys: list[str]) -> None:
-        wanted = set(keys)
-        new = list(wanted.difference(self.chunks.index))
+        index = self.chunks.index
+        new = list({c for c in keys if c not in index})
         if not new:
             return
-        if len(self.chunks.index) + len(new) > self.chunks.most:
+        if len(index) + len(new) > self.chunks.most:
             self.chunks.clear()
-            new = list(wanted)
+            new = list(set(keys))
         parts = [parts_of(spelled(c)) for c in new]
-        flat = [p for some in parts for p in some]
+        flat = list(chain.from_iterable(parts))
         needed = set(flat)
         missing = list(needed.difference(self.parts.index))
         if len(self.parts.index) + len(missing) > self.parts.most:
@@ -191,7 +195,7 @@ class TextEncoder:
         if missing:
             self._learn_parts(missing)
         ids, lens = self.parts.get(flat)
-        sizes = np.array([len(some) for some in parts], np.int64)
+        sizes = np.fromiter(map(len, parts), np.int64, len(parts))
         ends = np.concatenate(([0], np.cumsum(lens)))[np.concatenate(([0], np.cumsum(sizes)))]
         self.chunks.add(new, ids, np.diff(ends))
 
@@ -199,7 +203,7 @@ class TextEncoder:
         """For slices of the texts: index of the first text, all ids, and the number of ids of each text."""
         for start, end in slices(texts):
             keys = [space_chunks(t) for t in texts[start:end]]
-            flat = [c for some in keys for c in some]
+            flat = list(chain.from_iterable(keys))
             found, sizes = [], []
             for i in range(0, len(flat), 400_000):  # a long text comes in several rounds
                 some = flat[i:i + 400_000]

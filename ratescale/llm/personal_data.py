@@ -219,7 +219,7 @@ class Field:
 
     def best(self, lattice: list, n: int) -> list[tuple[int, int, int]]:
         """Segments with a kind, of the best segmentation, whose score beats none by the margin."""
-        top, how = np.full(n + 1, -np.inf), [None] * (n + 1)
+        top, how = np.full(n + 1, -np.inf), [(0, 0)] * (n + 1)
         top[0] = 0.0
         for (i, j, f), s in zip(lattice, self.scores(lattice)):
             label = int(np.argmax(s))
