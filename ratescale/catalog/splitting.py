@@ -155,7 +155,7 @@ def records(t):
     return res.labeled_records(res.parse_responses(t.responses))
 
 
-REC = f"{PARSED}, rec AS (SELECT *, {RID} AS item_id FROM flagged)"
+REC = f"{PARSED}, rec AS MATERIALIZED (SELECT *, {RID} AS item_id FROM flagged)"
 POOL = "{name} AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY model, attribute, person_term, generation ORDER BY dataset, item_id) AS rn FROM rec WHERE {cond}) q WHERE rn = 1)"
 
 

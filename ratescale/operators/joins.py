@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ratescale.operators.scale import attach_table
+from ratescale.operators.scale import attach_table, null_safe
 from ratescale.schemas import DATASET_OF_SOURCE, TERMS
 
 ITEM = ["attribute", "person_term"]
@@ -90,10 +90,10 @@ def unresolved_keys(keys: DataFrame) -> DataFrame:
 
 def align(original: DataFrame, annotated: DataFrame, key: Sequence[str]) -> DataFrame:
     """Keys of both tables with a status: `ok`, `missing` in the annotations or `extra` in them."""
-    left = original.select(*key).distinct().withColumn("_o", F.lit(True))
-    right = annotated.select(*key).distinct().withColumn("_a", F.lit(True))
-    status = F.when(F.col("_o").isNull(), "extra").when(F.col("_a").isNull(), "missing").otherwise("ok")
-    return left.join(right, list(key), "full").select(*key, status.alias("status"))
+    sides = original.select(*key, F.lit(1).alias("_side")).unionByName(annotated.select(*key, F.lit(2).alias("_side")))
+    in_original, in_annotated = F.bool_or(F.col("_side") == 1), F.bool_or(F.col("_side") == 2)
+    status = F.when(~in_original, "extra").when(~in_annotated, "missing").otherwise("ok")
+    return sides.groupBy(*key).agg(status.alias("status"))  # null keys are one key
 
 
 def align_lenient(original: DataFrame, annotated: DataFrame, key: Sequence[str]) -> DataFrame:
@@ -104,7 +104,7 @@ def align_lenient(original: DataFrame, annotated: DataFrame, key: Sequence[str])
 def pending(wanted: DataFrame, finished: DataFrame, done: Column | None = None, key: Sequence[str] = ITEM) -> DataFrame:
     """Wanted keys that have no finished result yet."""
     ready = finished.filter(done) if done is not None else finished
-    return wanted.join(ready.select(*key).distinct(), list(key), "left_anti")
+    return null_safe(wanted, ready.select(*key).distinct(), list(key), "left_anti")
 
 
 def ceiling_lookup(ceilings: DataFrame, labels: Mapping[str, str] = DATASET_OF_SOURCE, extra: Sequence[str] = ()) -> DataFrame:

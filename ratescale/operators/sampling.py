@@ -19,10 +19,9 @@ PHRASE_BLANKS = ["physical attribute", "contextually well-formed", "character ge
 
 
 def balanced_quotas(rows: DataFrame, flag: str, n: int, within: Sequence[str] = ()) -> DataFrame:
-    """How many rows to take with and without the flag: half each, a shortage made up from the other side."""
-    counts = rows.groupBy(*within).agg(
-        F.count_if(F.col(flag)).alias("_in"), F.count_if(~F.col(flag)).alias("_out"), F.count(F.lit(1)).alias("_all")
-    )
+    """How many rows to take with and without the flag (null: without): half each, a shortage made up from the other side."""
+    marked = F.coalesce(F.col(flag), F.lit(False))
+    counts = rows.groupBy(*within).agg(F.count_if(marked).alias("_in"), F.count_if(~marked).alias("_out"), F.count(F.lit(1)).alias("_all"))
     have_in, have_out = F.col("_in"), F.col("_out")
     want_in, want_out = n // 2, n - n // 2
     take_in = F.when(F.col("_all") <= n, have_in).when(have_in < want_in, have_in).when(
@@ -39,8 +38,9 @@ def balanced_quotas(rows: DataFrame, flag: str, n: int, within: Sequence[str] =
 
 def balanced_sample(rows: DataFrame, flag: str, n: int, key: Sequence[str], within: Sequence[str] = (), seed: int = 42) -> DataFrame:
     """n rows per group, half with the flag and half without as far as there are enough."""
-    hashed = rows.withColumn("_h", hash_order(seed, *key))
-    return take_by_hash(hashed, "_h", list(key), balanced_quotas(rows, flag, n, within), [*within, flag]).drop("_h")
+    hashed = rows.withColumn("_h", hash_order(seed, *key)).withColumn("_side", F.coalesce(F.col(flag), F.lit(False)))
+    quotas = balanced_quotas(rows, flag, n, within).withColumnRenamed(flag, "_side")
+    return take_by_hash(hashed, "_h", list(key), quotas, [*within, "_side"]).drop("_h", "_side")
 
 
 def uniform_sample(rows: DataFrame, n: int, key: Sequence[str], within: Sequence[str] = (), seed: int = 42) -> DataFrame:
@@ -48,7 +48,7 @@ def uniform_sample(rows: DataFrame, n: int, key: Sequence[str], within: Sequence
 
 
 def sample_per_book(
-    phrases: DataFrame, n: int, book: str = "source_novel", key: str = "attribute_normalized", balanced: str | None = None, seed: int = 42, rounds: int = 1000
+    phrases: DataFrame, n: int, book: str = "source_novel", key: str = "attribute_normalized", balanced: str | None = None, seed: int = 42
 ) -> DataFrame:
     """n phrases per book and no phrase in two books; the earlier book (by name) has first choice.
 
@@ -57,9 +57,11 @@ def sample_per_book(
     joins over all books; rounds are written to the checkpoint folder. One row per book and phrase goes in.
     """
     pool = cut_lineage(phrases.withColumn("_h", hash_order(seed, book, key)))
-    for _ in range(rounds):
+    while True:  # every round takes a phrase from a book for good, so the rounds end
         if balanced:
-            chosen = take_by_hash(pool, "_h", [key], balanced_quotas(pool, balanced, n, [book]), [book, balanced])
+            sides = balanced_quotas(pool, balanced, n, [book]).withColumnRenamed(balanced, "_side")
+            marked = pool.withColumn("_side", F.coalesce(F.col(balanced), F.lit(False)))
+            chosen = take_by_hash(marked, "_h", [key], sides, [book, "_side"]).drop("_side")
         else:
             chosen = take_by_hash(pool, "_h", [key], n, [book])
         chosen = cut_lineage(chosen)
@@ -68,7 +70,6 @@ def sample_per_book(
         if lost.isEmpty():
             return chosen.drop("_h")
         pool = cut_lineage(pool.join(lost, [book, key], "left_anti"))
-    raise RuntimeError(f"no stable choice after {rounds} rounds")
 
 
 def stratum_quotas(rows: DataFrame, n: int, strata: Sequence[str]) -> DataFrame:

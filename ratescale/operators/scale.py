@@ -9,20 +9,24 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+import math
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ratescale.session import cut_lineage
 
-HOT_KEYS = 1000  # at most this many keys are broadcast
 HOT_ROWS = 100_000  # a key below this size is never hot
 HOT_SPREAD = 256  # slices a hot key is spread over
-HASH_DIGITS = 3  # hex digits of the bucket: 4096 buckets
-VALUE_CUTS = 255
 SMALL_ROWS = 200_000  # a table up to this many narrow rows is broadcast
 
 
+def partitions() -> int:
+    """Shuffle partitions of the session: what plans are cut for."""
+    return int(SparkSession.active().conf.get("spark.sql.shuffle.partitions"))
+
+
 def hash_order(seed: int | str, *keys: str | Column) -> Column:
     """A random but repeatable order: the same in every engine that has md5."""
     cols = [F.col(k) if isinstance(k, str) else k for k in keys]
@@ -46,19 +50,18 @@ def attach_group_stats(
     keys: Sequence[str],
     stats: dict[str, Column],
     hot_rows: int = HOT_ROWS,
-    hot_keys: int = HOT_KEYS,
 ) -> DataFrame:
     """Give every row the aggregates of its group without a window over the group.
 
     The aggregates combine on the map side. Their join back would send all rows of a hot key to one
-    task, so the `hot_keys` largest groups above `hot_rows` rows get their aggregates by broadcast
-    (at most `hot_keys` rows) and their rows are spread over `HOT_SPREAD` slices of the join key.
+    task, so groups of `hot_rows` rows or more that hold at least the rows of an average shuffle partition get their
+    aggregates by broadcast (so there are no more of them than partitions) and their rows are spread over `HOT_SPREAD` slices of the join key.
     The slice number follows the input partition, so it does not change when a task is run again.
     Rows whose key is null get null aggregates.
     """
     known = reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys])
     table = rows.filter(known).groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), *[c.alias(n) for n, c in stats.items()])
-    return attach_table(rows, keys, table, list(stats), "_n", hot_rows, hot_keys)
+    return attach_table(rows, keys, table, list(stats), "_n", hot_rows)
 
 
 def attach_table(
@@ -68,16 +71,11 @@ def attach_table(
     columns: Sequence[str],
     size: str,
     hot_rows: int = HOT_ROWS,
-    hot_keys: int = HOT_KEYS,
 ) -> DataFrame:
     """Left join of `rows` with a table of one row per key that knows how many rows each key has (`size`)."""
     keys = list(keys)
-    hot = (
-        table.filter(F.col(size) >= hot_rows)
-        .orderBy(F.desc(size), *keys)
-        .limit(hot_keys)
-        .select(*keys, F.struct(*columns).alias("_hot"))
-    )
+    average = table.agg(F.sum(size) / F.lit(partitions())).scalar()
+    hot = table.filter((F.col(size) >= hot_rows) & (F.col(size) >= average)).select(*keys, F.struct(*columns).alias("_hot"))
     spread = F.when(F.col("_hot").isNotNull(), F.lit(1) + F.pmod(F.spark_partition_id(), F.lit(HOT_SPREAD))).otherwise(0).cast("int")
     marked = rows.join(F.broadcast(hot), keys, "left").withColumn("_slice", spread)
     # the filter keeps `size` in the plan, so both uses of the table share one shuffle; the slice is 0, but not
@@ -89,7 +87,8 @@ def attach_table(
 
 
 def _bucket(h: Column) -> Column:
-    return F.substring(h, 1, HASH_DIGITS)
+    """The first hex digits: 4096 buckets, or more where there are more than some hundred partitions."""
+    return F.substring(h, 1, max(3, math.ceil(math.log(4 * partitions(), 16))))
 
 
 def join_small(rows: DataFrame, table: DataFrame, keys: Sequence[str], how: str = "inner", most: int = SMALL_ROWS) -> DataFrame:
@@ -115,7 +114,7 @@ def hash_prefix(groups: DataFrame, size: str, order: str, tie: Sequence[str] = (
     """`_before`: sum of `size` over all rows earlier in the hash order `order`, per `within`.
 
     Bucket totals carry the sum from bucket to bucket; the running window covers one bucket only. Without
-    `within` there are at most 4096 totals, which are broadcast. `within` must not be null.
+    `within` there is a total for each bucket, which are broadcast. `within` must not be null.
     """
     within = list(within)
     cut = groups.withColumn("_bucket", _bucket(F.col(order)))
@@ -145,13 +144,14 @@ def take_by_hash(rows: DataFrame, order: str, tie: Sequence[str], quotas: DataFr
     return ranked.filter("_rank <= _quota").drop("_bucket", "_offset", "_quota", "_rank")
 
 
-def value_prefix(values: DataFrame, value: str, weight: str, within: Sequence[str] = (), cuts: int = VALUE_CUTS) -> DataFrame:
+def value_prefix(values: DataFrame, value: str, weight: str, within: Sequence[str] = (), cuts: int | None = None) -> DataFrame:
     """`_before` and `_all`: weight before each value in value order and in total, per `within`.
 
     `values` holds one row per (`within`, value), without nulls. The value axis is cut at a repeatable random sample of
     the values (those with the smallest md5), so cuts are even whatever the distribution, and every
-    running window covers one cut. The sample is at most `cuts` values.
+    running window covers one cut. The sample is at most `cuts` values, by default 255 or the number of shuffle partitions.
     """
+    cuts = cuts or max(255, partitions())
     within = list(within)
     sample = values.select(F.col(value).alias("_v")).distinct().orderBy(F.md5(F.col("_v").cast("string")), "_v").limit(cuts)
     edges = sample.agg(F.sort_array(F.collect_list("_v")))

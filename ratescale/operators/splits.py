@@ -76,11 +76,10 @@ def evaluation_rows(rows: DataFrame, test_size: float, val_size: float = 0.0, se
     """Rows whose stored split is `label`; if the table has none, the split is rebuilt."""
     if "split" not in rows.columns:
         return assign_splits(rows, test_size, val_size, seed, group).filter(F.col("split") == label)
-    stored = rows.agg(F.coalesce(F.bool_or(F.col("split") == label), F.lit(False))).scalar()
-    kept = rows.withColumnRenamed("split", "_stored")
-    both = assign_splits(kept, test_size, val_size, seed, group).withColumn("_has", stored)
-    split = F.when(F.col("_has"), F.col("_stored")).otherwise(F.col("split"))
-    return both.withColumn("split", split).filter(F.col("split") == label).drop("_stored", "_has")
+    stored = rows.filter(F.col("split") == label)
+    if not stored.isEmpty():
+        return stored
+    return assign_splits(rows.drop("split"), test_size, val_size, seed, group).filter(F.col("split") == label)
 
 
 def _fill(loads: list[int], size: int, count: int) -> list[int]:
@@ -127,7 +126,7 @@ def fold_groups(rows: DataFrame, k: int, seed: int = 42, group: str = "attribute
                 loads[fold] += n * c["size"]
     table = rows.sparkSession.createDataFrame(plan, "size long, fold int, lo long, hi long")
     ranked = hash_prefix(sizes.withColumn("_one", F.lit(1)), "_one", "h", [group], within=["size"])
-    dealt = ranked.join(table, "size").filter((F.col("_before") >= F.col("lo")) & (F.col("_before") < F.col("hi")))
+    dealt = ranked.join(F.broadcast(table), "size").filter((F.col("_before") >= F.col("lo")) & (F.col("_before") < F.col("hi")))
     return dealt.select(group, "size", "fold")
 
 

@@ -27,25 +27,46 @@ SPLITS = ("train", "val", "test")
 SPLIT_TOLERANCE = 0.05
 
 
-def _struct(spec: str) -> T.StructType:
-    kinds = {"s": T.StringType(), "d": T.DoubleType(), "l": T.LongType(), "b": T.BooleanType()}
-    return T.StructType([T.StructField(n, kinds[k]) for n, k in (f.rsplit(":", 1) for f in spec.split(","))])
+def _of(kind: T.DataType, *names: str) -> list[T.StructField]:
+    return [T.StructField(n, kind) for n in names]
 
 
-RATINGS = _struct("submission_id:s,prolific_id:s,attribute:s,person_term:s,rating:d,source:s")
-TRAINING = _struct("prompt:s,attribute:s,person_term:s,avg_rating:d,rating_variance:d,split:s")
-RESPONSES = _struct(
-    "attribute:s,person_term:s,generation:s,method1_rating:d,method2_rating:d,topk_tokens:s,model:s,"
-    + ",".join(f"logit_{i}:d" for i in range(RATING_MIN, RATING_MAX + 1))
-    + ",avg_rating:d"
-)
-PHRASES = _struct(
-    "text_id:l,attribute_text_id:l,text:s,attribute:s,intext_gender:s,llm_gender:s,llm_reasoning:s,"
-    "gender_match:b,indomain_strct:b,llm_response:s,attribute_original:s,attribute_normalized:s"
-)
-SKIPPED = _struct("sentence_idx:l,text:s,error:s")
-PREDICTIONS = _struct("attribute:s,person_term:s,predicted:d,true:d,error:d")
-EVAL_METRICS = _struct("category:s,mse:d,rmse:d,mae:d,correlation:d")
+TEXT, NUMBER, WHOLE, FLAG = T.StringType(), T.DoubleType(), T.LongType(), T.BooleanType()
+
+RATINGS = T.StructType([
+    *_of(TEXT, "submission_id", "prolific_id", "attribute", "person_term"),
+    *_of(NUMBER, "rating"),
+    *_of(TEXT, "source"),
+])
+TRAINING = T.StructType([
+    *_of(TEXT, "prompt", "attribute", "person_term"),
+    *_of(NUMBER, "avg_rating", "rating_variance"),
+    *_of(TEXT, "split"),
+])
+RESPONSES = T.StructType([
+    *_of(TEXT, "attribute", "person_term", "generation"),
+    *_of(NUMBER, "method1_rating", "method2_rating"),
+    *_of(TEXT, "topk_tokens", "model"),
+    *_of(NUMBER, *[f"logit_{i}" for i in range(RATING_MIN, RATING_MAX + 1)], "avg_rating"),
+])
+PHRASES = T.StructType([
+    *_of(WHOLE, "text_id", "attribute_text_id"),
+    *_of(TEXT, "text", "attribute", "intext_gender", "llm_gender", "llm_reasoning"),
+    *_of(FLAG, "gender_match", "indomain_strct"),
+    *_of(TEXT, "llm_response", "attribute_original", "attribute_normalized"),
+])
+SKIPPED = T.StructType([
+    *_of(WHOLE, "sentence_idx"),
+    *_of(TEXT, "text", "error"),
+])
+PREDICTIONS = T.StructType([
+    *_of(TEXT, "attribute", "person_term"),
+    *_of(NUMBER, "predicted", "true", "error"),
+])
+EVAL_METRICS = T.StructType([
+    *_of(TEXT, "category"),
+    *_of(NUMBER, "mse", "rmse", "mae", "correlation"),
+])
 EXTRACTION = T.StructType(
     [
         T.StructField("original_sentence", T.StringType()),

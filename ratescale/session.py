@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -35,7 +36,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current
     shared = sc.getConf().get(CHECKPOINT_CONF) or spark.conf.get(CHECKPOINT_CONF, None)
     if not shared:
-        if not sc.master.startswith("local"):
+        if not re.match(r"local(\[|$)", sc.master):
             raise ValueError(f"{CHECKPOINT_CONF} must name a shared folder on a cluster")
         shared = tempfile.mkdtemp(prefix="ratescale-checkpoint-")
     sc.setCheckpointDir(shared)

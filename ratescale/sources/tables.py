@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import csv
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -12,7 +13,6 @@ from ratescale.functions.terms import base_config, file_stem, fold_number, run_t
 from ratescale.functions.text import decode_text
 from ratescale.operators.joins import match_prefix, union_all
 
-HEADER_BYTES = 65536
 # What a finished run folder holds.
 RUN_FILES = ("config.json", "metrics.csv")
 RUN_RESULTS = ("eval_metrics.csv", "eval_report.txt", "predictions.csv")
@@ -24,12 +24,17 @@ def read_table(spark: SparkSession, path: str | Sequence[str], schema: T.StructT
     return reader.options(**options).csv(list(path) if not isinstance(path, str) else path)
 
 
+def metadata_path() -> Column:
+    """Path of a row's file as it is, not as a URL."""
+    return F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
+
+
 def headers(spark: SparkSession, path: str) -> DataFrame:
-    """First line of every file under a glob."""
-    files = spark.read.format("binaryFile").load(path)
-    start = F.decode(F.substring("content", 1, HEADER_BYTES), "UTF-8")
-    line = F.regexp_replace(F.split(start, r"\r?\n", 2)[0], "^﻿", "")
-    return files.select("path", line.alias("header"))
+    """First line of every file under a glob, of whatever length; lines are read as a stream, and only of a file's first block."""
+    lines = spark.read.text(path).select("value", metadata_path().alias("path"), F.col("_metadata.file_block_start").alias("start"))
+    first = lines.filter("start = 0").withColumn("line", F.monotonically_increasing_id()).groupBy("path").agg(F.min_by("value", "line").alias("value"))
+    line = F.regexp_replace("value", "^﻿", "")
+    return first.select("path", line.alias("header"))
 
 
 def read_tables(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
@@ -41,7 +46,7 @@ def read_tables(spark: SparkSession, path: str, schema: T.StructType) -> DataFra
     groups = headers(spark, path).groupBy("header").agg(F.collect_list("path").alias("paths")).orderBy("header").collect()
     parts = []
     for g in groups:
-        names = [c.strip().strip('"') for c in g["header"].split(",")]
+        names = [c.strip() for c in next(csv.reader([g["header"]]))]
         own = T.StructType([T.StructField(n, kinds.get(n, T.StringType())) for n in names])
         part = read_table(spark, g["paths"], own)
         parts.append(part.select("*", F.col("_metadata.file_path").alias("path")))
@@ -69,12 +74,9 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
     return files.select(file_stem(F.col("path")).alias("doc_id"), decode_text(F.col("content")).alias("text"))
 
 
-def read_lexicon(spark: SparkSession, path: str, limit: int = 20_000) -> list[str]:
-    """Words of a lexicon file, one per line. A lexicon is a parameter of the plan, so its size is checked."""
-    words = [r[0] for r in spark.read.text(path).filter("trim(value) <> ''").select(F.trim("value")).limit(limit + 1).collect()]
-    if len(words) > limit:
-        raise ValueError(f"a lexicon has at most {limit} words")
-    return words
+def read_lexicon(spark: SparkSession, path: str) -> list[str]:
+    """Words of a lexicon file, one per line. A lexicon is a parameter of the plan, which holds it as a hash set."""
+    return [r[0] for r in spark.read.text(path).filter("trim(value) <> ''").select(F.trim("value").alias("word")).distinct().orderBy("word").collect()]
 
 
 def count_status(rows: DataFrame, expected: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -89,7 +91,7 @@ def count_status(rows: DataFrame, expected: DataFrame, keys: Sequence[str]) -> D
 
 def require_counts(rows: DataFrame, expected: DataFrame, keys: Sequence[str]) -> DataFrame:
     """The rows, if every count is as expected; the status table is one line per shard."""
-    bad = [r.asDict() for r in count_status(rows, expected, keys).filter("status <> 'ok'").limit(20).collect()]
+    bad = [r.asDict() for r in count_status(rows, expected, keys).filter("status <> 'ok'").collect()]
     if bad:
         raise ValueError(f"row counts differ: {bad}")
     return rows
