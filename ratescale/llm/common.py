@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import json
+import os
 import re
 import unicodedata
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from itertools import chain
+from typing import TypeVar
 
 import numpy as np
 import pyarrow as pa
@@ -16,6 +18,7 @@ from pyspark.sql import functions as F
 
 from ratescale.session import shared_folder
 
+T = TypeVar("T")
 SLICE_CHARS = 1 << 21
 # every character that Python or the tokenizers' patterns take for white space, but the plain space
 SPACES = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -130,7 +133,7 @@ class TextEncoder:
     The caches only save time: when one is full it is emptied. File kinds: byte-level BPE, and BPE with word ends.
     """
 
-    def __init__(self, file: str, chunks: int = 900_000, parts: int = 1_000_000):
+    def __init__(self, file: str, chunks: int = 600_000, parts: int = 900_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(file)
@@ -216,17 +219,20 @@ class TextEncoder:
             yield start, ids, np.diff(ends)
 
 
-_ENCODERS: dict[str, TextEncoder] = {}
+_HELD: dict[tuple, object] = {}
 
 
-def encoder(file: str) -> TextEncoder:
-    """One encoder for each worker process and file."""
-    import os
+def held(key: tuple, make: Callable[[], T]) -> T:
+    """What a worker process keeps between tasks: one object, as workers serve one operator after the other."""
+    if key not in _HELD:
+        _HELD.clear()
+        _HELD[key] = make()
+    return _HELD[key]
+
 
+def encoder(file: str) -> TextEncoder:
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    if file not in _ENCODERS:
-        _ENCODERS[file] = TextEncoder(file)
-    return _ENCODERS[file]
+    return held(("encoder", file), lambda: TextEncoder(file))
 
 
 def record_batch(schema: pa.Schema, columns: Iterable) -> pa.RecordBatch:

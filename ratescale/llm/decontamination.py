@@ -13,7 +13,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ratescale.llm.common import slices, text_rows
+from ratescale.llm.common import held, slices, text_rows
 
 WINDOW = 10
 SHARD_CHARS = 16 << 20  # text of one index
@@ -227,16 +227,11 @@ NOTHING = (np.zeros(0, np.int64), np.zeros(0, np.int64), [])
 
 
 Block = tuple[str, Broadcast]  # a name of its own and the items
-_LOADED: dict[tuple[str, int], Phrases] = {}
 
 
 def _phrases(block: Block, window: int) -> Phrases:
     """The phrases of one block; a worker has one block in mind."""
-    key = (block[0], window)
-    if key not in _LOADED:
-        _LOADED.clear()
-        _LOADED[key] = Phrases(block[1].value, window)
-    return _LOADED[key]
+    return held(("phrases", block[0], window), lambda: Phrases(block[1].value, window))
 
 
 def _united(parts: list[tuple[np.ndarray, np.ndarray, list[str]]]) -> tuple[np.ndarray, np.ndarray, list[str]]:

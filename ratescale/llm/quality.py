@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ratescale.llm.common import Ragged, text_rows
+from ratescale.llm.common import Ragged, held, text_rows
 
 FEATURE_BITS = 20
 GRADES = 3  # 0: poor, 1: good but toxic, 2: good
@@ -22,7 +22,7 @@ EPOCHS, BATCH, RATE, DECAY = 8, 64, 0.1, 3e-4
 LEAST_PROBABILITY = 0.7
 LEAST_SHARE = 0.001  # a feature of a smaller share of the sample (or of under LEAST_ROWS rows) has no weight
 LEAST_ROWS = 3
-KNOWN_WORDS = 400_000
+KNOWN_WORDS = 300_000
 BEGINNINGS = (3, 4, 5, 6)  # letters
 WORD = re.compile(r"[^\W_]+")
 
@@ -157,7 +157,7 @@ def train(docs: DataFrame, grades: DataFrame, sample_rows: int = SAMPLE_ROWS, id
     chosen = text_rows(docs, id_column, text_column).join(F.broadcast(sample), "doc_id")
 
     def featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        maker = Featurizer()
+        maker = held(("featurizer",), Featurizer)
         for batch in batches:
             flat = [f.astype("<i4").tobytes() for f in maker.features(batch.column("text").to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("grade"), pa.array(flat, pa.binary())], names=["doc_id", "grade", "features"])
@@ -172,13 +172,8 @@ def train(docs: DataFrame, grades: DataFrame, sample_rows: int = SAMPLE_ROWS, id
     return (np.frombuffer(model[0]["weights"], np.float32), np.array(model[0]["thresholds"])) if model else None
 
 
-_FEATURIZER: list[Featurizer] = []
-
-
 def _scored(texts: list[str | None], model: tuple[np.ndarray, np.ndarray]) -> list[tuple[float, float]]:
-    if not _FEATURIZER:
-        _FEATURIZER.append(Featurizer())
-    return [predict(f, *model) for f in _FEATURIZER[0].features(texts)]
+    return [predict(f, *model) for f in held(("featurizer",), Featurizer).features(texts)]
 
 
 def score(docs: DataFrame, labels: DataFrame, least: float = LEAST_PROBABILITY, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:

@@ -11,7 +11,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ratescale.llm.common import Ragged, batch_texts, slices, space_chunks, spelled, text_rows
+from ratescale.llm.common import Ragged, batch_texts, held, slices, space_chunks, spelled, text_rows
 
 # Fixed value: the pre-token pattern of byte-level BPE
 PRE_TOKEN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
@@ -28,7 +28,7 @@ def byte_letters() -> list[str]:
 class Merger:
     """Merge ranks of a tokenizer file, and the number of tokens of pre-tokens."""
 
-    def __init__(self, file: str, most: int = 1_500_000):
+    def __init__(self, file: str, most: int = 1_000_000):
         with open(file, encoding="utf-8") as f:
             data = json.load(f)
         vocab, merges = data["model"]["vocab"], data["model"]["merges"]
@@ -137,15 +137,11 @@ class Merger:
         return out
 
 
-_MERGERS: dict[str, Merger] = {}
-
-
 def _counted(file: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if file not in _MERGERS:
-            _MERGERS[file] = Merger(file)
+        merger = held(("merger", file), lambda: Merger(file))
         for batch in batches:
-            n = _MERGERS[file].text_counts(batch_texts(batch))
+            n = merger.text_counts(batch_texts(batch))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_bytes"), pa.array(n)], names=["doc_id", "n_bytes", "n_tokens"])
 
     return run
