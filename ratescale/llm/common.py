@@ -69,6 +69,18 @@ def gather(pool: np.ndarray, starts: np.ndarray, lens: np.ndarray) -> np.ndarray
     return pool[np.arange(total, dtype=np.int64) + np.repeat(starts - (ends - lens), lens)]
 
 
+class Slots(dict):
+    """Numbers of strings in the order of their first look-up; `new` holds those that came since it was last emptied."""
+
+    def __init__(self) -> None:
+        self.new: list[str] = []
+
+    def __missing__(self, key: str) -> int:
+        self.new.append(key)
+        self[key] = n = len(self)
+        return n
+
+
 class Ragged:
     """Strings with an array each, kept up to a number of strings."""
 
@@ -77,12 +89,18 @@ class Ragged:
         self.clear()
 
     def clear(self) -> None:
-        self.index: dict[str, int] = {}
+        self.index = Slots()
         self.starts, self.lens = np.zeros(1024, np.int64), np.zeros(1024, np.int64)
         self.pool, self.used = np.zeros(4096, self.kind), 0
 
     def add(self, keys: list[str], flat: np.ndarray, lens: np.ndarray) -> None:
-        n, m = len(self.index), len(keys)
+        n = len(self.index)
+        self.index.update(zip(keys, range(n, n + len(keys))))
+        self.put(n, flat, lens)
+
+    def put(self, n: int, flat: np.ndarray, lens: np.ndarray) -> None:
+        """The arrays of the strings from number n on."""
+        m = len(lens)
         while n + m > len(self.starts):
             self.starts, self.lens = np.resize(self.starts, 2 * len(self.starts)), np.resize(self.lens, 2 * len(self.lens))
         while self.used + len(flat) > len(self.pool):
@@ -91,13 +109,14 @@ class Ragged:
         self.starts[n:n + m] = self.used + np.cumsum(lens) - lens
         self.lens[n:n + m] = lens
         self.used += len(flat)
-        self.index.update(zip(keys, range(n, n + m)))
 
     def slots(self, keys: list[str]) -> np.ndarray:
         return np.fromiter(map(self.index.__getitem__, keys), np.int64, len(keys))
 
     def get(self, keys: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        slots = self.slots(keys)
+        return self.at(self.slots(keys))
+
+    def at(self, slots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         lens = self.lens[slots]
         return gather(self.pool, self.starts[slots], lens), lens
 
@@ -148,6 +167,10 @@ class TextEncoder:
             self.newline = vocab["Ċ"]
         self.chunks, self.parts = Ragged(chunks), Ragged(parts)
 
+    def plain(self, text: str) -> str:
+        """A text that has the same ids and fewer distinct words: the word files' letters are lower case anyway."""
+        return text.lower() if self.suffix and "<|" not in text and LATIN.fullmatch(text) else text
+
     def _asked(self, parts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)]
 
@@ -181,14 +204,7 @@ class TextEncoder:
             ids = self._asked(hard)
             self.parts.add(hard, np.array([x for one in ids for x in one], np.uint32), np.array([len(one) for one in ids], np.int64))
 
-    def _learn(self, keys: list[str]) -> None:
-        index = self.chunks.index
-        new = list({c for c in keys if c not in index})
-        if not new:
-            return
-        if len(index) + len(new) > self.chunks.most:
-            self.chunks.clear()
-            new = list(set(keys))
+    def _learn(self, new: list[str]) -> None:
         parts = [parts_of(spelled(c)) for c in new]
         flat = list(chain.from_iterable(parts))
         needed = set(flat)
@@ -200,18 +216,22 @@ class TextEncoder:
         ids, lens = self.parts.get(flat)
         sizes = np.fromiter(map(len, parts), np.int64, len(parts))
         ends = np.concatenate(([0], np.cumsum(lens)))[np.concatenate(([0], np.cumsum(sizes)))]
-        self.chunks.add(new, ids, np.diff(ends))
+        self.chunks.put(len(self.chunks.index) - len(new), ids, np.diff(ends))
 
     def encode(self, texts: list[str]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """For slices of the texts: index of the first text, all ids, and the number of ids of each text."""
         for start, end in slices(texts):
-            keys = [space_chunks(t) for t in texts[start:end]]
+            keys = [space_chunks(self.plain(t)) for t in texts[start:end]]
             flat = list(chain.from_iterable(keys))
             found, sizes = [], []
-            for i in range(0, len(flat), 400_000):  # a long text comes in several rounds
-                some = flat[i:i + 400_000]
-                self._learn(some)
-                ids, lens = self.chunks.get(some)
+            for i in range(0, len(flat), 200_000):  # a long text comes in several rounds
+                if len(self.chunks.index) > self.chunks.most:
+                    self.chunks.clear()
+                slots = self.chunks.slots(flat[i:i + 200_000])
+                if new := self.chunks.index.new:
+                    self._learn(new)
+                    self.chunks.index.new = []
+                ids, lens = self.chunks.at(slots)
                 found.append(ids)
                 sizes.append(lens)
             ids, lens = np.concatenate(found), np.concatenate(sizes)
