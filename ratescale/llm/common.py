@@ -5,14 +5,12 @@ from __future__ import annotations
 import json
 import os
 import re
-import unicodedata
 from collections.abc import Callable, Iterable, Iterator
 from itertools import chain
 from typing import TypeVar
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -23,11 +21,10 @@ SLICE_CHARS = 1 << 21
 # every character that Python or the tokenizers' patterns take for white space, but the plain space
 SPACES = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 INNER_SPACE = re.compile(r"(?<=\S) (?=\S)")
-LETTER_RUNS = regex.compile(r"[^\p{L}]*\p{L}+|[^\p{L}]+")
-# letters up to U+00FF; texts without later characters are in NFC
+# texts without later characters than U+00FF are in NFC
 LATIN = re.compile("[\x00-\xff]+")
-LATIN_RUNS = re.compile("[^A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff]*[A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff]+|[^A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff]+")
-ONE_WORD = re.compile(r" ?\S+")
+# a word of Latin letters and the signs after it: the patterns of both file kinds make one token's text of each
+PLAIN_CHUNK = re.compile(r"( ?)([A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff]+)([!-&(-/:;=>?@\[-`{-~]*)")
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -137,86 +134,59 @@ def spelled(chunk: str) -> str:
     return chunk[1:] if chunk[:1] == " " else " " + chunk
 
 
-def parts_of(chunk: str) -> list[str]:
-    """A chunk cut after each run of letters, where both patterns end a token; special strings stay whole."""
-    if LATIN.fullmatch(chunk):
-        return LATIN_RUNS.findall(chunk) if "<|" not in chunk else [chunk]
-    if "<|" in chunk or not unicodedata.is_normalized("NFC", chunk):
-        return [chunk]
-    return LETTER_RUNS.findall(chunk)
+def _byte_characters() -> dict[int, str]:
+    """The character that byte-level files write for each byte: itself where it is printable, else the next one from U+0100 on."""
+    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    hidden = sorted(set(range(256)).difference(shown))
+    return {b: chr(b) for b in shown} | {b: chr(0x100 + i) for i, b in enumerate(hidden)}
 
 
 class TextEncoder:
-    """Ids of whole texts by the tokenizers library, asked once for each distinct piece of text that a worker has in mind.
+    """Ids of whole texts by the tokenizers library, asked once for each chunk of text that a worker has in mind.
 
-    The caches only save time: when one is full it is emptied. File kinds: byte-level BPE, and BPE with word ends.
+    A new chunk goes to the library's model. Where it is a word and signs its cut into tokens' texts is known; otherwise the library's
+    normalizer and pre-tokenizer cut it, and chunks that may hold special strings go through the whole library.
+    The cache only saves time: when it is full it is emptied. File kinds: byte-level BPE, and BPE with word ends.
     """
 
-    def __init__(self, file: str, chunks: int = 600_000, parts: int = 900_000):
+    def __init__(self, file: str, chunks: int = 800_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(file)
+        self.model, self.normalizer, self.pre_tokenizer = self.tokenizer.model, self.tokenizer.normalizer, self.tokenizer.pre_tokenizer
         with open(file, encoding="utf-8") as f:
-            model = json.load(f)["model"]
-        self.suffix = model.get("end_of_word_suffix")
-        vocab = self.tokenizer.get_vocab(with_added_tokens=True)
-        if self.suffix:
-            self.ends = np.zeros(max(vocab.values()) + 1, bool)
-            self.ends[[i for t, i in vocab.items() if t.endswith(self.suffix)]] = True
-        else:
-            self.newline = vocab["Ċ"]
-        self.chunks, self.parts = Ragged(chunks), Ragged(parts)
+            self.word_ends = bool(json.load(f)["model"].get("end_of_word_suffix"))
+        self.shown = _byte_characters()
+        self.chunks = Ragged(chunks)
 
     def plain(self, text: str) -> str:
-        """A text that has the same ids and fewer distinct words: the word files' letters are lower case anyway."""
-        return text.lower() if self.suffix and "<|" not in text and LATIN.fullmatch(text) else text
-
-    def _asked(self, parts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)]
-
-    def _joined(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray] | None:
-        """Many one-word parts in one call; None if the parts can't be told apart in the answer."""
-        glue = " " if self.suffix else "\n"
-        ids = np.array(self._asked([glue.join(parts)])[0], np.uint32)
-        ends = np.flatnonzero(self.ends[ids] if self.suffix else ids == self.newline)
-        if self.suffix:
-            if len(ends) != len(parts) or ends[-1] != len(ids) - 1:
-                return None
-            return ids, np.diff(ends, prepend=-1)
-        if len(ends) != len(parts) - 1:
-            return None
-        return np.delete(ids, ends), np.diff(ends, prepend=-1, append=len(ids)) - 1
-
-    def _learn_parts(self, new: list[str]) -> None:
-        if len(self.parts.index) + len(new) > self.parts.most:
-            self.parts.clear()
-        plain = (lambda p: p.strip(" ").isalpha()) if self.suffix else ONE_WORD.fullmatch
-        easy, hard = [], []
-        for p in new:
-            (easy if "<|" not in p and plain(p) else hard).append(p)
-        for i in range(0, len(easy), 2000):
-            some = easy[i:i + 2000]
-            if (found := self._joined(some)) is None:
-                hard += some
-            else:
-                self.parts.add(some, *found)
-        if hard:
-            ids = self._asked(hard)
-            self.parts.add(hard, np.array([x for one in ids for x in one], np.uint32), np.array([len(one) for one in ids], np.int64))
+        """A text that has the same ids and fewer distinct words: the files with word ends have lower-case letters anyway."""
+        return text.lower() if self.word_ends and "<|" not in text and LATIN.fullmatch(text) else text
+
+    def _tokens_texts(self, text: str) -> list[str]:
+        """What the library's model gets to see of a text without special strings."""
+        if found := PLAIN_CHUNK.fullmatch(text):
+            space, word, signs = found.groups()
+            if self.word_ends:
+                space, word = "", word.lower()
+            elif space:
+                space = self.shown[32]
+            if not word.isascii():
+                word = word.encode().decode("latin-1").translate(self.shown)
+            return [space + word, signs] if signs else [space + word]
+        if self.normalizer is not None:
+            text = self.normalizer.normalize_str(text)
+        return [t for t, _ in self.pre_tokenizer.pre_tokenize_str(text)]
+
+    def _ids(self, text: str) -> list[int]:
+        if "<|" in text:
+            return self.tokenizer.encode(text, add_special_tokens=False).ids
+        return [token.id for t in self._tokens_texts(text) for token in self.model.tokenize(t)]
 
     def _learn(self, new: list[str]) -> None:
-        parts = [parts_of(spelled(c)) for c in new]
-        flat = list(chain.from_iterable(parts))
-        needed = set(flat)
-        missing = list(needed.difference(self.parts.index))
-        if len(self.parts.index) + len(missing) > self.parts.most:
-            missing = list(needed)
-        if missing:
-            self._learn_parts(missing)
-        ids, lens = self.parts.get(flat)
-        sizes = np.fromiter(map(len, parts), np.int64, len(parts))
-        ends = np.concatenate(([0], np.cumsum(lens)))[np.concatenate(([0], np.cumsum(sizes)))]
-        self.chunks.put(len(self.chunks.index) - len(new), ids, np.diff(ends))
+        ids = [self._ids(spelled(c)) for c in new]
+        lens = np.fromiter(map(len, ids), np.int64, len(ids))
+        self.chunks.put(len(self.chunks.index) - len(new), np.fromiter(chain.from_iterable(ids), np.uint32, int(lens.sum())), lens)
 
     def encode(self, texts: list[str]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """For slices of the texts: index of the first text, all ids, and the number of ids of each text."""
