@@ -229,29 +229,30 @@ def boot_sql(source, slices, key, x, y, n, seed=42):
 
 
 KEY = ["attribute", "person_term"]
+REPLICATES = 1000
 
 
-@query("b1_pearson_bootstrap", "predictions", f"""WITH {boot_sql('predictions', ['source'], KEY, 'predicted', 'true_rating', 100)},
+@query("b1_pearson_bootstrap", "predictions", f"""WITH {boot_sql('predictions', ['source'], KEY, 'predicted', 'true_rating', REPLICATES)},
  pt AS (SELECT source, count(*) AS n, corr(predicted, true_rating) AS r FROM predictions GROUP BY 1)
 SELECT pt.*, r_lo, r_hi FROM pt JOIN (SELECT source, quantile_cont(r, 0.025) AS r_lo, quantile_cont(r, 0.975) AS r_hi FROM st GROUP BY 1) USING (source)""", num="r r_lo r_hi", ints="n")
 def _(t):
-    return resample.bootstrap(t.predictions, "predicted", "true_rating", ["source"], KEY, 100).select("source", "n", "r", "r_lo", "r_hi")
+    return resample.bootstrap(t.predictions, "predicted", "true_rating", ["source"], KEY, REPLICATES).select("source", "n", "r", "r_lo", "r_hi")
 
 
-@query("b2_joint_bootstrap", "predictions", f"""WITH {boot_sql('predictions', ['person_term', 'source'], KEY, 'predicted', 'true_rating', 100)},
+@query("b2_joint_bootstrap", "predictions", f"""WITH {boot_sql('predictions', ['person_term', 'source'], KEY, 'predicted', 'true_rating', REPLICATES)},
  pt AS (SELECT person_term, source, count(*) AS n, corr(predicted, true_rating) AS r, sqrt(avg((predicted-true_rating)*(predicted-true_rating))) AS rmse FROM predictions GROUP BY 1, 2)
 SELECT pt.*, r_lo, r_hi, rmse_lo, rmse_hi FROM pt JOIN (SELECT person_term, source, quantile_cont(r, 0.025) AS r_lo, quantile_cont(r, 0.975) AS r_hi, quantile_cont(rmse, 0.025) AS rmse_lo, quantile_cont(rmse, 0.975) AS rmse_hi FROM st GROUP BY 1, 2) USING (person_term, source)""",
        num="r rmse r_lo r_hi rmse_lo rmse_hi", ints="n")
 def _(t):
-    return resample.bootstrap(t.predictions, "predicted", "true_rating", ["person_term", "source"], KEY, 100)
+    return resample.bootstrap(t.predictions, "predicted", "true_rating", ["person_term", "source"], KEY, REPLICATES)
 
 
-@query("b3_mean_term_bootstrap", "predictions", f"""WITH {boot_sql('predictions', ['source', 'person_term'], KEY, 'predicted', 'true_rating', 100)},
+@query("b3_mean_term_bootstrap", "predictions", f"""WITH {boot_sql('predictions', ['source', 'person_term'], KEY, 'predicted', 'true_rating', REPLICATES)},
  pt AS (SELECT source, avg(r) AS mean_r, count(r) AS v FROM (SELECT source, person_term, corr(predicted, true_rating) AS r FROM predictions GROUP BY 1, 2) q GROUP BY 1),
  mr AS (SELECT source, rep, avg(r) AS m, count(r) AS got FROM st GROUP BY 1, 2), ok AS (SELECT mr.* FROM mr JOIN pt USING (source) WHERE got = v)
 SELECT source, mean_r, quantile_cont(m, 0.025) AS mean_r_lo, quantile_cont(m, 0.975) AS mean_r_hi, count(*) AS n_reps FROM pt JOIN ok USING (source) GROUP BY 1, 2""", num="mean_r mean_r_lo mean_r_hi", ints="n_reps")
 def _(t):
-    return resample.bootstrap_mean_over(t.predictions, "predicted", "true_rating", ["source"], "person_term", KEY, 100)
+    return resample.bootstrap_mean_over(t.predictions, "predicted", "true_rating", ["source"], "person_term", KEY, REPLICATES)
 
 
 CI_LONG = f"""{PARSED}, {LONG}, m1 AS (SELECT * FROM long WHERE method = 'method1'), sl AS (SELECT model, dataset, attribute, person_term, p, y, 'overall' AS slice FROM m1

@@ -94,21 +94,25 @@ def _(t):
     return tidy(t)
 
 
-@query("a43_summary_rows", "runs", f"""WITH {STATS} SELECT model, {', '.join(f"max(CASE WHEN category = '{c}' AND metric = '{m}' THEN mean END) AS {m}_{n}" for c, n in (('mean', 'mean'), ('woman', 'woman'), ('man', 'man'), ('nonbinary person', 'nonbinary')) for m in ('corr', 'rmse'))} FROM st WHERE config = 'cfg1' GROUP BY 1""", num=" ".join(COLS))
+K4 =f"WITH {FOLD}, w AS {wide_sql('ts', 'model, config, fold')}, f AS (SELECT model, config, {AVGS}, stddev_samp(corr_mean) AS corr_mean_std, count(*) AS n_folds FROM w GROUP BY 1, 2)"
+
+
+@query("k4_best_config", "runs", f"{K4} SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY model ORDER BY round(corr_mean, 12) DESC, config) AS rn FROM f) q WHERE rn = 1", num=" ".join(COLS) + " corr_mean_std", ints="n_folds")
 def _(t):
-    s = runs.seed_statistics(t.runs.filter("config = 'cfg1'"), ["model", "config", "category"], ["rmse", "corr"])
-    return runs.summary_row(s)
+    return runs.best_config(tidy(t))
 
 
-K4 = f"WITH {FOLD}, w AS {wide_sql('ts', 'model, config, fold')}, f AS (SELECT model, config, {AVGS}, stddev_samp(corr_mean) AS corr_mean_std, count(*) AS n_folds FROM w GROUP BY 1, 2)"
+BEST = "best AS (SELECT model, config FROM (SELECT *, row_number() OVER (PARTITION BY model ORDER BY round(corr_mean, 12) DESC, config) AS rn FROM f) q WHERE rn = 1)"
 
 
-@query("k4_best_config", "runs", f"{K4} SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY model ORDER BY round(corr_mean, 12) DESC, config) AS rn FROM f) q WHERE rn = 1", num=" ".join(COLS) + " corr_mean_std", ints="n_folds")
+@query("a43_summary_rows", "runs", f"""{K4}, {BEST}, {STATS} SELECT model, {', '.join(f"max(CASE WHEN category = '{c}' AND metric = '{m}' THEN mean END) AS {m}_{n}" for c, n in (('mean', 'mean'), ('woman', 'woman'), ('man', 'man'), ('nonbinary person', 'nonbinary')) for m in ('corr', 'rmse'))} FROM st JOIN best USING (model, config) GROUP BY 1""", num=" ".join(COLS))
 def _(t):
-    return runs.best_config(tidy(t))
+    # the best configuration of each model
+    s = runs.seed_statistics(t.runs, ["model", "config", "category"], ["rmse", "corr"])
+    return runs.summary_row(s.join(runs.best_config(tidy(t)).select("model", "config"), ["model", "config"]))
 
 
-@query("k4_best_direct", "runs", f"WITH w AS {wide_sql('runs', 'model, config, fold, seed')} SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY model ORDER BY round(corr_mean, 12) DESC, config, fold, seed) AS rn FROM w) q WHERE rn = 1", num=" ".join(COLS), ints="fold seed")
+@query("k4_best_direct", "runs",f"WITH w AS {wide_sql('runs', 'model, config, fold, seed')} SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY model ORDER BY round(corr_mean, 12) DESC, config, fold, seed) AS rn FROM w) q WHERE rn = 1", num=" ".join(COLS), ints="fold seed")
 def _(t):
     return runs.best_direct(tidy(t))
 

@@ -50,15 +50,10 @@ def _(t):
     return deid.deidentify({"a": t.participants_a, "b": t.participants_b})[0]["a"]
 
 
-KNOWN_MAP = MAP.replace("FROM participants_b) x", "FROM participants_b WHERE prolific_id IN (SELECT prolific_id FROM participants_a)) x")
-
-
-# small data holds keys nobody can resolve, which the job refuses; they are left out here
-@query("d3_pseudonymous_b", "participants_a participants_b", f"""WITH {KNOWN_MAP}, {KEYS} SELECT p.pseudonym AS prolific_id, s.pseudonym AS submission_id FROM participants_b b JOIN k USING (parent_key) JOIN m p ON p.id_column = 'prolific_id' AND p.original = b.prolific_id
+@query("d3_pseudonymous_b", "participants_a participants_b", f"""WITH {MAP}, {KEYS}SELECT p.pseudonym AS prolific_id, s.pseudonym AS submission_id FROM participants_b b JOIN k USING (parent_key) JOIN m p ON p.id_column = 'prolific_id' AND p.original = b.prolific_id
 JOIN m s ON s.id_column = 'submission_id' AND s.original = k.submission_id""")
 def _(t):
-    known = t.participants_b.join(t.participants_a.select("prolific_id").distinct(), "prolific_id", "left_semi")
-    return deid.deidentify({"a": t.participants_a, "b": known})[0]["b"].select("prolific_id", "submission_id")
+    return deid.deidentify({"a": t.participants_a, "b": t.participants_b})[0]["b"].select("prolific_id", "submission_id")
 
 
 @query("d3_change_report", "participants_a participants_b", """SELECT 'a' AS table_name, 'prolific_id' AS column_name, 'pseudonymise' AS action, count(DISTINCT prolific_id) AS n FROM participants_a UNION ALL SELECT 'a', 'submission_id', 'pseudonymise', count(DISTINCT submission_id) FROM participants_a

@@ -1,8 +1,8 @@
 """Batch scoring of distinct items with a pluggable scorer, resume and join back.
 
 A scorer is a function from a pandas frame of one Arrow batch to a frame with the columns of `SCORES`, or a
-Column expression. Spark partitions the work; a failing batch is tried row by row, and a failing row becomes
-a row with an error text, so one bad input never fails the job.
+Column expression. Spark partitions the work; a failing batch is halved until the failing rows are alone, and a
+failing row becomes a row with an error text, so one bad input never fails the job and no answered row is asked again.
 """
 
 from __future__ import annotations
@@ -40,29 +40,30 @@ def score_batches(pairs: DataFrame, scorer: Scorer, retries: int = 1, tasks: int
     names = list(pairs.columns)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pairs.schema.fields) + f", {SCORES}, error string"
 
-    def attempt(batch: pd.DataFrame) -> pd.DataFrame:
-        out = scorer(batch)
-        return batch.assign(predicted_rating=out["predicted_rating"].to_numpy(), generation=out["generation"].to_numpy(), error=None)
-
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            try:
-                yield attempt(batch)
-                continue
-            except Exception:  # noqa: BLE001 - any scorer failure is isolated below
-                pass
-            rows = []
-            for i in range(len(batch)):
-                one, error = batch.iloc[i : i + 1], ""
-                for _ in range(retries + 1):
+            ratings, texts, errors = [None] * len(batch), [None] * len(batch), [None] * len(batch)
+            parts = [(0, len(batch))]
+            while parts:
+                start, end = parts.pop()
+                one = end - start == 1
+                for _ in range(retries + 1 if one else 1):
                     try:
-                        rows.append(attempt(one))
+                        out = scorer(batch.iloc[start:end])
+                        if len(out) != end - start:
+                            raise ValueError(f"{len(out)} answers to {end - start} rows")
+                        ratings[start:end], texts[start:end], errors[start:end] = out["predicted_rating"].tolist(), out["generation"].tolist(), [None] * len(out)
                         break
-                    except Exception as e:  # noqa: BLE001
+                    except Exception as e:  # noqa: BLE001 - any scorer failure is isolated
                         error = f"{type(e).__name__}: {e}"
+                        if one:
+                            texts[start], errors[start] = f"{ERROR_PREFIX}: {error}", error
                 else:
-                    rows.append(one.assign(predicted_rating=None, generation=f"{ERROR_PREFIX}: {error}", error=error))
-            yield pd.concat(rows, ignore_index=True)
+                    if not one:  # none of these rows has an answer yet
+                        middle = (start + end) // 2
+                        parts += [(middle, end), (start, middle)]
+            values = {"predicted_rating": (ratings, "float64"), "generation": (texts, object), "error": (errors, object)}
+            yield batch.assign(**{name: pd.Series(v, index=batch.index, dtype=kind) for name, (v, kind) in values.items()})
 
     return pairs.mapInPandas(run, schema).select(*names, "predicted_rating", "generation", "error")
 

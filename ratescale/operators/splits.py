@@ -6,8 +6,9 @@ totals and one bucket's window.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -115,16 +116,23 @@ def fold_groups(rows: DataFrame, k: int, seed: int = 42, group: str = "attribute
     if k < 2:
         raise ValueError("k must be at least 2")
     sizes = group_sizes(rows, group, seed)
-    classes = sizes.groupBy("size").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("size")).collect()
-    loads, plan = [0] * k, []
-    for c in classes:
-        start = 0
-        for fold, n in enumerate(_fill(loads, c["size"], c["n"])):
-            if n:
-                plan.append((c["size"], fold + 1, start, start + n))
-                start += n
-                loads[fold] += n * c["size"]
-    table = rows.sparkSession.createDataFrame(plan, "size long, fold int, lo long, hi long")
+    classes = sizes.groupBy("size").agg(F.count(F.lit(1)).alias("n"))
+
+    def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        loads = [0] * k
+        for batch in batches:
+            plan = []
+            for size, count in zip(batch["size"].tolist(), batch["n"].tolist()):
+                start = 0
+                for fold, n in enumerate(_fill(loads, size, count)):
+                    if n:
+                        plan.append((size, fold + 1, start, start + n))
+                        start += n
+                        loads[fold] += n * size
+            yield pd.DataFrame(plan, columns=["size", "fold", "lo", "hi"])
+
+    # every placement depends on those before it, so one task streams through the sizes; it keeps the k loads only
+    table = classes.repartition(1).sortWithinPartitions(F.desc("size")).mapInPandas(deal, "size long, fold int, lo long, hi long")
     ranked = hash_prefix(sizes.withColumn("_one", F.lit(1)), "_one", "h", [group], within=["size"])
     dealt = ranked.join(F.broadcast(table), "size").filter((F.col("_before") >= F.col("lo")) & (F.col("_before") < F.col("hi")))
     return dealt.select(group, "size", "fold")

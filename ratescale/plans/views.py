@@ -41,7 +41,7 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
     "predictions": (
         ("items",),
         """SELECT attribute, person_term, source, CAST(1.6 + 0.8*(k % 7) AS DOUBLE) AS predicted, avg_rating AS true_rating
- FROM items WHERE k % 3 = 0 OR k % 5 = 0""",
+ FROM items""",
     ),
     "annotations": (
         (),
@@ -67,12 +67,13 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
     ),
     "participants_a": (
         (),
-        """SELECT md5('p' || CAST(user_id % 50 AS STRING)) AS prolific_id, md5('s' || CAST(user_id % 50 AS STRING)) AS submission_id,
- event_type AS comments, value AS rating FROM events""",
+        """SELECT md5('p' || CAST(user_id AS STRING)) AS prolific_id, md5('s' || CAST(user_id AS STRING)) AS submission_id,
+ event_type AS comments, value AS rating FROM events
+ UNION ALL SELECT md5('p' || CAST(conv_id AS STRING)), md5('s' || CAST(conv_id AS STRING)), role, CAST(turn AS DOUBLE) FROM conversations""",
     ),
     "participants_b": (
         (),
-        """SELECT 'key' || CAST(conv_id % 50 AS STRING) AS parent_key, md5('p' || CAST(conv_id % 50 AS STRING)) AS prolific_id,
+        """SELECT 'key' || CAST(conv_id AS STRING) AS parent_key, md5('p' || CAST(conv_id AS STRING)) AS prolific_id,
  text AS comments FROM conversations""",
     ),
 }
