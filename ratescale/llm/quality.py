@@ -59,7 +59,7 @@ class Featurizer:
         return self._hash(kind, str(int(value)))
 
     def _learn(self, chunks: set[str]) -> None:
-        new = list(chunks.difference(self.known.index))
+        new = [c for c in chunks if c not in self.known.index]  # set.difference would walk the whole index
         if len(self.known.index) + len(new) > self.known.most:
             self.known.clear()
             new = list(chunks)

@@ -94,7 +94,7 @@ class Merger:
 
     def _learn(self, keys: list[str]) -> None:
         wanted = set(keys)
-        new = list(wanted.difference(self.known.index))
+        new = [c for c in wanted if c not in self.known.index]  # set.difference would walk the whole index
         if len(self.known.index) + len(new) > self.known.most:
             self.known.clear()
             new = list(wanted)
