@@ -106,7 +106,7 @@ class Merger:
                 extra[i] = len(self.cut.findall(chunk))
                 for text in self.cut.split(chunk):
                     words += PRE_TOKEN.findall(text)
-            elif chunk[1:].isalpha() and chunk.isascii():
+            elif chunk.isascii() and chunk[1:].isalpha() and (chunk[0] == " " or chunk[0].isalpha()):  # a sign or digit before a word is cut off
                 words.append(chunk)
             else:
                 words += PRE_TOKEN.findall(chunk)

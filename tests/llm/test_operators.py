@@ -70,6 +70,11 @@ def test_token_counts(request, which):
     assert rows(token_counts.count_tokens(df, BYTE_BPE), "doc_id", "n_bytes", "n_tokens", "over_limit") == sorted(want, key=str)
 
 
+def test_texts_that_begin_with_a_sign():
+    some = ["'those days", "'several", "'those", "'tis", "'s", "'Those", "3several", "_those", "-those", "those", "a", "'", ""]
+    assert token_counts.Merger(BYTE_BPE).text_counts(some).tolist() == [len(ids_of(BYTE_BPE, t)) for t in some]
+
+
 @pytest.mark.parametrize("which", ["docs", "awkward", "empty"])
 def test_token_files(request, which):
     df = request.getfixturevalue(which)
