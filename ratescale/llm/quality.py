@@ -23,12 +23,18 @@ LEAST_PROBABILITY = 0.7
 LEAST_SHARE = 0.001  # a feature of a smaller share of the sample (or of under LEAST_ROWS rows) has no weight
 LEAST_ROWS = 3
 KNOWN_WORDS = 300_000
+KNOWN_FEATURES = 8_000_000
 BEGINNINGS = (3, 4, 5, 6)  # letters
+GRAMS = (2, 3)  # letters, anywhere in a run of letters that is no single word
+LONG_RUN = 24  # letters; what is longer counts as such a run
 WORD = re.compile(r"[^\W_]+")
+# letters of scripts that put no space between words: Thai, Lao, Tibetan, Burmese, Khmer, kana and Chinese characters
+UNSPACED = re.compile("[\u0e00-\u109f\u1780-\u17ff\u1950-\u19df\u1a20-\u1aad\u3040-\u30ff\u31f0-\u31ff\u3400-\u9fff\uf900-\ufaff\uff66-\uff9d\U00020000-\U0003ffff]")
 
 
 class Featurizer:
-    """Numbers of the hashed features of texts: beginnings of words, each once, the signs around words, and steps of the shape."""
+    """Numbers of the hashed features of texts, each once: whole words and their beginnings, pieces of long runs of letters and of runs
+    in scripts without spaces, the signs around words, and steps of the shape."""
 
     def __init__(self, bits: int = FEATURE_BITS):
         self.mask = (1 << bits) - 1
@@ -45,14 +51,21 @@ class Featurizer:
         self.heads[head] = out = tuple(self._hash("begins", head[:n]) for n in BEGINNINGS if n <= len(head))
         return out
 
+    def _word(self, word: str) -> tuple[int, ...]:
+        """Features of a run of letters or of signs: its beginnings, the whole, and all its pieces if it may hold several words."""
+        head = word[:BEGINNINGS[-1]]
+        out = (self.heads.get(head) or self._head(head)) + (self._hash("whole", word),)
+        if len(word) > LONG_RUN or UNSPACED.search(word):
+            out += tuple({self._hash("piece", word[i:i + n]) for n in GRAMS for i in range(len(word) - n + 1)})
+        return out
+
     def _chunk(self, chunk: str) -> tuple[int, ...]:
-        low, most = chunk.lower(), BEGINNINGS[-1]
+        low = chunk.lower()
         if low.isalpha():
-            return self.heads.get(low[:most]) or self._head(low[:most])
-        signs = WORD.sub("a", low)[:most]
-        out = self.heads.get(" " + signs) or self._head(" " + signs)
+            return self._word(low)
+        out = self._word(" " + WORD.sub("a", low))
         for w in WORD.findall(low):
-            out += self.heads.get(w[:most]) or self._head(w[:most])
+            out += self._word(w)
         return out
 
     def _step(self, kind: str, value: float) -> int:
@@ -60,7 +73,7 @@ class Featurizer:
 
     def _learn(self, chunks: set[str]) -> None:
         new = [c for c in chunks if c not in self.known.index]  # set.difference would walk the whole index
-        if len(self.known.index) + len(new) > self.known.most:
+        if len(self.known.index) + len(new) > self.known.most or self.known.used > KNOWN_FEATURES:
             self.known.clear()
             new = list(chunks)
         found = list(map(self._chunk, new))

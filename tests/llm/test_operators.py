@@ -381,6 +381,22 @@ def test_held_out_grades():
     assert (kept == (grades[600:] == 2)).mean() > 0.95
 
 
+def test_all_letters_reach_the_model():
+    one = lambda text: set(next(quality.Featurizer().features([text])).tolist())
+    for a, b in (("international", "interior"), ("internally", "internals"), ("of", "it"), ("文字が続く長い句の悪い語", "文字が続く長い句の良い語"), ("a" * 40 + "bad", "a" * 40 + "fine"), ("'a-b.c/d:e", "'a-b.c/d:;")):
+        assert one(a) != one(b)
+    rng = np.random.default_rng(1)
+    texts_, grades = [], np.arange(1500) % 3
+    for grade in grades:  # words in the middle of clauses without spaces
+        some = ["".join(map(chr, rng.integers(0x4E00, 0x4E40, 24))) for _ in range(8)]
+        some[0] = some[0][:12] + ["醜悪", "毒舌", "優秀"][grade] + some[0][12:]
+        texts_.append("。".join(some))
+    features = list(quality.Featurizer().features(texts_))
+    model = quality.fit(features[:1000], grades[:1000])
+    kept = np.array([quality.predict(f, *model)[1] >= 0.5 for f in features[1000:]])
+    assert (kept == (grades[1000:] == 2)).mean() > 0.95
+
+
 def test_quality_on_awkward_rows(spark, awkward, empty):
     labels = spark.createDataFrame([(1, 1, 0), (1, 0, 0), (None, 1, 0), (3, None, 1), (6, 1, 0), (7, 1, 1)], "doc_id long, quality int, toxic int")
     assert quality.score(awkward, labels).count() == len(AWKWARD)
