@@ -10,7 +10,8 @@ from __future__ import annotations
 import hashlib
 import re
 import zlib
-from collections.abc import Iterator
+from bisect import bisect_right
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -84,7 +85,8 @@ def spelled_spans(spans: list[Span]) -> str:
 
 LONGEST = 6  # tokens of an entity
 CONTEXT = 3  # tokens kept on either side of a passage's candidates
-PASSAGE = 64  # tokens of a passage; a longer stretch is cut
+PASSAGE = 64  # tokens of a passage of the fit; a longer stretch is cut
+EDGE = 80  # characters on either side of a candidate
 FEATURE_BITS = 14
 LABELS = ("none", *KINDS)
 SAMPLE_PASSAGES = 3000
@@ -92,6 +94,7 @@ EPOCHS, BATCH, RATE, DECAY = 6, 32, 0.2, 1e-3
 MARGIN = 3.0  # log odds that an added span needs against none
 TOKEN = re.compile(r"\S+")
 CANDIDATE = re.compile(r"[0-9@]")
+SPACE = re.compile(r"\s")
 TRIM = ".,;:!?\"'<>[]{}|"
 
 
@@ -108,7 +111,7 @@ def tokens_of(text: str) -> list[tuple[int, int]]:
 
 
 def passages(text: str) -> Iterator[list[tuple[int, int]]]:
-    """Stretches of tokens around those with a digit or an @, in any text of whatever length."""
+    """Passages for the fit: stretches of tokens around those with a digit or an @, cut to bounded lengths."""
     if not CANDIDATE.search(text):
         return
     at, last = -1, len(text)
@@ -143,6 +146,53 @@ def _cut_passage(text: str, first: int, last: int) -> Iterator[list[tuple[int, i
         yield found[i:i + PASSAGE]
 
 
+def stretches(text: str) -> Iterator[list[tuple[int, int]]]:
+    """All tokens around those with a digit or an @, of whatever number: a stretch ends only where there is none for 160 characters."""
+
+    def around(first: int, floor: int, last: int) -> list[tuple[int, int]]:
+        while first > floor and not text[first].isspace() and not text[first - 1].isspace():
+            first -= 1
+        found = [(a + first, b + first) for a, b in tokens_of(text[first:last])]
+        marked = [i for i, (a, b) in enumerate(found) if CANDIDATE.search(text, a, b)]
+        return found[max(0, marked[0] - CONTEXT):marked[-1] + CONTEXT + 1] if marked else []
+
+    first, floor, last = -1, 0, 0
+    for m in CANDIDATE.finditer(text):
+        begin = max(0, m.start() - EDGE)
+        if first < 0:
+            first = begin
+        elif begin > last:
+            space = SPACE.search(text, last)
+            last = space.start() if space else len(text)  # the end of its word
+            if begin > last:
+                if found := around(first, floor, last):
+                    yield found
+                first, floor = begin, last
+        last = max(last, min(len(text), m.end() + EDGE))
+    if first >= 0:
+        space = SPACE.search(text, last)
+        if found := around(first, floor, space.start() if space else len(text)):
+            yield found
+
+
+class Taken:
+    """Whether a span overlaps one of the given ones."""
+
+    def __init__(self, spans: list[Span]):
+        self.starts: list[int] = []
+        self.ends: list[int] = []
+        for a, b in sorted((a, b) for _, a, b in spans):
+            if self.ends and a <= self.ends[-1]:
+                self.ends[-1] = max(self.ends[-1], b)
+            else:
+                self.starts.append(a)
+                self.ends.append(b)
+
+    def meet(self, a: int, b: int) -> bool:
+        k = bisect_right(self.ends, a)
+        return k < len(self.ends) and self.starts[k] < b
+
+
 def _shape(word: str) -> str:
     """Runs of digits with their length, letters as a, other signs as they are."""
     return re.sub(r"[0-9]+", lambda m: f"9{min(len(m[0]), 6)}", re.sub(r"[^\W\d_]+", "a", word))[:24]
@@ -177,32 +227,30 @@ class Field:
         self.mask = (1 << FEATURE_BITS) - 1
 
     def lattice(self, text: str, tokens: list[tuple[int, int]]) -> list[tuple[int, int, np.ndarray]]:
+        return list(self.segments(text, tokens))
+
+    def segments(self, text: str, tokens: list[tuple[int, int]]) -> Iterator[tuple[int, int, np.ndarray]]:
         """Segments (i, j, features). Segments of several tokens, and labels other than none, begin and end at a token that can belong to an entity."""
         marked = [bool(CANDIDATE.search(text, a, b)) or text[a] in "+(" for a, b in tokens]
-        out = []
         for i in range(len(tokens)):
             for j in range(i + 1, min(len(tokens), i + LONGEST) + 1):
                 if j > i + 1 and not (marked[i] and marked[j - 1]):
                     continue
                 names = segment_features(text, tokens, i, j) if marked[i] and marked[j - 1] else ["plain"]
-                out.append((i, j, np.array([zlib.crc32(f.encode()) & self.mask for f in names])))
-        return out
+                yield i, j, np.array([zlib.crc32(f.encode()) & self.mask for f in names])
 
-    def scores(self, lattice: list[tuple[int, int, np.ndarray]]) -> list[np.ndarray]:
+    def score(self, i: int, j: int, f: np.ndarray) -> np.ndarray:
         """Score of each label; a segment of several tokens is never none, a plain token nothing else."""
-        out = []
-        for i, j, f in lattice:
-            s = self.weights[:, f].sum(axis=1)
-            if j > i + 1:
-                s[0] = -np.inf
-            elif len(f) == 1:
-                s = np.array([0.0] + [-np.inf] * len(KINDS))
-            out.append(s)
-        return out
+        if j == i + 1 and len(f) == 1:
+            return np.array([0.0] + [-np.inf] * len(KINDS))
+        s = self.weights[:, f].sum(axis=1)
+        if j > i + 1:
+            s[0] = -np.inf
+        return s
 
     def gradient(self, lattice: list, gold: dict[tuple[int, int], int], n: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """(features, gradient of the log likelihood by label) of each segment that matters."""
-        scores = self.scores(lattice)
+        scores = [self.score(*segment) for segment in lattice]
         ahead, back = np.full(n + 1, -np.inf), np.full(n + 1, -np.inf)
         ahead[0] = back[n] = 0.0
         sums = [np.logaddexp.reduce(s) for s in scores]
@@ -217,11 +265,12 @@ class Field:
                     g[gold[i, j]] += 1
                 yield f, g
 
-    def best(self, lattice: list, n: int) -> list[tuple[int, int, int]]:
+    def best(self, lattice: Iterable[tuple[int, int, np.ndarray]], n: int) -> list[tuple[int, int, int]]:
         """Segments with a kind, of the best segmentation, whose score beats none by the margin."""
         top, how = np.full(n + 1, -np.inf), [(0, 0)] * (n + 1)
         top[0] = 0.0
-        for (i, j, f), s in zip(lattice, self.scores(lattice)):
+        for i, j, f in lattice:
+            s = self.score(i, j, f)
             label = int(np.argmax(s))
             # an entity has to beat its tokens as plain ones by the margin, or it is not worth a change
             value = top[i] + s[label] - (MARGIN if label else 0.0)
@@ -318,18 +367,16 @@ def train(docs: DataFrame, sample_passages: int = SAMPLE_PASSAGES, text_column:
 def added_spans(text: str, base: list[Span], field: Field) -> list[Span]:
     """Spans of the field's best segmentations that touch no base span."""
     out: list[Span] = []
-    taken = sorted((a, b) for _, a, b in base)
-    for tokens in passages(text):
-        free = [not any(a < y and b > x for x, y in taken) and bool(CANDIDATE.search(text, a, b)) for a, b in tokens] if taken else [bool(CANDIDATE.search(text, a, b)) for a, b in tokens]
-        # an entity has seven digits or an @; passages without so many outside the base spans hold none
-        rest = "".join(text[a:b] for (a, b), f in zip(tokens, free) if f)
+    taken = Taken(base)
+    for tokens in stretches(text):
+        # an entity has seven digits or an @; stretches without so many outside the base spans hold none
+        rest = "".join(text[a:b] for a, b in tokens if CANDIDATE.search(text, a, b) and not taken.meet(a, b))
         if "@" not in rest and len(DIGIT.findall(rest)) < 7:
             continue
-        for i, j, label in field.best(field.lattice(text, tokens), len(tokens)):
+        for i, j, label in field.best(field.segments(text, tokens), len(tokens)):
             a, b = tokens[i][0], tokens[j - 1][1]
-            if not any(a < y and b > x for x, y in taken):
+            if not taken.meet(a, b):
                 out.append((LABELS[label], a, b))
-                taken.append((a, b))
     return out
 
 

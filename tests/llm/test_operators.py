@@ -325,6 +325,30 @@ def test_the_field_adds_what_the_patterns_miss():
     assert [personal_data.LABELS[label] for _, _, label in found] == ["email", "ip"]
 
 
+def field_of(texts_and_entities):
+    """A field fitted on texts with the entities (kind, words) that they hold."""
+    samples = []
+    for text, kind, word in texts_and_entities:
+        tokens = personal_data.tokens_of(text)
+        spans = [(kind, m.start(), m.end()) for m in re.finditer(re.escape(word), text)]
+        samples.append((text, tokens, personal_data.gold_segments(tokens, spans)))
+    return personal_data.Field(personal_data.fit(samples))
+
+
+def test_no_entity_lies_on_a_cut():
+    rng = np.random.default_rng(0)
+    number = lambda: f"{rng.integers(200, 999)} {rng.integers(200, 999)} {rng.integers(2000, 9999)}"
+    field = field_of([("; ".join([*(["call 12 now"] * (k % 2)), n, n, n]), "phone", n) for k in range(400) for n in [number()]])
+    for ahead in range(3):
+        numbers = [number() for _ in range(80)]
+        text = "; ".join(["call 12 now"] * ahead + numbers)
+        found = [text[a:b] for kind, a, b in personal_data.added_spans(text, [], field) if kind == "phone"]
+        assert found == numbers, ahead
+    for gap in range(0, 400, 7):  # of words without a digit
+        text = "555 123 4567 " + "word " * (gap // 5) + "x" * (gap % 5) + " 555 123 4568"
+        assert [text[a:b] for _, a, b in personal_data.added_spans(text, [], field)] == ["555 123 4567", "555 123 4568"]
+
+
 def test_neighbours(spark, data):
     table = spark.read.parquet(f"{data}/embeddings.parquet")
     pdf = table.toPandas()
