@@ -61,7 +61,7 @@ def _(t):
 
 @query("h6_text_predictor", "items")
 def _(t):
-    return predictor.evaluate(predictor.train_on_text(t.items, size=1 << 8))
+    return predictor.evaluate(predictor.train_on_text(t.items))
 
 
 def vectors(t):
