@@ -369,9 +369,9 @@ def added_spans(text: str, base: list[Span], field: Field) -> list[Span]:
     out: list[Span] = []
     taken = Taken(base)
     for tokens in stretches(text):
-        # an entity has seven digits or an @; stretches without so many outside the base spans hold none
+        # an entity has four digits or more (ip) or an @; stretches without so many outside the base spans hold none
         rest = "".join(text[a:b] for a, b in tokens if CANDIDATE.search(text, a, b) and not taken.meet(a, b))
-        if "@" not in rest and len(DIGIT.findall(rest)) < 7:
+        if "@" not in rest and len(DIGIT.findall(rest)) < 4:
             continue
         for i, j, label in field.best(field.segments(text, tokens), len(tokens)):
             a, b = tokens[i][0], tokens[j - 1][1]

@@ -349,6 +349,14 @@ def test_no_entity_lies_on_a_cut():
         assert [text[a:b] for _, a, b in personal_data.added_spans(text, [], field)] == ["555 123 4567", "555 123 4568"]
 
 
+def test_a_lone_address_of_few_digits():
+    rng = np.random.default_rng(0)
+    address = lambda: "[.]".join(str(n) for n in rng.integers(0, 256, 4))
+    field = field_of([(f"host {ip} has {k % 40} users", "ip", ip) for k in range(300) for ip in [address()]])
+    for text in ("host 10[.]0[.]0[.]5 has users", "host 1[.]2[.]3[.]4 has users", "host 10[.]0[.]0[.]5 has 23 users"):
+        assert [(kind, text[a:b]) for kind, a, b in personal_data.added_spans(text, [], field)] == [("ip", text.split()[1])]
+
+
 def test_neighbours(spark, data):
     table = spark.read.parquet(f"{data}/embeddings.parquet")
     pdf = table.toPandas()
