@@ -1,22 +1,22 @@
 """Spelling variants: words one inserted, deleted or replaced letter apart, found by products of letter counts.
 
 One edit changes the counts of at most two letters, so the squared distance of two words' letter counts is 1 (a letter more) or 2 (another
-letter). The letters are dealt to four classes; one edit leaves the counts of at least two classes as they are, so words one edit apart share
-one of six blocks (two classes and their counts). Blocks are Gram matrices in NumPy: words of each length against those of the same and the
-next length. Pairs within a distance of two are then verified letter by letter. A block of more than `TILE` words is dealt into tiles, and
-pairs of tiles go to tasks, so no task holds a block. No pair is lost.
+letter). It leaves the first or the last half of the shorter word as it is, so words one edit apart share a block: a length, with the next one, and
+the letters of a half. Blocks are Gram matrices in NumPy: words of a length against those of the same and the next length. Pairs
+within a distance of two are then verified letter by letter. A block of more than `TILE` words is dealt into tiles, and pairs of tiles go to
+tasks, so no task holds a block. No pair is lost.
 """
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
-from itertools import combinations
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,42 +29,28 @@ SMALL = 64  # blocks up to this size are multiplied many at a time
 BUFFER_ROWS, TASK_ROWS = 40_000, 250_000
 HELD_WORDS = 400_000  # a task hands its counts on beyond this many words
 PAIR_CELLS = 4_000_000  # letters compared together
-CLASSES = 4
-PAIRS = list(combinations(range(CLASSES), 2))
-# runs of A-Z, a-z and U+00C0 to U+00FF, in UTF-8 with A-Z lower-cased
-RUN = re.compile(rb"(?:[a-z]+|(?:\xc3[\x80-\xbf])+)+")
-# letters from frequent to rare, dealt to the classes in turn; how they are dealt decides the work alone
-ORDER = "etaoinshrdlcumwfgypbvkjxqz"
+# Latin-1: A-Z become a-z, a-z and U+00C0 to U+00FF stay, all else is a space
+LETTERS = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 192 else 32 for c in range(256))
+COLUMNS = 26 + 64
+COLUMN = np.array([c - 97 if c < 192 else c - 192 + 26 for c in range(256)])
 
 
-def _classes() -> tuple[np.ndarray, np.ndarray]:
-    """Class and column of each Latin-1 character."""
-    kind, column = np.zeros(256, np.int64), np.zeros(256, np.int64)
-    letters = [ord(c) for c in ORDER] + list(range(0xC0, 0x100))
-    for i, c in enumerate(letters):
-        turn = i % (2 * CLASSES)
-        kind[c], column[c] = min(turn, 2 * CLASSES - 1 - turn), i
-    return kind, column
+def runs(text: str) -> list[bytes]:
+    """The runs of letters in Latin-1; later characters are no letters."""
+    return text.encode("latin-1", "replace").translate(LETTERS).split()
 
 
-KIND, COLUMN = _classes()
-COLUMNS = int(COLUMN.max()) + 1
-_random = np.random.default_rng(42)
-MARKS = np.where(np.arange(CLASSES)[:, None] == KIND[None, :], _random.integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1), np.uint64(0))
-FACTORS = _random.integers(1, 1 << 63, CLASSES, dtype=np.uint64) | np.uint64(1)
-
-
-def words_of(doc_id: int | None, text: str, drops: int = DROPS) -> Iterator[tuple[bytes, int]]:
-    """The distinct words (UTF-8) of a document with their number; one run in `drops` loses a letter."""
+def shortened(doc_id: int | None, words: set[bytes], drops: int) -> dict[bytes, bytes]:
+    """The runs of a document that lose a letter, with what is left; one in `drops`."""
     start = zlib.crc32(f"{'' if doc_id is None else doc_id}:".encode())
-    for run, n in Counter(RUN.findall(text.encode().lower())).items():  # bytes: A-Z alone
-        if len(run) >= LEAST_LETTERS:
-            h = zlib.crc32(run, start)
-            if h % drops == 0:
-                letters = run.decode()
-                at = h % len(letters)
-                run = (letters[:at] + letters[at + 1:]).encode()
-            yield run, n
+    spelled = [w if w.isascii() else w.decode("latin-1").encode() for w in words]
+    hashes = np.fromiter((zlib.crc32(w, start) for w in spelled), np.int64, len(spelled))
+    found = {}
+    for i in np.nonzero(hashes % drops == 0)[0].tolist():
+        run = spelled[i].decode().encode("latin-1")
+        at = int(hashes[i]) % len(run)
+        found[run] = run[:at] + run[at + 1:]
+    return found
 
 
 def count_words(docs: DataFrame, least_letters: int = LEAST_LETTERS, least_count: int = LEAST_COUNT, drops: int = DROPS) -> DataFrame:
@@ -74,24 +60,27 @@ def count_words(docs: DataFrame, least_letters: int = LEAST_LETTERS, least_count
         held: Counter[bytes] = Counter()
 
         def emptied() -> pa.RecordBatch:
-            out = pa.RecordBatch.from_arrays([pa.array(list(held), pa.binary()).cast(pa.string()), pa.array(list(held.values()), pa.int64())], names=["word", "n"])
+            kept = [(w.decode("latin-1"), n) for w, n in held.items() if n and len(w) >= least_letters]
             held.clear()
-            return out
+            return pa.RecordBatch.from_arrays([pa.array([w for w, _ in kept], pa.string()), pa.array([n for _, n in kept], pa.int64())], names=["word", "n"])
 
         for batch in batches:
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch_texts(batch)):
-                for word, n in words_of(doc_id, text, drops):
-                    held[word] += n
+                words = runs(text)
+                held.update(words)
+                if lost := shortened(doc_id, {w for w in set(words) if len(w) >= least_letters}, drops):
+                    for word, n in Counter(w for w in words if w in lost).items():
+                        held[word] -= n
+                        held[lost[word]] += n
                 if len(held) > HELD_WORDS:
                     yield emptied()
         yield emptied()
 
-    words = docs.mapInArrow(counted, "word string, n long").filter(F.char_length("word") >= least_letters)
-    return words.groupBy("word").agg(F.sum("n").alias("n")).filter(F.col("n") >= least_count)
+    return docs.mapInArrow(counted, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).filter(F.col("n") >= least_count)
 
 
 class Words:
-    """Latin-1 words with their letter counts and the marks of their classes."""
+    """Latin-1 words with their letter counts."""
 
     def __init__(self, words: list[bytes]):
         self.words = words
@@ -99,10 +88,6 @@ class Words:
         self.pool = np.frombuffer(b"".join(words), np.uint8)
         self.starts = np.cumsum(self.lens) - self.lens
 
-    def marks(self) -> np.ndarray:
-        """A hash of the counts of each class, words by classes."""
-        return np.stack([np.add.reduceat(m[self.pool], self.starts) for m in MARKS], axis=1)
-
     def counts(self) -> np.ndarray:
         """Letter counts of the letters that occur; exact also for long words."""
         owner = np.repeat(np.arange(len(self.words)), self.lens)
@@ -137,14 +122,13 @@ class Words:
         return out
 
 
-def block_keys(words: Words) -> np.ndarray:
-    """The blocks of each word, words by pairs of classes; the low bits name the pair."""
-    marks = words.marks() * FACTORS
+def halves(word: bytes) -> list[int]:
+    """The blocks of a word: by its first half and its last half, as the shorter word and as one of a letter more; the low bit is 1 for last halves."""
     keys = []
-    for i, (a, b) in enumerate(PAIRS):
-        x = (marks[:, a] ^ (marks[:, a] >> np.uint64(29))) * FACTORS[0] + (marks[:, b] ^ (marks[:, b] >> np.uint64(31))) * FACTORS[1]
-        keys.append(((x ^ (x >> np.uint64(32))) << np.uint64(3)) | np.uint64(i))
-    return np.stack(keys, axis=1).view(np.int64)
+    for short in (len(word), len(word) - 1):
+        for last, half in enumerate((word[:short // 2], word[len(word) - short // 2:])):
+            keys.append(xxhash.xxh64_intdigest(half, seed=2 * short + last) >> 2 << 1 | last)
+    return keys
 
 
 def _small_pairs(counts: np.ndarray, squares: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -166,60 +150,59 @@ def _small_pairs(counts: np.ndarray, squares: np.ndarray, starts: np.ndarray, si
         width *= 2
 
 
-def _large_pairs(
-    counts: np.ndarray, squares: np.ndarray, lens: np.ndarray, side: np.ndarray, two: bool, start: int, size: int
-) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs within a distance of two of one tile, or between two tiles of a block, in adjacent length blocks."""
+def _large_pairs(counts: np.ndarray, squares: np.ndarray, long: np.ndarray, side: np.ndarray, two: bool, start: int, size: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs within a distance of two of one tile, or between two tiles of a block: shorter words with each other and with longer ones."""
     at = np.arange(start, start + size)
-    left, right = (at[side[at] == 0], at[side[at] == 1]) if two else (at, at)
-    for length in np.unique(lens[left]).tolist():
-        a = left[lens[left] == length]
-        near = (lens[right] == length) | (lens[right] == length + 1)
-        if two:
-            near |= lens[right] == length - 1
-        b = right[near]
+    short, more = at[~long[at]], at[long[at]]
+    if two:
+        sides = [(short[side[short] == s], np.concatenate((short[side[short] > s], more[side[more] != s]))) for s in (0, 1)]
+    else:
+        sides = [(short, np.concatenate((short, more)))]
+    for a, b in sides:
         d = squares[a][:, None] + squares[b][None, :] - 2 * (counts[a] @ counts[b].T)
         p, q = np.nonzero((d > 0.5) & (d < 2.5))
         a, b = a[p], b[q]
-        kept = slice(None) if two else (lens[b] > length) | (a < b)
+        kept = long[b] | (a < b) | two
         yield a[kept], b[kept]
 
 
-def near_pairs(words: Words, keys: np.ndarray, blocks: np.ndarray, side: np.ndarray, two: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs one edit apart within each block (`blocks`: ascending numbers), or across its sides where it has `two`.
+def near_pairs(words: Words, keys: np.ndarray, bands: np.ndarray, blocks: np.ndarray, side: np.ndarray, two: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs one edit apart within each block (`blocks`: ascending numbers; `bands`: the shorter length), or across its sides where it has `two`.
 
-    A pair comes in the first of the blocks that it shares, so it comes once.
+    A pair whose first and last halves are the same comes with the first halves' block, so each comes once.
     """
-    counts, marks, lens = words.counts(), words.marks(), words.lens
+    counts, lens = words.counts(), words.lens
     squares = (counts * counts).sum(axis=1)
+    long, last = lens > bands, (keys & 1).astype(bool)
     starts = np.concatenate(([0], np.nonzero(np.diff(blocks))[0] + 1))
     sizes = np.diff(np.concatenate((starts, [len(blocks)])))
     found = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
 
     def verified(a: np.ndarray, b: np.ndarray) -> None:
-        kept = (np.abs(lens[a] - lens[b]) <= 1) & (~two[a] | (side[a] != side[b]))
-        a, b = a[kept], b[kept]
-        same = marks[a] == marks[b]
-        shared = np.stack([same[:, p] & same[:, q] for p, q in PAIRS], axis=1)
-        kept = (shared.argmax(axis=1) == (keys[a] & 7)) & shared.any(axis=1)
+        kept = ~(long[a] & long[b]) & (~two[a] | (side[a] != side[b]))
         a, b = a[kept], b[kept]
         good = words.one_edit(a, b)
-        found.append((a[good], b[good]))
+        a, b = a[good], b[good]
+        new = ~last[a]
+        for i in np.nonzero(last[a])[0].tolist():
+            half = int(bands[a[i]]) // 2
+            new[i] = words.words[a[i]][:half] != words.words[b[i]][:half]
+        found.append((a[new], b[new]))
 
     for a, b in _small_pairs(counts, squares, starts, np.where(sizes <= SMALL, sizes, 0)):
         verified(a, b)
     for i in np.nonzero(sizes > SMALL)[0].tolist():
-        for a, b in _large_pairs(counts, squares, lens, side, bool(two[starts[i]]), int(starts[i]), int(sizes[i])):
+        for a, b in _large_pairs(counts, squares, long, side, bool(two[starts[i]]), int(starts[i]), int(sizes[i])):
             verified(a, b)
     return np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
 
 
 def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        if batch.num_rows:
-            keys = block_keys(Words([w.encode("latin-1") for w in batch.column("word").to_pylist()]))
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, len(PAIRS)), pa.int32()), pa.array(keys.ravel()))
-            yield pa.RecordBatch.from_arrays([*batch.columns, lists], names=[*batch.schema.names, "keys"])
+        words = [w.encode("latin-1") for w in batch.column("word").to_pylist()]
+        keys = np.fromiter(chain.from_iterable(map(halves, words)), np.int64, 4 * len(words))
+        lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(keys) + 1, 4), pa.int32()), pa.array(keys))
+        yield pa.RecordBatch.from_arrays([*batch.columns, lists], names=[*batch.schema.names, "keys"])
 
 
 def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -229,7 +212,8 @@ def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         spelled, n = table.column("word").to_pylist(), table.column("n").to_numpy()
         low, high, tile = (table.column(c).to_numpy() for c in ("low", "high", "tile"))
         side = ((tile != low) & (low != high)).astype(np.int8)
-        a, b = near_pairs(Words([w.encode("latin-1") for w in spelled]), table.column("key").to_numpy(), blocks, side, low != high)
+        bands = table.column("band").to_numpy()
+        a, b = near_pairs(Words([w.encode("latin-1") for w in spelled]), table.column("key").to_numpy(), bands, blocks, side, low != high)
         column = pa.array(spelled, pa.string())
         return pa.RecordBatch.from_arrays([column.take(pa.array(a)), pa.array(n[a]), column.take(pa.array(b)), pa.array(n[b])], names=["word", "n", "other", "other_n"])
 
@@ -262,13 +246,14 @@ def _numbered(table: pa.Table) -> np.ndarray:
 
 def near_words(words: DataFrame, tile: int = TILE) -> DataFrame:
     """Links (word, n, other, other_n) between words (word, n) one edit apart, each link once."""
-    keyed = words.select("word", "n").mapInArrow(_keyed, "word string, n long, keys array<long>").select("word", "n", F.explode("keys").alias("key"))
-    rows = attach_group_stats(keyed, ["key"], {"rows": F.count(F.lit(1))}).filter("rows > 1")
+    keyed = words.select("word", "n").mapInArrow(_keyed, "word string, n long, keys array<long>").select("word", "n", F.posexplode("keys").alias("place", "key"))
+    band = (F.char_length("word") - F.when(F.col("place") >= 2, 1).otherwise(0)).cast("long").alias("band")
+    rows = attach_group_stats(keyed.select("word", "n", "key", band), ["key"], {"rows": F.count(F.lit(1))}).filter("rows > 1")
     tiles = F.ceil(F.col("rows") / tile).cast("int")
     dealt = rows.withColumn("tiles", tiles).withColumn("tile", F.pmod(F.xxhash64("word"), "tiles").cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))
-    paired = dealt.withColumn("other", other).select("key", F.least("tile", "other").alias("low"), F.greatest("tile", "other").alias("high"), "tile", "word", "n")
-    slots = max(partitions(), -(-len(PAIRS) * words.count() // TASK_ROWS))
+    paired = dealt.withColumn("other", other).select("key", F.least("tile", "other").alias("low"), F.greatest("tile", "other").alias("high"), "tile", "band", "word", "n")
+    slots = max(partitions(), -(-4 * words.count() // TASK_ROWS))
     block = ["key", "low", "high"]
     return paired.repartition(slots, *block).sortWithinPartitions(*block).mapInArrow(_linked, "word string, n long, other string, other_n long")
 
