@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ratescale.llm import decontamination, neighbours, packing, personal_data, quality, sharding, simhash, spelling, suffix_dedup, token_counts, token_files
+from ratescale.llm import context_mixing, conversations, decontamination, neighbours, packing, personal_data, quality, sharding, simhash, spelling, suffix_dedup, token_counts, token_files
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -60,6 +60,14 @@ def op10_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return cut.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), "kept_sha256")
 
 
+def op11_conversations(spark: SparkSession, folder: str) -> DataFrame:
+    return conversations.repair_report(_table(spark, folder, "conversations"), conversations.damage)
+
+
+def op12_context_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    return context_mixing.score_texts(_table(spark, folder, "documents"))
+
+
 def op13_spelling(spark: SparkSession, folder: str) -> DataFrame:
     return spelling.variants(_table(spark, folder, "documents"))
 
@@ -68,7 +76,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_neighbours, op2_interleaving, op3_packing, op4_token_files, op5_decontamination, op6_token_counts, op7_simhash, op8_quality,
-        op9_personal_data, op10_suffix_dedup, op13_spelling,
+        op9_personal_data, op10_suffix_dedup, op11_conversations, op12_context_mixing, op13_spelling,
     )
 }
 ORACLE_SQL: dict[str, str] = {}
