@@ -18,6 +18,8 @@ from ratescale.session import shared_folder
 
 T = TypeVar("T")
 SLICE_CHARS = 1 << 21
+STRING_BYTES = 150  # of a string in a dictionary, with its array's place
+KEPT_BYTES = 150_000_000  # of strings and arrays that a worker keeps
 # every character that Python or the tokenizers' patterns take for white space, but the plain space
 SPACES = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 INNER_SPACE = re.compile(r"(?<=\S) (?=\S)")
@@ -67,24 +69,29 @@ def gather(pool: np.ndarray, starts: np.ndarray, lens: np.ndarray) -> np.ndarray
 
 
 class Slots(dict):
-    """Numbers of strings in the order of their first look-up; `new` holds those that came since it was last emptied."""
+    """Numbers of strings in the order of their first look-up; `new` holds those that came since it was last emptied, `bytes` is about what all take."""
 
     def __init__(self) -> None:
         self.new: list[str] = []
+        self.bytes = 0
 
     def __missing__(self, key: str) -> int:
         self.new.append(key)
+        self.bytes += STRING_BYTES + len(key)
         self[key] = n = len(self)
         return n
 
 
 class Ragged:
-    """Strings with an array each, kept up to a number of strings."""
+    """Strings with an array each, kept up to a number of bytes."""
 
     def __init__(self, most: int, kind=np.uint32):
-        self.most, self.kind = most, kind
+        self.most, self.kind = most, np.dtype(kind)
         self.clear()
 
+    def full(self) -> bool:
+        return self.index.bytes + self.used * self.kind.itemsize > self.most
+
     def clear(self) -> None:
         self.index = Slots()
         self.starts, self.lens = np.zeros(1024, np.int64), np.zeros(1024, np.int64)
@@ -93,6 +100,7 @@ class Ragged:
     def add(self, keys: list[str], flat: np.ndarray, lens: np.ndarray) -> None:
         n = len(self.index)
         self.index.update(zip(keys, range(n, n + len(keys))))
+        self.index.bytes += STRING_BYTES * len(keys) + sum(map(len, keys))
         self.put(n, flat, lens)
 
     def put(self, n: int, flat: np.ndarray, lens: np.ndarray) -> None:
@@ -149,7 +157,7 @@ class TextEncoder:
     The cache only saves time: when it is full it is emptied. File kinds: byte-level BPE, and BPE with word ends.
     """
 
-    def __init__(self, file: str, chunks: int = 800_000):
+    def __init__(self, file: str, most: int = KEPT_BYTES):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(file)
@@ -157,7 +165,7 @@ class TextEncoder:
         with open(file, encoding="utf-8") as f:
             self.word_ends = bool(json.load(f)["model"].get("end_of_word_suffix"))
         self.shown = _byte_characters()
-        self.chunks = Ragged(chunks)
+        self.chunks = Ragged(most)
 
     def plain(self, text: str) -> str:
         """A text that has the same ids and fewer distinct words: the files with word ends have lower-case letters anyway."""
@@ -195,7 +203,7 @@ class TextEncoder:
             flat = list(chain.from_iterable(keys))
             found, sizes = [], []
             for i in range(0, len(flat), 200_000):  # a long text comes in several rounds
-                if len(self.chunks.index) > self.chunks.most:
+                if self.chunks.full():
                     self.chunks.clear()
                 slots = self.chunks.slots(flat[i:i + 200_000])
                 if new := self.chunks.index.new:
@@ -220,6 +228,11 @@ def held(key: tuple, make: Callable[[], T]) -> T:
     return _HELD[key]
 
 
+def release() -> None:
+    """Forget what a worker keeps: called by tasks of operators that keep nothing, as they may follow another operator's."""
+    _HELD.clear()
+
+
 def encoder(file: str) -> TextEncoder:
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     return held(("encoder", file), lambda: TextEncoder(file))

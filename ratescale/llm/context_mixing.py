@@ -37,17 +37,18 @@ TABLE_BITS = (16, 20, 21, 22, 20)
 PREDICTORS = len(TABLE_BITS)
 BEFORE_BITS = 12
 SCALE = 16.0  # log odds are kept in sixteenths
-GATES = 6
+GATES = 5
 BLOCK, LANE = 128, 1 << 15  # decisions
-LANES = 256  # lanes mixed together
+LANES = 192  # lanes mixed together
 RATE = 0.002
 REFINED, STEP, DRAG = 25, 2.0, 32.0  # buckets, buckets for each unit of log odds, observations that the start counts for
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 19
 TEXT_BYTES = 1 << 22
 HOT_WORDS, HOT_BYTES = 100_000, 32  # most frequent words whose counts are broadcast; the counts of all others are joined
 HELD_WORDS = 300_000  # a task hands its counts on beyond this many words
-HELD_DECISIONS = 8_000_000  # decisions of words that a worker keeps
-NEW_WORDS = 50_000  # words learnt together
+NEW_WORDS = 10_000  # words learnt together
+KEPT = 80_000_000  # bytes of words and their inputs that a worker keeps
+DOCS = 500  # documents whose results are handed on together
 LEARN_WORDS = 1_000_000  # words of one task that fills tables, about
 PART_BITS = 14  # slots of a row of tables
 MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
@@ -184,8 +185,8 @@ def log_odds(table: np.ndarray) -> np.ndarray:
 
 
 def gates(table: np.ndarray) -> np.ndarray:
-    """How often each slot was seen, in classes: 0, 1, 2, up to 15, up to 255, more."""
-    return np.searchsorted(np.array([1, 2, 3, 16, 256]), table[0::2] + table[1::2], side="right").astype(np.int8)
+    """How often each slot was seen, in classes: 0, 1 or 2, up to 15, up to 255, more."""
+    return np.searchsorted(np.array([1, 3, 16, 256]), table[0::2] + table[1::2], side="right").astype(np.int8)
 
 
 class Model:
@@ -194,18 +195,21 @@ class Model:
     def __init__(self, byte_counts: np.ndarray, tables: list[np.ndarray], seen: np.ndarray, hot: dict[bytes, int]):
         """`hot`: training counts of frequent words."""
         self.code, self.tables, self.seen, self.hot = Code(byte_counts), tables, seen, hot
-        self.words = Ragged(HELD_DECISIONS, np.int64)
+        self.words = Ragged(KEPT, np.int64)
         self.facts = np.zeros((1024, 3), np.int64)  # class, decisions of the first byte, training count (-1: not among the hot words)
 
     def _learn(self, n: int, new: list[bytes]) -> None:
-        spelled = [pieces(w) for w in new]
-        lens, firsts, nodes, bits, slots = self.code.decisions(list(chain.from_iterable(spelled)))
+        if max(map(len, new)) < PIECE:  # all are spelled in one piece
+            flat, parts = [w + SPACE if w != END else w for w in new], np.ones(len(new), np.int64)
+        else:
+            spelled = [pieces(w) for w in new]
+            flat, parts = list(chain.from_iterable(spelled)), np.fromiter(map(len, spelled), np.int64, len(spelled))
+        lens, firsts, nodes, bits, slots = self.code.decisions(flat)
         packed = np.zeros((len(nodes), 8), np.int8)
         for k, slot in enumerate(slots):
             packed[:, k] = self.tables[k][slot]
         # a first byte's place for the fifth log odds holds the node until the word before is known
         packed[:, 4], packed[:, 5], packed[:, 6] = nodes.astype(np.uint8).view(np.int8), self.seen[slots[3]], bits
-        parts = np.fromiter(map(len, spelled), np.int64, len(spelled))
         opening = np.cumsum(parts) - parts
         firsts = firsts[opening]
         ends = np.concatenate(([0], np.cumsum(lens)))
@@ -220,7 +224,7 @@ class Model:
 
     def inputs(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Number of decisions of each word; eight bytes for each decision: five log odds, the gate, the bit and an unused one; the words' hot counts."""
-        if self.words.used > self.words.most:
+        if self.words.full():
             self.words.clear()
         slots = self.words.slots(words)
         if new := self.words.index.new:
@@ -256,7 +260,7 @@ class Model:
 def first_weights() -> np.ndarray:
     """Gates by predictors: the more often the word so far was seen, the more it counts."""
     out = np.tile(np.array([0.15, 0.25, 0.4, 0.0, 0.3], np.float32), (GATES, 1))
-    for gate, (others, own) in enumerate(((1.0, 0.0), (0.9, 0.2), (0.7, 0.4), (0.4, 0.7), (0.2, 0.9), (0.0, 1.0))):
+    for gate, (others, own) in enumerate(((1.0, 0.0), (0.8, 0.3), (0.4, 0.7), (0.2, 0.9), (0.0, 1.0))):
         out[gate, :3] *= others
         out[gate, 3] = own
     return out
@@ -270,31 +274,46 @@ def mix(packed: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
     weights = np.zeros((lanes, GATES, 8), np.float32)
     weights[:, :, :PREDICTORS] = first_weights() / SCALE
     rate = np.where(np.arange(8) < PREDICTORS, RATE / SCALE**2, 0).astype(np.float32)
-    centres = 1 / (1 + np.exp(-(np.arange(REFINED) - REFINED // 2) / STEP))
+    half = REFINED // 2
+    centres = 1 / (1 + np.exp(-(np.arange(REFINED) - half) / STEP))
     refined = np.repeat(centres[None].astype(np.float32), lanes, axis=0)
     kinds = np.arange(GATES, dtype=np.int8)[None, :, None]
+    own = np.arange(lanes, dtype=np.int32)[:, None]
     for step in range(0, int((stop - start).max(initial=0)), BLOCK):
         n = int(np.searchsorted(start - stop, -step, side="left"))  # lanes longer than the step
+        whole = int(np.searchsorted(start - stop, -step - BLOCK, side="right"))  # lanes that fill the block; the others come after them
         at = start[:n, None] + (step + np.arange(BLOCK))
-        there = at < stop[:n, None]
-        rows = packed[np.minimum(at, stop[:n, None] - 1)].view(np.int8).reshape(n, BLOCK, 8)
+        np.minimum(at[whole:], stop[whole:n, None] - 1, out=at[whole:])
+        beyond = np.arange(step, step + BLOCK) >= (stop - start)[whole:n, None]
+        rows = packed[at].view(np.int8).reshape(n, BLOCK, 8)
         x = rows.astype(np.float32)
-        gate, ones = rows[:, :, 5], rows[:, :, 6] > 0
+        gate, bit = np.ascontiguousarray(rows[:, :, 5]), np.ascontiguousarray(rows[:, :, 6])
         each = x @ weights[:n].transpose(0, 2, 1)
         mixed = each.ravel()[np.arange(0, n * BLOCK * GATES, GATES) + gate.ravel()].reshape(n, BLOCK)
-        mixed = np.clip(mixed, -15, 15)
-        p = 1 / (1 + np.exp(-mixed))
-        cell = np.clip(np.rint(mixed * np.float32(STEP)), -(REFINED // 2), REFINED // 2).astype(np.int64) + (REFINED // 2 + REFINED * np.arange(n)[:, None])
-        final = (p + refined[:n].ravel()[cell]) / 2
-        coded = np.maximum(np.where(ones, final, 1 - final), np.float32(1e-6))
-        total[:n] += np.log(np.where(there, coded, np.float32(1))).sum(axis=1, dtype=np.float64)
-        error = np.where(there, ones - p, np.float32(0))
+        np.clip(mixed, -15, 15, out=mixed)
+        p = np.exp(-mixed)
+        p += 1
+        np.reciprocal(p, out=p)
+        mixed *= np.float32(STEP)
+        cell = np.clip(np.rint(mixed, out=mixed), -half, half, out=mixed).astype(np.int32)
+        cell += half + REFINED * own[:n]
+        coded = refined[:n].ravel()[cell]
+        coded += p
+        coded *= np.float32(0.5)
+        np.subtract(1, coded, out=coded, where=bit == 0)
+        np.maximum(coded, np.float32(1e-6), out=coded)
+        coded[whole:][beyond] = 1
+        four = coded[:, 0::4] * coded[:, 1::4] * coded[:, 2::4] * coded[:, 3::4]
+        total[:n] += np.log(four).sum(axis=1, dtype=np.float64)
+        error = bit - p
+        error[whole:][beyond] = 0
         spread = error[:, None, :] * (gate[:, None, :] == kinds)
         weights[:n] += rate * (spread @ x)
-        cell = cell[there]
-        hits = np.bincount(cell, minlength=n * REFINED)
-        seen = np.bincount(cell, ones[there], minlength=n * REFINED)
-        refined[:n] = ((refined[:n].ravel() * DRAG + seen) / (DRAG + hits)).reshape(n, REFINED)
+        cell += cell
+        cell += bit
+        cell[whole:][beyond] = 2 * n * REFINED
+        seen = np.bincount(cell.ravel(), minlength=2 * n * REFINED + 1)[:-1].reshape(-1, 2)
+        refined[:n] = ((refined[:n].ravel() * DRAG + seen[:, 1]) / (DRAG + seen.sum(axis=1))).reshape(n, REFINED)
     return total
 
 
@@ -425,7 +444,7 @@ SCORED_SQL = "row long, doc_id long, held_out boolean, n_bytes long, n_tokens lo
 
 def scored_batches(model: Model, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Scores of the texts, with logs and numbers of their hot words; the other words are handed on."""
-    for batch in batches:
+    for batch in (whole.slice(i, DOCS) for whole in batches for i in range(0, whole.num_rows, DOCS)):
         texts = batch_texts(batch)
         ids = list(zip(*(batch.column(c).to_pylist() for c in ("row", "doc_id", "held_out"))))
         sums = np.zeros((len(texts), 5))  # bytes, tokens, known words, logs, score

@@ -183,7 +183,9 @@ def search_shard(texts: list[str | None], phrases: Phrases) -> tuple[list[int],
     place = np.arange(int(stops[-1])) + np.repeat(starts - (stops - lens), lens)
     index = FMIndex(flat[place], len(known) + 1)
     hit_edges = np.zeros(len(flat) + 1, np.int64)
-    found_at, found_item = [], []
+    doc_start = np.cumsum(np.array(counts) + 1) - np.array(counts) - 1
+    doc_of = lambda at: np.searchsorted(doc_start, at, side="right") - 1
+    found_doc, found_item = [], []
     for patterns, sizes, owners in phrases.groups:
         low, high = index.search(patterns)
         n = high - low
@@ -194,18 +196,19 @@ def search_shard(texts: list[str | None], phrases: Phrases) -> tuple[list[int],
         at = place[index.locate(np.arange(len(which)) + np.repeat(low - (stops - n), n))]
         np.add.at(hit_edges, at, 1)
         np.add.at(hit_edges, at + patterns.shape[1], -1)
+        # a phrase counts once in a document, before its items come to it
+        once = np.unique(doc_of(at) * len(patterns) + which)
+        doc, which = once // len(patterns), once % len(patterns)
         m = sizes[which]
         first = np.cumsum(sizes) - sizes
         stops = np.cumsum(m)
-        found_at.append(np.repeat(at, m))
+        found_doc.append(np.repeat(doc, m))
         found_item.append(owners[np.arange(int(stops[-1])) + np.repeat(first[which] - (stops - m), m)])
-    if not found_at:
+    if not found_doc:
         return counts, {}
     hit = np.diff(np.concatenate(([0], (np.cumsum(hit_edges[:-1]) > 0).astype(np.int8), [0])))
     starts, ends = np.flatnonzero(hit == 1), np.flatnonzero(hit == -1)
-    doc_start = np.cumsum(np.array(counts) + 1) - np.array(counts) - 1
-    doc_of = lambda at: np.searchsorted(doc_start, at, side="right") - 1
-    pairs = np.unique(np.stack((doc_of(np.concatenate(found_at)), np.concatenate(found_item)), axis=1), axis=0)
+    pairs = np.unique(np.stack((np.concatenate(found_doc), np.concatenate(found_item)), axis=1), axis=0)
     run_doc, out = doc_of(starts), {}
     for doc in np.unique(run_doc).tolist():
         mine = run_doc == doc
@@ -273,6 +276,7 @@ def _searched(blocks: list[Block], window: int):
 def phrase_blocks(benchmark: DataFrame, most: int = PHRASE_BYTES, id_column: str = "item_id", text_column: str = "text") -> Iterator[list[tuple[str, str]]]:
     """The benchmark in blocks of about `most` bytes, one at a time on the driver. A null item id is named by the empty string."""
     rows = benchmark.select(F.coalesce(F.col(id_column).cast("string"), F.lit("")).alias("item"), F.coalesce(F.col(text_column).cast("string"), F.lit("")).alias("text"))
+    rows = rows.distinct()  # repeats would fill one block
     size = rows.agg(F.sum(F.octet_length("text") + 16)).first()[0] or 0
     blocks = -(-size // most)
     for b in range(blocks):

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ratescale.llm.common import written
 
 BUCKET_ROWS = 20_000  # rows that one window sorts, on average
+BUCKETS = 1 << 16  # at most, as one window runs over all of them
 
 
 def _numbered(rows: DataFrame, within: list[str], bucket: Column, order: list[str]) -> DataFrame:
@@ -31,8 +32,9 @@ def interleave(
 ) -> DataFrame:
     """doc_id, source, size, text_crc32, shard and slot of all rows: shards' row counts differ by one at most.
 
-    Rows of a source are shuffled by a seeded hash and ranked; sorted by fractional rank (rank - 1/2) / rows of the source, any cut of
-    the whole order holds each source in proportion, to about a row. Null sources are a source of their own. Null or
+    Rows of a source are shuffled by a seeded hash and ranked; sorted by fractional rank (rank from 0 + a hashed part of 1) / rows of the
+    source, a cut at any rank holds each source in proportion, to a row; where sources of
+    few rows fall is a matter of the hash. Null sources are a source of their own. Null or
     repeated ids and repeated rows are ordered by all their columns; equal rows get places of their own. A null text has size 1 and
     the checksum of the empty text. Other columns are left out; an empty table gives no rows. Texts don't pass any shuffle.
     """
@@ -46,10 +48,12 @@ def interleave(
     ).withColumn("_shuffle", F.xxhash64(F.lit(seed), "doc_id", "text_crc32"))
     rows = written(rows.withColumn("_stratum", F.struct(F.col("source").isNull(), F.coalesce("source", F.lit("")))), "shard-rows")
     n = rows.count()
-    buckets = max(1, -(-n // BUCKET_ROWS))
+    buckets = min(BUCKETS, max(1, -(-n // BUCKET_ROWS)))
     order = ["_shuffle", "doc_id", "size", "text_crc32"]
     ranked = _numbered(rows, ["_stratum"], F.floor((F.shiftrightunsigned("_shuffle", 33) * buckets) / F.lit(1 << 31)), order)
-    share = (2 * F.col("_place") + 1) / (2 * F.col("_all"))
+    # a place inside the rank's part, so that sources of few rows, whose ranks are alike, are spread over the whole order and its buckets
+    inside = F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.lit("inside"), "doc_id", "text_crc32"), 33) / F.lit(1 << 31)
+    share = (F.col("_place") + inside) / F.col("_all")
     ranked = ranked.withColumn("_share", share).drop("_place", "_all")
     sorted_rows = _numbered(ranked, [], F.floor(F.col("_share") * buckets), ["_share", "_stratum", *order])
     place = F.col("_place")

@@ -15,7 +15,6 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ratescale.llm.common import text_rows, written
 
@@ -38,6 +37,11 @@ def fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> i
         starts = np.concatenate(([0], ends[:-1] + 1))
         digest = xxhash.xxh64_intdigest
         hashes = np.array([digest(joined[a:b], seed) for a, b in zip(starts[:len(words) - shingle + 1].tolist(), ends[shingle - 1:].tolist())], np.uint64)
+    return majority(hashes)
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that are set in over half of the hashes, as a signed number; 0 without hashes."""
     ones = np.zeros(64, np.int64)
     for i in range(0, len(hashes), 1 << 16):
         ones += np.unpackbits(hashes[i:i + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
@@ -183,24 +187,3 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, id_column: str = "doc
     rows = written(text_rows(docs, id_column, text_column).mapInArrow(_with_fingerprint, "doc_id long, fp long"), "simhash")
     table = component_table(rows, radius)
     return rows.join(table, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
-
-
-def keep_one(docs: DataFrame, radius: int = RADIUS, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """The rows of `docs`, with all their columns, that stay when one document of each component is kept: the one with the smallest id.
-
-    Of rows that share this id one is kept, and of a component of null ids one. Rows go by a shuffle once, with their fingerprint.
-    """
-    names = [f"_c{i}" for i in range(len(docs.columns))]
-    plain = docs.toDF(*names)
-    key, text = names[docs.columns.index(id_column)], names[docs.columns.index(text_column)]
-
-    def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            fps = pa.array([fingerprint(t) for t in batch.column(text).to_pylist()], pa.int64())
-            yield pa.RecordBatch.from_arrays([*batch.columns, fps], names=[*batch.schema.names, "_fp"])
-
-    marked = plain.mapInArrow(added, T.StructType([*plain.schema, T.StructField("_fp", T.LongType())]))
-    marked = written(marked.withColumn("_row", F.monotonically_increasing_id()), "simhash-documents")
-    rows = marked.select(F.col(key).cast("long").alias("doc_id"), F.col("_fp").alias("fp"), "_row")
-    firsts = rows.join(component_table(rows, radius), "fp").filter("doc_id <=> component_id").groupBy("root").agg(F.min("_row").alias("_row"))
-    return marked.join(firsts, "_row", "left_semi").select(*names).toDF(*docs.columns)

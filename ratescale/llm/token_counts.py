@@ -11,7 +11,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ratescale.llm.common import Ragged, batch_texts, held, slices, space_chunks, spelled, text_rows
+from ratescale.llm.common import KEPT_BYTES, Ragged, batch_texts, held, slices, space_chunks, spelled, text_rows
 
 # Fixed value: the pre-token pattern of byte-level BPE
 PRE_TOKEN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
@@ -28,7 +28,7 @@ def byte_letters() -> list[str]:
 class Merger:
     """Merge ranks of a tokenizer file, and the number of tokens of pre-tokens."""
 
-    def __init__(self, file: str, most: int = 1_000_000):
+    def __init__(self, file: str, most: int = KEPT_BYTES):
         with open(file, encoding="utf-8") as f:
             data = json.load(f)
         vocab, merges = data["model"]["vocab"], data["model"]["merges"]
@@ -95,7 +95,7 @@ class Merger:
     def _learn(self, keys: list[str]) -> None:
         wanted = set(keys)
         new = [c for c in wanted if c not in self.known.index]  # set.difference would walk the whole index
-        if len(self.known.index) + len(new) > self.known.most:
+        if self.known.full():
             self.known.clear()
             new = list(wanted)
         words: list[str] = []

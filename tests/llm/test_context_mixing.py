@@ -99,7 +99,7 @@ def plain_scores(docs):
                 for slots, bit in every[block:min(block + mixing.BLOCK, lane + mixing.LANE)]:
                     x = np.array([odds(k, s) for k, s in enumerate(slots)])
                     n = seen[3][slots[3], 0] + seen[3][slots[3], 1]
-                    gate = sum(n >= least for least in (1, 2, 3, 16, 256))
+                    gate = sum(n >= least for least in (1, 3, 16, 256))
                     s = max(-15.0, min(15.0, float(weights[gate] @ x)))
                     p = 1 / (1 + exp(-s))
                     cell = max(0, min(mixing.REFINED - 1, round(s * mixing.STEP) + half))

@@ -6,7 +6,7 @@ from collections import Counter
 import corpus_pipeline
 import pytest
 
-from ratescale.llm import near_copies, simhash
+from ratescale.llm import near_copies
 
 COLUMNS = "doc_id long, text string, lang string"
 
@@ -65,16 +65,42 @@ def test_one_of_each_group(request, spark, data, which):
     kept = corpus_pipeline.distinct_documents(spark, df, data)
     assert kept.columns == df.columns
     assert Counter(r["doc_id"] for r in kept.collect()) == plain_kept(have)
-    if which == "planted":  # links within four bits are too few
-        assert simhash.keep_one(df).count() > kept.count()
 
 
 def test_few_rounds_and_common_shingles(planted, monkeypatch):
     monkeypatch.setattr(near_copies, "STARS", 0)
     monkeypatch.setattr(near_copies, "COMMON", 10**9)
+    monkeypatch.setattr(near_copies, "TILE", 8)
     have = [(r["doc_id"], r["text"]) for r in planted.collect()]
     assert Counter(r["doc_id"] for r in near_copies.keep_one(planted).collect()) == plain_kept(have)
 
 
 def test_no_rows(planted):
     assert near_copies.keep_one(planted.limit(0)).collect() == []
+
+
+def test_many_documents_with_one_shingle(spark):
+    """20,000 documents that share nothing but a line: no pair of them is a row; two of them are near copies."""
+    line = "one line that stands in all of them"
+    rows = [(i, f"{line} a{i} b{i} c{i}", "x") for i in range(20_000)]
+    rows += [(20_000, "x1 x2 x3 x4 x5 x6 x7 x8 x9 x10 x11 x12 x13 x14 x15 " + line, "x"), (20_001, "x1 x2 x3 x4 x5 x6 x7 x8 x9 x10 x11 x12 x13 x14 x15 " + line + " y", "x")]
+    kept = near_copies.keep_one(spark.createDataFrame(rows, COLUMNS))
+    assert sorted(r["doc_id"] for r in kept.select("doc_id").collect()) == list(range(20_001))
+
+
+def test_long_texts_and_clashing_names(spark):
+    columns = "doc_id long, text string, _node string, _n string, _prefix string, _row string, _bits string"
+    long = " ".join(f"w{i}" for i in range(200_000))
+    rows = [(3, long, "a", "b", "c", "d", "e"), (2, long + " end", "a", "b", "c", "d", "f"), (2, long + " end", "a", "b", "c", "d", "g"), (5, None, *"abcde"), (None, " ", *"abcde")]
+    kept = near_copies.keep_one(spark.createDataFrame(rows, columns))
+    assert kept.columns == ["doc_id", "text", "_node", "_n", "_prefix", "_row", "_bits"]
+    assert sorted(r["doc_id"] for r in kept.collect()) == [2, 5]
+
+
+def test_parity_bounds_the_difference():
+    rng = random.Random(1)
+    for _ in range(200):
+        a = near_copies.shingles(" ".join(str(rng.randrange(10**6)) for _ in range(rng.randint(5, 300))))
+        b = near_copies.shingles(" ".join(str(rng.randrange(10**6)) for _ in range(rng.randint(5, 300))))
+        flipped = int(near_copies.np.bitwise_count(near_copies.parity(a) ^ near_copies.parity(b)).sum())
+        assert flipped <= len(near_copies.np.setxor1d(a, b))
