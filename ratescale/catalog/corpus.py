@@ -31,12 +31,16 @@ def _(t):
     return extraction.sentence_rows(t.documents).select("doc_id", "sentence_idx", F.md5("text").alias("digest"))
 
 
-ALL_NOUNS = [*LEXICON.nouns, *[p for _, p in LEXICON.plurals]]
-SINGULAR = "CASE word " + " ".join(f"WHEN '{p}' THEN '{n}'" for n, p in LEXICON.plurals) + " ELSE word END"
-PAIRS = f"""{SENT}, wl AS (SELECT doc_id, sentence_idx, text, list_transform(regexp_extract_all(text, '[A-Za-z]+(?:[''-][A-Za-z]+)*'), lambda w: replace(lower(w), '-', '')) AS ws FROM sent),
+ALL_NOUNS = (
+    "nose", "eye", "stor", "tion", "ringe", "shand", "erine", "thand", "onin", "heth",
+    "noses", "eyes", "stors", "tions", "ringes", "shands", "erines", "thands", "onins", "heths",
+)
+SINGULAR = "CASE WHEN right(word, 1) = 's' THEN substr(word, 1, length(word) - 1) ELSE word END"
+ALL_ADJECTIVES = ("erin", "an", "in", "heer", "haan", "there", "with", "erhe", "anor")
+PAIRS = rf"""{SENT}, wl AS (SELECT doc_id, sentence_idx, text, list_transform(regexp_extract_all(text, '\p{{L}}+(?:[''-]\p{{L}}+)*|[0-9]+(?:[.,][0-9]+)*|[^ \t\n\x0B\f\r\p{{L}}0-9]'), lambda w: replace(lower(w), '-', '')) AS ws FROM sent),
  w AS (SELECT doc_id, sentence_idx, unnest(range(0, len(ws))) AS pos, unnest(ws) AS word FROM wl),
  nn AS (SELECT doc_id, sentence_idx, pos, {SINGULAR} AS noun FROM w WHERE word IN ({', '.join(repr(n) for n in ALL_NOUNS)})),
- aa AS (SELECT * FROM w WHERE word IN ({', '.join(repr(a) for a in LEXICON.adjectives)})),
+ aa AS (SELECT * FROM w WHERE word IN ({', '.join(repr(a) for a in ALL_ADJECTIVES)})),
  pr AS (SELECT DISTINCT doc_id, sentence_idx, aa.word || ' ' || noun AS pair FROM nn JOIN aa USING (doc_id, sentence_idx) WHERE abs(nn.pos - aa.pos) <= 6)"""
 
 
@@ -100,7 +104,7 @@ def _(t):
 @query("w5_sentence_ids", "", f"""WITH {PAIRS}, fs AS (SELECT DISTINCT doc_id, sentence_idx FROM pr) SELECT pr.doc_id, dense_rank() OVER (PARTITION BY pr.doc_id ORDER BY pr.sentence_idx) - 1 AS text_id,
  dense_rank() OVER (PARTITION BY pr.doc_id ORDER BY pr.sentence_idx) - 1 AS attribute_text_id, pair AS attribute FROM pr""", ints="doc_id text_id attribute_text_id")
 def _(t):
-    rows = extraction.expand_attributes(extraction.extract_lexical(found(t)), LEXICON)
+    rows = extraction.expand_attributes(extraction.extract_lexical(extraction.document_sentences(t.documents, LEXICON)), LEXICON)
     return rows.select("doc_id", "text_id", "attribute_text_id", "attribute")
 
 
@@ -109,8 +113,8 @@ def _(t):
 SELECT doc_id, text_id, CASE WHEN len(l) > 1 THEN aid END AS attribute_text_id, unnest(CASE WHEN len(l) > 1 THEN l ELSE [NULL] END) AS attribute FROM ids""", ints="doc_id text_id attribute_text_id")
 def _(t):
     # an extractor that finds nothing in sentences with a single pair
-    ex = extraction.extract_lexical(found(t))
-    some = ex.withColumn("attributes", F.when(F.size("pairs") > 1, F.col("attributes")).otherwise(F.filter("attributes", lambda a: F.lit(False))))
+    ex = extraction.extract_lexical(extraction.document_sentences(t.documents, LEXICON))
+    some = ex.withColumn("found", F.transform("found", lambda s: s.withField("attributes", F.filter(s["attributes"], lambda a: F.size(s["pairs"]) > 1))))
     return extraction.expand_attributes(some, LEXICON).select("doc_id", "text_id", "attribute_text_id", "attribute")
 
 
@@ -142,9 +146,9 @@ def _(t):
     return out.groupBy("doc_id", "attribute_original").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("t3_lexicon_words", "", f"""WITH {PAIRS} SELECT word, count(*) AS n, word IN ({', '.join(repr(n) for n in ALL_NOUNS)}) AS is_noun FROM w WHERE word IN ({', '.join(repr(n) for n in [*ALL_NOUNS, *LEXICON.adjectives])}) GROUP BY 1""", ints="n")
+@query("t3_lexicon_words", "", f"""WITH {PAIRS} SELECT word, count(*) AS n, word IN ({', '.join(repr(n) for n in ALL_NOUNS)}) AS is_noun FROM w WHERE word IN ({', '.join(repr(n) for n in [*ALL_NOUNS, *ALL_ADJECTIVES])}) GROUP BY 1""", ints="n")
 def _(t):
-    w = extraction.sentence_rows(t.documents).select(F.explode(X.words(F.col("text"))).alias("word")).select(X.normalize_word(F.col("word")).alias("word"))
+    w = extraction.sentence_rows(t.documents).select(F.explode(X.tokens(F.col("text"))).alias("word"))
     kept = w.filter(LEXICON.is_noun(F.col("word")) | LEXICON.is_adjective(F.col("word")))
     return kept.groupBy("word").agg(F.count(F.lit(1)).alias("n")).withColumn("is_noun", LEXICON.is_noun(F.col("word")))
 

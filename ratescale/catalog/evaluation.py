@@ -60,12 +60,30 @@ def _(t):
     return p.groupBy("source").agg(metrics.pearson(x, y, "zero", 3).alias("r_zero"), metrics.pearson(x, y, "null", 3).alias("r_null"))
 
 
-@query("a6_correlation_p", "predictions")
+# Simpson's rule over the whole range, in 4,000 panels
+A6 = """c AS (SELECT coalesce(person_term, 'all') AS person_term, count(*) AS n, avg((predicted - true_rating) * (predicted - true_rating)) AS mse, sqrt(avg((predicted - true_rating) * (predicted - true_rating))) AS rmse,
+  avg(abs(predicted - true_rating)) AS mae, corr(predicted, true_rating) AS pearson_r FROM predictions GROUP BY GROUPING SETS ((person_term), ())),
+ panels AS (SELECT i, CASE WHEN i = 0 OR i = 4000 THEN 1.0::DOUBLE WHEN i % 2 = 1 THEN 4.0::DOUBLE ELSE 2.0::DOUBLE END AS w FROM range(0, 4001) q(i)),
+ tails AS (SELECT person_term, (pi() / 2 - asin(abs(pearson_r))) * sum(w * pow(greatest(cos(asin(abs(pearson_r)) + (pi() / 2 - asin(abs(pearson_r))) * i / 4000), 0), n - 3)) AS tail,
+  pi() / 2 * sum(w * pow(greatest(cos(pi() / 2 * i / 4000), 0), n - 3)) AS whole FROM c, panels GROUP BY person_term, n, pearson_r)"""
+
+
+@query("a6_correlation_p", "predictions", f"WITH {A6} SELECT c.*, tail / whole AS p_value FROM c JOIN tails USING (person_term)", num="mse rmse mae pearson_r p_value", ints="n")
 def _(t):
     m = metrics.metrics_by(t.predictions, "predicted", "true_rating", [["person_term"], []], ["person_term"])
     return m.withColumn("p_value", metrics.correlation_p("pearson_r", "n"))
 
 
+@query("a6_correlation_p_short", "predictions", f"""WITH few AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY attribute, person_term ORDER BY source) AS rn FROM predictions) q WHERE rn = 1),
+ {A6.replace("FROM predictions GROUP BY GROUPING SETS ((person_term), ())", "FROM (SELECT attribute AS person_term, predicted + CASE WHEN person_term = 'man' THEN 1 ELSE 0 END AS predicted, true_rating FROM few) f GROUP BY person_term HAVING count(*) > 2 AND min(predicted) < max(predicted) AND min(true_rating) < max(true_rating)")}
+SELECT c.person_term AS attribute, n, pearson_r, round(tail / whole, 5) AS p_value FROM c JOIN tails USING (person_term)""", num="pearson_r p_value", ints="n")
+def _(t):
+    shifted = F.col("predicted") + F.when(F.col("person_term") == "man", 1).otherwise(0)
+    few = t.predictions.groupBy("attribute", "person_term").agg(F.min_by(F.struct("predicted", "true_rating"), "source").alias("p")).select("attribute", "person_term", "p.*")
+    m = few.withColumn("predicted", shifted).groupBy("attribute").agg(F.count(F.lit(1)).alias("n"), metrics.pearson(F.col("predicted"), F.col("true_rating"), least=3).alias("pearson_r"))
+    return m.filter("pearson_r IS NOT NULL").withColumn("p_value", F.round(metrics.correlation_p("pearson_r", "n"), 5))
+
+
 @query("a7_spearman", "predictions", f"WITH {rank_corr_cte('predictions', 'person_term', 'predicted', 'true_rating')} SELECT * FROM rho", num="spearman_r", ints="n")
 def _(t):
     return metrics.spearman(t.predictions, "predicted", "true_rating", ["person_term"])
@@ -257,12 +275,12 @@ def _(t):
 
 CI_LONG = f"""{PARSED}, {LONG}, m1 AS (SELECT * FROM long WHERE method = 'method1'), sl AS (SELECT model, dataset, attribute, person_term, p, y, 'overall' AS slice FROM m1
  UNION ALL SELECT model, dataset, attribute, person_term, p, y, CASE person_term WHEN 'nonbinary person' THEN 'nonbinary' ELSE person_term END FROM m1),
- {boot_sql('sl', ['model', 'dataset', 'slice'], ['model', 'attribute', 'person_term'], 'p', 'y', 20)},
+ {boot_sql('sl', ['model', 'dataset', 'slice'], ['model', 'attribute', 'person_term'], 'p', 'y', REPLICATES)},
  pt AS (SELECT model, dataset, slice, count(*) AS n, {corr_sql('p', 'y', '0.0::DOUBLE', 3)} AS pearson_r FROM sl GROUP BY 1, 2, 3),
  ci AS (SELECT pt.*, pearson_r_lo, pearson_r_hi FROM pt JOIN (SELECT model, dataset, slice, quantile_cont(r, 0.025) AS pearson_r_lo, quantile_cont(r, 0.975) AS pearson_r_hi FROM st GROUP BY 1, 2, 3) USING (model, dataset, slice))"""
 
 
-def correlation_ci(t, n_boot=20):
+def correlation_ci(t, n_boot=REPLICATES):
     one = parsed(t).withColumn("predicted", parse.clean_rating(F.col("method1_rating"))).dropna(subset=["predicted", "avg_rating"])
     sl = one.withColumn("slice", F.explode(F.array(F.lit("overall"), terms.term_slug(F.col("person_term")))))
     out = resample.bootstrap(sl, "predicted", "avg_rating", ["model", "dataset", "slice"], ["model", "attribute", "person_term"], n_boot)

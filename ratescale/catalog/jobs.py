@@ -8,8 +8,8 @@ from ratescale.catalog.participants import SCORE
 from ratescale.catalog.registry import query
 from ratescale.catalog.reliability import CORRS, ITEMS, LOO, icc_sql
 from ratescale.catalog.snippets import LONG, PARSED
-from ratescale.catalog.splitting import BEFORE, TWO, groups
-from ratescale.operators import predictor, scoring
+from ratescale.catalog.splitting import BEFORE, THREE, TWO, groups
+from ratescale.operators import predictor, scoring, splits
 from ratescale.plans import jobs
 
 PROMPT = "Would someone say a {person_term} has {attribute}?"
@@ -64,6 +64,29 @@ def _(t):
     return predictor.evaluate(predictor.train_on_text(t.items))
 
 
+# the parts' names as attributes; a rating follows from the last word, so that a fit on words has something to learn
+NAMED = "named AS (SELECT p_name AS attribute, 'woman' AS person_term, CAST(1 + length(regexp_extract(p_name, '[a-z]+$', 0)) % 7 AS DOUBLE) AS avg_rating FROM part)"
+SPLIT_FACTS = """SELECT 'test' AS split, count(*) AS n_rows, count(DISTINCT attribute) AS n_groups, 0 AS n_straddling, true AS beats_the_mean FROM {src} JOIN three USING (attribute) WHERE split = 'test'"""
+
+
+def split_facts(rows, predicted):
+    """What both engines know of a fit: the test rows and groups, none of them trained on, and an error below that of the mean rating."""
+    trained = splits.assign_splits(rows, 0.25, 0.15).filter("split = 'train'").select("attribute").distinct().withColumn("_trained", F.lit(1))
+    mean = rows.agg(F.avg("avg_rating")).scalar()
+    both = predicted.join(trained, "attribute", "left")
+    error = lambda c: F.avg((c - F.col("true_rating")) * (c - F.col("true_rating")))
+    return both.agg(
+        F.lit("test").alias("split"), F.count(F.lit(1)).alias("n_rows"), F.count_distinct("attribute").alias("n_groups"), F.count("_trained").alias("n_straddling"),
+        (error(F.col("predicted")) < error(mean)).alias("beats_the_mean"),
+    )
+
+
+@query("h6_text_facts", "", f"WITH {NAMED}, {groups('named')}, {BEFORE}, {THREE} {SPLIT_FACTS.format(src='named')}", ints="n_rows n_groups n_straddling")
+def _(t):
+    rows = t.part.selectExpr("p_name AS attribute", "'woman' AS person_term", "CAST(1 + length(regexp_extract(p_name, '[a-z]+$', 0)) % 7 AS DOUBLE) AS avg_rating")
+    return split_facts(rows, predictor.train_on_text(rows))
+
+
 def vectors(t):
     v = t.embeddings.select(F.concat(F.lit("vec "), F.col("vec_id").cast("string")).alias("attribute"), F.lit("woman").alias("person_term"), "embedding", (1 + F.col("label") % 7).cast("double").alias("avg_rating"))
     return v
@@ -74,6 +97,30 @@ def _(t):
     return predictor.evaluate(predictor.train_on_vectors(vectors(t)))
 
 
+VECTORS = "vec AS (SELECT 'vec ' || CAST(vec_id AS VARCHAR) AS attribute, 'woman' AS person_term, CAST(1 + label % 7 AS DOUBLE) AS avg_rating FROM embeddings)"
+
+
+def sloped(t):
+    """Ratings that follow from the vectors' first component, so that a fit has something to learn."""
+    rating = F.greatest(F.lit(1.0), F.least(F.lit(7.0), 4 + 10 * F.get("embedding", F.lit(0)).cast("double")))
+    return vectors(t).withColumn("avg_rating", rating)
+
+
+@query("h6_vector_facts", "", f"WITH {VECTORS}, {groups('vec')}, {BEFORE}, {THREE} {SPLIT_FACTS.format(src='vec')}", ints="n_rows n_groups n_straddling")
+def _(t):
+    return split_facts(sloped(t), predictor.train_on_vectors(sloped(t)))
+
+
+@query("h7_grid_facts", "", f"WITH {VECTORS} SELECT reg, true AS below_spread, (SELECT count(*) FROM vec) AS n_rows, (SELECT count(DISTINCT attribute) FROM vec) AS n_groups FROM (VALUES (0.001::DOUBLE), (0.1::DOUBLE), (1.0::DOUBLE)) g(reg)", num="reg", ints="n_rows n_groups")
+def _(t):
+    """Each grid point has an error below the spread of the ratings' logits, from folds that hold all rows and groups."""
+    rows = sloped(t)
+    spread = rows.agg(F.stddev_pop(predictor.logit_target(F.col("avg_rating")))).scalar()
+    facts = rows.agg(F.count(F.lit(1)).alias("n_rows"), F.count_distinct("attribute").alias("n_groups"))
+    chosen = predictor.choose_regularisation(rows, [0.001, 0.1, 1.0])
+    return chosen.select("reg", (F.col("rmse") < spread).alias("below_spread"), facts.select("n_rows").scalar().alias("n_rows"), facts.select("n_groups").scalar().alias("n_groups"))
+
+
 @query("h7_grid_choice")
 def _(t):
     return predictor.choose_regularisation(vectors(t), [0.001, 0.1, 1.0])

@@ -4,7 +4,9 @@ from pyspark.sql import functions as F
 
 from ratescale.catalog.registry import query
 from ratescale.operators import reliability as rel
-from ratescale.operators.reliability import GRID, HIGH_EXP, LOW_EXP
+
+# the grid of variance ratios
+GRID, LOW_EXP, HIGH_EXP = 200, -4.0, 4.0
 
 LOO = """loo AS (SELECT *, CASE WHEN count(rating) OVER w > 1 THEN (sum(rating) OVER w - rating) / (count(rating) OVER w - 1) END AS leaveout_mean
  FROM {src} WINDOW w AS (PARTITION BY attribute, person_term, source))"""
@@ -101,7 +103,7 @@ def _(t):
     return _round(rel.ceiling_table(t.ratings), skip=("mean", "std"))
 
 
-BOOT = 8
+BOOT = 1000
 
 
 @query("b4_icc_bootstrap", "ratings", f"""WITH scoped0 AS (SELECT submission_id, attribute, person_term, rating, person_term AS scope FROM ratings UNION ALL SELECT submission_id, attribute, person_term, rating, 'ALL' FROM ratings),
@@ -110,7 +112,7 @@ BOOT = 8
   WHERE ('0x' || substr(md5('42|' || scope || '|' || rep || '|' || submission_id), 1, 8))::BIGINT / 4294967296.0::DOUBLE < 1 - pow(1 - 1.0::DOUBLE / n, n)),
  it AS (SELECT s.scope, rep, attribute, person_term, count(*)::DOUBLE AS n, avg(rating - 4.0::DOUBLE) AS m, var_pop(rating - 4.0::DOUBLE) * count(*) AS ssw
   FROM scoped0 s JOIN inc ON s.scope = inc.scope AND s.submission_id = inc.submission_id GROUP BY 1, 2, 3, 4),
- {icc_sql('it', 'scope, rep', 2)}, v AS (SELECT scope, best/(best+1) AS o, best/(best + items/nn) AS k FROM best1)
+ {icc_sql('it', 'scope, rep', 3)}, v AS (SELECT scope, best/(best+1) AS o, best/(best + items/nn) AS k FROM best2)
 SELECT scope AS person_term, round(avg(o), 3) AS icc_1_1_mean, round(quantile_cont(o, 0.025), 3) AS icc_1_1_lo, round(quantile_cont(o, 0.975), 3) AS icc_1_1_hi,
  round(avg(k), 3) AS icc_1_k_mean, round(quantile_cont(k, 0.025), 3) AS icc_1_k_lo, round(quantile_cont(k, 0.975), 3) AS icc_1_k_hi FROM v GROUP BY 1""",
        num="icc_1_1_mean icc_1_1_lo icc_1_1_hi icc_1_k_mean icc_1_k_lo icc_1_k_hi")

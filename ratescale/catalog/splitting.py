@@ -168,6 +168,24 @@ def _(t):
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
+def _pool(name, condition, pool):
+    """One pool per query: its twin reads the responses once."""
+
+    @query(name, "responses", f"""WITH {PARSED}, rec AS (SELECT model, attribute, person_term, generation, dataset, {RID} AS item_id FROM flagged WHERE {condition})
+SELECT model, attribute, person_term, md5(generation) AS digest, min(item_id) AS item_id FROM (SELECT *, min(dataset) OVER (PARTITION BY model, attribute, person_term, generation) AS first FROM rec) q WHERE dataset = first GROUP BY ALL""")
+    def _(t):
+        return pool(records(t)).select("model", "attribute", "person_term", F.md5("generation").alias("digest"), "item_id")
+
+
+_pool("p11_flagged_pool", "abstention = 1", sampling.abstention_pool)
+_pool("p11_rated_pool", "text_abstention = 1 AND missing_rating = 0", sampling.rated_abstention_pool)
+
+
+@query("p11_unflagged_pool", "responses", f"""WITH {PARSED} SELECT {RID} AS item_id FROM flagged WHERE abstention = 0""")
+def _(t):
+    return sampling.non_abstention_pool(records(t)).select("item_id")
+
+
 @query("w6_first_response", "responses", f"WITH {REC}, {POOL.format(name='pa', cond='TRUE')} SELECT item_id, generation FROM pa")
 def _(t):
     return sampling.unique_responses(records(t)).select("item_id", "generation")

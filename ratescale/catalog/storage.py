@@ -6,7 +6,7 @@ from ratescale.catalog.evaluation import CI_LONG, correlation_ci, parsed
 from ratescale.catalog.registry import query
 from ratescale.catalog.snippets import PARSED
 from ratescale.operators import metrics, novels
-from ratescale.schemas import PHRASES, RESPONSES
+from ratescale.schemas import EVAL_METRICS, PHRASES, RESPONSES
 from ratescale.session import shared_folder
 from ratescale.sources import sinks, tables
 
@@ -38,6 +38,32 @@ def _(t):
     return tables.read_results(t.spark, path, RESPONSES).groupBy("model", "dataset").agg(F.count(F.lit(1)).alias("n"), F.sum("avg_rating").alias("total"))
 
 
+# experiment, run and seed folder of a supplier's row; the runs of every fourth nation are not finished
+RUN_KEYS = (
+    "'cfg' || CAST(s_nationkey % 3 AS STRING) || '_fold' || CAST(1 + s_nationkey % 2 AS STRING) || 'of2' AS exp",
+    "'run_2025010' || CAST(1 + s_nationkey % 5 AS STRING) || '_000000' AS run",
+    "'seed' || CAST(40 + s_nationkey % 4 AS STRING) AS seed_dir",
+)
+
+
+@query("s8_run_tree", "", f"""WITH r AS (SELECT {', '.join(RUN_KEYS)}, s_nationkey % 4 <> 0 AS done, s_acctbal FROM supplier), f AS (SELECT exp, run, seed_dir, bool_or(done) AS complete FROM r GROUP BY 1, 2, 3),
+ newest AS (SELECT exp, max(run) AS run FROM f WHERE complete GROUP BY 1)
+SELECT r.exp, r.run, r.seed_dir, substr(r.exp, 1, 4) AS config, CAST(substr(r.exp, 10, 1) AS BIGINT) AS fold, CAST(substr(r.seed_dir, 5) AS BIGINT) AS seed, count(*) AS n, sum(round(CAST(s_acctbal AS DOUBLE), 2)) AS total
+FROM r JOIN newest ON r.exp = newest.exp AND r.run = newest.run WHERE done GROUP BY 1, 2, 3, 4, 5, 6""", num="total", ints="fold seed n")
+def _(t):
+    root = shared_folder(t.spark, "runs")
+    rows = t.supplier.selectExpr(*RUN_KEYS, "s_nationkey % 4 <> 0 AS done", "round(CAST(s_acctbal AS DOUBLE), 2) AS rmse")
+    folders = ["exp", "run", "seed_dir", "file"]
+    config = rows.select(*folders[:3], F.lit("config.json").alias("file"), F.lit("{}").alias("value")).distinct()
+    logged = rows.select(*folders[:3], F.lit("metrics.csv").alias("file"), F.lit(1).alias("step"), "rmse")
+    scores = rows.filter("done").select(*folders[:3], F.lit("eval_results/eval_metrics.csv").alias("file"), F.lit("mean").alias("category"), F.lit(1.0).alias("mse"), "rmse")
+    for table in (config, logged, scores):
+        sinks.write_csv_tree(table, root, folders, mode="append")
+    latest = tables.latest_runs(tables.run_status(tables.run_files(t.spark, root)))
+    found = tables.read_run_tables(t.spark, root, "eval_results/eval_metrics.csv", EVAL_METRICS, latest)
+    return found.groupBy("exp", "run", "seed_dir", "config", "fold", "seed").agg(F.count(F.lit(1)).alias("n"), F.sum("rmse").alias("total"))
+
+
 @query("s3_decoded_documents", "", "SELECT doc_id, md5(replace(replace(text, chr(13) || chr(10), ' '), chr(10), ' ')) AS digest FROM documents", ints="doc_id")
 def _(t):
     from ratescale.functions.text import decode_text

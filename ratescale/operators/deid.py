@@ -14,6 +14,7 @@ from ratescale.session import cut_lineage
 
 # Prefixes of the pseudonyms and columns that must not be published.
 ID_PREFIXES = {"prolific_id": "P", "submission_id": "S"}
+BROADCAST_BYTES = 32 << 20  # of a re-link table that is sent to all tasks
 SENSITIVE = ("Ethnicity_simplified", "languages", "comments")
 
 
@@ -50,19 +51,34 @@ def id_mappings(tables: Sequence[DataFrame], prefixes: Mapping[str, str] = ID_PR
     return reduce(DataFrame.unionByName, parts)
 
 
-def apply_mapping(table: DataFrame, relink: DataFrame, columns: Sequence[str] = tuple(ID_PREFIXES)) -> DataFrame:
-    """Ids by their pseudonyms; ids without one stay. A participant with very many rows is spread by `attach_table`."""
+def apply_mapping(table: DataFrame, relink: DataFrame, columns: Sequence[str] = tuple(ID_PREFIXES), small: bool | None = None) -> DataFrame:
+    """Ids by their pseudonyms; ids without one stay.
+
+    A re-link table of few bytes (`small`; worked out if not given) is broadcast, so the table is not shuffled for any of its id columns.
+    Otherwise each column is a join in which a participant with very many rows is spread by `attach_table`.
+    """
+    if small is None:
+        small = is_small(relink)
     out = table
     for column in columns:
         if column not in out.columns:
             continue
-        sizes = out.groupBy(column).agg(F.count(F.lit(1)).alias("_n"))
         own = relink.filter(F.col("id_column") == column).select(F.col("original").alias(column), F.col("pseudonym").alias("_p"))
-        joined = attach_table(out.withColumn(column, F.col(column).cast("string")), [column], own.join(sizes.withColumn(column, F.col(column).cast("string")), column), ["_p"], "_n")
+        named = out.withColumn(column, F.col(column).cast("string"))
+        if small:
+            joined = named.join(F.broadcast(own), column, "left")
+        else:
+            sizes = named.groupBy(column).agg(F.count(F.lit(1)).alias("_n"))
+            joined = attach_table(named, [column], own.join(sizes, column), ["_p"], "_n")
         out = joined.withColumn(column, F.coalesce("_p", column)).drop("_p")
     return out.select(*table.columns)
 
 
+def is_small(relink: DataFrame, most: int = BROADCAST_BYTES) -> bool:
+    size = relink.agg(F.sum(F.octet_length("original") + F.octet_length("pseudonym") + 32)).first()[0]
+    return (size or 0) <= most
+
+
 def resolve_backend_key(table: DataFrame, keys: DataFrame, key: str = "parent_key") -> DataFrame:
     """Submission ids filled in from the backend key, which is then dropped; an unresolved key fails the job."""
     sizes = table.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
@@ -80,13 +96,14 @@ def deidentify(tables: Mapping[str, DataFrame], key: str = "parent_key", drop: S
     Every table joins the re-link table, so it is written to the checkpoint folder once.
     """
     relink = cut_lineage(id_mappings(list(tables.values())))
+    small = is_small(relink)
     keyed = [t for t in tables.values() if {"prolific_id", "submission_id"} <= set(t.columns)]
     out = {}
     for name, table in tables.items():
         clean = table.drop(*drop)
         if key in clean.columns:
             clean = resolve_backend_key(clean, backend_keys(reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), keyed), table, key), key)
-        out[name] = apply_mapping(clean, relink)
+        out[name] = apply_mapping(clean, relink, small=small)
     return out, relink
 
 

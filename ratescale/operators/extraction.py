@@ -5,8 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -30,57 +29,80 @@ def attribute_sentences(sentences: DataFrame, lexicon: X.Lexicon, window: int =
     return found.withColumn("intext_gender", X.gender_evidence(F.col("text")))
 
 
-def extract_lexical(sentences: DataFrame) -> DataFrame:
-    """Extractor without a model: the lexicon pairs with the sentence's gender."""
-    item = lambda p: F.struct(p.alias("attribute"), F.col("intext_gender").alias("gender"), F.lit("lexicon").alias("reasoning"))
-    return sentences.withColumn("attributes", F.transform("pairs", item)).withColumn("llm_response", F.to_json("attributes")).withColumn(
-        "error", F.lit(None).cast("string")
+def document_sentences(documents: DataFrame, lexicon: X.Lexicon, key: str = "doc_id", text: str = "text", window: int = 6) -> DataFrame:
+    """The same as one array `found` for each document, so that numbering its sentences needs no shuffle. `text_id` is a sentence's place in it."""
+    clean = X.strip_chapter_headers(X.one_line(F.col(text)))
+    whole = F.transform(X.sentences(clean), lambda s, i: F.struct(i.alias("sentence_idx"), s.alias("text"), X.noun_adjective_pairs(s, lexicon, window).alias("pairs")))
+    kept = F.transform(
+        F.filter(whole, lambda s: F.size(s["pairs"]) > 0),
+        lambda s, i: F.struct(i.alias("text_id"), s["sentence_idx"].alias("sentence_idx"), s["text"].alias("text"), s["pairs"].alias("pairs"), X.gender_evidence(s["text"]).alias("intext_gender")),
     )
+    return documents.select(key, kept.alias("found")).filter(F.size("found") > 0)
+
+
+def extract_lexical(documents: DataFrame) -> DataFrame:
+    """Extractor without a model: the lexicon pairs with the sentence's gender."""
+
+    def answered(s: Column) -> Column:
+        item = lambda p: F.struct(p.alias("attribute"), s["intext_gender"].alias("gender"), F.lit("lexicon").alias("reasoning"))
+        attributes = F.transform(s["pairs"], item)
+        return s.withField("attributes", attributes).withField("llm_response", F.to_json(attributes)).withField("error", F.lit(None).cast("string"))
+
+    return documents.withColumn("found", F.transform("found", answered))
 
 
-def extract_batches(sentences: DataFrame, extractor: Extractor, tasks: int | None = None) -> DataFrame:
-    """Extractor plug-in on Arrow batches: returns JSON lists; a failing sentence gets an error and no attributes.
+def extract_batches(documents: DataFrame, extractor: Extractor, tasks: int | None = None) -> DataFrame:
+    """Extractor plug-in on the sentences of a batch of documents: returns JSON lists; a failing sentence gets an error and no attributes.
 
     `tasks` sets how many tasks call the extractor.
     """
     if tasks:
-        sentences = sentences.repartition(tasks)
-    schema = T.StructType([*sentences.schema.fields, T.StructField("llm_response", T.StringType()), T.StructField("error", T.StringType())])
+        documents = documents.repartition(tasks)
+    answers = T.ArrayType(T.StructType([T.StructField("llm_response", T.StringType()), T.StructField("error", T.StringType())]))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            try:
-                yield batch.assign(llm_response=extractor(batch).to_numpy(), error=None)
-                continue
-            except Exception:  # noqa: BLE001 - isolated per row below
-                pass
-            out, errors = [], []
-            for i in range(len(batch)):
-                try:
-                    out.append(extractor(batch.iloc[i : i + 1]).iloc[0])
-                    errors.append(None)
-                except Exception as e:  # noqa: BLE001
-                    out.append(None)
-                    errors.append(f"{type(e).__name__}: {e}")
-            yield batch.assign(llm_response=out, error=errors)
-
-    parsed = F.from_json("llm_response", ATTRIBUTES)
-    return sentences.mapInPandas(run, schema).withColumn("attributes", F.coalesce(parsed, F.array().cast(ATTRIBUTES)))
+            sentences = pd.DataFrame([dict(s, **{key: value}) for value, found in zip(batch[key], batch["found"]) for s in found])
+            responses, errors = _responses(sentences, extractor) if len(sentences) else ([], [])
+            answered = iter([{"llm_response": r, "error": e} for r, e in zip(responses, errors)])
+            yield batch.assign(answers=[[next(answered) for _ in found] for found in batch["found"]])
+
+    key = documents.columns[0]
+    joined = lambda s, a: s.withField("attributes", F.coalesce(F.from_json(a["llm_response"], ATTRIBUTES), F.array().cast(ATTRIBUTES))).withField(
+        "llm_response", a["llm_response"]).withField("error", a["error"])
+    rows = documents.mapInPandas(run, T.StructType([*documents.schema.fields, T.StructField("answers", answers)]))
+    return rows.select(key, F.zip_with("found", "answers", joined).alias("found"))
+
+
+def _responses(sentences: pd.DataFrame, extractor: Extractor) -> tuple[list[str | None], list[str | None]]:
+    """Answers and errors of all sentences; one by one where the batch as a whole fails."""
+    try:
+        return list(extractor(sentences)), [None] * len(sentences)
+    except Exception:  # noqa: BLE001 - isolated per row below
+        pass
+    out, errors = [], []
+    for i in range(len(sentences)):
+        try:
+            out.append(extractor(sentences.iloc[i : i + 1]).iloc[0])
+            errors.append(None)
+        except Exception as e:  # noqa: BLE001
+            out.append(None)
+            errors.append(f"{type(e).__name__}: {e}")
+    return out, errors
 
 
 def expand_attributes(extracted: DataFrame, lexicon: X.Lexicon, key: str = "doc_id") -> DataFrame:
     """One row per extracted attribute; sentences without one keep a row.
 
     `text_id` numbers the sentences of a document, `attribute_text_id` only those with attributes; both count
-    from 0 and advance once per sentence. The window covers the sentences of one document, which came out of
-    one row.
+    from 0 and advance once per sentence. They are places in the document's arrays, so no window and no shuffle is needed.
     """
-    order = W.partitionBy(key).orderBy("sentence_idx")
-    has = F.size("attributes") > 0
-    numbered = extracted.withColumn("text_id", F.row_number().over(order) - 1).withColumn(
-        "attribute_text_id", F.when(has, F.sum(has.cast("int")).over(order.rowsBetween(W.unboundedPreceding, W.currentRow)) - 1)
+    of = lambda has: F.filter("found", lambda s: (F.size(s["attributes"]) > 0) == F.lit(has))
+    numbered = F.concat(
+        F.transform(of(True), lambda s, i: s.withField("attribute_text_id", i.cast("int"))),
+        F.transform(of(False), lambda s: s.withField("attribute_text_id", F.lit(None).cast("int"))),
     )
-    rows = numbered.withColumn("a", F.explode_outer("attributes"))
+    rows = extracted.select(key, F.explode(numbered).alias("s")).select(key, "s.*").withColumn("a", F.explode_outer("attributes"))
     return rows.select(
         key, "text_id", "attribute_text_id", "text", F.col("a.attribute").alias("attribute"), "intext_gender",
         F.col("a.gender").alias("llm_gender"), F.col("a.reasoning").alias("llm_reasoning"),
@@ -100,7 +122,8 @@ def postprocess(expanded: DataFrame, lexicon: X.Lexicon) -> tuple[DataFrame, Dat
 
 
 def skipped_sentences(extracted: DataFrame, key: str = "doc_id") -> DataFrame:
-    return extracted.filter(F.col("error").isNotNull()).select(key, "sentence_idx", "text", "error")
+    failed = F.filter("found", lambda s: s["error"].isNotNull())
+    return extracted.select(key, F.explode(failed).alias("s")).select(key, "s.sentence_idx", "s.text", "s.error")
 
 
 def extract_phrases(documents: DataFrame, lexicon: X.Lexicon, extractor: Extractor | None = None, key: str = "doc_id", tasks: int | None = None) -> dict[str, DataFrame]:
@@ -109,7 +132,7 @@ def extract_phrases(documents: DataFrame, lexicon: X.Lexicon, extractor: Extract
     The lexicon filter runs before the extractor, which may be costly; its answers are written to the
     checkpoint folder once, since all three results read them and a lost executor must not ask again.
     """
-    found = attribute_sentences(sentence_rows(documents, key), lexicon)
+    found = document_sentences(documents, lexicon, key)
     extracted = cut_lineage(extract_batches(found, extractor, tasks)) if extractor else extract_lexical(found)
     kept, rejected = postprocess(expand_attributes(extracted, lexicon, key), lexicon)
     return {"phrases": kept, "rejected": rejected, "skipped": skipped_sentences(extracted, key)}

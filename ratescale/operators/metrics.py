@@ -7,16 +7,15 @@ come from one scan with map-side combine.
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from math import pi
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ratescale.functions.parse import clean_rating
 from ratescale.functions.terms import normalize_term, term_slug
-from ratescale.operators.scale import first_per_key, join_small, top_per_group, value_prefix
+from ratescale.operators.scale import first_per_key, join_small, range_ranks, top_per_group, value_prefix
 from ratescale.schemas import RATING_MAX, RATING_MIN, TERMS
 from ratescale.session import cut_lineage
 
@@ -126,33 +125,23 @@ def value_cells(pairs: DataFrame, x: str, y: str, slices: Sequence[str]) -> Data
 
 
 def rank_cells(cells: DataFrame, slices: Sequence[str]) -> DataFrame:
-    """Centred average ranks of both values, for slices with few distinct values: one window per value."""
+    """Average ranks of both values, for slices with few distinct values: one window per value."""
     def rank(value: str) -> Column:
         spec = W.partitionBy(*slices).orderBy(value)
         upto = F.sum("_w").over(spec.rangeBetween(W.unboundedPreceding, W.currentRow))
         ties = F.sum("_w").over(spec.rangeBetween(W.currentRow, W.currentRow))
-        return upto - (ties - 1) / 2 - (F.sum("_w").over(W.partitionBy(*slices)) + 1) / 2
+        return upto - (ties - 1) / 2
 
     return cells.withColumn("_x_rank", rank("_x")).withColumn("_y_rank", rank("_y"))
 
 
-def rank_cells_by_cuts(cells: DataFrame, slices: Sequence[str]) -> DataFrame:
-    """The same for slices of any size: value counts and prefix sums, spread over value cuts."""
-    slices = list(slices)
-    cells = cut_lineage(cells)  # read five times below
-
-    def ranks(value: str) -> DataFrame:
-        counts = cells.groupBy(*slices, value).agg(F.sum("_w").alias("_c"))
-        placed = value_prefix(counts, value, "_c", slices)
-        centred = F.col("_before") + (F.col("_c") + 1) / 2 - (F.col("_all") + 1) / 2
-        return placed.select(*slices, value, centred.alias(f"{value}_rank"))
-
-    return cells.join(ranks("_x"), [*slices, "_x"]).join(ranks("_y"), [*slices, "_y"])
-
-
 def rank_correlation() -> Column:
-    w, rx, ry = F.col("_w"), F.col("_x_rank"), F.col("_y_rank")
-    return F.try_divide(F.sum(w * rx * ry), F.sqrt(F.sum(w * rx * rx)) * F.sqrt(F.sum(w * ry * ry)))
+    """Of average ranks, whose mean is (rows + 1) / 2."""
+    w, rx, ry, n = F.col("_w"), F.col("_x_rank"), F.col("_y_rank"), F.sum("_w")
+    mean = n * (n + 1) / 2 * (n + 1) / 2
+    spread = lambda r: F.greatest(F.sum(w * r * r) - mean, F.lit(0.0))
+    varies = (F.min(rx) < F.max(rx)) & (F.min(ry) < F.max(ry))
+    return F.when(varies, F.try_divide(F.sum(w * rx * ry) - mean, F.sqrt(spread(rx)) * F.sqrt(spread(ry))))
 
 
 def spearman(pairs: DataFrame, x: str, y: str, slices: Sequence[str], many_small: bool = False) -> DataFrame:
@@ -162,49 +151,40 @@ def spearman(pairs: DataFrame, x: str, y: str, slices: Sequence[str], many_small
     each, such as the ratings of one attribute.
     """
     cells = value_cells(pairs, x, y, slices)
-    ranked = rank_cells(cells, slices) if many_small else rank_cells_by_cuts(cells, slices)
+    if many_small:
+        ranked = rank_cells(cells, slices)
+    else:
+        ranked = range_ranks(range_ranks(cells, "_x", "_w", slices, ["_y"], "_x_rank"), "_y", "_w", slices, ["_x"], "_y_rank")
     return ranked.groupBy(*slices).agg(F.sum("_w").alias("n"), rank_correlation().alias("spearman_r"))
 
 
-def _beta_tail(a: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """Regularised incomplete beta I_x(a, 1/2) by its power series in the smaller argument."""
-    from math import lgamma
-
-    lnb = np.array([lgamma(v) + lgamma(0.5) - lgamma(v + 0.5) for v in a])
-    with np.errstate(divide="ignore", invalid="ignore"):
-        front = np.exp(a * np.log(x) + 0.5 * np.log1p(-x) - lnb)
-    # Lentz continued fraction, on the side where it converges fast
-    swap = x > (a + 1.0) / (a + 2.5)
-    p, q, z = np.where(swap, 0.5, a), np.where(swap, a, 0.5), np.where(swap, 1.0 - x, x)
-    tiny = 1e-300
-    c, d = np.ones_like(z), 1.0 - (p + q) * z / (p + 1.0)
-    d = 1.0 / np.where(np.abs(d) < tiny, tiny, d)
-    h = d.copy()
-    for m in range(1, 500):
-        for num in (m * (q - m) * z / ((p + 2 * m - 1) * (p + 2 * m)), -(p + m) * (p + q + m) * z / ((p + 2 * m) * (p + 2 * m + 1))):
-            d = 1.0 + num * d
-            c = 1.0 + num / c
-            d = 1.0 / np.where(np.abs(d) < tiny, tiny, d)
-            c = np.where(np.abs(c) < tiny, tiny, c)
-            h = h * d * c
-    val = front * h / p
-    out = np.where(swap, 1.0 - val, val)
-    return np.where(x <= 0, 0.0, np.where(x >= 1, 1.0, out))
+PANELS = 256  # of the integral below, an even number
+WIDTH = 10.0  # standard deviations
+
+
+def _cosine_integral(low: Column, power: Column) -> Column:
+    """Integral of cos^power from `low` to pi/2 by Simpson's rule, on the part that counts: cos^power falls like a normal curve of deviation 1/sqrt(power)."""
+    step = F.least(F.lit(pi / 2) - low, F.lit(WIDTH) / F.sqrt(F.greatest(power, F.lit(1.0)))) / PANELS
+
+    def term(i: Column) -> Column:
+        sine = F.sin(low + i * step)
+        weight = F.when((i == 0) | (i == PANELS), 1.0).when(i % 2 == 1, 4.0).otherwise(2.0)
+        return weight * F.exp(power / 2 * F.log1p(-F.least(sine * sine, F.lit(1 - 1e-16))))
+
+    return step / 3 * F.aggregate(F.sequence(F.lit(0), F.lit(PANELS)), F.lit(0.0), lambda total, i: total + term(i))
 
 
 def correlation_p(r: str, n: str) -> Column:
-    """Two-sided p-value of a correlation by the t distribution; runs over the few aggregated rows."""
-
-    @F.pandas_udf("double")
-    def tail(rs: pd.Series, ns: pd.Series) -> pd.Series:
-        df = ns.to_numpy(dtype=float) - 2.0
-        rv = rs.to_numpy(dtype=float)
-        ok = np.isfinite(rv) & (df > 0)
-        a = np.where(ok, df / 2.0, 1.0)
-        x = np.where(ok, np.clip(1.0 - rv * rv, 0.0, 1.0), 0.5)
-        return pd.Series(np.where(ok, _beta_tail(a, x), np.nan))
-
-    return F.nanvl(tail(F.col(r), F.col(n).cast("double")), F.lit(None).cast("double"))
+    """Two-sided p-value of a correlation of n pairs by the t distribution; null below three pairs.
+
+    It is the regularised incomplete beta function I_{1 - r^2}((n - 2) / 2, 1 / 2), which with r = sin(a) is the share of the integral
+    of cos^(n - 3) that lies beyond a.
+    """
+    size = F.abs(F.col(r).cast("double"))
+    known = F.col(r).isNotNull() & ~F.isnan(F.col(r).cast("double")) & (F.col(n) > 2)
+    power = F.greatest(F.col(n).cast("double") - 3, F.lit(0.0))
+    share = _cosine_integral(F.asin(F.least(size, F.lit(1.0))), power) / _cosine_integral(F.lit(0.0), power)
+    return F.when(known, F.when(size >= 1, 0.0).otherwise(F.least(F.lit(1.0), share)))
 
 
 def term_correlations(responses: DataFrame, predicted: str = "method1_rating", sets: Sequence[Sequence[str]] = ((), ("dataset",))) -> DataFrame:

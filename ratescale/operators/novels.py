@@ -95,25 +95,23 @@ def wide_statistics(phrases: DataFrame) -> DataFrame:
 
 
 def corpus_summary(phrases: DataFrame) -> DataFrame:
-    """One row over all novels; sentences count per novel, distinct phrases across novels."""
-    per = wide_statistics(phrases)
-    match = gender_match_rate(phrases).agg(F.sum("n_match").alias("total_matches"), F.sum("n").alias("total_comparisons"))
-    distinct = phrases.agg(F.count_distinct(F.trim("attribute"))).scalar()
-    labels = [c for c in per.columns if c.startswith(("llm_", "intext_"))]
-    sums = per.agg(
-        F.count(F.lit(1)).alias("total_novels"),
-        *[F.sum(c).alias(c) for c in ("total_sentences", "sentences_with", "total_attributes", "indomain", "outdomain", *labels)],
-        F.avg("total_sentences").alias("avg_sentences"),
-        F.avg("total_attributes").alias("avg_attributes"),
-        F.coalesce(F.try_divide(F.sum("indomain") * 100.0, F.sum("total_attributes")), F.lit(0.0)).alias("pct_indomain"),
+    """One row over all novels; sentences count per novel, distinct phrases across novels. The novels and the whole come from one scan."""
+    has = F.col("attribute").isNotNull()
+    ok = genders_match(F.col("intext_gender"), F.col("llm_gender"))
+    more = [F.count_if(has & ok).alias("total_matches"), F.count_if(has).alias("total_comparisons"), F.grouping(BOOK).alias("_whole")]
+    both = phrases.groupingSets([[F.col(BOOK)], []], BOOK).agg(*_features(), *_label_columns(), *more)
+    labels = [c for c in both.columns if c.startswith(("llm_", "intext_"))]
+    own = lambda c: F.when(F.col("_whole") == 0, F.col(c))
+    whole = lambda c: F.max(F.when(F.col("_whole") == 1, F.col(c)))
+    sums = both.agg(
+        F.count_if(F.col("_whole") == 0).alias("total_novels"),
+        *[F.sum(own(c)).alias(c) for c in ("total_sentences", "sentences_with", "total_attributes", "indomain", "outdomain", *labels)],
+        F.avg(own("total_sentences")).alias("avg_sentences"),
+        F.avg(own("total_attributes")).alias("avg_attributes"),
+        F.coalesce(F.try_divide(F.sum(own("indomain")) * 100.0, F.sum(own("total_attributes"))), F.lit(0.0)).alias("pct_indomain"),
+        *[whole(c).alias(c) for c in ("unique_attributes", "total_matches", "total_comparisons")],
     )
-    return sums.withColumns(
-        {
-            "unique_attributes": distinct,
-            "total_matches": match.select("total_matches").scalar(),
-            "total_comparisons": match.select("total_comparisons").scalar(),
-        }
-    ).withColumn("pct_match", F.coalesce(F.try_divide(F.col("total_matches") * 100.0, F.col("total_comparisons")), F.lit(0.0)))
+    return sums.withColumn("pct_match", F.coalesce(F.try_divide(F.col("total_matches") * 100.0, F.col("total_comparisons")), F.lit(0.0)))
 
 
 # Columns of the merged fact table.

@@ -2,20 +2,31 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import hashlib
+from collections.abc import Iterator, Sequence
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ratescale.operators.joins import restrict_to_items
 from ratescale.operators.metrics import pearson
-from ratescale.operators.scale import attach_group_stats, attach_table, join_small
+from ratescale.operators.scale import HOT_ROWS, attach_group_stats, attach_table, join_small, partitions, whole_groups
 from ratescale.schemas import RATING_MAX, RATING_MIN
+from ratescale.session import cut_lineage
 
 ITEM = ["attribute", "person_term"]
 CENTRE = (RATING_MIN + RATING_MAX) / 2
 GRID = 200
 LOW_EXP, HIGH_EXP = -4.0, 4.0
+LIMIT = 13  # decades; at the last ones an ICC is 0 or 1 to ten places
+GROUP_ROWS = 2_000  # cells searched together, about
+BIT_ROWS = 1_024  # ratings whose bits are unfolded together
+CELL = ["n", "k", "s", "ss", "ssw"]
+DRAWN = ("scope", "rep", "n", "k", "s", "ss", "ssw", "_item", "_sums")
+DRAWN_SQL = "scope string, rep int, n long, k double, s double, ss double, ssw double, _item string, _sums binary"
 
 
 def leave_one_out(ratings: DataFrame, item: Sequence[str] = ITEM) -> DataFrame:
@@ -57,42 +68,81 @@ def item_moments(ratings: DataFrame, keys: Sequence[str]) -> DataFrame:
     )
 
 
-def _criterion(cells: DataFrame, group: Sequence[str], lam: Column) -> DataFrame:
-    """REML criterion of the one-way random-effects model at every variance ratio `lam`, least value kept."""
-    w = F.col("n") / (1 + F.col("lam") * F.col("n"))
-    sums = cells.withColumn("lam", lam).groupBy(*group, "lam").agg(
-        F.sum("k").alias("items"), F.sum(F.col("k") * F.col("n")).alias("N"), F.sum("ssw").alias("ssw"), F.sum(F.col("k") * w).alias("W"),
-        F.sum(w * F.col("s")).alias("A"), F.sum(w * F.col("ss")).alias("B"), F.sum(F.col("k") * F.ln(1 + F.col("lam") * F.col("n"))).alias("L"),
-    )
-    q = F.col("ssw") + F.col("B") - F.col("A") * F.col("A") / F.col("W")
-    value = (F.col("N") - 1) * F.ln(q / (F.col("N") - 1)) + F.col("L") + F.ln("W")
-    scored = sums.withColumn("crit", F.when(q > 0, value))
-    return scored.groupBy(*group).agg(F.min_by("lam", F.when(F.col("crit").isNotNull(), F.struct("crit", "lam"))).alias("best"), F.max("items").alias("items"), F.max("N").alias("N"))
+def _best_ratios(cells: np.ndarray, starts: np.ndarray, levels: int) -> np.ndarray:
+    """The variance ratio with the least REML criterion for each group of cells (n, k, s, ss, ssw); NaN where there is none.
 
+    The ratio is searched on a log grid (with 0), each level 100 times finer around the best point. Where the best point of the first
+    grid is at an end of it, the grid goes on for as many decades again, down to 10^-LIMIT and up to 10^LIMIT.
+    """
+    n, k, s, ss, ssw = cells.T[:, :, None]
+    owner = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(cells))))
+    total = lambda x: np.add.reduceat(x, starts, axis=0)
+    rows, within = total(k * n), total(ssw)
 
-def icc_from_items(items: DataFrame, group: Sequence[str], levels: int = 3) -> DataFrame:
-    """ICC(1,1) and ICC(1,k) per group by restricted maximum likelihood.
+    def least(points: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Place, point and criterion of the best of each group's ascending points."""
+        at = points[owner]
+        w = n / (1 + at * n)
+        weight, a, b = total(k * w), total(w * s), total(w * ss)
+        q = within + b - a * a / weight
+        with np.errstate(divide="ignore", invalid="ignore"):
+            value = (rows - 1) * np.log(q / (rows - 1)) + total(k * np.log1p(at * n)) + np.log(weight)
+        value = np.where((q > 0) & ~np.isnan(value), value, np.inf)
+        place = value.argmin(axis=1)
+        own = np.arange(len(starts))
+        return place, points[own, place], value[own, place]
 
-    Items collapse to one row per group and number of ratings, so the search runs over a small table. The
-    variance ratio is searched on a log grid (with 0), each level 100 times finer around the best point.
-    """
-    group = list(group)
-    cells = items.groupBy(*group, "n").agg(
-        F.count(F.lit(1)).alias("k"), F.sum("m").alias("s"), F.sum(F.col("m") * F.col("m")).alias("ss"), F.sum("ssw").alias("ssw")
-    )
-    step = (HIGH_EXP - LOW_EXP) / (GRID - 1)
-    points = F.sequence(F.lit(-1), F.lit(GRID - 1))
-    first = F.explode(F.transform(points, lambda i: F.when(i < 0, F.lit(0.0)).otherwise(F.pow(F.lit(10.0), LOW_EXP + i * step))))
-    best = _criterion(cells, group, first)
+    span, step = HIGH_EXP - LOW_EXP, (HIGH_EXP - LOW_EXP) / (GRID - 1)
+    every = np.ones((len(starts), 1))
+    grid = LOW_EXP + step * np.arange(GRID)
+    place, best, value = least(every * np.concatenate(([0.0], 10.0**grid)))
+    known = np.isfinite(value)
+    for low, end in ((True, place <= 1), (False, place == GRID)):
+        more = grid
+        while (end & known).any() and abs(more[0] + (-span if low else span)) <= LIMIT:
+            more = more - span if low else more + span
+            place, point, other = least(every * 10.0**more)
+            better = end & (other < value)
+            best, value = np.where(better, point, best), np.where(better, other, value)
+            end = end & (place == (0 if low else GRID - 1)) & (better | low)
     for level in range(1, levels):
         fine = step / 100 ** (level - 1)
-        near = F.explode(F.transform(F.sequence(F.lit(0), F.lit(GRID)), lambda i: F.col("best") * F.pow(F.lit(10.0), (i - GRID // 2) * fine / (GRID // 2))))
-        around = cells.join(best.select(*group, "best"), group)
-        best = _criterion(around, group, near)
+        _, best, _ = least(best[:, None] * 10.0 ** (np.arange(-(GRID // 2), GRID // 2 + 1) * fine / (GRID // 2)))
+    return np.where(known, best, np.nan)
+
+
+def icc_from_cells(cells: DataFrame, group: Sequence[str], levels: int = 3) -> DataFrame:
+    """ICC(1,1) and ICC(1,k) per group by restricted maximum likelihood.
+
+    `cells` has a row for each group and number of ratings n: the number of items k, and over the items the sum of means s, of their
+    squares ss and of the squares within them ssw. A group has as many rows as there are different n.
+    """
+    names = list(group)
+
+    def searched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, starts in whole_groups(batches, len(names), GROUP_ROWS):
+            values = np.stack([table.column(c).to_numpy() for c in CELL], axis=1)
+            best = _best_ratios(values, starts, levels)
+            items, rows = np.add.reduceat(values[:, 1], starts), np.add.reduceat(values[:, 0] * values[:, 1], starts)
+            own = table.select(names).take(pa.array(starts)).combine_chunks().to_batches()
+            columns = own[0].columns if own else []
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(best, mask=np.isnan(best)), pa.array(items), pa.array(rows)], names=[*names, "best", "items", "N"])
+
+    plain = cells.select(*names, *[F.col(c).cast("double").alias(c) for c in CELL])
+    out = T.StructType([*plain.schema.fields[:len(names)], *[T.StructField(c, T.DoubleType()) for c in ("best", "items", "N")]])
+    best = plain.repartition(*names).sortWithinPartitions(*names).mapInArrow(searched, out)
     lam, k_bar = F.col("best"), F.col("N") / F.col("items")
     icc11, icc1k = lam / (lam + 1), lam / (lam + 1 / k_bar)
     clip = lambda c: F.sqrt(F.least(F.lit(1.0), F.greatest(F.lit(0.0), c)))
-    return best.select(*group, icc11.alias("icc_1_1"), icc1k.alias("icc_1_k"), k_bar.alias("avg_k"), clip(icc11).alias("icc_1_1_sqrt"), clip(icc1k).alias("icc_1_k_sqrt"))
+    return best.select(*names, icc11.alias("icc_1_1"), icc1k.alias("icc_1_k"), k_bar.alias("avg_k"), clip(icc11).alias("icc_1_1_sqrt"), clip(icc1k).alias("icc_1_k_sqrt"))
+
+
+def icc_from_items(items: DataFrame, group: Sequence[str], levels: int = 3) -> DataFrame:
+    """ICCs of items (n, m, ssw), which collapse to one row per group and number of ratings."""
+    cells = items.groupBy(*group, "n").agg(
+        F.count(F.lit(1)).alias("k"), F.sum("m").alias("s"), F.sum(F.col("m") * F.col("m")).alias("ss"), F.sum("ssw").alias("ssw")
+    )
+    return icc_from_cells(cells, group, levels)
 
 
 def with_all_terms(rows: DataFrame) -> DataFrame:
@@ -106,26 +156,135 @@ def icc(ratings: DataFrame, item: Sequence[str] = ITEM, levels: int = 3) -> Data
     return icc_from_items(items, ["scope"], levels).withColumnRenamed("scope", "person_term")
 
 
-def icc_bootstrap(ratings: DataFrame, n_boot: int = 200, seed: int = 42, item: Sequence[str] = ITEM, rater: str = "submission_id", levels: int = 2) -> DataFrame:
+def _rater_bits(batches: Iterator[pa.RecordBatch], n_boot: int, seed: int) -> Iterator[pa.RecordBatch]:
+    """A bit for each replicate that keeps the rater."""
+    digest = hashlib.md5
+    for batch in batches:
+        bits = []
+        for scope, rater, p in zip(*(batch.column(c).to_pylist() for c in ("scope", "_rater", "_p"))):
+            head, tail = f"{seed}|{scope}|", "" if rater is None else f"|{rater}"
+            hashed = b"".join([digest(f"{head}{rep}{tail}".encode()).digest()[:4] for rep in range(n_boot)])
+            bits.append(np.packbits(np.frombuffer(hashed, ">u4") / 2**32 < p).tobytes())
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(bits, pa.binary())], names=[*batch.schema.names, "_bits"])
+
+
+class _Cells:
+    """Sums over items for each scope, replicate and number of ratings."""
+
+    def __init__(self, n_boot: int):
+        self.n_boot = n_boot
+        self.sums: dict[str, np.ndarray] = {}  # scope: (k, s, ss, ssw) by replicates by n
+
+    def add(self, scope: str, moments: np.ndarray) -> None:
+        """`moments`: items by (n, sum, sum of squares) by replicates."""
+        n = moments[:, 0].astype(np.int64)
+        wide = int(n.max(initial=0)) + 1
+        have = self.sums.get(scope)
+        if have is None or have.shape[2] < wide:
+            grown = np.zeros((4, self.n_boot, max(wide, 2 * have.shape[2] if have is not None else 0)))
+            if have is not None:
+                grown[:, :, :have.shape[2]] = have
+            self.sums[scope] = have = grown
+        there = n > 0
+        cell = (np.arange(self.n_boot) * have.shape[2] + n)[there]
+        count, total, squares = n[there], moments[:, 1][there], moments[:, 2][there]
+        mean = total / count
+        for to, value in zip(have, (None, mean, mean * mean, squares - total * mean)):
+            to += np.bincount(cell, value, to.size).reshape(to.shape)
+
+    def rows(self) -> Iterator[pa.RecordBatch]:
+        for scope, sums in self.sums.items():
+            rep, n = np.nonzero(sums[0])
+            columns = [pa.array([scope] * len(rep), pa.string()), pa.array(rep.astype(np.int32)), pa.array(n), *[pa.array(x[rep, n]) for x in sums]]
+            yield pa.RecordBatch.from_arrays([*columns, pa.nulls(len(rep), pa.string()), pa.nulls(len(rep), pa.binary())], names=[*DRAWN])
+
+
+def _item_moments(batches: Iterator[pa.RecordBatch], n_boot: int) -> Iterator[pa.RecordBatch]:
+    """Cells of the items of a task; items that are dealt over several tasks are handed on with their sums.
+
+    Rows are sorted by item; an item's sums are carried from block to block, so its rows are never held together.
+    """
+    cells = _Cells(n_boot)
+    carried: tuple[tuple, np.ndarray] | None = None
+
+    def closed(one: tuple, moments: np.ndarray) -> Iterator[pa.RecordBatch]:
+        scope, item, _, parts = one
+        if parts == 1:
+            cells.add(scope, moments[None])
+        else:
+            columns = [pa.array([scope]), *[pa.nulls(1, t) for t in (pa.int32(), pa.int64(), *[pa.float64()] * 4)], pa.array([item]), pa.array([moments.tobytes()], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=[*DRAWN])
+
+    for whole in batches:
+        for start in range(0, whole.num_rows, BIT_ROWS):
+            batch = whole.slice(start, BIT_ROWS)
+            ones = list(zip(*(batch.column(c).to_pylist() for c in ("scope", "_item", "_part", "_parts"))))
+            first = np.array([i for i in range(len(ones)) if i == 0 or ones[i] != ones[i - 1]], np.int64)
+            packed = np.frombuffer(b"".join(batch.column("_bits").to_pylist()), np.uint8).reshape(len(ones), -1)
+            bits = np.unpackbits(packed, axis=1, count=n_boot).astype(np.float64)
+            d = batch.column("_d").to_numpy()[:, None]
+            moments = np.stack([np.add.reduceat(x, first, axis=0) for x in (bits, bits * d, bits * (d * d))], axis=1)
+            if carried is not None:
+                if carried[0] == ones[0]:
+                    moments[0] += carried[1]
+                else:
+                    yield from closed(*carried)
+            carried = (ones[first[-1]], moments[-1])
+            done = [ones[i] for i in first[:-1].tolist()]
+            for scope in dict.fromkeys(one[0] for one in done if one[3] == 1):
+                cells.add(scope, moments[[i for i, one in enumerate(done) if one[0] == scope and one[3] == 1]])
+            for i, one in enumerate(done):
+                if one[3] > 1:
+                    yield from closed(one, moments[i])
+    if carried is not None:
+        yield from closed(*carried)
+    yield from cells.rows()
+
+
+def _dealt_moments(batches: Iterator[pa.RecordBatch], n_boot: int) -> Iterator[pa.RecordBatch]:
+    """Cells of the items that several tasks hold parts of; rows are sorted by item."""
+    cells = _Cells(n_boot)
+    now, total = None, None
+    for batch in batches:
+        for scope, item, sums in zip(*(batch.column(c) for c in ("scope", "_item", "_sums"))):
+            one, more = (scope.as_py(), item.as_py()), np.frombuffer(sums.as_py(), np.float64).reshape(3, n_boot)
+            if one == now:
+                total += more
+            else:
+                if now is not None:
+                    cells.add(now[0], total[None])
+                now, total = one, more.copy()
+    if now is not None:
+        cells.add(now[0], total[None])
+    yield from cells.rows()
+
+
+def icc_bootstrap(ratings: DataFrame, n_boot: int = 1000, seed: int = 42, item: Sequence[str] = ITEM, rater: str = "submission_id", levels: int = 3, part_rows: int = HOT_ROWS) -> DataFrame:
     """Mean and 95 % interval of the ICC over rater resamples, per term and over all terms.
 
-    A replicate keeps a rater whole or not at all; each is in with the chance of occurring at least once in
-    n draws out of n. The flag is read from md5 of seed, scope, replicate and rater, so no draw is shared.
+    A replicate keeps a rater whole or not at all; each is in with the chance of occurring at least once in n draws out of n. The flag
+    is read from md5 of seed, scope, replicate and rater, so no draw is shared. A rater's flags are one string of bits, which comes
+    to the rater's ratings; the ratings of an item give the counts, sums and squares of all replicates at once. Items of
+    more than `part_rows` ratings are dealt over several tasks.
     """
     one = ratings.filter(F.col("rating").isNotNull()).select(rater, *item, "rating")
     scoped = with_all_terms(one)
     raters = scoped.groupBy("scope").agg(F.count_distinct(rater).alias("_n")).select(
         "scope", (1 - F.pow(1 - 1 / F.col("_n"), F.col("_n"))).alias("_p")
     )
-    digits = lambda rep: F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), "scope", rep.cast("string"), F.col(rater).cast("string"))), 1, 8)
-    kept = F.filter(F.sequence(F.lit(0), F.lit(n_boot - 1)), lambda rep: F.conv(digits(rep), 16, 10).cast("double") / 2**32 < F.col("_p"))
-    # the flags depend on the rater only: worked out once per rater and scope
     own = join_small(scoped.groupBy("scope", rater).agg(F.count(F.lit(1)).alias("_rows")), raters, ["scope"])
-    chosen = own.select("scope", rater, "_rows", kept.alias("_reps"))
-    drawn = attach_table(scoped, ["scope", rater], chosen, ["_reps"], "_rows")
-    reps = drawn.withColumn("rep", F.explode("_reps")).drop("_reps")
-    items = item_moments(reps, ["scope", "rep", *item])
-    each = icc_from_items(items, ["scope", "rep"], levels)
+    own = own.select("scope", rater, "_rows", F.col(rater).cast("string").alias("_rater"), "_p").repartition(partitions(), "scope", rater)
+    flags = T.StructType([*own.schema.fields, T.StructField("_bits", T.BinaryType())])
+    chosen = own.mapInArrow(lambda batches: _rater_bits(batches, n_boot, seed), flags)
+    drawn = attach_table(scoped, ["scope", rater], chosen, ["_bits"], "_rows").filter(F.col("_bits").isNotNull())
+    named = drawn.select("scope", F.md5(F.to_json(F.struct(*item))).alias("_item"), F.xxhash64(rater).alias("_by"), (F.col("rating") - CENTRE).cast("double").alias("_d"), "_bits")
+    sized = attach_group_stats(named, ["scope", "_item"], {"_parts": F.ceil(F.count(F.lit(1)) / part_rows)})
+    dealt = sized.select("scope", "_item", F.pmod("_by", "_parts").alias("_part"), "_parts", "_d", "_bits")
+    by_item = dealt.repartition(partitions(), "scope", "_item", "_part").sortWithinPartitions("scope", "_item", "_part")
+    found = cut_lineage(by_item.mapInArrow(lambda batches: _item_moments(batches, n_boot), DRAWN_SQL))
+    large = found.filter(F.col("_item").isNotNull()).select("scope", "_item", "_sums").repartition("scope", "_item").sortWithinPartitions("scope", "_item")
+    cells = found.filter(F.col("_item").isNull()).unionByName(large.mapInArrow(lambda batches: _dealt_moments(batches, n_boot), DRAWN_SQL))
+    each = icc_from_cells(cells.groupBy("scope", "rep", "n").agg(*[F.sum(c).alias(c) for c in CELL[1:]]), ["scope", "rep"], levels)
     cols = [("icc_1_1", "icc_1_1"), ("icc_1_k", "icc_1_k")]
     aggs = []
     for c, name in cols:  # one value per replicate

@@ -1,24 +1,31 @@
 """Bootstrap intervals from repeatable Poisson weights.
 
-Every row gets, per replicate, a Poisson(1) weight read from md5 of seed, replicate and row key, instead of
-a draw of n rows out of n: weights need no shared state, so replicates are sums with map-side combine and the
-shuffle carries replicates x slices rows. One md5 serves four replicates.
+Every row gets, per replicate, a Poisson(1) weight read from md5 of seed, replicate and row key, instead of a draw of n rows out of n, so
+weights need no shared state. One md5 serves four replicates. No row is copied: each task keeps, for every slice, the sums of all
+replicates, which are products of the weights' matrix with the rows' moments, and hands on one row for each slice.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import hashlib
+from collections.abc import Iterator, Sequence
 from math import exp, factorial
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ratescale.operators.scale import null_safe
 from ratescale.operators.metrics import pearson
+from ratescale.operators.scale import null_safe, partitions
 from ratescale.schemas import RATING_MAX, RATING_MIN
 
 PER_HASH = 4
 CENTRE = (RATING_MIN + RATING_MAX) / 2
+BLOCK_ROWS = 1_024  # rows weighted together
+HELD_SLICES = 1_000  # a task hands its sums on beyond this many slices
+MOMENTS = 7  # weights, u, v, uu, vv, uv and squared differences
 
 
 def poisson_limits(most: int = 9) -> list[str]:
@@ -30,42 +37,87 @@ def poisson_limits(most: int = 9) -> list[str]:
     return out
 
 
-def poisson_weight(digits: Column) -> Column:
-    out = F.when(F.lit(False), 0)
-    for k, limit in enumerate(poisson_limits()):
-        out = out.when(digits < limit, k)
-    return out.otherwise(len(poisson_limits()))
-
-
-def replicate(rows: DataFrame, key: Sequence[str], n_boot: int, seed: int) -> DataFrame:
-    """Rows once per replicate in which their weight is positive, with `rep` and `w`."""
-    base = F.concat_ws("|", *[F.coalesce(F.col(k).cast("string"), F.lit("")) for k in key])
-    chunk = F.explode(F.sequence(F.lit(0), F.lit((n_boot - 1) // PER_HASH)))
-    hashed = rows.withColumn("_base", base).withColumn("_chunk", chunk)
-    h = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("_chunk").cast("string"), F.col("_base")))
-    parts = F.array(
-        *[
-            F.struct((F.col("_chunk") * PER_HASH + j).alias("rep"), poisson_weight(F.substring("_h", 1 + 8 * j, 8)).alias("w"))
-            for j in range(PER_HASH)
-        ]
-    )
-    out = hashed.withColumn("_h", h).withColumn("_p", F.explode(parts)).select(*rows.columns, "_p.rep", "_p.w")
-    return out.filter((F.col("w") > 0) & (F.col("rep") < n_boot))
+def poisson_weights(keys: Sequence[str], n_boot: int, seed: int) -> np.ndarray:
+    """Weights of the keys in all replicates, keys by replicates."""
+    heads = [f"{seed}|{chunk}|".encode() for chunk in range(-(-n_boot // PER_HASH))]
+    digest = hashlib.md5
+    hashed = b"".join([digest(head + key).digest() for key in map(str.encode, keys) for head in heads])
+    digits = np.frombuffer(hashed, ">u4").reshape(len(keys), -1)[:, :n_boot]
+    limits = np.array([int(x, 16) for x in poisson_limits()], np.uint32)
+    return np.searchsorted(limits, digits.astype(np.uint32), side="right").astype(np.uint8)
+
+
+def _replicate_sums(batches: Iterator[pa.RecordBatch], slices: int, n_boot: int, seed: int) -> Iterator[tuple[tuple, np.ndarray, pa.Schema]]:
+    """(slice, replicates by moments, the rows' schema) over the rows of a task; a slice may come several times."""
+    sums: dict[tuple, np.ndarray] = {}
+    for batch in batches:
+        for start in range(0, batch.num_rows, BLOCK_ROWS):
+            part = batch.slice(start, BLOCK_ROWS)
+            found: dict[str, int] = {}
+            place = [found.setdefault(key, len(found)) for key in part.column("_key").to_pylist()]
+            weights = poisson_weights(list(found), n_boot, seed).astype(np.float64)[place]
+            u, v = part.column("_u").to_numpy(), part.column("_v").to_numpy()
+            moments = np.stack([np.ones(len(u)), u, v, u * u, v * v, u * v, (u - v) * (u - v)], axis=1)
+            of: dict[tuple, list[int]] = {}
+            for i, one in enumerate(zip(*(part.column(c).to_pylist() for c in range(slices))) if slices else [()] * len(u)):
+                of.setdefault(one, []).append(i)
+            for one, rows in of.items():
+                add = weights[rows].T @ moments[rows]
+                if one in sums:
+                    sums[one] += add
+                else:
+                    sums[one] = add
+            if len(sums) > HELD_SLICES:
+                yield from ((one, found, batch.schema) for one, found in sums.items())
+                sums = {}
+    yield from ((one, found, batch.schema) for one, found in sums.items())
 
 
 def replicate_statistics(pairs: DataFrame, x: str, y: str, slices: Sequence[str], key: Sequence[str], n_boot: int, seed: int) -> DataFrame:
-    """Correlation and RMSE of every slice in every replicate."""
-    rows = replicate(pairs.dropna(subset=[x, y]).select(*dict.fromkeys([*slices, *key, x, y])), key, n_boot, seed)
-    w, u, v = F.col("w"), F.col(x) - CENTRE, F.col(y) - CENTRE
-    s = rows.groupBy(*slices, "rep").agg(
-        F.sum(w).alias("n"), F.sum(w * u).alias("u"), F.sum(w * v).alias("v"), F.sum(w * u * u).alias("uu"),
-        F.sum(w * v * v).alias("vv"), F.sum(w * u * v).alias("uv"), F.sum(w * (u - v) * (u - v)).alias("ee"),
-    )
-    n = F.col("n")
-    du, dv = n * F.col("uu") - F.col("u") * F.col("u"), n * F.col("vv") - F.col("v") * F.col("v")
-    floor = n * n * 1e-12
-    r = F.when((du > floor) & (dv > floor), (n * F.col("uv") - F.col("u") * F.col("v")) / F.sqrt(du) / F.sqrt(dv))
-    return s.select(*slices, "rep", r.alias("r"), F.sqrt(F.col("ee") / n).alias("rmse"))
+    """Correlation and RMSE of every slice in every replicate (`rep`) that drew a row of it."""
+    clean = pairs.dropna(subset=[x, y])
+    named = F.concat_ws("|", *[F.coalesce(F.col(k).cast("string"), F.lit("")) for k in key])
+    rows = clean.select(*slices, named.alias("_key"), (F.col(x) - CENTRE).cast("double").alias("_u"), (F.col(y) - CENTRE).cast("double").alias("_v"))
+    own = T.StructType([f for f in rows.schema.fields[:len(slices)]])
+    names = list(slices)
+
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for one, sums, schema in _replicate_sums(batches, len(names), n_boot, seed):
+            columns = [pa.array([value], schema.types[c]) for c, value in enumerate(one)]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array([sums.tobytes()], pa.binary())], names=[*names, "_sums"])
+
+    def finished(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows of a slice follow each other."""
+        now, total = None, None
+
+        def statistics(schema: pa.Schema) -> pa.RecordBatch:
+            reps = np.nonzero(total[:, 0] > 0)[0]
+            n, u, v, uu, vv, uv, ee = total[reps].T
+            du, dv, floor = n * uu - u * u, n * vv - v * v, n * n * 1e-12
+            known = (du > floor) & (dv > floor)
+            r = (n * uv - u * v) / np.sqrt(np.where(known, du, 1)) / np.sqrt(np.where(known, dv, 1))
+            columns = [pa.array([value], schema.types[c]).take(pa.array(np.zeros(len(reps), np.int64))) for c, value in enumerate(now)]
+            columns += [pa.array(reps.astype(np.int32)), pa.array(r, mask=~known), pa.array(np.sqrt(ee / n))]
+            return pa.RecordBatch.from_arrays(columns, names=[*names, "rep", "r", "rmse"])
+
+        for batch in batches:
+            ones = zip(*(batch.column(c).to_pylist() for c in range(len(names)))) if names else [()] * batch.num_rows
+            for one, sums in zip(ones, batch.column("_sums")):
+                more = np.frombuffer(sums.as_py(), np.float64).reshape(n_boot, MOMENTS)
+                if one == now:
+                    total += more
+                else:
+                    if now is not None:
+                        yield statistics(batch.schema)
+                    now, total = one, more.copy()
+        if now is not None:
+            yield statistics(batch.schema)
+
+    # a hash of the key deals the rows evenly however few tasks read them: the weights are the work
+    parts = rows.repartition(partitions(), "_key").mapInArrow(summed, T.StructType([*own.fields, T.StructField("_sums", T.BinaryType())]))
+    together = parts.repartition(*names).sortWithinPartitions(*names) if names else parts.coalesce(1)
+    out = [T.StructField("rep", T.IntegerType()), T.StructField("r", T.DoubleType()), T.StructField("rmse", T.DoubleType())]
+    return together.mapInArrow(finished, T.StructType([*own.fields, *out]))
 
 
 def _interval(column: str, ci: float) -> list[Column]:

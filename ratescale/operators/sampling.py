@@ -5,11 +5,10 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ratescale.functions.terms import question
-from ratescale.operators.scale import first_per_key, hash_order, null_safe, take_by_hash
+from ratescale.operators.scale import first_per_key, hash_order, null_safe, take_by_hash, value_prefix
 from ratescale.session import cut_lineage
 
 RESPONSE = ["model", "attribute", "person_term", "generation"]
@@ -54,9 +53,11 @@ def sample_per_book(
 
     Choosing book after book is the same as letting all books choose at once and giving a phrase wanted by
     several to the earliest, until nobody loses a phrase: the losers go on without it. Each round is a few
-    joins over all books; rounds are written to the checkpoint folder. One row per book and phrase goes in.
+    joins over all books. The pool is written once; a round writes its choice and the phrases lost so far, a few for each book.
+    One row per book and phrase goes in.
     """
-    pool = cut_lineage(phrases.withColumn("_h", hash_order(seed, book, key)))
+    fixed = cut_lineage(phrases.withColumn("_h", hash_order(seed, book, key)))
+    pool, gone = fixed, None
     while True:  # every round takes a phrase from a book for good, so the rounds end
         if balanced:
             sides = balanced_quotas(pool, balanced, n, [book]).withColumnRenamed(balanced, "_side")
@@ -69,22 +70,25 @@ def sample_per_book(
         lost = chosen.join(winners, key).filter(F.col(book) != F.col("_winner")).select(book, key)
         if lost.isEmpty():
             return chosen.drop("_h")
-        pool = cut_lineage(pool.join(lost, [book, key], "left_anti"))
+        gone = cut_lineage(lost if gone is None else gone.unionByName(lost))
+        pool = fixed.join(gone, [book, key], "left_anti")
 
 
 def stratum_quotas(rows: DataFrame, n: int, strata: Sequence[str]) -> DataFrame:
     """Shares of n per stratum, whole numbers by largest remainder (the smaller stratum key wins ties).
 
-    If there are no more than n rows, each stratum keeps all of its rows.
+    If there are no more than n rows, each stratum keeps all of its rows. The strata are ranked by cuts of their remainders, so that
+    no window holds all of them; their counts are written once, as the totals and the ranks read them.
     """
-    counts = rows.groupBy(*strata).agg(F.count(F.lit(1)).alias("size"))
-    everything = W.partitionBy()  # one row per stratum
-    exact = F.col("size") * F.lit(float(n)) / F.col("_total")
-    shared = counts.withColumn("_total", F.sum("size").over(everything)).withColumn("_floor", F.floor(exact)).withColumn("_rest", F.round(exact - F.floor(exact), 9))
-    order = everything.orderBy(F.desc("_rest"), *strata)
-    short = F.lit(n) - F.sum("_floor").over(everything)
-    quota = F.when(F.col("_total") <= n, F.col("size")).otherwise(F.least("size", F.col("_floor") + (F.row_number().over(order) <= short).cast("long")))
-    return shared.select(*strata, "size", quota.alias("quota"))
+    counts = cut_lineage(rows.groupBy(*strata).agg(F.count(F.lit(1)).alias("size")))
+    total = counts.agg(F.sum("size")).scalar()
+    exact = F.col("size") * F.lit(float(n)) / total
+    rest = F.round(exact - F.floor(exact), 9)
+    shared = counts.withColumn("_floor", F.floor(exact)).withColumn("_order", F.struct((-rest).alias("_rest"), *strata)).withColumn("_one", F.lit(1))
+    short = F.lit(n) - shared.agg(F.sum("_floor")).scalar()
+    ranked = value_prefix(shared, "_order", "_one")
+    quota = F.when(total <= n, F.col("size")).otherwise(F.least("size", F.col("_floor") + (F.col("_before") < short).cast("long")))
+    return ranked.select(*strata, "size", quota.alias("quota"))
 
 
 def stratified_sample(rows: DataFrame, n: int, strata: Sequence[str], key: Sequence[str], seed: int = 42) -> DataFrame:
@@ -96,7 +100,7 @@ def stratified_sample(rows: DataFrame, n: int, strata: Sequence[str], key: Seque
 def composition(population: DataFrame, sample: DataFrame, strata: Sequence[str]) -> DataFrame:
     """Counts and shares per stratum in the population and in the sample."""
     def side(df: DataFrame, name: str) -> DataFrame:
-        total = F.sum(f"{name}_n").over(W.partitionBy())  # one row per stratum
+        total = df.agg(F.count(F.lit(1))).scalar()
         return df.groupBy(*strata).agg(F.count(F.lit(1)).alias(f"{name}_n")).withColumn(f"{name}_pct", F.try_divide(F.col(f"{name}_n").cast("double"), total))
 
     # the sample is part of the population, so the population has every stratum

@@ -6,14 +6,16 @@ totals per cut are small, and running values are put together from cut totals.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-from functools import reduce
-
 import math
+from collections.abc import Iterator, Sequence
+from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ratescale.session import cut_lineage
 
@@ -54,8 +56,8 @@ def attach_group_stats(
     """Give every row the aggregates of its group without a window over the group.
 
     The aggregates combine on the map side. Their join back would send all rows of a hot key to one
-    task, so groups of `hot_rows` rows or more that hold at least the rows of an average shuffle partition get their
-    aggregates by broadcast (so there are no more of them than partitions) and their rows are spread over `HOT_SPREAD` slices of the join key.
+    task, so the largest groups of `hot_rows` rows or more, one for each shuffle partition at most, get their aggregates by
+    broadcast and their rows are spread over `HOT_SPREAD` slices of the join key. All other groups are smaller than an average partition.
     The slice number follows the input partition, so it does not change when a task is run again.
     Rows whose key is null get null aggregates.
     """
@@ -74,8 +76,8 @@ def attach_table(
 ) -> DataFrame:
     """Left join of `rows` with a table of one row per key that knows how many rows each key has (`size`)."""
     keys = list(keys)
-    average = table.agg(F.sum(size) / F.lit(partitions())).scalar()
-    hot = table.filter((F.col(size) >= hot_rows) & (F.col(size) >= average)).select(*keys, F.struct(*columns).alias("_hot"))
+    # a group with as many rows as an average partition is among the first ones, one for each partition
+    hot = table.filter(F.col(size) >= hot_rows).orderBy(F.desc(size)).limit(partitions()).select(*keys, F.struct(*columns).alias("_hot"))
     spread = F.when(F.col("_hot").isNotNull(), F.lit(1) + F.pmod(F.spark_partition_id(), F.lit(HOT_SPREAD))).otherwise(0).cast("int")
     marked = rows.join(F.broadcast(hot), keys, "left").withColumn("_slice", spread)
     # the filter keeps `size` in the plan, so both uses of the table share one shuffle; the slice is 0, but not
@@ -176,3 +178,71 @@ def top_per_group(rows: DataFrame, group: Sequence[str], order: Sequence[Column]
     """The first k rows per group. Spark cuts each map task's rows to k per group before the shuffle."""
     w = W.partitionBy(*group).orderBy(*order)
     return rows.withColumn(rank, F.row_number().over(w)).filter(F.col(rank) <= k)
+
+
+def whole_groups(batches: Iterator[pa.RecordBatch], keys: int, rows: int = 20_000) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Tables of about so many rows, or of one larger group, from rows sorted by their first columns, with the starts of the groups."""
+    waiting: list[pa.RecordBatch] = []
+
+    def starts(table: pa.Table) -> np.ndarray:
+        ones = list(zip(*(table.column(c).to_pylist() for c in range(keys))))
+        return np.array([i for i in range(len(ones)) if i == 0 or ones[i] != ones[i - 1]], np.int64)
+
+    for batch in batches:
+        waiting.append(batch)
+        if sum(b.num_rows for b in waiting) >= rows:
+            table = pa.Table.from_batches(waiting)
+            found = starts(table)
+            if len(found) > 1:
+                yield table.slice(0, int(found[-1])), found[:-1]
+            waiting = table.slice(int(found[-1])).to_batches()
+    if any(b.num_rows for b in waiting):
+        table = pa.Table.from_batches(waiting)
+        yield table, starts(table)
+
+
+def range_ranks(rows: DataFrame, value: str, weight: str, within: Sequence[str], tie: Sequence[str], rank: str) -> DataFrame:
+    """`rank`: the average rank of each row's value among the weights of its group, put on the rows where a range sort leaves them.
+
+    A part holds the rows between two cuts; a group or a value may lie in several parts. In a part, only the first and the last group
+    and value can go on elsewhere, so what the parts tell each other is a few rows for each part, which are broadcast. No row is
+    joined on its value. `within` and `value` must not be null.
+    """
+    within = list(within)
+    keys = [*within, value]
+    placed = rows.select(*keys, *[c for c in rows.columns if c not in keys]).repartitionByRange(partitions(), *keys, *tie).sortWithinPartitions(*keys)
+    placed = placed.withColumn("_part", F.spark_partition_id())
+
+    def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, carried = None, 0
+        for table, starts in whole_groups(batches, len(keys)):
+            sums = np.add.reduceat(table.column(weight).to_numpy(), starts)
+            sizes = np.diff(np.append(starts, table.num_rows))
+            groups = list(zip(*(table.column(c).take(pa.array(starts)).to_pylist() for c in within))) or [()] * len(starts)
+            before = np.zeros(len(starts), np.int64)
+            for i, group in enumerate(groups):
+                if group != now:
+                    now, carried = group, 0
+                before[i] = carried
+                carried += int(sums[i])
+            more = [pa.array(np.repeat(before, sizes)), pa.array(np.repeat(sums, sizes))]
+            for name, column in zip(("_before", "_same"), more):
+                table = table.append_column(name, column)
+            yield from table.to_batches()
+
+    schema = T.StructType([*placed.schema.fields, T.StructField("_before", T.LongType()), T.StructField("_same", T.LongType())])
+    found = cut_lineage(placed.mapInArrow(local, schema))
+    in_part = found.groupBy("_part", *within).agg(F.sum(weight).alias("_all"), F.min(value).alias("_least"), F.max(value).alias("_most"))
+    per = W.partitionBy(*within)
+    earlier = F.sum("_all").over(per.orderBy("_part").rowsBetween(W.unboundedPreceding, -1))
+    spread = in_part.withColumn("_parts", F.count(F.lit(1)).over(per)).withColumn("_offset", F.coalesce(earlier, F.lit(0))).filter("_parts > 1")
+    spread = cut_lineage(spread.select("_part", *within, "_offset", "_least", "_most"))
+    at = ["_part", *within]
+    edges = found.join(F.broadcast(spread), at).filter((F.col(value) == F.col("_least")) | (F.col(value) == F.col("_most")))
+    edges = edges.groupBy(*at, value).agg(F.max("_same").alias("_w"))
+    same = W.partitionBy(*keys)
+    here = F.coalesce(F.sum("_w").over(same.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    edges = edges.select(*at, value, here.alias("_here_before"), F.sum("_w").over(same).alias("_everywhere"))
+    out = found.join(F.broadcast(spread.select(*at, "_offset")), at, "left").join(F.broadcast(edges), [*at, value], "left")
+    before = F.col("_before") + F.coalesce("_offset", F.lit(0)) - F.coalesce("_here_before", F.lit(0))
+    return out.select(*rows.columns, (before + (F.coalesce("_everywhere", "_same") + 1) / 2).alias(rank))

@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ratescale.operators.scale import attach_table, hash_order, hash_prefix
+from ratescale.operators.scale import attach_table, hash_order, hash_prefix, join_small
 from ratescale.schemas import HELD_OUT_SOURCES
 
 
@@ -134,7 +134,7 @@ def fold_groups(rows: DataFrame, k: int, seed: int = 42, group: str = "attribute
     # every placement depends on those before it, so one task streams through the sizes; it keeps the k loads only
     table = classes.repartition(1).sortWithinPartitions(F.desc("size")).mapInPandas(deal, "size long, fold int, lo long, hi long")
     ranked = hash_prefix(sizes.withColumn("_one", F.lit(1)), "_one", "h", [group], within=["size"])
-    dealt = ranked.join(F.broadcast(table), "size").filter((F.col("_before") >= F.col("lo")) & (F.col("_before") < F.col("hi")))
+    dealt = join_small(ranked, table, ["size"]).filter((F.col("_before") >= F.col("lo")) & (F.col("_before") < F.col("hi")))
     return dealt.select(group, "size", "fold")
 
 

@@ -17,9 +17,9 @@ def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     df.write.mode(mode).options(**CSV).csv(path)
 
 
-def write_csv_tree(df: DataFrame, path: str, folders: Sequence[str]) -> None:
+def write_csv_tree(df: DataFrame, path: str, folders: Sequence[str], mode: str = "overwrite") -> None:
     """One folder per value of the named columns; the files hold the other columns."""
-    df.write.mode("overwrite").options(**CSV).partitionBy(*folders).csv(path)
+    df.write.mode(mode).options(**CSV).partitionBy(*folders).csv(path)
 
 
 def write_rejects(rejected: DataFrame, path: str, source: str = "source_novel") -> None:

@@ -12,44 +12,45 @@ from pyspark.sql import types as T
 from ratescale.functions.terms import base_config, file_stem, fold_number, run_time, seed_number
 from ratescale.functions.text import decode_text
 from ratescale.operators.joins import match_prefix, union_all
+from ratescale.sources import quoted
 
 # What a finished run folder holds.
 RUN_FILES = ("config.json", "metrics.csv")
 RUN_RESULTS = ("eval_metrics.csv", "eval_report.txt", "predictions.csv")
 
 
-def read_table(spark: SparkSession, path: str | Sequence[str], schema: T.StructType | str, **options: str) -> DataFrame:
-    """A CSV table with a header; quoted cells may hold line breaks and doubled quotes."""
-    reader = spark.read.schema(schema).option("header", True).option("multiLine", True).option("escape", '"').option("nullValue", "")
-    return reader.options(**options).csv(list(path) if not isinstance(path, str) else path)
+def read_table(spark: SparkSession, path: str | Sequence[str], schema: T.StructType | str, known: DataFrame | None = None, **options: str) -> DataFrame:
+    """A CSV table with a header; quoted cells may hold line breaks and doubled quotes. Large files are read by several tasks."""
+    return _with_path(spark, path, schema, known, options).drop("path")
 
 
-def metadata_path() -> Column:
-    """Path of a row's file as it is, not as a URL."""
-    return F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
+def _with_path(spark: SparkSession, path: str | Sequence[str], schema: T.StructType | str, known: DataFrame | None, options: Mapping[str, str]) -> DataFrame:
+    fields = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    ddl = ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in fields.fields)
+    parsed = F.from_csv("value", ddl, {"escape": '"', "nullValue": "", **options})
+    rows = quoted.records(spark, path, known).filter("NOT first").select(parsed.alias("_row"), "path")
+    return rows.select(*[F.col("_row")[f.name].alias(f.name) for f in fields.fields], "path")
 
 
-def headers(spark: SparkSession, path: str) -> DataFrame:
-    """First line of every file under a glob, of whatever length; lines are read as a stream, and only of a file's first block."""
-    lines = spark.read.text(path).select("value", metadata_path().alias("path"), F.col("_metadata.file_block_start").alias("start"))
-    first = lines.filter("start = 0").withColumn("line", F.monotonically_increasing_id()).groupBy("path").agg(F.min_by("value", "line").alias("value"))
-    line = F.regexp_replace("value", "^﻿", "")
-    return first.select("path", line.alias("header"))
+def headers(known: DataFrame) -> DataFrame:
+    """First line of every file, from the files' `splits`."""
+    return known.filter("start = 0").select("path", F.regexp_replace("line", "^\ufeff|\r$", "").alias("header"))
 
 
 def read_tables(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """All CSV files of a glob as one table with their path; files may lack columns or order them differently.
 
-    Files are grouped by header, one read per distinct header; columns outside the schema come as text.
+    Files are grouped by header, one read per distinct header; columns outside the schema come as text. A first pass over the
+    files, which finds where quoted cells cross splits, gives the headers too.
     """
     kinds = {f.name: f.dataType for f in schema.fields}
-    groups = headers(spark, path).groupBy("header").agg(F.collect_list("path").alias("paths")).orderBy("header").collect()
+    known = quoted.splits(spark, path)
+    groups = headers(known).groupBy("header").agg(F.collect_list("path").alias("paths")).orderBy("header").collect()
     parts = []
     for g in groups:
         names = [c.strip() for c in next(csv.reader([g["header"]]))]
         own = T.StructType([T.StructField(n, kinds.get(n, T.StringType())) for n in names])
-        part = read_table(spark, g["paths"], own)
-        parts.append(part.select("*", F.col("_metadata.file_path").alias("path")))
+        parts.append(_with_path(spark, g["paths"], own, known, {}))
     out = union_all(*parts)
     missing = [F.lit(None).cast(t).alias(n) for n, t in kinds.items() if n not in out.columns]
     return out.select("*", *missing)
@@ -135,9 +136,15 @@ def read_results(spark: SparkSession, root: str, schema: T.StructType) -> DataFr
 RUN_PATH = r"/([^/]+)/(run_[^/]+)/(?:(seed[^/]+|aggregate)/)?(.+)$"
 
 
+def run_path(path: Column) -> Column:
+    """Path of a run's file: a tree that Spark wrote has folders `exp=`, `run=`, `seed_dir=` and `file=` with part files in them."""
+    whole = F.coalesce(F.try_url_decode(F.replace(path, F.lit("+"), F.lit("%2B"))), path)
+    return F.regexp_replace(table_name(whole), "/(?:exp|run|seed_dir|file)=", "/")
+
+
 def run_files(spark: SparkSession, root: str) -> DataFrame:
     """Files of a results tree `<exp>/run_*/[seed*/]...` with the parts of their path. No content is read."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path", "length")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select(run_path(F.col("path")).alias("path"), "length")
     parts = {n: F.regexp_extract("path", RUN_PATH, i) for i, n in enumerate(("exp", "run", "seed_dir", "file"), 1)}
     named = files.withColumns(parts).filter("exp <> ''")
     return named.withColumns(
@@ -169,8 +176,9 @@ def latest_runs(status: DataFrame) -> DataFrame:
 
 def read_run_tables(spark: SparkSession, root: str, file: str, schema: T.StructType, runs: DataFrame | None = None) -> DataFrame:
     """One kind of CSV file of all runs as a table keyed by experiment, run and seed; of the given runs only, if any."""
-    rows = read_tables(spark, f"{root}/*/run_*/*/{file}", schema)
-    parts = {n: F.regexp_extract("path", RUN_PATH, i) for i, n in enumerate(("exp", "run", "seed_dir"), 1)}
+    written = "file=" + file.replace("/", "%2F")
+    rows = read_tables(spark, f"{root}/*/*run_*/*/{{{file},{written}}}", schema)
+    parts = {n: F.regexp_extract(run_path(F.col("path")), RUN_PATH, i) for i, n in enumerate(("exp", "run", "seed_dir"), 1)}
     named = rows.withColumns(parts).drop("path")
     named = named.withColumns({"config": base_config(F.col("exp")), "fold": fold_number(F.col("exp")), "seed": seed_number(F.col("seed_dir"))})
     return named.join(runs.select("exp", "run", "seed_dir").distinct(), ["exp", "run", "seed_dir"], "left_semi") if runs is not None else named

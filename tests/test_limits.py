@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ratescale.functions.text import BODY_NOUNS, IRREGULAR_PLURALS, Lexicon, noun_adjective_pairs, regular_plural
+from ratescale.functions.text import BODY_NOUNS, Lexicon, noun_adjective_pairs, regular_plural
 from ratescale.operators import sampling
 from ratescale.operators.joins import align, pending
 from ratescale.operators.scale import attach_group_stats
@@ -38,12 +38,26 @@ def test_plurals(noun, plural):
     assert noun in BODY_NOUNS and regular_plural(noun) == plural
 
 
-def test_each_noun_and_its_plural_give_the_noun(spark):
-    lexicon = Lexicon.of(["strong"])
-    forms = [(f"strong {w} stood", n) for n in BODY_NOUNS for w in (n, IRREGULAR_PLURALS.get(n) or regular_plural(n))]
-    df = spark.createDataFrame(forms, "text string, noun string")
-    wrong = df.withColumn("pairs", noun_adjective_pairs(F.col("text"), lexicon)).filter(~F.array_contains("pairs", F.concat(F.lit("strong "), F.col("noun"))))
-    assert [tuple(r) for r in wrong.collect()] == []
+def test_body_nouns_count_in_their_listed_forms(spark):
+    forms = {"eyes": "eye", "teeth": "tooth", "irises": "iris", "calves": "calf", "lips": "lips", "whiskers": "whiskers", "brow": "brow", "stance": "stance"}
+    others = ["lip", "temple", "gum", "whisker", "faces", "bodies", "postures", "lipss"]
+    df = spark.createDataFrame([(f"strong {w} stood", w) for w in [*forms, *others]], "text string, word string")
+    got = {r["word"]: r["pairs"] for r in df.withColumn("pairs", noun_adjective_pairs(F.col("text"), Lexicon.of(["strong"]))).collect()}
+    assert got == {**{w: [f"strong {n}"] for w, n in forms.items()}, **{w: [] for w in others}}
+
+
+def test_own_nouns_count_with_their_plurals(spark):
+    lexicon = Lexicon.of(["strong"], ["arch", "tooth", "body"])
+    df = spark.createDataFrame([("strong arches, teeth and bodies",)], "text string")
+    assert df.select(noun_adjective_pairs(F.col("text"), lexicon)).first()[0] == ["strong arch", "strong body", "strong tooth"]
+
+
+def test_signs_fill_a_window(spark):
+    lexicon = Lexicon.of(["blue", "old"], ["eye"])
+    texts = ["blue eye , , , , , , , old", "blue eye , , , , , old", "old, 1,000 (grey) eye", "naïve café über alles ça eye old"]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    got = [r[0] for r in df.select(noun_adjective_pairs(F.col("text"), lexicon)).collect()]
+    assert got == [["blue eye"], ["blue eye", "old eye"], ["old eye"], ["old eye"]]
 
 
 def test_null_keys_are_one_key(spark):

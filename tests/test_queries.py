@@ -23,7 +23,7 @@ def test_query(spark, con, data, name):
 
 
 def test_only_unsupported_queries_lack_a_twin():
-    assert set(QUERIES) - set(TWINS) == {"a6_correlation_p", "h6_text_predictor", "h6_vector_predictor", "h7_grid_choice"}
+    assert set(QUERIES) - set(TWINS) == {"h6_text_predictor", "h6_vector_predictor", "h7_grid_choice"}
 
 
 def test_entry(spark):

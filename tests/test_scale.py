@@ -2,12 +2,13 @@
 
 import random
 
+import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from ratescale.operators import metrics, reliability, sampling, splits
-from ratescale.operators.scale import attach_group_stats, first_per_key, hash_order, hash_prefix, take_by_hash, value_prefix
+from ratescale.operators.scale import attach_group_stats, first_per_key, hash_order, hash_prefix, range_ranks, take_by_hash, value_prefix
 
 RNG = random.Random(5)
 
@@ -205,16 +206,94 @@ def test_leave_one_out_with_a_single_rating(spark):
     assert got == {(1, "a"): None, (1, "b"): 5.0, (2, "b"): 2.0}
 
 
-def test_bootstrap_weights_are_poisson(spark):
-    from ratescale.operators.resample import replicate
+def test_bootstrap_weights_are_poisson():
+    from ratescale.operators.resample import poisson_weights
 
-    rows = spark.range(400).withColumnRenamed("id", "i")
-    w = replicate(rows, ["i"], 100, 3).groupBy("w").count().toPandas().set_index("w")["count"] / 40000
-    assert abs(w[1] - 0.3679) < 0.01 and abs(w[2] - 0.1839) < 0.01 and abs((w.index * w).sum() - 1.0) < 0.02
+    w = np.bincount(poisson_weights([str(i) for i in range(400)], 100, 3).ravel()) / 40000
+    assert abs(w[1] - 0.3679) < 0.01 and abs(w[2] - 0.1839) < 0.01 and abs((np.arange(len(w)) * w).sum() - 1.0) < 0.02
+
+
+def test_replicate_sums_against_copies_of_rows(spark):
+    """Rows copied by their weights give the statistics of the sums; null slices are slices, and slices come back after a hand-over."""
+    from ratescale.operators import resample
+
+    rng = np.random.default_rng(4)
+    rows = [(None if i % 5 == 0 else f"s{i % 5}", i, float(rng.integers(1, 8)), float(rng.integers(1, 8))) for i in range(300)]
+    df = spark.createDataFrame(rows, "slice string, i int, x double, y double").repartition(3)
+    got = {(r.slice, r.rep): (r.r, r.rmse) for r in resample.replicate_statistics(df, "x", "y", ["slice"], ["i"], 10, 7).collect()}
+    weights = resample.poisson_weights([str(i) for i in range(300)], 10, 7)
+    assert len(got) == 50
+    for name in {r[0] for r in rows}:
+        for rep in range(10):
+            copies = [(x, y) for s, i, x, y in rows if s == name for _ in range(weights[i, rep])]
+            x, y = np.array(copies).T
+            assert got[name, rep] == pytest.approx((np.corrcoef(x, y)[0, 1], np.sqrt(((x - y) ** 2).mean())))
+
+
+@pytest.mark.parametrize("cells", [12, 3000])
+def test_ranks_over_many_parts(spark, cells):
+    """A slice and a value that hold most rows lie in several parts of the range sort."""
+    rng = random.Random(cells)
+    rows = [("big" if i % 3 else f"s{i % 7}", float(rng.choice([1, 1, 1, 1, 2, 5])), float(i), rng.randint(1, 4)) for i in range(cells)]
+    df = spark.createDataFrame(rows, "slice string, x double, y double, w long")
+    for value, tie in (("x", "y"), ("y", "x")):
+        got = {(r.slice, r.x, r.y): r["rank"] for r in range_ranks(df, value, "w", ["slice"], [tie], "rank").collect()}
+        frame = pd.DataFrame(rows, columns=["slice", "x", "y", "w"])
+        for name, some in frame.groupby("slice"):
+            for r in some.itertuples():
+                v = getattr(r, value)
+                less, same = some.w[some[value] < v].sum(), some.w[some[value] == v].sum()
+                assert got[name, r.x, r.y] == less + (same + 1) / 2
 
 
 def test_p_values(spark):
-    df = spark.createDataFrame([(0.5, 30), (0.0, 10), (-0.8, 8), (1.0, 5), (0.1, 1000)], "r double, n long")
+    df = spark.createDataFrame([(0.5, 30), (0.0, 10), (-0.8, 8), (1.0, 5), (0.1, 1000), (0.3, 3), (0.003, 1_000_000), (None, 9), (float("nan"), 9), (0.5, 2)], "r double, n long")
     got = [x[0] for x in df.select(metrics.correlation_p("r", "n")).collect()]
     # two-sided t tail probabilities
-    assert got == pytest.approx([0.004891, 1.0, 0.017121, 0.0, 0.001546], abs=2e-5)
+    assert got == pytest.approx([0.004891, 1.0, 0.017121, 0.0, 0.001546, 0.806037, 0.0027, None, None, None], abs=2e-5)
+
+
+@pytest.mark.parametrize("ratio", [1e-6, 1e6])
+def test_icc_beyond_the_first_grid(spark, ratio):
+    """Variance ratios far outside the grid's first decades, from moments that have them exactly: items of k ratings, balanced."""
+    k, items, within = 4, 2_000, 1.0
+    # REML estimate of a balanced table: (MSB - MSW) / (k MSW)
+    msb = within * (1 + k * ratio)
+    m = np.random.default_rng(3).standard_normal(items)
+    m = (m - m.mean()) / m.std(ddof=1) * np.sqrt(msb / k)
+    cells = spark.createDataFrame([("a", k, items, float(m.sum()), float((m * m).sum()), within * items * (k - 1))], "scope string, n long, k long, s double, ss double, ssw double")
+    got = reliability.icc_from_cells(cells, ["scope"]).first()
+    assert got["icc_1_1"] == pytest.approx(ratio / (1 + ratio), rel=2e-3 if ratio < 1 else 1e-6)
+    assert got["icc_1_1"] < 1 or ratio > 1
+
+
+def test_perfect_and_no_agreement(spark):
+    cells = spark.createDataFrame([("same", 3, 50, 10.0, 40.0, 0.0), ("none", 3, 50, 0.0, 0.0, 100.0)], "scope string, n long, k long, s double, ss double, ssw double")
+    got = {r["scope"]: r["icc_1_1"] for r in reliability.icc_from_cells(cells, ["scope"]).collect()}
+    assert got["same"] == pytest.approx(1.0, abs=1e-9) and got["none"] == 0.0
+
+
+def test_bit_strings_against_plain_replicates(spark):
+    """Moments per replicate from raters' bits, with items dealt over several tasks, against one sum after the other."""
+    rng = random.Random(8)
+    rows = [(r, f"a{i}", "man", float(rng.randint(1, 7))) for r in range(25) for i in range(12) if rng.random() < 0.7]
+    df = spark.createDataFrame(rows, "submission_id long, attribute string, person_term string, rating double").repartition(3)
+    one = reliability.icc_bootstrap(df, n_boot=16, levels=2).orderBy("person_term").collect()
+    dealt = reliability.icc_bootstrap(df, n_boot=16, levels=2, part_rows=3).orderBy("person_term").collect()
+    assert [r["person_term"] for r in one] == ["ALL", "man"]
+    for a, b in zip(one, dealt):
+        assert [a[c] for c in a.asDict() if c != "person_term"] == pytest.approx([b[c] for c in b.asDict() if c != "person_term"])
+
+
+def test_quotas_of_many_strata(spark):
+    """100,000 strata of few sizes: the missing units go to the largest remainders, ties to the smallest key."""
+    sizes = spark.range(100_000).select(F.col("id").alias("stratum"), F.explode(F.sequence(F.lit(1), 1 + F.col("id") % 3)).alias("row"))
+    got = sampling.stratum_quotas(sizes, 70_000, ["stratum"])
+    assert not any(line.strip().startswith("+- Window") and "]" == line[-1] and "[]" in line for line in got._jdf.queryExecution().executedPlan().toString().splitlines())
+    frame = got.toPandas().sort_values("stratum")
+    exact = frame["size"] * 70_000 / frame["size"].sum()
+    floor = np.floor(exact)
+    order = np.lexsort((frame["stratum"], -np.round(exact - floor, 9)))
+    want = floor.to_numpy(copy=True)
+    want[order[:int(70_000 - floor.sum())]] += 1
+    assert (frame["quota"].to_numpy() == np.minimum(frame["size"], want)).all() and frame["quota"].sum() == 70_000

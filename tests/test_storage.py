@@ -22,6 +22,26 @@ def test_csv_round_trip(spark, tmp_path):
     assert sorted(map(tuple, back.collect())) == sorted(map(tuple, df.collect()))
 
 
+@pytest.mark.parametrize("split", [40, 400, 1 << 20])
+def test_quoted_line_breaks_over_many_splits(spark, tmp_path, split):
+    """One file read by many tasks; cells of several lines cross the splits, and one is longer than a split."""
+    rows = [(i, f'a "quoted"\r\nline {i}\n\n' if i % 3 == 0 else "plain, with comma" if i % 3 == 1 else None) for i in range(200)]
+    rows.append((200, "\n".join(f"long cell {j}" for j in range(60))))
+    lines = ["i,text"] + [f"{i}," + ("" if t is None else '"' + t.replace('"', '""') + '"') for i, t in rows]
+    (tmp_path / "a b+c.csv").write_bytes("\r\n".join(lines).encode())
+    (tmp_path / "d.csv").write_bytes("\n".join(lines[:1] + lines[4:9]).encode() + b"\n\n")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(split))
+    try:
+        table = tables.read_table(spark, str(tmp_path), "i int, text string")
+        got = sorted(map(tuple, table.collect()), key=lambda r: (r[0], r[1] or ""))
+        several = table.select(F.spark_partition_id()).distinct().count()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert got == sorted(rows + rows[3:8], key=lambda r: (r[0], r[1] or ""))
+    assert several > 10 or split > 40
+
+
 def test_files_with_different_columns(spark, tmp_path):
     (tmp_path / "105_persuasion_physattr.csv").write_text("text_id,attribute\n0,a dark face\n1,\n")
     (tmp_path / "hp1_physattr.csv").write_text("attribute,text_id,llm_gender\nred hair,4,male\n")
