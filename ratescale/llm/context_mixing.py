@@ -24,6 +24,7 @@ from math import log, log10
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ratescale.llm.common import Ragged, Slots, batch_texts, gather, held, text_rows, written
@@ -38,7 +39,7 @@ PREDICTORS = len(TABLE_BITS)
 BEFORE_BITS = 12
 SCALE = 16.0  # log odds are kept in sixteenths
 GATES = 5
-BLOCK, LANE = 128, 1 << 15  # decisions
+BLOCK, LANE = 256, 1 << 15  # decisions
 LANES = 192  # lanes mixed together
 RATE = 0.002
 REFINED, STEP, DRAG = 25, 2.0, 32.0  # buckets, buckets for each unit of log odds, observations that the start counts for
@@ -47,7 +48,7 @@ TEXT_BYTES = 1 << 22
 HOT_WORDS, HOT_BYTES = 100_000, 32  # most frequent words whose counts are broadcast; the counts of all others are joined
 HELD_WORDS = 300_000  # a task hands its counts on beyond this many words
 NEW_WORDS = 10_000  # words learnt together
-KEPT = 80_000_000  # bytes of words and their inputs that a worker keeps
+KEPT = 64_000_000  # bytes of words and their inputs that a worker keeps
 DOCS = 500  # documents whose results are handed on together
 LEARN_WORDS = 1_000_000  # words of one task that fills tables, about
 PART_BITS = 14  # slots of a row of tables
@@ -399,9 +400,13 @@ def fitted_tables(counts: DataFrame, words: int, code: Code) -> tuple[list[np.nd
                 add_firsts(sent.value, tables, np.array([int.from_bytes(k, "big") for k, kind in zip(keys, kinds) if kind == FIRST], np.int64), n[kinds == FIRST])
         for k, table in enumerate(tables):
             for part, sums in enumerate(table.reshape(-1, 2 << PART_BITS)):
-                if sums.any():
+                at = np.flatnonzero(sums).astype(np.uint16)
+                if len(at):
                     sums = sums.astype(np.uint32) if sums.max() < 1 << 32 else sums
-                    yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([part], pa.int32()), pa.array([sums.tobytes()], pa.binary())], names=["k", "part", "sums"])
+                    # few counts come with their places
+                    at, sums = (at, sums[at]) if len(at) < len(sums) // 2 else (at[:0], sums)
+                    columns = [pa.array([x], t) for x, t in ((k, pa.int32()), (part, pa.int32()), (at.tobytes(), pa.binary()), (sums.itemsize, pa.int32()), (sums.tobytes(), pa.binary()))]
+                    yield pa.RecordBatch.from_arrays(columns, names=["k", "part", "at", "width", "sums"])
 
     def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, total = None, None
@@ -412,19 +417,20 @@ def fitted_tables(counts: DataFrame, words: int, code: Code) -> tuple[list[np.nd
             return pa.RecordBatch.from_arrays(columns, names=["k", "part", "odds", "seen"])
 
         for batch in batches:
-            for k, part, sums in zip(batch.column("k").to_pylist(), batch.column("part").to_pylist(), batch.column("sums")):
-                sums = sums.as_py()
-                sums = np.frombuffer(sums, np.uint32 if len(sums) == 8 << PART_BITS else np.int64).astype(np.int64)
-                if (k, part) == now:
-                    total += sums
-                else:
+            for k, part, at, width, sums in zip(*(batch.column(c) for c in ("k", "part", "at", "width", "sums"))):
+                if (k.as_py(), part.as_py()) != now:
                     if now is not None:
                         yield done()
-                    now, total = (k, part), sums
+                    now, total = (k.as_py(), part.as_py()), np.zeros(2 << PART_BITS, np.int64)
+                at, sums = np.frombuffer(at.as_py(), np.uint16), np.frombuffer(sums.as_py(), np.uint32 if width.as_py() == 4 else np.int64)
+                if len(at):
+                    total[at] += sums
+                else:
+                    total += sums
         if now is not None:
             yield done()
 
-    parts = counts.repartition(-(-max(words, 1) // LEARN_WORDS), "kind", "key").mapInArrow(filled, "k int, part int, sums binary")
+    parts = counts.repartition(-(-max(words, 1) // LEARN_WORDS), "kind", "key").mapInArrow(filled, "k int, part int, at binary, width int, sums binary")
     rows = parts.repartition("k", "part").sortWithinPartitions("k", "part").mapInArrow(merged, "k int, part int, odds binary, seen binary").collect()
     tables, seen = [np.zeros(1 << b, np.int8) for b in TABLE_BITS], np.zeros(1 << TABLE_BITS[3], np.int8)
     for row in rows:
@@ -509,7 +515,11 @@ def score_texts(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
     total, distinct = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
     bytes_seen = byte_counts(counts)
     tables, seen = fitted_tables(counts, distinct, Code(bytes_seen))
-    top = words.filter(F.octet_length("key") <= HOT_BYTES).orderBy(F.desc("n"), "key").limit(HOT_WORDS).collect()
+    short = words.filter(F.octet_length("key") <= HOT_BYTES)
+    # the least number at which no more than HOT_WORDS words are as frequent; one row for each distinct number
+    sizes = short.groupBy("n").agg(F.count(F.lit(1)).alias("words")).withColumn("upto", F.sum("words").over(W.orderBy(F.desc("n"))))
+    least = sizes.filter(F.col("upto") <= HOT_WORDS).agg(F.min("n")).first()[0]
+    top = short.filter(F.col("n") >= least).collect() if least is not None else []
     sent = spark.sparkContext.broadcast((bytes_seen, tables, seen, {bytes(r["key"]): r["n"] for r in top}))
     name = uuid.uuid4().hex
 

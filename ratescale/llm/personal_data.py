@@ -7,7 +7,6 @@ segmentation is found by the same dynamic program with maxima. It is fitted on p
 
 from __future__ import annotations
 
-import hashlib
 import re
 import zlib
 from bisect import bisect_right
@@ -92,6 +91,7 @@ LABELS = ("none", *KINDS)
 SAMPLE_PASSAGES = 3000
 EPOCHS, BATCH, RATE, DECAY = 6, 32, 0.2, 1e-3
 MARGIN = 3.0  # log odds that an added span needs against none
+COSTS = np.array([0.0] + [MARGIN] * len(KINDS))
 TOKEN = re.compile(r"\S+")
 CANDIDATE = re.compile(r"[0-9@]")
 SPACE = re.compile(r"\s")
@@ -270,10 +270,10 @@ class Field:
         top, how = np.full(n + 1, -np.inf), [(0, 0)] * (n + 1)
         top[0] = 0.0
         for i, j, f in lattice:
-            s = self.score(i, j, f)
-            label = int(np.argmax(s))
             # an entity has to beat its tokens as plain ones by the margin, or it is not worth a change
-            value = top[i] + s[label] - (MARGIN if label else 0.0)
+            s = self.score(i, j, f) - COSTS
+            label = int(np.argmax(s))
+            value = top[i] + s[label]
             if value > top[j]:
                 top[j], how[j] = value, (i, label)
         out, at = [], n
@@ -321,14 +321,12 @@ def fit(samples: list[tuple[str, list[tuple[int, int]], dict[tuple[int, int], in
 
 
 def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Passages for the fit with their base spans, at most 20 of a document."""
+    """Passages for the fit with their base spans."""
     for batch in batches:
         out = []
         for text in batch.column("text").to_pylist():
             spans = base_spans(text or "")
-            for k, tokens in enumerate(passages(text or "")):
-                if k == 20:
-                    break
+            for tokens in passages(text or ""):
                 if gold_segments(tokens, spans) is not None:
                     first, last = tokens[0][0], tokens[-1][1]
                     near = [(s, a - first, b - first) for s, a, b in spans if a < last and b > first]
@@ -339,20 +337,20 @@ def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def train(docs: DataFrame, sample_passages: int = SAMPLE_PASSAGES, text_column: str = "text") -> np.ndarray:
-    """Weights from at most about `sample_passages` passages of documents with a digit or an @, drawn by a hash of the text.
+    """Weights from at most `sample_passages` distinct passages of documents with a digit or an @.
 
-    About one document in as many is read for it as gives two passages each; the fit is one task.
+    About as many documents are read, drawn by a hash of the text, and of all their passages the first ones by a hash; the fit is one task.
     """
-    rows = docs.select(F.col(text_column).cast("string").alias("text")).filter(F.col("text").rlike("[0-9]{4}|@"))
+    rows = docs.select(F.col(text_column).cast("string").alias("text")).filter(F.col("text").rlike("[0-9@]"))
     n = rows.count()
     kept = int(min(1.0, sample_passages / max(n, 1)) * (1 << 20))
     chosen = rows.filter(F.pmod(F.xxhash64("text", F.lit("sample")), F.lit(1 << 20)) < kept)
-    found = chosen.mapInArrow(_sampled, "passage string, kinds array<string>, starts array<long>, ends array<long>").withColumn("all", F.lit(0))
+    found = chosen.mapInArrow(_sampled, "passage string, kinds array<string>, starts array<long>, ends array<long>").withColumn("order", F.md5("passage"))
+    found = found.dropDuplicates(["order"]).orderBy("order").limit(sample_passages).withColumn("all", F.lit(0))
 
     def fitted(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.assign(order=[hashlib.md5(p.encode()).hexdigest() for p in rows["passage"]]).drop_duplicates("order").sort_values("order")
         samples = []
-        for r in rows.head(sample_passages).itertuples():
+        for r in rows.sort_values("order").itertuples():
             tokens = tokens_of(r.passage)
             gold = gold_segments(tokens, list(zip(r.kinds, r.starts, r.ends))) if tokens else None
             if gold is not None:

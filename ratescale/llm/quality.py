@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ratescale.llm.common import KEPT_BYTES, Ragged, held, text_rows
+from ratescale.llm.common import Ragged, held, text_rows
 
 FEATURE_BITS = 20
 GRADES = 3  # 0: poor, 1: good but toxic, 2: good
@@ -22,7 +22,8 @@ EPOCHS, BATCH, RATE, DECAY = 8, 64, 0.1, 3e-4
 LEAST_PROBABILITY = 0.7
 LEAST_SHARE = 0.001  # a feature of a smaller share of the sample (or of under LEAST_ROWS rows) has no weight
 LEAST_ROWS = 3
-KNOWN_WORDS = 300_000
+KNOWN_WORDS = 300_000  # beginnings of words
+KNOWN_BYTES = 60_000_000  # of chunks of text and their features
 BEGINNINGS = (3, 4, 5, 6)  # letters
 GRAMS = (2, 3)  # letters, anywhere in a run of letters that is no single word
 LONG_RUN = 24  # letters; what is longer counts as such a run
@@ -37,7 +38,7 @@ class Featurizer:
 
     def __init__(self, bits: int = FEATURE_BITS):
         self.mask = (1 << bits) - 1
-        self.known = Ragged(KEPT_BYTES, np.int32)  # chunk of text -> its features
+        self.known = Ragged(KNOWN_BYTES, np.int32)  # chunk of text -> its features
         self.heads: dict[str, tuple[int, ...]] = {}
 
     def _hash(self, kind: str, value: str) -> int:
