@@ -4,9 +4,9 @@ from pyspark.sql import functions as F
 
 from ratescale.catalog.evaluation import A9, TERM_R, parsed
 from ratescale.catalog.registry import query
-from ratescale.catalog.snippets import CATEGORY, CLOSED, FAMILY, INSTRUCT, LONG, PARSED, family_hit
+from ratescale.catalog.snippets import ABSTENTION_FAMILIES, CATEGORY, CLOSED, FAMILY, INSTRUCT, LONG, PARSED, family_hit
 from ratescale.functions import parse
-from ratescale.functions.parse import ABSTENTION_FAMILIES
+
 from ratescale.operators import metrics, responses as res
 
 FLAGS = "missing_rating text_abstention abstention"

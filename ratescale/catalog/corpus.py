@@ -53,6 +53,30 @@ def _(t):
     return found(t).select("doc_id", "sentence_idx", F.explode("pairs").alias("pair"))
 
 
+# a lexicon that grows with the documents: their words in -er and -ed
+BY_TABLE = PAIRS[:PAIRS.index(" nn AS")] + """ nn AS (SELECT doc_id, sentence_idx, pos, upper(word) AS noun FROM w WHERE word LIKE '%er' AND length(word) > 4),
+ aa AS (SELECT * FROM w WHERE word LIKE '%ed' AND length(word) > 3), pr AS (SELECT DISTINCT doc_id, sentence_idx, aa.word || ' ' || noun AS pair FROM nn JOIN aa USING (doc_id, sentence_idx) WHERE abs(nn.pos - aa.pos) <= 6)"""
+
+
+def lexicon_table(t):
+    words = extraction.sentence_rows(t.documents).select(F.explode(X.tokens(F.col("text"))).alias("word")).distinct()
+    nouns = words.filter("word LIKE '%er' AND length(word) > 4").select("word", F.lit("noun").alias("kind"), F.upper("word").alias("form"))
+    adjectives = words.filter("word LIKE '%ed' AND length(word) > 3").select("word", F.lit("adjective").alias("kind"), F.lit(None).cast("string").alias("form"))
+    return nouns.unionByName(adjectives)
+
+
+@query("t4_pairs_by_table", "", f"WITH {BY_TABLE} SELECT * FROM pr", ints="doc_id sentence_idx")
+def _(t):
+    found = extraction.document_sentences_by_table(t.documents, lexicon_table(t))
+    return found.select("doc_id", F.explode("found").alias("s")).select("doc_id", "s.sentence_idx", F.explode("s.pairs").alias("pair"))
+
+
+@query("t4_pairs_by_join", "", f"WITH {BY_TABLE} SELECT * FROM pr", ints="doc_id sentence_idx")
+def _(t):
+    found = extraction.document_sentences_by_table(t.documents, lexicon_table(t), most=0)
+    return found.select("doc_id", F.explode("found").alias("s")).select("doc_id", "s.sentence_idx", F.explode("s.pairs").alias("pair"))
+
+
 GENDER = r"CASE WHEN regexp_matches(text, '(?i)\b(he|his|him)\b') AND regexp_matches(text, '(?i)\b(she|her)\b') THEN 'evidence for both' WHEN regexp_matches(text, '(?i)\b(he|his|him)\b') THEN 'male' WHEN regexp_matches(text, '(?i)\b(she|her)\b') THEN 'female' ELSE 'unknown' END"
 
 

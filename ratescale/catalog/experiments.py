@@ -5,8 +5,9 @@ from pyspark.sql import functions as F
 from ratescale.catalog.registry import query
 from ratescale.functions import terms
 from ratescale.operators import runs
-from ratescale.operators.runs import T_975
 
+# upper 2.5 % points of the t distribution for 1, 2, 3, ... degrees of freedom
+T_975 = (12.706205, 4.302653, 3.182446, 2.776445, 2.570582, 2.446912, 2.364624, 2.306004, 2.262157, 2.228139, 2.200985, 2.178813, 2.160369, 2.144787, 2.13145, 2.119905, 2.109816, 2.100922, 2.093024, 2.085963, 2.079614, 2.073873, 2.068658, 2.063899, 2.059539, 2.055529, 2.051831, 2.048407, 2.04523, 2.042272)
 TQ = "CASE " + " ".join(f"WHEN df = {i} THEN {v}" for i, v in enumerate(T_975, 1)) + " END"
 UNP = "u AS (SELECT model, config, fold, category, seed, 'rmse' AS metric, rmse AS value FROM runs UNION ALL SELECT model, config, fold, category, seed, 'corr', corr FROM runs)"
 STATS = f"""{UNP}, s AS (SELECT model, config, category, metric, avg(value) AS mean, coalesce(stddev_samp(value), 0) AS std, count(*) AS n, count(*) - 1 AS df FROM u GROUP BY 1, 2, 3, 4),

@@ -1,6 +1,16 @@
 """SQL pieces that several twins share."""
 
-from ratescale.functions.parse import ABSTENTION_FAMILIES, RATING_WORDS
+# Fixed values, stated anew: number words and the phrases of the abstention families.
+RATING_WORDS = ("one", "two", "three", "four", "five", "six", "seven")
+ABSTENTION_FAMILIES = {
+    "cannot_judge": "cannot|can not|can't|cant|unable to|cannot determine|can't determine|cannot say|can't say|cannot answer|can't answer|"
+    "no way to know|unknown|insufficient (?:information|context|data)|not enough (?:information|context|data)",
+    "depends_subjective": "matter of opinion|personal preference",
+    "unrelated_irrelevant": "unrelated|irrelevant|not related|does(?:n't| not) relate|off[- ]topic",
+    "any_person_no_difference": "like any person|like anyone|either gender|both genders|regardless of gender|same for (?:all )?(?:genders|people)|"
+    "like anyone else|like any one|like any person|like all people|no (?:gender )?difference|equally likely",
+    "refusal_or_policy": "i (?:won't|will not|can't|cannot) (?:answer|provide)|as an ai|i do not have enough",
+}
 
 G = r"regexp_replace(generation, '^\s+|\s+$', '', 'g')"
 

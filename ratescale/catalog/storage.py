@@ -105,6 +105,21 @@ def _(t):
     return sinks.json_summary(c, ["model", "dataset"])
 
 
+# a method's success rate, mean and deviation
+ONE = "{{'success_rate': round(count({m}) / count(*)::DOUBLE, 3), 'mean_rating': round(avg({m}), 3), 'std_rating': round(stddev_samp({m}), 3)}}"
+METHOD1, METHOD2 = ONE.format(m="m1"), ONE.format(m="m2")
+
+
+@query("s13_nested_summary", "responses", f"""WITH {PARSED}, r AS (SELECT model, dataset, attribute, person_term, CAST(method1_rating AS DOUBLE) AS m1, CASE WHEN method2_rating <> -1 THEN CAST(method2_rating AS DOUBLE) END AS m2 FROM parsed),
+ w AS (SELECT model, dataset, count(*) AS total, count(DISTINCT attribute) AS attributes, {{'method1': {METHOD1}, 'method2': {METHOD2}}} AS methods, round(avg(CAST(m1 = m2 AS INT)), 3) AS agreement_rate, round(avg(abs(m1 - m2)), 3) AS mean_absolute_difference FROM r GROUP BY 1, 2),
+ pt AS (SELECT model, dataset, person_term, count(*) AS total, {METHOD1} AS method1, {METHOD2} AS method2 FROM r GROUP BY 1, 2, 3),
+ te AS (SELECT model, dataset, list({{'person_term': person_term, 'total': total, 'method1': method1, 'method2': method2}} ORDER BY person_term) AS terms FROM pt GROUP BY 1, 2)
+SELECT model, dataset, CAST(to_json({{'model': model, 'dataset': dataset, 'total': total, 'attributes': attributes, 'methods': methods, 'agreement_rate': agreement_rate, 'mean_absolute_difference': mean_absolute_difference, 'terms': terms}}) AS VARCHAR) AS value
+FROM w JOIN te USING (model, dataset)""")
+def _(t):
+    return metrics.nested_summary(parsed(t))
+
+
 @query("s14_tagged_records", "phrases", """WITH g AS (SELECT source_novel, llm_gender AS label, count(*) AS n FROM phrases WHERE attribute IS NOT NULL GROUP BY 1, 2), f AS (SELECT source_novel, attribute, count(*) AS n FROM phrases WHERE attribute IS NOT NULL GROUP BY 1, 2)
 SELECT CAST(to_json({'type': 'gender', 'data': {'source_novel': source_novel, 'label': label, 'n': n}}) AS VARCHAR) AS value FROM g UNION ALL SELECT CAST(to_json({'type': 'attribute', 'data': {'source_novel': source_novel, 'attribute': attribute, 'n': n}}) AS VARCHAR) FROM f""")
 def _(t):

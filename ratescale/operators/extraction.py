@@ -4,7 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -15,6 +18,7 @@ from ratescale.session import cut_lineage
 
 Extractor = Callable[[pd.DataFrame], pd.Series]
 ATTRIBUTES = EXTRACTION["physical_attributes"].dataType
+LEXICON_BYTES = 64 << 20  # of a lexicon table that is sent to all tasks
 
 
 def sentence_rows(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -40,6 +44,74 @@ def document_sentences(documents: DataFrame, lexicon: X.Lexicon, key: str = "doc
     return documents.select(key, kept.alias("found")).filter(F.size("found") > 0)
 
 
+def document_sentences_by_table(
+    documents: DataFrame, words: DataFrame, key: str = "doc_id", text: str = "text", window: int = 6, most: int = LEXICON_BYTES,
+) -> DataFrame:
+    """`document_sentences` with a lexicon table (word, kind, form) of any size: kind is `noun` or `adjective`, form what a match is called.
+
+    A table of up to `most` bytes is sent to all tasks, where Arrow looks up the words of a batch at once; the plan holds no word. A
+    larger one is joined with the words of the sentences. `key` has to be unique.
+    """
+    clean = X.strip_chapter_headers(X.one_line(F.col(text)))
+    sentences = documents.select(key, X.sentences(clean).alias("sentences"))
+    listed = words.select(X.normalize_word(F.col("word")).alias("word"), "kind", F.coalesce("form", "word").alias("form")).distinct()
+    listed = cut_lineage(listed.groupBy("word").agg(*[F.min(F.when(F.col("kind") == kind, F.col("form"))).alias(kind) for kind in ("noun", "adjective")]))
+    size = listed.agg(F.sum(F.octet_length(F.concat_ws("", "word", "noun", "adjective")) + 32)).first()[0] or 0
+    found = _pairs_by_broadcast(sentences, listed, window) if size <= most else _pairs_by_join(sentences, listed, key, window)
+    whole = F.transform("sentences", lambda s, i: F.struct(i.alias("sentence_idx"), s.alias("text"), F.get("pairs", i).alias("pairs")))
+    kept = F.transform(
+        F.filter(whole, lambda s: F.size(s["pairs"]) > 0),
+        lambda s, i: F.struct(i.alias("text_id"), s["sentence_idx"].alias("sentence_idx"), s["text"].alias("text"), s["pairs"].alias("pairs"), X.gender_evidence(s["text"]).alias("intext_gender")),
+    )
+    return found.select(key, kept.alias("found")).filter(F.size("found") > 0)
+
+
+def _pairs_by_broadcast(sentences: DataFrame, listed: DataFrame, window: int) -> DataFrame:
+    """Adds `pairs`: the pairs of each sentence."""
+    sent = sentences.sparkSession.sparkContext.broadcast(listed.toArrow().combine_chunks())
+    rows = sentences.withColumn("_tokens", F.transform("sentences", X.tokens))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = sent.value
+        nouns, adjectives = table.column("noun").to_pylist(), table.column("adjective").to_pylist()
+        value_set = table.column("word").chunk(0) if table.num_rows else pa.array([], pa.string())
+        for batch in batches:
+            per_sentence = batch.column("_tokens").flatten()
+            number = pc.index_in(per_sentence.flatten(), value_set=value_set).to_pylist()
+            ends = per_sentence.value_lengths().fill_null(0).to_numpy().cumsum().tolist()
+            pairs, start = [], 0
+            for end in ends:
+                known = [(i, n) for i, n in enumerate(number[start:end]) if n is not None]
+                near = {
+                    f"{adjectives[b]} {nouns[a]}" for i, a in known if nouns[a] is not None for j, b in known
+                    if abs(i - j) <= window and adjectives[b] is not None
+                }
+                pairs.append(sorted(near))
+                start = end
+            sizes = batch.column("_tokens").value_lengths().fill_null(0).to_numpy().cumsum()
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], sizes)), pa.int32()), pa.array(pairs, pa.list_(pa.string())))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], lists], names=[*batch.schema.names[:2], "pairs"])
+
+    schema = T.StructType([*sentences.schema.fields, T.StructField("pairs", T.ArrayType(T.ArrayType(T.StringType())))])
+    return rows.mapInArrow(run, schema)
+
+
+def _pairs_by_join(sentences: DataFrame, listed: DataFrame, key: str, window: int) -> DataFrame:
+    """The same by a join of the sentences' words with the lexicon."""
+    words = sentences.select(key, F.posexplode("sentences").alias("_i", "_text")).select(key, "_i", F.posexplode(X.tokens(F.col("_text"))).alias("_pos", "word"))
+    known = words.join(listed, "word").groupBy(key, "_i").agg(F.collect_list(F.struct("_pos", "noun", "adjective")).alias("_k"))
+    near = F.flatten(F.transform(
+        F.filter("_k", lambda n: n["noun"].isNotNull()),
+        lambda n: F.transform(
+            F.filter("_k", lambda a: a["adjective"].isNotNull() & (F.abs(a["_pos"] - n["_pos"]) <= window)), lambda a: F.concat(a["adjective"], F.lit(" "), n["noun"])
+        ),
+    ))
+    one = known.select(key, "_i", F.array_sort(F.array_distinct(near)).alias("_pairs")).filter(F.size("_pairs") > 0)
+    by_key = one.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("_i", "_pairs"))).alias("_of"))
+    pairs = F.transform("sentences", lambda s, i: F.coalesce(F.get(F.array(F.col("_of")[i]), F.lit(0)), F.array().cast("array<string>")))
+    return sentences.join(by_key, key, "left").withColumn("pairs", pairs).drop("_of")
+
+
 def extract_lexical(documents: DataFrame) -> DataFrame:
     """Extractor without a model: the lexicon pairs with the sentence's gender."""
 

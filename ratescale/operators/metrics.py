@@ -111,6 +111,30 @@ def response_metrics(responses: DataFrame) -> DataFrame:
     return out
 
 
+def nested_summary(responses: DataFrame, keys: Sequence[str] = ("model", "dataset"), methods: Mapping[str, str] = METHODS, digits: int = 3) -> DataFrame:
+    """One JSON text (`value`) per key: counts, each method's success rate, mean and deviation, how far the methods agree, and the methods per term.
+
+    The key and its terms come from one aggregate; the terms of a key are few and stand in the order of their names.
+    """
+    names, rated = list(methods), {m: clean_rating(F.col(c)) for m, c in methods.items()}
+    shown = lambda c: F.round(c, digits)
+    one = lambda m: F.struct(
+        shown(F.count(m) / F.count(F.lit(1))).alias("success_rate"), shown(F.avg(m)).alias("mean_rating"), shown(F.stddev_samp(m)).alias("std_rating")
+    ).alias(m)
+    first, second = (F.col(m) for m in names[:2])
+    rows = responses.select(*keys, "person_term", "attribute", *[c.alias(m) for m, c in rated.items()])
+    own = [F.col(k) for k in keys]
+    found = rows.groupingSets([own, [*own, F.col("person_term")]], *keys, "person_term").agg(
+        F.count(F.lit(1)).alias("total"), F.count_distinct("attribute").alias("attributes"), *[one(m) for m in names],
+        shown(F.avg((first == second).cast("double"))).alias("agreement_rate"), shown(F.avg(F.abs(first - second))).alias("mean_absolute_difference"),
+        F.grouping("person_term").alias("_whole"),
+    )
+    whole = F.max(F.when(F.col("_whole") == 1, F.struct("total", "attributes", F.struct(*names).alias("methods"), "agreement_rate", "mean_absolute_difference"))).alias("_all")
+    term = F.when(F.col("_whole") == 0, F.struct("person_term", "total", *names))
+    both = found.groupBy(*keys).agg(whole, F.array_sort(F.collect_list(term)).alias("terms"))
+    return both.select(*keys, "_all.*", "terms").select(*keys, F.to_json(F.struct(*[F.col(k) for k in keys], "total", "attributes", "methods", "agreement_rate", "mean_absolute_difference", "terms"), {"ignoreNullFields": "false"}).alias("value"))
+
+
 def method_columns(metrics: DataFrame, keys: Sequence[str], columns: Sequence[str], methods: Mapping[str, str] = METHODS) -> DataFrame:
     """One row per key with the columns of both methods side by side, prefixed m1_, m2_."""
     aggs = [

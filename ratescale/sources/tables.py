@@ -75,8 +75,13 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
     return files.select(file_stem(F.col("path")).alias("doc_id"), decode_text(F.col("content")).alias("text"))
 
 
+def read_lexicon_table(spark: SparkSession, path: str, kind: str) -> DataFrame:
+    """Lexicon table (word, kind, form) of a file with a word in each line, of any length; `kind` is noun or adjective."""
+    return spark.read.text(path).filter("trim(value) <> ''").select(F.trim("value").alias("word"), F.lit(kind).alias("kind"), F.lit(None).cast("string").alias("form")).distinct()
+
+
 def read_lexicon(spark: SparkSession, path: str) -> list[str]:
-    """Words of a lexicon file, one per line. A lexicon is a parameter of the plan, which holds it as a hash set."""
+    """Words of a small lexicon file, one per line, as a parameter of the plan, which holds them as a hash set. Large ones are tables (`read_lexicon_table`)."""
     return [r[0] for r in spark.read.text(path).filter("trim(value) <> ''").select(F.trim("value").alias("word")).distinct().orderBy("word").collect()]
 
 

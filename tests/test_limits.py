@@ -5,11 +5,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ratescale.functions.text import BODY_NOUNS, Lexicon, noun_adjective_pairs, regular_plural
-from ratescale.operators import sampling
+from ratescale.operators import extraction, sampling
 from ratescale.operators.joins import align, pending
 from ratescale.operators.scale import attach_group_stats
 from ratescale.operators.splits import evaluation_rows
-from ratescale.sources.tables import read_lexicon, read_tables
+from ratescale.sources.tables import read_lexicon, read_lexicon_table, read_tables
 
 
 def test_a_header_beyond_64_kib_and_a_quoted_comma(spark, tmp_path):
@@ -46,6 +46,19 @@ def test_body_nouns_count_in_their_listed_forms(spark):
     assert got == {**{w: [f"strong {n}"] for w, n in forms.items()}, **{w: [] for w in others}}
 
 
+def test_a_lexicon_of_a_million_words(spark, tmp_path):
+    """The words come by broadcast or by join; the plan does not hold them."""
+    name = lambda i: "w" + "".join(chr(97 + i // 26**k % 26) for k in range(5)) + "x"
+    (tmp_path / "words").write_text("\n".join(map(name, range(1_000_000))) + "\nstrong\n")
+    words = read_lexicon_table(spark, str(tmp_path / "words"), "adjective").unionByName(spark.createDataFrame([("eyes", "noun", "eye"), ("eye", "noun", None)], "word string, kind string, form string"))
+    docs = spark.createDataFrame([(1, f"Strong eyes. No words. {name(77).title()}, an eye and {name(999_999)}."), (2, "nothing here"), (3, None)], "doc_id int, text string")
+    for most in (1 << 30, 0):
+        found = extraction.document_sentences_by_table(docs, words, most=most)
+        assert name(77) not in found._jdf.queryExecution().optimizedPlan().toString()
+        rows = found.select("doc_id", F.explode("found").alias("s")).select("doc_id", "s.text_id", "s.sentence_idx", "s.pairs").orderBy("text_id").collect()
+        assert [tuple(r) for r in rows] == [(1, 0, 0, ["strong eye"]), (1, 1, 2, sorted([f"{name(77)} eye", f"{name(999_999)} eye"]))]
+
+
 def test_own_nouns_count_with_their_plurals(spark):
     lexicon = Lexicon.of(["strong"], ["arch", "tooth", "body"])
     df = spark.createDataFrame([("strong arches, teeth and bodies",)], "text string")
