@@ -29,7 +29,7 @@ PART, WHOLE = 4, 5  # similarity of at least 4 / 5
 FLUSH = 2_000_000  # shingles counted together
 COMMON = 3  # documents among those
 MOST_COMMON = 1 << 16  # shingles that are put last, so that they can be sent to all tasks
-STARS = 2  # rounds
+STARS = 1  # rounds
 PARITY = 512  # bits
 TILE = 1_024  # nodes of a shingle in a tile, about
 PAIR_ROWS = 2_000_000  # pairs looked at together
@@ -231,27 +231,31 @@ def _similar_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         yield batch.select(["a", "b"]).filter(pa.array(near, pa.bool_()))
 
 
-def _with_side(pairs: DataFrame, table: DataFrame, side: str, other: str) -> DataFrame:
-    """The pairs with the columns of a node (`table`: node and others, each named for the side). A node of many pairs comes in copies, so that they are spread."""
+def _with_side(pairs: DataFrame, table: DataFrame, side: str, key: str, other: str) -> DataFrame:
+    """The pairs with the other columns of the table's row whose `key` is in the column `side`_`key` (or `side`, for nodes), each named for the side.
+
+    A row of many pairs comes in copies, so that they are spread.
+    """
+    at = side if key == "node" else f"{side}_{key}"
     copies = F.ceil(F.count(F.lit(1)) / HUB_PAIRS)
-    dealt = attach_group_stats(pairs, [side], {"_copies": copies}).withColumn("_copy", F.pmod(F.xxhash64(other), "_copies"))
-    wanted = pairs.groupBy(side).agg(copies.alias("_copies"))
-    named = table.select(F.col("node").alias(side), *[F.col(c).alias(f"{side}_{c}") for c in table.columns if c != "node"])
-    spread = named.join(wanted, side).withColumn("_copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_copies") - 1))).drop("_copies")
-    return dealt.join(spread, [side, "_copy"]).drop("_copy", "_copies")
+    dealt = attach_group_stats(pairs, [at], {"_copies": copies}).withColumn("_copy", F.pmod(F.xxhash64(other), "_copies"))
+    wanted = pairs.groupBy(at).agg(copies.alias("_copies"))
+    named = table.select(F.col(key).alias(at), *[F.col(c).alias(f"{side}_{c}") for c in table.columns if c != key])
+    spread = named.join(wanted, at).withColumn("_copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_copies") - 1))).drop("_copies")
+    return dealt.join(spread, [at, "_copy"]).drop("_copy", "_copies")
 
 
 def similar_pairs(pairs: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose texts (node, text) are similar. Sizes and parities (nodes: node, n, bits) drop most others before texts are sent."""
+    """The pairs (a, b) whose texts (row, text) are similar. Sizes and parities (nodes: node, row, n, bits) drop most others before texts are sent."""
     sides = (("a", "b"), ("b", "a"))
     rows = pairs
     for side, other in sides:
-        rows = _with_side(rows, nodes, side, other)
+        rows = _with_side(rows, nodes, side, "node", other)
     apart = _flipped(F.col("a_bits"), F.col("b_bits"))
     rows = rows.filter(_near_in_size(F.col("a_n"), F.col("b_n")) & (apart * (PART + WHOLE) <= (F.col("a_n") + F.col("b_n")) * (WHOLE - PART)))
-    rows = written(rows.select("a", "b"), "near-candidates")
+    rows = written(rows.select("a", "b", "a_row", "b_row"), "near-candidates")
     for side, other in sides:
-        rows = _with_side(rows, texts, side, other)
+        rows = _with_side(rows, texts, side, "row", other)
     return rows.select("a", "b", "a_text", "b_text").mapInArrow(_similar_pairs, "a long, b long")
 
 
@@ -265,9 +269,9 @@ def _flipped(a: Column, b: Column) -> Column:
 
 
 def groups(keys: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
-    """(node, root) of the nodes that are linked to others, from the prefixes' shingles (h, node, n, pos), the nodes (node, n, fp, bits) and their texts."""
+    """(node, root) of the nodes that are linked to others, from the prefixes' shingles (h, node, n, pos), the nodes (node, row, n, fp, bits) and the rows' texts."""
     edges = tried = found = None
-    facts = nodes.select("node", "n", "bits")
+    facts = nodes.select("node", "row", "n", "bits")
     for turn in range(-1, STARS + 1):
         if found is None:
             now = keys.withColumn("root", F.col("node"))
@@ -315,14 +319,14 @@ def keep_one(docs: DataFrame, id_column: str = "doc_id", text_column: str = "tex
     ident = F.col(key).cast("long")
     best = F.min(F.struct(ident.isNull().alias("none"), ident.alias("id"), F.col("_row").alias("row"))).alias("best")
     firsts = written(marked.groupBy(F.col("_node").alias("node")).agg(best), "near-nodes")
+    # a node is the row that stands for it; texts stay where they are until a pair needs them
     own = marked.join(firsts.select(F.col("best.row").alias("_row")), "_row", "left_semi")
-    nodes = own.select(F.col("_node").alias("node"), F.col("_n").alias("n"), F.col("_fp").alias("fp"), F.col("_bits").alias("bits"), "_prefix")
+    nodes = own.select(F.col("_node").alias("node"), F.col("_row").alias("row"), F.col("_n").alias("n"), F.col("_fp").alias("fp"), F.col("_bits").alias("bits"))
     nodes = written(nodes, "near-facts")
     # one shuffle by shingle serves the count and the join
-    heads = nodes.select("node", "n", F.posexplode("_prefix").alias("pos", "h")).repartition("h")
+    heads = own.select(F.col("_node").alias("node"), F.col("_n").alias("n"), F.posexplode("_prefix").alias("pos", "h")).repartition("h")
     shared = heads.groupBy("h").agg(F.count(F.lit(1)).alias("_rows")).filter("_rows > 1")
     keys = written(heads.join(shared.select("h"), "h", "left_semi").select("h", "node", "n", "pos"), "near-shingles")
-    texts = own.select(F.col("_node").alias("node"), F.col(text).cast("string").alias("text"))
-    found = groups(keys, nodes.select("node", "n", "fp", "bits"), texts)
+    found = groups(keys, nodes, marked.select(F.col("_row").alias("row"), F.col(text).cast("string").alias("text")))
     placed = firsts.join(found, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("best").alias("best"))
     return marked.join(placed.select(F.col("best.row").alias("_row")), "_row", "left_semi").select(*names).toDF(*docs.columns)
