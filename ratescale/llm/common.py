@@ -56,6 +56,13 @@ def slices(texts: list[str], most: int = SLICE_CHARS) -> Iterator[tuple[int, int
         yield start, len(texts)
 
 
+def small_batches(batches: Iterable[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
+    """The same rows, few at a time: what is made of a batch in Python takes many times its bytes."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, rows):
+            yield batch.slice(start, rows)
+
+
 def batch_texts(batch: pa.RecordBatch) -> list[str]:
     """The texts of a batch; null is empty."""
     return [t or "" for t in batch.column("text").to_pylist()]

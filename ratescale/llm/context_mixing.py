@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ratescale.llm.common import Ragged, Slots, batch_texts, gather, held, text_rows, written
+from ratescale.llm.common import Ragged, Slots, batch_texts, gather, held, small_batches, text_rows, written
 from ratescale.operators.scale import attach_table
 
 FOLDS, HELD_OUT = 7, 2
@@ -450,7 +450,7 @@ SCORED_SQL = "row long, doc_id long, held_out boolean, n_bytes long, n_tokens lo
 
 def scored_batches(model: Model, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Scores of the texts, with logs and numbers of their hot words; the other words are handed on."""
-    for batch in (whole.slice(i, DOCS) for whole in batches for i in range(0, whole.num_rows, DOCS)):
+    for batch in small_batches(batches, DOCS):
         texts = batch_texts(batch)
         ids = list(zip(*(batch.column(c).to_pylist() for c in ("row", "doc_id", "held_out"))))
         sums = np.zeros((len(texts), 5))  # bytes, tokens, known words, logs, score

@@ -21,12 +21,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ratescale.llm import simhash
-from ratescale.llm.common import release, written
+from ratescale.llm.common import release, small_batches, written
 from ratescale.operators.scale import attach_group_stats, partitions
 
 SHINGLE, SEED = 5, 42
 PART, WHOLE = 4, 5  # similarity of at least 4 / 5
-FLUSH = 2_000_000  # shingles counted together
+FLUSH = 1_000_000  # shingles counted together
 COMMON = 3  # documents among those
 MOST_COMMON = 1 << 16  # shingles that are put last, so that they can be sent to all tasks
 STARS = 1  # rounds
@@ -90,7 +90,7 @@ def _frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         often = counts >= COMMON
         return pa.RecordBatch.from_arrays([pa.array(hashes[often].view(np.int64)), pa.array(counts[often].astype(np.int64))], names=["h", "n"])
 
-    for batch in batches:
+    for batch in small_batches(batches):
         for text in batch.column("text").to_pylist():
             waiting.append(shingles(text))
             size += len(waiting[-1])
@@ -304,7 +304,7 @@ def keep_one(docs: DataFrame, id_column: str = "doc_id", text_column: str = "tex
 
     def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()
-        for batch in batches:
+        for batch in small_batches(batches):
             found = [shingles(t) for t in batch.column(text).to_pylist()]
             nodes = pa.array([xxhash.xxh64_intdigest(h.tobytes(), SEED) - (1 << 63) for h in found], pa.int64())
             heads = pa.array([prefix(h, sent.value).view(np.int64) for h in found], pa.list_(pa.int64()))

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ratescale.llm.common import Ragged, held, text_rows
+from ratescale.llm.common import Ragged, held, small_batches, text_rows
 
 FEATURE_BITS = 20
 GRADES = 3  # 0: poor, 1: good but toxic, 2: good
@@ -171,7 +171,7 @@ def train(docs: DataFrame, grades: DataFrame, sample_rows: int = SAMPLE_ROWS, id
 
     def featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         maker = held(("featurizer",), Featurizer)
-        for batch in batches:
+        for batch in small_batches(batches):
             flat = [f.astype("<i4").tobytes() for f in maker.features(batch.column("text").to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("grade"), pa.array(flat, pa.binary())], names=["doc_id", "grade", "features"])
 
@@ -202,7 +202,7 @@ def score(docs: DataFrame, labels: DataFrame, least: float = LEAST_PROBABILITY,
     sent = docs.sparkSession.sparkContext.broadcast(model)  # 2 ** FEATURE_BITS weights
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small_batches(batches):
             found = _scored(batch.column("text").to_pylist(), sent.value)
             columns = [pa.array([f[i] for f in found], pa.float64()) for i in (0, 1)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], names=["doc_id", "expected_grade", "tail_probability"])
@@ -222,7 +222,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, least: float = LEAST_PROBABILI
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small_batches(batches):
             yield batch.filter(pa.array([p >= least for _, p in _scored(batch.column(text).to_pylist(), sent.value)], pa.bool_()))
 
     return plain.mapInArrow(run, plain.schema).toDF(*docs.columns)
