@@ -14,27 +14,33 @@ def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier, fitted on the ratings in `labels`, takes for good and not toxic."""
+    """Documents that the classifier, fitted on the ratings in `labels`, takes for good and not toxic.
+
+    Null texts are empty, ratings with a null are left out, without a usable rating all rows stay, and an empty table stays empty.
+    """
     return quality.keep_good(docs, _table(spark, sf_dir, "labels"))
 
 
 def distinct_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: shingles of five words, similarity 0.8 or more."""
+    """One document of each group of near copies: shingles of five words, similarity 0.8 or more, by the SimHash trees and an exact check.
+
+    The smallest id stays, null ids come last; null texts and texts without words are copies of each other; of equal rows one stays.
+    """
     return near_copies.keep_one(docs)
 
 
 def clean_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that share no window of words with `benchmark`."""
+    """Documents that share no window of words with `benchmark`. Null texts and items have no words; null ids and repeated rows stay as they are."""
     return decontamination.drop_contaminated(docs, _table(spark, sf_dir, "benchmark"))
 
 
 def redacted_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents, with personal data replaced."""
+    """The documents, with personal data replaced; null texts stay null, no row goes."""
     return personal_data.redact(docs)
 
 
 def packed_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents' pieces, packed into sequences of 2048 tokens."""
+    """The documents' pieces, packed into sequences of 2048 tokens; a null text is one end id, rows of one id are documents of their own."""
     return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
