@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from ratescale.catalog.registry import query
 from ratescale.operators import deid, joins, scoring
+from ratescale.session import cut_lineage
 
 MAP = """m AS (SELECT id_column, original, prefix || lpad(CAST(n AS VARCHAR), greatest(3, length(CAST(tot AS VARCHAR)))::INT, '0') AS pseudonym FROM (
  SELECT id_column, original, prefix, row_number() OVER (PARTITION BY id_column ORDER BY original) AS n, count(*) OVER (PARTITION BY id_column) AS tot FROM (
@@ -64,7 +65,7 @@ def _(t):
 
 @query("d4_relink_table", "participants_a participants_b", f"WITH {MAP} SELECT * FROM m UNION SELECT 'prolific_id', 'gone', 'P000'")
 def _(t):
-    new = deid.id_mappings([t.participants_a, t.participants_b])
+    new = cut_lineage(deid.id_mappings([t.participants_a, t.participants_b]))
     prior = new.filter("pseudonym < 'P020'").unionByName(new.limit(1).select(F.lit("prolific_id").alias("id_column"), F.lit("gone").alias("original"), F.lit("P000").alias("pseudonym")))
     return deid.update_relink(prior, new)
 

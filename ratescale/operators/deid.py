@@ -41,12 +41,17 @@ def already_pseudonymous(tables: Sequence[DataFrame], column: str, prefix: str)
 
 
 def id_mappings(tables: Sequence[DataFrame], prefixes: Mapping[str, str] = ID_PREFIXES) -> DataFrame:
-    """Re-link table of all id columns: column, original, pseudonym. Columns done before give no rows."""
+    """Re-link table of all id columns: column, original, pseudonym. Columns done before give no rows.
+
+    The tables are read once for each column; what follows reads their distinct ids.
+    """
     parts = []
     for column, prefix in prefixes.items():
-        if any(column in t.columns for t in tables):
-            done = already_pseudonymous(tables, column, prefix)
-            mapping = build_mapping(tables, column, prefix).withColumn("_done", done).filter("not _done").drop("_done")
+        having = [t.select(F.col(column).cast("string").alias(column)) for t in tables if column in t.columns]
+        if having:
+            ids = [cut_lineage(reduce(DataFrame.unionByName, having).distinct())]
+            done = already_pseudonymous(ids, column, prefix)
+            mapping = build_mapping(ids, column, prefix).withColumn("_done", done).filter("not _done").drop("_done")
             parts.append(mapping.select(F.lit(column).alias("id_column"), "original", "pseudonym"))
     return reduce(DataFrame.unionByName, parts)
 

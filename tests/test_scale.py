@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ratescale.operators import metrics, reliability, sampling, splits
+from ratescale.operators.deid import id_mappings
 from ratescale.operators.scale import attach_group_stats, first_per_key, hash_order, hash_prefix, range_ranks, take_by_hash, value_prefix
 
 RNG = random.Random(5)
@@ -66,6 +67,22 @@ def test_value_prefix_of_texts(spark, skewed):
     assert got["_before"].tolist() == list(range(len(words)))
 
 
+def test_value_prefix_looks_up_no_cut_below_the_aggregate(spark, skewed):
+    values = spark.createDataFrame(skewed).select(F.md5(F.col("key").cast("string")).alias("v")).distinct().withColumn("w", F.lit(1))
+    got = value_prefix(values, "v", "w")
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "lambdafunction" not in plan and "md5" not in plan
+    rows = got.orderBy("v").collect()
+    assert [r["_before"] for r in rows] == list(range(values.count())) and {r["_all"] for r in rows} == {len(rows)}
+
+
+def test_id_mappings_read_distinct_ids(spark):
+    a = spark.createDataFrame([(str(i % 7), f"S{i % 3}") for i in range(50)] + [(None, None)], "prolific_id string, submission_id string")
+    got = id_mappings([a, a.select("prolific_id")])
+    assert "Distinct" not in (plan := got._jdf.queryExecution().optimizedPlan().toString()) and "LocalRelation" not in plan
+    assert sorted(map(tuple, got.collect())) == [("prolific_id", str(i), f"P00{i + 1}") for i in range(7)]
+
+
 def test_take_by_hash(spark, skewed):
     df = spark.createDataFrame(skewed).withColumn("h", hash_order(1, "i"))
     got = take_by_hash(df, "h", ["i"], 5, ["key"]).toPandas()
