@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -11,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ratescale.functions.digests import md5_words
 from ratescale.operators.joins import restrict_to_items
 from ratescale.operators.metrics import pearson
 from ratescale.operators.scale import HOT_ROWS, attach_group_stats, attach_table, join_small, partitions, whole_groups
@@ -24,6 +24,8 @@ LOW_EXP, HIGH_EXP = -4.0, 4.0
 LIMIT = 13  # decades; at the last ones an ICC is 0 or 1 to ten places
 GROUP_ROWS = 2_000  # cells searched together, about
 BIT_ROWS = 1_024  # ratings whose bits are unfolded together
+PRODUCT_ROWS = 64  # of them, multiplied together
+HASH_ROWS = 512  # raters whose flags are hashed together
 CELL = ["n", "k", "s", "ss", "ssw"]
 DRAWN = ("scope", "rep", "n", "k", "s", "ss", "ssw", "_item", "_sums")
 DRAWN_SQL = "scope string, rep int, n long, k double, s double, ss double, ssw double, _item string, _sums binary"
@@ -158,14 +160,19 @@ def icc(ratings: DataFrame, item: Sequence[str] = ITEM, levels: int = 3) -> Data
 
 def _rater_bits(batches: Iterator[pa.RecordBatch], n_boot: int, seed: int) -> Iterator[pa.RecordBatch]:
     """A bit for each replicate that keeps the rater."""
-    digest = hashlib.md5
-    for batch in batches:
-        bits = []
-        for scope, rater, p in zip(*(batch.column(c).to_pylist() for c in ("scope", "_rater", "_p"))):
-            head, tail = f"{seed}|{scope}|", "" if rater is None else f"|{rater}"
-            hashed = b"".join([digest(f"{head}{rep}{tail}".encode()).digest()[:4] for rep in range(n_boot)])
-            bits.append(np.packbits(np.frombuffer(hashed, ">u4") / 2**32 < p).tobytes())
-        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(bits, pa.binary())], names=[*batch.schema.names, "_bits"])
+    for whole in batches:
+        for start in range(0, whole.num_rows, HASH_ROWS):
+            batch = whole.slice(start, HASH_ROWS)
+            scopes, raters, p = (batch.column(c).to_pylist() for c in ("scope", "_rater", "_p"))
+            tails = [b"" if rater is None else f"|{rater}".encode() for rater in raters]
+            bits: list[bytes] = [b""] * len(tails)
+            for scope in dict.fromkeys(scopes):
+                own = [i for i, one in enumerate(scopes) if one == scope]
+                hashed = md5_words([f"{seed}|{scope}|{rep}".encode() for rep in range(n_boot)], [tails[i] for i in own])[..., 0]
+                packed = np.packbits(hashed / 2**32 < np.array([p[i] for i in own]), axis=0).T
+                for i, row in zip(own, packed):
+                    bits[i] = row.tobytes()
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(bits, pa.binary())], names=[*batch.schema.names, "_bits"])
 
 
 class _Cells:
@@ -185,12 +192,12 @@ class _Cells:
             if have is not None:
                 grown[:, :, :have.shape[2]] = have
             self.sums[scope] = have = grown
-        there = n > 0
-        cell = (np.arange(self.n_boot) * have.shape[2] + n)[there]
-        count, total, squares = n[there], moments[:, 1][there], moments[:, 2][there]
-        mean = total / count
-        for to, value in zip(have, (None, mean, mean * mean, squares - total * mean)):
-            to += np.bincount(cell, value, to.size).reshape(to.shape)
+        cell = (np.arange(self.n_boot) * have.shape[2] + n).ravel()
+        total = moments[:, 1]
+        mean = total / np.maximum(moments[:, 0], 1)
+        for to, value in zip(have, (None, mean, mean * mean, moments[:, 2] - total * mean)):
+            to += np.bincount(cell, None if value is None else value.ravel(), to.size).reshape(to.shape)
+        have[:, :, 0] = 0  # items without a rating in the replicate
 
     def rows(self) -> Iterator[pa.RecordBatch]:
         for scope, sums in self.sums.items():
@@ -199,6 +206,21 @@ class _Cells:
             yield pa.RecordBatch.from_arrays([*columns, pa.nulls(len(rep), pa.string()), pa.nulls(len(rep), pa.binary())], names=[*DRAWN])
 
 
+def _group_moments(packed: np.ndarray, d: np.ndarray, first: np.ndarray, n_boot: int) -> np.ndarray:
+    """Items by (n, sum, sum of squares) by replicates, of rows whose items begin at `first`: a product for some rows at a time."""
+    item = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(d))))
+    moments = np.zeros((len(first), 3, n_boot))
+    for start in range(0, len(d), PRODUCT_ROWS):
+        own, x = item[start:start + PRODUCT_ROWS], d[start:start + PRODUCT_ROWS]
+        least, rows = int(own[0]), np.arange(len(own))
+        powers = np.zeros((int(own[-1]) - least + 1, 3, len(own)))
+        for k, value in enumerate((1.0, x, x * x)):
+            powers[own - least, k, rows] = value
+        bits = np.unpackbits(packed[start:start + PRODUCT_ROWS], axis=1, count=n_boot).astype(np.float64)
+        moments[least:least + len(powers)] += (powers.reshape(-1, len(own)) @ bits).reshape(-1, 3, n_boot)
+    return moments
+
+
 def _item_moments(batches: Iterator[pa.RecordBatch], n_boot: int) -> Iterator[pa.RecordBatch]:
     """Cells of the items of a task; items that are dealt over several tasks are handed on with their sums.
 
@@ -221,9 +243,7 @@ def _item_moments(batches: Iterator[pa.RecordBatch], n_boot: int) -> Iterator[pa
             ones = list(zip(*(batch.column(c).to_pylist() for c in ("scope", "_item", "_part", "_parts"))))
             first = np.array([i for i in range(len(ones)) if i == 0 or ones[i] != ones[i - 1]], np.int64)
             packed = np.frombuffer(b"".join(batch.column("_bits").to_pylist()), np.uint8).reshape(len(ones), -1)
-            bits = np.unpackbits(packed, axis=1, count=n_boot).astype(np.float64)
-            d = batch.column("_d").to_numpy()[:, None]
-            moments = np.stack([np.add.reduceat(x, first, axis=0) for x in (bits, bits * d, bits * (d * d))], axis=1)
+            moments = _group_moments(packed, batch.column("_d").to_numpy(), first, n_boot)
             if carried is not None:
                 if carried[0] == ones[0]:
                     moments[0] += carried[1]

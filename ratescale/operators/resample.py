@@ -7,7 +7,6 @@ replicates, which are products of the weights' matrix with the rows' moments, an
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator, Sequence
 from math import exp, factorial
 
@@ -17,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ratescale.functions.digests import md5_words
 from ratescale.operators.metrics import pearson
 from ratescale.operators.scale import null_safe, partitions
 from ratescale.schemas import RATING_MAX, RATING_MIN
@@ -40,11 +40,12 @@ def poisson_limits(most: int = 9) -> list[str]:
 def poisson_weights(keys: Sequence[str], n_boot: int, seed: int) -> np.ndarray:
     """Weights of the keys in all replicates, keys by replicates."""
     heads = [f"{seed}|{chunk}|".encode() for chunk in range(-(-n_boot // PER_HASH))]
-    digest = hashlib.md5
-    hashed = b"".join([digest(head + key).digest() for key in map(str.encode, keys) for head in heads])
-    digits = np.frombuffer(hashed, ">u4").reshape(len(keys), -1)[:, :n_boot]
-    limits = np.array([int(x, 16) for x in poisson_limits()], np.uint32)
-    return np.searchsorted(limits, digits.astype(np.uint32), side="right").astype(np.uint8)
+    words = md5_words(heads, [key.encode() for key in keys])
+    digits = words.transpose(0, 2, 1).reshape(-1, len(keys))[:n_boot]
+    weights = np.zeros(digits.shape, np.uint8)
+    for limit in poisson_limits():
+        weights += digits >= np.uint32(int(limit, 16))
+    return np.ascontiguousarray(weights.T)
 
 
 def _replicate_sums(batches: Iterator[pa.RecordBatch], slices: int, n_boot: int, seed: int) -> Iterator[tuple[tuple, np.ndarray, pa.Schema]]:
@@ -54,15 +55,15 @@ def _replicate_sums(batches: Iterator[pa.RecordBatch], slices: int, n_boot: int,
         for start in range(0, batch.num_rows, BLOCK_ROWS):
             part = batch.slice(start, BLOCK_ROWS)
             found: dict[str, int] = {}
-            place = [found.setdefault(key, len(found)) for key in part.column("_key").to_pylist()]
-            weights = poisson_weights(list(found), n_boot, seed).astype(np.float64)[place]
+            place = np.array([found.setdefault(key, len(found)) for key in part.column("_key").to_pylist()])
+            weights = poisson_weights(list(found), n_boot, seed)
             u, v = part.column("_u").to_numpy(), part.column("_v").to_numpy()
             moments = np.stack([np.ones(len(u)), u, v, u * u, v * v, u * v, (u - v) * (u - v)], axis=1)
             of: dict[tuple, list[int]] = {}
             for i, one in enumerate(zip(*(part.column(c).to_pylist() for c in range(slices))) if slices else [()] * len(u)):
                 of.setdefault(one, []).append(i)
             for one, rows in of.items():
-                add = weights[rows].T @ moments[rows]
+                add = weights[place[rows]].astype(np.float64).T @ moments[rows]
                 if one in sums:
                     sums[one] += add
                 else:

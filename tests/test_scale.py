@@ -1,13 +1,16 @@
 """Plan shapes that stand in for windows, on skewed data and against brute force."""
 
+import hashlib
 import random
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from ratescale.operators import metrics, reliability, sampling, splits
+from ratescale.functions.digests import md5_words
+from ratescale.operators import metrics, reliability, resample, sampling, splits
 from ratescale.operators.deid import id_mappings
 from ratescale.operators.scale import attach_group_stats, first_per_key, hash_order, hash_prefix, range_ranks, take_by_hash, value_prefix
 
@@ -314,3 +317,35 @@ def test_quotas_of_many_strata(spark):
     want = floor.to_numpy(copy=True)
     want[order[:int(70_000 - floor.sum())]] += 1
     assert (frame["quota"].to_numpy() == np.minimum(frame["size"], want)).all() and frame["quota"].sum() == 70_000
+
+
+def test_md5_of_heads_and_tails():
+    heads = [f"42|{i}|".encode() for i in range(120)] + [b"", b"h" * 70]
+    tails = [("é" * i).encode() for i in range(0, 70, 3)] + [b"x" * i for i in range(45, 65)]
+    got = md5_words(heads, tails)
+    for i, head in enumerate(heads):
+        for j, tail in enumerate(tails):
+            assert "".join(f"{w:08x}" for w in got[i, j].tolist()) == hashlib.md5(head + tail).hexdigest()
+
+
+def test_weights_and_flags_hash_no_text_alone(monkeypatch):
+    """The same numbers as from a call of hashlib for each text, without such calls."""
+    one = lambda text: hashlib.md5(text.encode()).hexdigest()
+    keys, limits = ["a|woman", "naïve|man", "", "k" * 80], resample.poisson_limits()
+    want = [[sum(one(f"7|{rep // 4}|{key}")[8 * (rep % 4):8 * (rep % 4) + 8] >= x for x in limits) for rep in range(30)] for key in keys]
+    raters = [("ALL", "3"), ("man", "3"), ("ALL", None)]
+    flags = [[int(one(f"7|{s}|{rep}" + ("" if r is None else f"|{r}"))[:8], 16) / 2**32 < 0.6 for rep in range(30)] for s, r in raters]
+    monkeypatch.setattr(hashlib, "md5", None)
+    assert resample.poisson_weights(keys, 30, 7).tolist() == want
+    rows = pa.RecordBatch.from_pydict({"scope": [s for s, _ in raters], "_rater": [r for _, r in raters], "_p": [0.6] * 3})
+    got = [np.unpackbits(np.frombuffer(b, np.uint8), count=30).astype(bool).tolist() for out in reliability._rater_bits([rows], 30, 7) for b in out.column("_bits").to_pylist()]
+    assert got == flags
+
+
+def test_item_moments_by_products():
+    rng = np.random.default_rng(1)
+    bits, d = rng.integers(0, 2, (300, 20)), rng.normal(size=300)
+    first = np.array([0, 1, 70, 71, 72, 200, 299])
+    got = reliability._group_moments(np.packbits(bits.astype(np.uint8), axis=1), d, first, 20)
+    want = np.stack([np.add.reduceat(bits * x[:, None], first, axis=0) for x in (np.ones(300), d, d * d)], axis=1)
+    assert np.allclose(got, want)
