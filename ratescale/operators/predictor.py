@@ -59,16 +59,24 @@ def predict(model, rows: DataFrame) -> DataFrame:
     return model.transform(rows).select(*keys, squash(F.col("linear")).alias("predicted"), F.col("avg_rating").alias("true_rating"))
 
 
+def own_columns(items: DataFrame, *more: str) -> DataFrame:
+    """What a fit and its predictions read."""
+    return items.select(*[c for c in items.columns if c in ("attribute", "person_term", "source", "avg_rating", *more)])
+
+
 def train_on_text(items: DataFrame, test_size: float = 0.25, val_size: float = 0.15, seed: int = 42, reg: float = 0.01, size: int = 1 << 10) -> DataFrame:
-    """Fit on the train groups and predict the test groups. Validation groups stay out of both."""
-    rows = term_vector(assign_splits(items, test_size, val_size, seed)).withColumn("target", logit_target(F.col("avg_rating")))
+    """Fit on the train groups and predict the test groups. Validation groups stay out of both.
+
+    Every stage of the fit reads the rows, so they are written with their split once.
+    """
+    rows = term_vector(cut_lineage(assign_splits(own_columns(items), test_size, val_size, seed))).withColumn("target", logit_target(F.col("avg_rating")))
     model = Pipeline(stages=[*text_stages(size), regression(reg)]).fit(rows.filter("split = 'train'"))
     return predict(model, rows.filter("split = 'test'"))
 
 
 def train_on_vectors(items: DataFrame, vector: str = "embedding", test_size: float = 0.25, val_size: float = 0.15, seed: int = 42, reg: float = 0.01) -> DataFrame:
     """The same from ready-made vectors."""
-    rows = assign_splits(items, test_size, val_size, seed).withColumn("features", array_to_vector(F.col(vector).cast("array<double>")))
+    rows = cut_lineage(assign_splits(own_columns(items, vector), test_size, val_size, seed)).withColumn("features", array_to_vector(F.col(vector).cast("array<double>")))
     rows = rows.withColumn("target", logit_target(F.col("avg_rating")))
     return predict(regression(reg).fit(rows.filter("split = 'train'")), rows.filter("split = 'test'"))
 

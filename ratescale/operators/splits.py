@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ratescale.operators.scale import attach_table, hash_order, hash_prefix, join_small
 from ratescale.schemas import HELD_OUT_SOURCES
+from ratescale.session import cut_lineage
 
 
 def group_sizes(rows: DataFrame, group: str, seed: int) -> DataFrame:
@@ -28,7 +29,7 @@ def split_groups(rows: DataFrame, test_size: float, val_size: float = 0.0, seed:
     """
     if not (0 <= test_size <= 1 and 0 <= val_size < 1 and test_size + val_size <= 1):
         raise ValueError("sizes must be shares that add up to at most 1")
-    sizes = group_sizes(rows, group, seed)
+    sizes = cut_lineage(group_sizes(rows, group, seed))  # read by the totals, the targets and the places
     placed = hash_prefix(sizes, "size", "h", [group])
     total = sizes.agg(F.sum("size")).scalar()
 
