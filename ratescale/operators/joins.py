@@ -49,11 +49,13 @@ def rules_table(spark: SparkSession, rules: Sequence[tuple[str, str, str]]) -> D
 def match_prefix(df: DataFrame, stem: Column, rules: Sequence[tuple[str, str, str]], strict: bool = False) -> DataFrame:
     """Source and author gender of the first rule whose prefix starts the stem.
 
-    The rules are an ordered list of constants, so the first match is one expression per row: no join.
+    The rules are an ordered list of constants, so the first match is one expression per row: no join. The stem is bound once, as
+    the element of a one-value array; otherwise it is worked out again for every rule.
     """
     low = F.lower(stem)
     table = F.array(*[F.struct(F.lit(p).alias("prefix"), F.lit(s).alias("source"), F.lit(g).alias("author_gender")) for p, s, g in rules])
-    hit = F.get(F.filter(table, lambda r: F.startswith(low, r["prefix"])), F.lit(0))
+    found = F.transform(F.array(low), lambda s: F.get(F.filter(table, lambda r: F.startswith(s, r["prefix"])), F.lit(0)))
+    hit = F.get(found, F.lit(0))
     out = df.withColumn("_rule", hit)
     source = F.col("_rule.source")
     if strict:

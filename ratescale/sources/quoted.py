@@ -9,7 +9,9 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -29,11 +31,39 @@ def _lines(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
     return text.select("value", metadata_path().alias("path"), F.col("_metadata.file_block_start").alias("start"))
 
 
+def _stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, tuple[str, int]]]:
+    """Lines of one split that follow each other, with the split's path and start; a split's lines may come in several parts."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        value, path, start = (batch.column(c) for c in ("value", "path", "start"))
+        file, begin = path.dictionary_encode().indices.to_numpy(), start.to_numpy()
+        edges = np.nonzero((np.diff(file) != 0) | (np.diff(begin) != 0))[0] + 1
+        for lo, hi in zip([0, *edges.tolist()], [*edges.tolist(), batch.num_rows]):
+            yield value.slice(lo, hi - lo), (path[lo].as_py(), int(begin[lo]))
+
+
 def splits(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
     """(path, start, line, inside): the first line of every split and whether it lies inside a quoted cell. A row for each split; written once."""
-    quotes = F.char_length("value") - F.char_length(F.replace("value", F.lit('"'), F.lit("")))
-    numbered = _lines(spark, paths).withColumn("_line", F.monotonically_increasing_id())
-    found = numbered.groupBy("path", "start").agg(F.sum(quotes).alias("_quotes"), F.min_by("value", "_line").alias("line"))
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A task reads a split's lines one after the other, so no line but the first is kept or sorted."""
+        now: tuple | None = None
+        total, line = 0, ""
+
+        def row() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([x]) for x in (*now, total, line)], names=["path", "start", "_quotes", "line"])
+
+        for lines, at in _stretches(batches):
+            if at != now:
+                if now is not None:
+                    yield row()
+                now, total, line = at, 0, lines[0].as_py()
+            total += pc.sum(pc.count_substring(lines, '"')).as_py()
+        if now is not None:
+            yield row()
+
+    found = _lines(spark, paths).mapInArrow(counted, "path string, start long, _quotes long, line string")
     before = W.partitionBy("path").orderBy("start").rowsBetween(W.unboundedPreceding, -1)
     inside = F.coalesce(F.sum("_quotes").over(before) % 2, F.lit(0)) == 1
     return cut_lineage(found.withColumn("inside", inside).drop("_quotes"))
@@ -55,22 +85,27 @@ def records(spark: SparkSession, paths: str | Sequence[str], known: DataFrame |
         def left() -> tuple:
             return "\n".join(waiting), *now, TAIL if opened else MIDDLE, first
 
-        for batch in batches:
-            rows = []
-            for value, path, start in zip(*(batch.column(c).to_pylist() for c in ("value", "path", "start"))):
-                if (path, start) != now:
-                    if waiting:
-                        rows.append(left())
-                    now, waiting = (path, start), []
-                    quoted, first = now in sent.value, start == 0
-                    opened = not quoted
-                if value.count('"') % 2:
-                    quoted = not quoted
-                waiting.append(value)
-                if not quoted:
-                    rows.append(("\n".join(waiting), *now, WHOLE if opened else HEAD, first))
-                    waiting, opened, first = [], True, False
-            yield _batch(rows)
+        for lines, at in _stretches(batches):
+            if at != now:
+                if waiting:
+                    yield _batch([left()])
+                now, waiting = at, []
+                quoted, first = now in sent.value, at[1] == 0
+                opened = not quoted
+            odd = (np.cumsum(pc.count_substring(lines, '"').to_numpy()) + quoted) % 2
+            quoted = bool(odd[-1])
+            ends = np.nonzero(odd == 0)[0] + 1
+            done = 0
+            if len(ends) and (waiting or first or not opened):
+                done = int(ends[0])
+                whole = "\n".join([*waiting, *lines.slice(0, done).to_pylist()])
+                yield _batch([(whole, *now, WHOLE if opened else HEAD, first)])
+                waiting, opened, first, ends = [], True, False, ends[1:]
+            if len(ends):
+                borders = pa.array(np.concatenate([[done], ends]), pa.int32())
+                done = int(ends[-1])
+                yield _records(pc.binary_join(pa.ListArray.from_arrays(borders, lines), "\n"), now)
+            waiting += lines.slice(done).to_pylist()
         if waiting:
             yield _batch([left()])
 
@@ -87,6 +122,12 @@ def records(spark: SparkSession, paths: str | Sequence[str], known: DataFrame |
     return whole.withColumn("value", F.regexp_replace("value", r"\r\z", "")).filter("value <> ''")
 
 
+def _records(values: pa.Array, at: tuple[str, int]) -> pa.RecordBatch:
+    """Whole records of one split, none of them a header."""
+    columns = [values, *(pa.repeat(x, len(values)) for x in (at[0], pa.scalar(at[1], pa.int64()), pa.scalar(WHOLE, pa.int32()), False))]
+    return pa.RecordBatch.from_arrays(columns, names=["value", "path", "start", "kind", "first"])
+
+
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
     kinds = (pa.string(), pa.string(), pa.int64(), pa.int32(), pa.bool_())
     columns = [pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)]

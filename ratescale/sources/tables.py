@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 from ratescale.functions.terms import base_config, file_stem, fold_number, run_time, seed_number
 from ratescale.functions.text import decode_text
 from ratescale.operators.joins import match_prefix, union_all
+from ratescale.operators.scale import join_small
 from ratescale.sources import quoted
 
 # What a finished run folder holds.
@@ -37,14 +38,14 @@ def headers(known: DataFrame) -> DataFrame:
     return known.filter("start = 0").select("path", F.regexp_replace("line", "^\ufeff|\r$", "").alias("header"))
 
 
-def read_tables(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+def read_tables(spark: SparkSession, path: str, schema: T.StructType, known: DataFrame | None = None) -> DataFrame:
     """All CSV files of a glob as one table with their path; files may lack columns or order them differently.
 
     Files are grouped by header, one read per distinct header; columns outside the schema come as text. A first pass over the
     files, which finds where quoted cells cross splits, gives the headers too.
     """
     kinds = {f.name: f.dataType for f in schema.fields}
-    known = quoted.splits(spark, path)
+    known = known if known is not None else quoted.splits(spark, path)
     groups = headers(known).groupBy("header").agg(F.collect_list("path").alias("paths")).orderBy("header").collect()
     parts = []
     for g in groups:
@@ -63,10 +64,16 @@ def table_name(path: Column) -> Column:
 
 def read_extracted(spark: SparkSession, path: str, schema: T.StructType, rules: Sequence[tuple[str, str, str]] = ()) -> DataFrame:
     """Phrase tables of all novels, the novel's name from the file name, and its source where rules are given."""
-    table = read_tables(spark, path, schema)
+    known = quoted.splits(spark, path)
     stem = F.regexp_replace(file_stem(F.url_decode(table_name(F.col("path")))), "^source_novel=", "")
-    named = table.withColumn("source_novel", F.regexp_replace(stem, "_physattr$", ""))
-    return match_prefix(named, F.col("source_novel"), rules) if rules else named
+    named = known.select("path").distinct().withColumn("source_novel", F.regexp_replace(stem, "_physattr$", ""))
+    return with_names(read_tables(spark, path, schema, known), match_prefix(named, F.col("source_novel"), rules) if rules else named)
+
+
+def with_names(table: DataFrame, named: DataFrame) -> DataFrame:
+    """What the path says, read once for each file and put on the file's rows."""
+    new = [c for c in named.columns if c != "path"]
+    return join_small(table.drop(*new), named, ["path"]).select(*[c for c in table.columns if c not in new], *new)
 
 
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
@@ -133,9 +140,10 @@ RESULT_PATH = r"/(?:model=)?([^/]+)/(?:dataset=)?([^/]+?)(?:\.csv)?$"
 
 def read_results(spark: SparkSession, root: str, schema: T.StructType) -> DataFrame:
     """All tables `<model>/<dataset>.csv`, or `model=.../dataset=...` as Spark writes them, with model and dataset."""
-    rows = read_tables(spark, f"{root}/*/*", schema).drop("model", "dataset")
+    known = quoted.splits(spark, f"{root}/*/*")
     name = F.url_decode(table_name(F.col("path")))
-    return rows.withColumn("model", F.regexp_extract(name, RESULT_PATH, 1)).withColumn("dataset", F.regexp_extract(name, RESULT_PATH, 2)).drop("path")
+    named = known.select("path").distinct().withColumns({"model": F.regexp_extract(name, RESULT_PATH, 1), "dataset": F.regexp_extract(name, RESULT_PATH, 2)})
+    return with_names(read_tables(spark, f"{root}/*/*", schema, known), named).drop("path")
 
 
 RUN_PATH = r"/([^/]+)/(run_[^/]+)/(?:(seed[^/]+|aggregate)/)?(.+)$"

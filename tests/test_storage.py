@@ -6,12 +6,13 @@ import json
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ratescale.functions.text import Lexicon
 from ratescale.operators import clean, deid, extraction, joins, runs, scoring
 from ratescale.plans import jobs
 from ratescale.schemas import EVAL_METRICS, PHRASES, RATINGS, RESPONSES, require_columns
-from ratescale.sources import sinks, tables
+from ratescale.sources import quoted, sinks, tables
 from ratescale.streaming import incremental
 
 
@@ -217,3 +218,28 @@ def test_clean_ratings(spark):
     assert clean.clean_ratings(df).select("attribute").distinct().collect()[0][0] == "a"
     assert tuple(clean.removal_counts(df).first()) == (7, 1, 3, 4, 3)
     assert RATINGS.fieldNames()[0] == "submission_id"
+
+
+def test_file_names_are_read_once_for_each_file(spark, tmp_path):
+    for name in ("1_a_physattr", "2_b"):
+        (tmp_path / f"{name}.csv").write_text('attribute\n"blue\neye"\nold hat\n')
+    got = tables.read_extracted(spark, str(tmp_path / "*.csv"), T.StructType([T.StructField("attribute", T.StringType())]), [("1_", "one", "female"), ("2_", "two", "male")])
+    assert got.columns == ["attribute", "path", "source_novel", "source", "author_gender"]
+    assert "_physattr" not in got._jdf.queryExecution().optimizedPlan().toString()
+    rows = {(r.attribute, r.source_novel, r.source, r.author_gender) for r in got.collect()}
+    assert rows == {(a, *n) for a in ("blue\neye", "old hat") for n in (("1_a", "one", "female"), ("2_b", "two", "male"))}
+
+
+def test_splits_sort_no_lines(spark, tmp_path, monkeypatch):
+    (tmp_path / "a.csv").write_text('x\n' + '"one\n""two"" and\nthree"\n\nplain\n' * 300)
+    monkeypatch.setattr(quoted, "cut_lineage", lambda df: df)
+    for most in ("64b", "1k", "128m"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", most)
+        try:
+            known = quoted.splits(spark, str(tmp_path / "a.csv"))
+            plan = known._jdf.queryExecution().executedPlan().toString()
+            assert "SortAggregate" not in plan and "min_by" not in plan
+            rows = [r.value for r in quoted.records(spark, str(tmp_path / "a.csv"), known).filter("not first").collect()]
+        finally:
+            spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        assert sorted(rows) == sorted(['"one\n""two"" and\nthree"', "plain"] * 300)
