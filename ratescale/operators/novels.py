@@ -95,22 +95,39 @@ def wide_statistics(phrases: DataFrame) -> DataFrame:
 
 
 def corpus_summary(phrases: DataFrame) -> DataFrame:
-    """One row over all novels; sentences count per novel, distinct phrases across novels. The novels and the whole come from one scan."""
+    """One row over all novels; sentences count per novel, distinct phrases across novels.
+
+    All counts are taken per sentence first and added up per novel, so the distinct sentences need no copies of the rows; the distinct
+    phrases are a scan of their own.
+    """
     has = F.col("attribute").isNotNull()
     ok = genders_match(F.col("intext_gender"), F.col("llm_gender"))
-    more = [F.count_if(has & ok).alias("total_matches"), F.count_if(has).alias("total_comparisons"), F.grouping(BOOK).alias("_whole")]
-    both = phrases.groupingSets([[F.col(BOOK)], []], BOOK).agg(*_features(), *_label_columns(), *more)
-    labels = [c for c in both.columns if c.startswith(("llm_", "intext_"))]
-    own = lambda c: F.when(F.col("_whole") == 0, F.col(c))
-    whole = lambda c: F.max(F.when(F.col("_whole") == 1, F.col(c)))
-    sums = both.agg(
-        F.count_if(F.col("_whole") == 0).alias("total_novels"),
-        *[F.sum(own(c)).alias(c) for c in ("total_sentences", "sentences_with", "total_attributes", "indomain", "outdomain", *labels)],
-        F.avg(own("total_sentences")).alias("avg_sentences"),
-        F.avg(own("total_attributes")).alias("avg_attributes"),
-        F.coalesce(F.try_divide(F.sum(own("indomain")) * 100.0, F.sum(own("total_attributes"))), F.lit(0.0)).alias("pct_indomain"),
-        *[whole(c).alias(c) for c in ("unique_attributes", "total_matches", "total_comparisons")],
+    counts = {
+        "total_attributes": F.count("attribute"),
+        "indomain": F.count_if(has & F.col("indomain_strct")),
+        "outdomain": F.count_if(has & ~F.col("indomain_strct")),
+        "total_matches": F.count_if(has & ok),
+        "total_comparisons": F.count_if(has),
+    }
+    named = phrases.groupBy(BOOK, "text_id").agg(*[c.alias(n) for n, c in counts.items()], *_label_columns(), F.bool_or(has).alias("_with"))
+    labels = [c for c in named.columns if c.startswith(("llm_", "intext_"))]
+    novels = named.groupBy(BOOK).agg(
+        F.count("text_id").alias("total_sentences"),
+        F.count_if(F.col("text_id").isNotNull() & F.col("_with")).alias("sentences_with"),
+        *[F.sum(c).alias(c) for c in (*counts, *labels)],
+    )
+    unique = phrases.select(F.trim("attribute").alias("_phrase")).distinct().agg(F.count("_phrase")).scalar()
+    sums = novels.agg(
+        F.count(F.lit(1)).alias("total_novels"),
+        *[F.sum(c).alias(c) for c in ("total_sentences", "sentences_with", "total_attributes", "indomain", "outdomain", *labels)],
+        F.avg("total_sentences").alias("avg_sentences"),
+        F.avg("total_attributes").alias("avg_attributes"),
+        F.coalesce(F.try_divide(F.sum("indomain") * 100.0, F.sum("total_attributes")), F.lit(0.0)).alias("pct_indomain"),
+        F.sum("total_matches").alias("total_matches"),
+        F.sum("total_comparisons").alias("total_comparisons"),
     )
+    front = [c for c in sums.columns if c not in ("total_matches", "total_comparisons")]
+    sums = sums.select(*front, unique.alias("unique_attributes"), "total_matches", "total_comparisons")
     return sums.withColumn("pct_match", F.coalesce(F.try_divide(F.col("total_matches") * 100.0, F.col("total_comparisons")), F.lit(0.0)))
 
 
