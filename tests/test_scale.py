@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ratescale.functions.digests import md5_words
-from ratescale.operators import metrics, reliability, resample, sampling, splits
+from ratescale.operators import metrics, novels, reliability, resample, sampling, splits
 from ratescale.operators.deid import id_mappings
 from ratescale.operators.scale import attach_group_stats, first_per_key, hash_order, hash_prefix, range_ranks, take_by_hash, value_prefix
 
@@ -349,3 +349,19 @@ def test_item_moments_by_products():
     got = reliability._group_moments(np.packbits(bits.astype(np.uint8), axis=1), d, first, 20)
     want = np.stack([np.add.reduceat(bits * x[:, None], first, axis=0) for x in (np.ones(300), d, d * d)], axis=1)
     assert np.allclose(got, want)
+
+
+def test_distinct_counts_carry_no_other_aggregates(spark):
+    """No copies of the rows and no wide aggregates for each attribute or sentence and grouping set."""
+    rows = [("m", "d", f"a{i % 5}", "woman" if i % 2 else "man", "4" if i % 3 else None, None, 4.0) for i in range(30)] + [("m", "d", None, None, "2", "3", 1.0), (None, "d", "a", "man", "1", None, 1.0)]
+    responses = spark.createDataFrame(rows, "model string, dataset string, attribute string, person_term string, method1_rating string, method2_rating string, avg_rating double")
+    got = metrics.response_summary(responses)
+    assert "Expand" not in got._jdf.queryExecution().optimizedPlan().toString()
+    assert {(r.model, r.n, r.n_attributes, r.n_terms, r.m1_success, r.m2_mean) for r in got.collect()} == {("m", 31, 5, 2, 21 / 31, 3.0), (None, 1, 1, 1, 1.0, None)}
+    phrases = [("n1", 1, " red eye", True), ("n1", 1, None, True), ("n1", 2, None, False), ("n1", None, "red eye", None), ("n2", 1, "old hat", False), (None, None, None, None)]
+    table = spark.createDataFrame(phrases, "source_novel string, text_id long, attribute string, indomain_strct boolean").selectExpr("*", "'male' AS llm_gender", "if(text_id = 1, 'male', 'female') AS intext_gender")
+    summary = novels.corpus_summary(table)
+    assert "Expand" not in summary._jdf.queryExecution().optimizedPlan().toString()
+    r = summary.first()
+    assert (r.total_novels, r.total_sentences, r.sentences_with, r.total_attributes, r.indomain, r.outdomain, r.unique_attributes, r.total_matches, r.total_comparisons) == (3, 3, 2, 3, 1, 1, 2, 2, 3)
+    assert (r.avg_sentences, r.avg_attributes) == (1.0, 1.0)
