@@ -365,3 +365,13 @@ def test_distinct_counts_carry_no_other_aggregates(spark):
     r = summary.first()
     assert (r.total_novels, r.total_sentences, r.sentences_with, r.total_attributes, r.indomain, r.outdomain, r.unique_attributes, r.total_matches, r.total_comparisons) == (3, 3, 2, 3, 1, 1, 2, 2, 3)
     assert (r.avg_sentences, r.avg_attributes) == (1.0, 1.0)
+
+
+def test_ranks_of_many_small_slices_are_dealt_by_their_number(spark, monkeypatch):
+    rows = [(f"s{i % 20}", float(i % 3), float(i % 7)) for i in range(200)]
+    pairs = spark.createDataFrame(rows, "s string, x double, y double")
+    want = sorted(map(tuple, metrics.spearman(pairs, "x", "y", ["s"], many_small=True).collect()))
+    monkeypatch.setattr(metrics, "TASK_CELLS", 5)
+    got = metrics.spearman(pairs, "x", "y", ["s"], many_small=True)
+    assert "RepartitionByExpression [s" in (plan := got._jdf.queryExecution().optimizedPlan().toString()) and ", 40" in plan
+    assert sorted(map(tuple, got.collect())) == want
