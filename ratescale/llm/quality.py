@@ -8,12 +8,11 @@ from collections.abc import Iterator
 from itertools import chain
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ratescale.llm.common import Ragged, held, small_batches, text_rows
+from ratescale.llm.common import Ragged, held, release, small_batches, text_rows
 
 FEATURE_BITS = 20
 GRADES = 3  # 0: poor, 1: good but toxic, 2: good
@@ -108,7 +107,9 @@ def fit(features: list[np.ndarray], grades: np.ndarray, grades_n: int = GRADES,
     Thresholds stay in order: all but the first are sums of exponentials. Same rows in the same order give the same model.
     """
     best = grades == grades_n - 1
-    rows = [np.bincount(np.concatenate([np.zeros(0, np.int64), *[f for f, b in zip(features, best) if b == side]]), minlength=1 << bits) for side in (True, False)]
+    rows = np.zeros((2, 1 << bits), np.int64)  # of the best grade, of the others
+    for f, b in zip(features, best):
+        np.add.at(rows[0 if b else 1], f, 1)
     common = rows[0] + rows[1] >= max(LEAST_ROWS, LEAST_SHARE * len(features))
     features = [f[common[f]] for f in features]
     # a feature counts by the log of its ratio in the best grade and in the others, so what says nothing stays small
@@ -159,6 +160,18 @@ def graded(labels: DataFrame, id_column: str = "doc_id") -> DataFrame:
     return whole.groupBy(F.col(id_column).cast("long").alias("doc_id")).agg(F.min(grade).alias("grade"))
 
 
+def _fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row with the model of all (doc_id, grade, features), none without rows. The sample lies in memory once, as it came: four bytes for each feature."""
+    release()
+    rows: list[tuple[int, bytes, int]] = []
+    for batch in small_batches(batches):
+        rows += zip(*(batch.column(c).to_pylist() for c in ("doc_id", "features", "grade")))
+    if rows:
+        rows.sort()
+        weights, thresholds = fit([np.frombuffer(f, "<i4") for _, f, _ in rows], np.array([g for _, _, g in rows], np.int64))
+        yield pa.RecordBatch.from_arrays([pa.array([weights.tobytes()], pa.binary()), pa.array([thresholds.tolist()], pa.list_(pa.float64()))], names=["weights", "thresholds"])
+
+
 def train(docs: DataFrame, grades: DataFrame, sample_rows: int = SAMPLE_ROWS, id_column: str = "doc_id", text_column: str = "text") -> tuple[np.ndarray, np.ndarray] | None:
     """Model from at most about `sample_rows` rated documents, drawn by a hash of their id; None if no rated document has a text row.
 
@@ -175,13 +188,8 @@ def train(docs: DataFrame, grades: DataFrame, sample_rows: int = SAMPLE_ROWS, id
             flat = [f.astype("<i4").tobytes() for f in maker.features(batch.column("text").to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("grade"), pa.array(flat, pa.binary())], names=["doc_id", "grade", "features"])
 
-    def fitted(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["doc_id", "features"])
-        weights, thresholds = fit([np.frombuffer(f, "<i4").astype(np.int64) for f in rows["features"]], rows["grade"].to_numpy(np.int64))
-        return pd.DataFrame({"weights": [weights.tobytes()], "thresholds": [thresholds.tolist()]})
-
-    rows = chosen.mapInArrow(featured, "doc_id long, grade int, features binary").withColumn("all", F.lit(0))
-    model = rows.groupBy("all").applyInPandas(fitted, "weights binary, thresholds array<double>").collect()
+    rows = chosen.mapInArrow(featured, "doc_id long, grade int, features binary")
+    model = rows.repartition(1).mapInArrow(_fitted, "weights binary, thresholds array<double>").collect()
     return (np.frombuffer(model[0]["weights"], np.float32), np.array(model[0]["thresholds"])) if model else None
 
 
