@@ -166,3 +166,25 @@ def test_long_texts_are_cut_between_words():
     blocks = list(mixing.byte_blocks(text, 40))
     assert b"".join(blocks) == text.encode().lower() and len(blocks) > 5
     assert [w for b in blocks for w in b.split()] == text.encode().lower().split()
+
+
+def test_hot_words_are_learnt_once():
+    tables = [np.random.default_rng(k).integers(-99, 99, 1 << bits).astype(np.int8) for k, bits in enumerate(mixing.TABLE_BITS)]
+    texts = [[b"the", f"rare{i}".encode(), b"cat", f"odd{i}".encode(), mixing.END] for i in range(300)]
+
+    def model(most):
+        out = mixing.Model(np.ones((257, 256), np.int64), tables, tables[3] % 5, {b"the": 9, b"cat": 7, mixing.END: 30})
+        out.words.most = most
+        return out
+
+    small, learnt = model(20_000), []
+    learn = small._learn
+    small._learn = lambda n, new: (learnt.extend(new), learn(n, new))
+    got = [small.score([t])[0][0] for t in texts]
+    whole = model(1 << 30)
+    assert got == [whole.score([t])[0][0] for t in texts]
+    assert len(small.words.index) < 300  # rare words went
+    assert learnt.count(b"the") == learnt.count(b"cat") == learnt.count(mixing.END) == 1
+    # caches that the hot words alone fill are emptied
+    tiny = model(100)
+    assert [tiny.score([t])[0][0] for t in texts] == got
