@@ -31,6 +31,7 @@ COMMON = 3  # documents among those
 MOST_COMMON = 1 << 16  # shingles that are put last, so that they can be sent to all tasks
 STARS = 1  # rounds
 PARITY = 512  # bits
+WORDS = [f"w{i}" for i in range(PARITY // 64)]
 TILE = 1_024  # nodes of a shingle in a tile, about
 PAIR_ROWS = 2_000_000  # pairs looked at together
 HUB_PAIRS = 512  # pairs that meet one copy of a text
@@ -120,7 +121,7 @@ def _pairs(a: Column, b: Column) -> list[Column]:
 def fingerprint_pairs(nodes: DataFrame) -> DataFrame:
     """Pairs of nodes (node, fp) that SimHash links: nodes of a fingerprint with its first one, and the first ones of linked fingerprints."""
     classes = written(nodes.groupBy("fp").agg(F.min("node").alias("first")), "near-fingerprints")
-    own = attach_group_stats(nodes, ["fp"], {"first": F.min("node")}).filter("node <> first").select(*_pairs(F.col("node"), F.col("first")))
+    own = nodes.join(classes, "fp").filter("node <> first").select(*_pairs(F.col("node"), F.col("first")))
     found = simhash.links(classes.select("fp"))
     for side in ("a", "b"):
         found = found.join(classes.select(F.col("fp").alias(side), F.col("first").alias(f"{side}_node")), side)
@@ -156,7 +157,7 @@ def _open(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def found(table: pa.Table, blocks: np.ndarray) -> Iterator[pa.RecordBatch]:
         node, n, pos, root, upper, low, high, tile = (table.column(c).to_numpy() for c in ("node", "n", "pos", "root", "upper", "low", "high", "tile"))
-        bits = np.frombuffer(b"".join(table.column("bits").to_pylist()), np.uint64).reshape(-1, PARITY // 64)
+        bits = np.stack([c.to_numpy() for c in table.column("bits").flatten()], axis=1).view(np.uint64)
         for a, b in _within(blocks):
             size, other = n[a], n[b]
             kept = (root[a] != root[b]) & (np.minimum(size, other) * WHOLE >= np.maximum(size, other) * PART) & ~(upper[a] & upper[b])
@@ -197,7 +198,7 @@ def open_pairs(keys: DataFrame, bits: DataFrame, tile: int = TILE) -> DataFrame:
 
     Similar sets are of one band of sizes or of neighbouring ones, so a node stands in its own band and in the one below, there as `upper`.
     """
-    mixed = attach_group_stats(keys, ["h"], {"_low": F.min("root"), "_high": F.max("root")}).filter("_low <> _high")
+    mixed = written(attach_group_stats(keys, ["h"], {"_low": F.min("root"), "_high": F.max("root")}).filter("_low <> _high"), "near-mixed")
     own = F.floor(F.ln("n") / log(WHOLE / PART)).cast("int")
     bands = mixed.withColumn("upper", F.explode(F.array(F.lit(False), F.lit(True)))).withColumn("band", own - F.col("upper").cast("int"))
     sized = attach_group_stats(bands.select("h", "node", "n", "pos", "root", "upper", "band"), ["h", "band"], {"rows": F.count(F.lit(1)), "least": F.min(F.col("upper").cast("int"))})
@@ -231,63 +232,59 @@ def _similar_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         yield batch.select(["a", "b"]).filter(pa.array(near, pa.bool_()))
 
 
-def _with_side(pairs: DataFrame, table: DataFrame, side: str, key: str, other: str) -> DataFrame:
-    """The pairs with the other columns of the table's row whose `key` is in the column `side`_`key` (or `side`, for nodes), each named for the side.
-
-    A row of many pairs comes in copies, so that they are spread.
-    """
-    at = side if key == "node" else f"{side}_{key}"
-    copies = F.ceil(F.count(F.lit(1)) / HUB_PAIRS)
-    dealt = attach_group_stats(pairs, [at], {"_copies": copies}).withColumn("_copy", F.pmod(F.xxhash64(other), "_copies"))
-    wanted = pairs.groupBy(at).agg(copies.alias("_copies"))
-    named = table.select(F.col(key).alias(at), *[F.col(c).alias(f"{side}_{c}") for c in table.columns if c != key])
-    spread = named.join(wanted, at).withColumn("_copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_copies") - 1))).drop("_copies")
-    return dealt.join(spread, [at, "_copy"]).drop("_copy", "_copies")
+def _with_text(pairs: DataFrame, texts: DataFrame, hubs: DataFrame, side: str, other: str) -> DataFrame:
+    """The pairs with the text of the row `side`_row. A row of `hubs` (side, row, copies) comes in copies, so that its pairs are spread."""
+    at = f"{side}_row"
+    dealt = hubs.filter(F.col("side") == side).select(F.col("row").alias(at), F.col("copies").alias("_copies"))
+    copies = F.coalesce("_copies", F.lit(1).cast("long"))
+    wanted = pairs.join(dealt, at, "left").withColumn("_copy", F.pmod(F.xxhash64(other), copies)).drop("_copies")
+    named = texts.select(F.col("row").alias(at), F.col("text").alias(f"{side}_text"))
+    spread = named.join(dealt, at, "left").withColumn("_copy", F.explode(F.sequence(F.lit(0).cast("long"), copies - 1))).drop("_copies")
+    return wanted.join(spread, [at, "_copy"]).drop("_copy")
 
 
 def similar_pairs(pairs: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose texts (row, text) are similar. Sizes and parities (nodes: node, row, n, bits) drop most others before texts are sent."""
-    sides = (("a", "b"), ("b", "a"))
+    """The pairs (a, b) whose texts (row, text) are similar. Sizes and parities (nodes: node, row, n, bits) drop most others before texts are sent.
+
+    The copies of texts are counted and written before any text is joined: a side's count would hold the plan of the other side's join again.
+    """
     rows = pairs
-    for side, other in sides:
-        rows = _with_side(rows, nodes, side, "node", other)
-    apart = _flipped(F.col("a_bits"), F.col("b_bits"))
+    for side in "ab":
+        rows = rows.join(nodes.select(F.col("node").alias(side), *[F.col(c).alias(f"{side}_{c}") for c in ("row", "n", "bits")]), side)
+    apart = _flipped("a_bits", "b_bits")
     rows = rows.filter(_near_in_size(F.col("a_n"), F.col("b_n")) & (apart * (PART + WHOLE) <= (F.col("a_n") + F.col("b_n")) * (WHOLE - PART)))
     rows = written(rows.select("a", "b", "a_row", "b_row"), "near-candidates")
-    for side, other in sides:
-        rows = _with_side(rows, texts, side, "row", other)
+    ends = rows.select(F.explode(F.array(*[F.struct(F.lit(side).alias("side"), F.col(f"{side}_row").alias("row")) for side in "ab"])).alias("end"))
+    copies = ends.groupBy("end.side", "end.row").agg(F.ceil(F.count(F.lit(1)) / HUB_PAIRS).alias("copies"))
+    hubs = written(copies.filter("copies > 1"), "near-hubs")
+    for side, other in (("a", "b"), ("b", "a")):
+        rows = _with_text(rows, texts, hubs, side, other)
     return rows.select("a", "b", "a_text", "b_text").mapInArrow(_similar_pairs, "a long, b long")
 
 
-def _flipped(a: Column, b: Column) -> Column:
-    """Number of bits in which two parities (binary) differ."""
-    words = [F.conv(F.hex(F.substring(x, 1 + 4 * i, 4)), 16, 10).cast("long") for i in range(PARITY // 32) for x in (a, b)]
+def _flipped(a: str, b: str) -> Column:
+    """Number of bits in which two parities (columns of eight numbers) differ."""
     out = F.lit(0)
-    for x, y in zip(words[::2], words[1::2]):
-        out = out + F.bit_count(x.bitwiseXOR(y))
+    for w in WORDS:
+        out = out + F.bit_count(F.col(f"{a}.{w}").bitwiseXOR(F.col(f"{b}.{w}")))
     return out
 
 
 def groups(keys: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
     """(node, root) of the nodes that are linked to others, from the prefixes' shingles (h, node, n, pos), the nodes (node, row, n, fp, bits) and the rows' texts."""
-    edges = tried = found = None
+    tried = found = None
     facts = nodes.select("node", "row", "n", "bits")
     for turn in range(-1, STARS + 1):
-        if found is None:
-            now = keys.withColumn("root", F.col("node"))
-        else:
-            now = keys.join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
         if turn < 0:
             pairs = fingerprint_pairs(nodes.select("node", "fp"))
-        elif turn < STARS:
-            pairs = star_pairs(now, turn)
         else:
-            pairs = open_pairs(now, nodes.select("node", "bits"))
+            now = written(keys.join(found, "node", "left").withColumn("root", F.coalesce("root", "node")), "near-rooted")
+            pairs = star_pairs(now, turn) if turn < STARS else open_pairs(now, nodes.select("node", "bits"))
         pairs = written(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "near-pairs")
         good = written(similar_pairs(pairs, facts, texts), "near-links")
         tried = pairs if tried is None else tried.unionByName(pairs)
-        edges = good if edges is None else edges.unionByName(good)
-        found = simhash.components(edges)
+        # a node and its root stand for all links found before
+        found = simhash.components(good if found is None else good.unionByName(found.filter("node <> root").toDF("a", "b")))
     return found
 
 
@@ -310,10 +307,10 @@ def keep_one(docs: DataFrame, id_column: str = "doc_id", text_column: str = "tex
             heads = pa.array([prefix(h, sent.value).view(np.int64) for h in found], pa.list_(pa.int64()))
             sizes = pa.array([len(h) for h in found], pa.int64())
             prints = pa.array([simhash.majority(h) for h in found], pa.int64())
-            bits = pa.array([parity(h).tobytes() for h in found], pa.binary())
+            bits = pa.StructArray.from_arrays([pa.array(w) for w in np.stack([parity(h) for h in found], axis=1).view(np.int64)], names=WORDS)
             yield pa.RecordBatch.from_arrays([*batch.columns, nodes, sizes, heads, prints, bits], names=[*batch.schema.names, "_node", "_n", "_prefix", "_fp", "_bits"])
 
-    more = [T.StructField(c, t) for c, t in (("_node", T.LongType()), ("_n", T.LongType()), ("_prefix", T.ArrayType(T.LongType())), ("_fp", T.LongType()), ("_bits", T.BinaryType()))]
+    more = [T.StructField(c, t) for c, t in (("_node", T.LongType()), ("_n", T.LongType()), ("_prefix", T.ArrayType(T.LongType())), ("_fp", T.LongType()), ("_bits", T.StructType([T.StructField(w, T.LongType()) for w in WORDS])))]
     marked = plain.mapInArrow(added, T.StructType([*plain.schema, *more]))
     marked = written(marked.withColumn("_row", F.monotonically_increasing_id()), "near-documents")
     ident = F.col(key).cast("long")

@@ -142,11 +142,17 @@ def links(classes: DataFrame, radius: int = RADIUS) -> DataFrame:
     return grouped.groupBy("task").applyInPandas(_linked(radius), "a long, b long")
 
 
+def _are_stars(edges: DataFrame) -> bool:
+    """Whether each upper node u of the edges (u, v) has one edge and is no lower node: then v is the root of all its component."""
+    ends = F.explode(F.array(*[F.struct(F.col(c).alias("node"), F.lit(upper).alias("upper")) for c, upper in (("u", 1), ("v", 0))])).alias("end")
+    nodes = edges.select(ends).groupBy("end.node").agg(F.sum("end.upper").alias("edges"), F.min("end.upper").alias("least"))
+    return not nodes.agg(F.bool_or(F.expr("edges > 1 OR (edges = 1 AND least = 0)"))).first()[0]
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of the edges (a, b), by alternating large and small stars; the root is the smallest node."""
     edges = written(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), "links")
-    state = None
-    while True:
+    while not _are_stars(edges):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
         large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
@@ -154,10 +160,6 @@ def components(edges: DataFrame) -> DataFrame:
         least = down.groupBy("u").agg(F.min("v").alias("m"))
         small = down.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
         edges = written(small.unionByName(least.withColumnRenamed("m", "v")).distinct(), "links")
-        now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == state:
-            break
-        state = now
     roots = edges.select("v").distinct()
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots.select(F.col("v").alias("node"), F.col("v").alias("root")))
 

@@ -6,7 +6,8 @@ from collections import Counter
 import corpus_pipeline
 import pytest
 
-from ratescale.llm import near_copies
+from ratescale.llm import near_copies, simhash
+from ratescale.llm.common import written
 
 COLUMNS = "doc_id long, text string, lang string"
 
@@ -75,6 +76,41 @@ def test_few_rounds_and_common_shingles(planted, monkeypatch):
     assert Counter(r["doc_id"] for r in near_copies.keep_one(planted).collect()) == plain_kept(have)
 
 
+def test_texts_in_copies(planted, monkeypatch):
+    monkeypatch.setattr(near_copies, "HUB_PAIRS", 2)
+    have = [(r["doc_id"], r["text"]) for r in planted.collect()]
+    assert Counter(r["doc_id"] for r in near_copies.keep_one(planted).collect()) == plain_kept(have)
+
+
+def test_small_plans(planted, monkeypatch):
+    """The driver holds a plan again for each of its stages: no plan may hold another one's joins."""
+    joins = []
+
+    def counted(df, name):
+        joins.append((df._jdf.queryExecution().optimizedPlan().toString().count("Join "), name))
+        return written(df, name)
+
+    for module in (near_copies, simhash):
+        monkeypatch.setattr(module, "written", counted)
+    near_copies.keep_one(planted).collect()
+    assert max(joins)[0] <= 6
+
+
+@pytest.mark.parametrize("edges,rounds", [([(2, 1), (3, 1), (1, 4), (9, 8), (7, 7)], 0), ([(1, 2), (2, 3), (3, 4), (4, 5), (9, 8)], None), ([], 0)])
+def test_components(spark, monkeypatch, edges, rounds):
+    """Links that are stars already take no round."""
+    made = []
+    monkeypatch.setattr(simhash, "written", lambda df, name: made.append(name) or written(df, name))
+    found = {r["node"]: r["root"] for r in simhash.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    root = {x: x for e in edges if e[0] != e[1] for x in e}
+    for _ in root:
+        for a, b in edges:
+            if a != b:
+                root[a] = root[b] = min(root[a], root[b])
+    assert found == root
+    assert rounds is None or len(made) == 1 + rounds
+
+
 def test_no_rows(planted):
     assert near_copies.keep_one(planted.limit(0)).collect() == []
 
