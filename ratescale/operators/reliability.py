@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator, Sequence
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -13,9 +15,9 @@ from pyspark.sql import types as T
 from ratescale.functions.digests import md5_words
 from ratescale.operators.joins import restrict_to_items
 from ratescale.operators.metrics import pearson
-from ratescale.operators.scale import HOT_ROWS, attach_group_stats, attach_table, join_small, partitions, whole_groups
+from ratescale.operators.scale import HOT_ROWS, attach_group_stats, attach_table, join_small, largest_groups, partitions, whole_groups
 from ratescale.schemas import RATING_MAX, RATING_MIN
-from ratescale.session import cut_lineage
+from ratescale.session import cut_lineage, shuffles_dropped
 
 ITEM = ["attribute", "person_term"]
 CENTRE = (RATING_MIN + RATING_MAX) / 2
@@ -26,9 +28,12 @@ GROUP_ROWS = 2_000  # cells searched together, about
 BIT_ROWS = 1_024  # ratings whose bits are unfolded together
 PRODUCT_ROWS = 64  # of them, multiplied together
 HASH_ROWS = 512  # raters whose flags are hashed together
+PASS_BYTES = 4 << 30  # of ratings with their bits that are shuffled in one pass, about
+TASK_BYTES = 64 << 20  # of them in a task, about
+ROW_BYTES = 32  # of a rating or a rater besides the bits, about
 CELL = ["n", "k", "s", "ss", "ssw"]
-DRAWN = ("scope", "rep", "n", "k", "s", "ss", "ssw", "_item", "_sums")
-DRAWN_SQL = "scope string, rep int, n long, k double, s double, ss double, ssw double, _item string, _sums binary"
+DRAWN = ("scope", "rep", "n", "k", "s", "ss", "ssw", "_item")
+DRAWN_SQL = "scope string, rep int, n long, k double, s double, ss double, ssw double, _item binary"
 
 
 def leave_one_out(ratings: DataFrame, item: Sequence[str] = ITEM) -> DataFrame:
@@ -203,7 +208,7 @@ class _Cells:
         for scope, sums in self.sums.items():
             rep, n = np.nonzero(sums[0])
             columns = [pa.array([scope] * len(rep), pa.string()), pa.array(rep.astype(np.int32)), pa.array(n), *[pa.array(x[rep, n]) for x in sums]]
-            yield pa.RecordBatch.from_arrays([*columns, pa.nulls(len(rep), pa.string()), pa.nulls(len(rep), pa.binary())], names=[*DRAWN])
+            yield pa.RecordBatch.from_arrays([*columns, pa.nulls(len(rep), pa.binary())], names=[*DRAWN])
 
 
 def _group_moments(packed: np.ndarray, d: np.ndarray, first: np.ndarray, n_boot: int) -> np.ndarray:
@@ -222,7 +227,7 @@ def _group_moments(packed: np.ndarray, d: np.ndarray, first: np.ndarray, n_boot:
 
 
 def _item_moments(batches: Iterator[pa.RecordBatch], n_boot: int) -> Iterator[pa.RecordBatch]:
-    """Cells of the items of a task; items that are dealt over several tasks are handed on with their sums.
+    """Cells of the items of a task; of items that are dealt over several tasks, n, sum and sum of squares for each replicate.
 
     Rows are sorted by item; an item's sums are carried from block to block, so its rows are never held together.
     """
@@ -230,17 +235,19 @@ def _item_moments(batches: Iterator[pa.RecordBatch], n_boot: int) -> Iterator[pa
     carried: tuple[tuple, np.ndarray] | None = None
 
     def closed(one: tuple, moments: np.ndarray) -> Iterator[pa.RecordBatch]:
-        scope, item, _, parts = one
-        if parts == 1:
+        item, scope, part = one
+        if part < 0:
             cells.add(scope, moments[None])
         else:
-            columns = [pa.array([scope]), *[pa.nulls(1, t) for t in (pa.int32(), pa.int64(), *[pa.float64()] * 4)], pa.array([item]), pa.array([moments.tobytes()], pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, names=[*DRAWN])
+            rep = np.nonzero(moments[0])[0]
+            n, total, squares = moments[:, rep]
+            columns = [pa.array([scope] * len(rep), pa.string()), pa.array(rep.astype(np.int32)), pa.array(n.astype(np.int64)), *[pa.array(x) for x in (np.ones(len(rep)), total, squares, np.zeros(len(rep)))]]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array([item] * len(rep), pa.binary())], names=[*DRAWN])
 
     for whole in batches:
         for start in range(0, whole.num_rows, BIT_ROWS):
             batch = whole.slice(start, BIT_ROWS)
-            ones = list(zip(*(batch.column(c).to_pylist() for c in ("scope", "_item", "_part", "_parts"))))
+            ones = list(zip(*(batch.column(c).to_pylist() for c in ("_item", "scope", "_part"))))
             first = np.array([i for i in range(len(ones)) if i == 0 or ones[i] != ones[i - 1]], np.int64)
             packed = np.frombuffer(b"".join(batch.column("_bits").to_pylist()), np.uint8).reshape(len(ones), -1)
             moments = _group_moments(packed, batch.column("_d").to_numpy(), first, n_boot)
@@ -251,60 +258,80 @@ def _item_moments(batches: Iterator[pa.RecordBatch], n_boot: int) -> Iterator[pa
                     yield from closed(*carried)
             carried = (ones[first[-1]], moments[-1])
             done = [ones[i] for i in first[:-1].tolist()]
-            for scope in dict.fromkeys(one[0] for one in done if one[3] == 1):
-                cells.add(scope, moments[[i for i, one in enumerate(done) if one[0] == scope and one[3] == 1]])
+            for scope in dict.fromkeys(one[1] for one in done if one[2] < 0):
+                cells.add(scope, moments[[i for i, one in enumerate(done) if one[1] == scope and one[2] < 0]])
             for i, one in enumerate(done):
-                if one[3] > 1:
+                if one[2] >= 0:
                     yield from closed(one, moments[i])
     if carried is not None:
         yield from closed(*carried)
     yield from cells.rows()
 
 
-def _dealt_moments(batches: Iterator[pa.RecordBatch], n_boot: int) -> Iterator[pa.RecordBatch]:
-    """Cells of the items that several tasks hold parts of; rows are sorted by item."""
-    cells = _Cells(n_boot)
-    now, total = None, None
-    for batch in batches:
-        for scope, item, sums in zip(*(batch.column(c) for c in ("scope", "_item", "_sums"))):
-            one, more = (scope.as_py(), item.as_py()), np.frombuffer(sums.as_py(), np.float64).reshape(3, n_boot)
-            if one == now:
-                total += more
-            else:
-                if now is not None:
-                    cells.add(now[0], total[None])
-                now, total = one, more.copy()
-    if now is not None:
-        cells.add(now[0], total[None])
-    yield from cells.rows()
+def _added(found: DataFrame) -> DataFrame:
+    """Cells of one number of ratings added up, and the parts of each item that is dealt over several tasks."""
+    own = F.when(F.col("_item").isNull(), F.col("n"))
+    sums = found.groupBy("scope", "rep", "_item", own.alias("_own")).agg(*[F.sum(c).alias(c) for c in CELL])
+    return sums.select("scope", "rep", F.coalesce("_own", "n").alias("n"), *CELL[1:], "_item")
+
 
+def _whole_items(found: DataFrame) -> DataFrame:
+    """Cells of all items, from cells and from the sums of items whose parts are added up."""
+    dealt, mean = F.col("_item").isNotNull(), F.col("s") / F.col("n")
+    item = {"k": F.lit(1.0), "s": mean, "ss": mean * mean, "ssw": F.col("ss") - F.col("s") * mean}
+    rows = found.select("scope", "rep", "n", *[F.when(dealt, item[c]).otherwise(F.col(c)).alias(c) for c in CELL[1:]])
+    return rows.groupBy("scope", "rep", "n").agg(*[F.sum(c).alias(c) for c in CELL[1:]])
 
-def icc_bootstrap(ratings: DataFrame, n_boot: int = 1000, seed: int = 42, item: Sequence[str] = ITEM, rater: str = "submission_id", levels: int = 3, part_rows: int = HOT_ROWS) -> DataFrame:
+
+def icc_bootstrap(
+    ratings: DataFrame, n_boot: int = 1000, seed: int = 42, item: Sequence[str] = ITEM, rater: str = "submission_id", levels: int = 3, part_rows: int = HOT_ROWS, pass_bytes: int = PASS_BYTES
+) -> DataFrame:
     """Mean and 95 % interval of the ICC over rater resamples, per term and over all terms.
 
     A replicate keeps a rater whole or not at all; each is in with the chance of occurring at least once in n draws out of n. The flag
     is read from md5 of seed, scope, replicate and rater, so no draw is shared. A rater's flags are one string of bits, which comes
     to the rater's ratings; the ratings of an item give the counts, sums and squares of all replicates at once. Items of
     more than `part_rows` ratings are dealt over several tasks.
+
+    The bits are many times as long as a rating. So the items are dealt over passes: a pass shuffles about `pass_bytes` of ratings with
+    bits, hands on its cells and drops its shuffle files. Every rating is in one pass. The raters' bits are hashed once for all
+    passes where they take no more than `pass_bytes`, else for the raters of each pass. `ratings` are read for each pass, and must be
+    the same rows each time.
     """
-    one = ratings.filter(F.col("rating").isNotNull()).select(rater, *item, "rating")
-    scoped = with_all_terms(one)
-    raters = scoped.groupBy("scope").agg(F.count_distinct(rater).alias("_n")).select(
-        "scope", (1 - F.pow(1 - 1 / F.col("_n"), F.col("_n"))).alias("_p")
-    )
-    own = join_small(scoped.groupBy("scope", rater).agg(F.count(F.lit(1)).alias("_rows")), raters, ["scope"])
-    own = own.select("scope", rater, "_rows", F.col(rater).cast("string").alias("_rater"), "_p").repartition(partitions(), "scope", rater)
-    flags = T.StructType([*own.schema.fields, T.StructField("_bits", T.BinaryType())])
-    chosen = own.mapInArrow(lambda batches: _rater_bits(batches, n_boot, seed), flags)
-    drawn = attach_table(scoped, ["scope", rater], chosen, ["_bits"], "_rows").filter(F.col("_bits").isNotNull())
-    named = drawn.select("scope", F.md5(F.to_json(F.struct(*item))).alias("_item"), F.xxhash64(rater).alias("_by"), (F.col("rating") - CENTRE).cast("double").alias("_d"), "_bits")
-    sized = attach_group_stats(named, ["scope", "_item"], {"_parts": F.ceil(F.count(F.lit(1)) / part_rows)})
-    dealt = sized.select("scope", "_item", F.pmod("_by", "_parts").alias("_part"), "_parts", "_d", "_bits")
-    by_item = dealt.repartition(partitions(), "scope", "_item", "_part").sortWithinPartitions("scope", "_item", "_part")
-    found = cut_lineage(by_item.mapInArrow(lambda batches: _item_moments(batches, n_boot), DRAWN_SQL))
-    large = found.filter(F.col("_item").isNotNull()).select("scope", "_item", "_sums").repartition("scope", "_item").sortWithinPartitions("scope", "_item")
-    cells = found.filter(F.col("_item").isNull()).unionByName(large.mapInArrow(lambda batches: _dealt_moments(batches, n_boot), DRAWN_SQL))
-    each = icc_from_cells(cells.groupBy("scope", "rep", "n").agg(*[F.sum(c).alias(c) for c in CELL[1:]]), ["scope", "rep"], levels)
+    width = -(-n_boot // 8) + ROW_BYTES
+    one = ratings.filter(F.col("rating").isNotNull() & F.col(rater).isNotNull()).select(rater, *item, "rating").withColumn("_key", F.xxhash64(*item))
+    under_scopes = lambda rows: with_all_terms(rows).filter(F.col("scope").isNotNull())
+    count_raters = lambda scoped: scoped.groupBy("scope", rater).agg(F.count(F.lit(1)).alias("_rows"))
+
+    def flagged(own: DataFrame) -> DataFrame:
+        named = join_small(own, chances, ["scope"]).select("scope", rater, "_rows", F.col(rater).cast("string").alias("_rater"), "_p").repartition(partitions(), "scope", rater)
+        flags = T.StructType([*named.schema.fields, T.StructField("_bits", T.BinaryType())])
+        return named.mapInArrow(lambda batches: _rater_bits(batches, n_boot, seed), flags).select("scope", rater, "_rows", "_bits")
+
+    with shuffles_dropped(ratings.sparkSession):
+        own = count_raters(under_scopes(one))
+        scopes = cut_lineage(own.groupBy("scope").agg(F.count(rater).alias("_n"), F.sum("_rows").alias("_all")))
+        chances = scopes.select("scope", (1 - F.pow(1 - 1 / F.col("_n"), F.col("_n"))).alias("_p"))
+        n_rows, n_raters = scopes.agg(F.coalesce(F.sum("_all"), F.lit(0)), F.coalesce(F.sum("_n"), F.lit(0))).first()
+        passes = max(1, math.ceil(n_rows * width / pass_bytes))
+        shared = cut_lineage(flagged(own)) if n_raters * width <= pass_bytes else None
+        hot = largest_groups(shared, "_rows") if shared is not None else cut_lineage(flagged(largest_groups(own, "_rows")))
+        tasks = max(partitions(), math.ceil(n_rows * width / passes / TASK_BYTES))
+
+        large = one.groupBy("_key").agg(F.ceil(F.count(F.lit(1)) / part_rows).alias("_parts")).filter("_parts > 1")
+        dealt = F.when(F.col("_parts").isNotNull(), F.pmod(F.xxhash64(rater), F.col("_parts"))).otherwise(-1).cast("int")
+        parted = join_small(one, large, ["_key"], "left").withColumn("_part", dealt)
+        found = []
+        for number in range(passes):
+            some = parted.filter(F.pmod(F.xxhash64("_key", "_part"), F.lit(passes)) == number)
+            named = some.select(rater, "person_term", F.unhex(F.md5(F.to_json(F.struct(*item)))).alias("_item"), "_part", (F.col("rating") - CENTRE).cast("double").alias("_d"))
+            scoped = under_scopes(named).drop("person_term")
+            table = shared if shared is not None else flagged(count_raters(scoped))
+            drawn = attach_table(scoped, ["scope", rater], table, ["_bits"], "_rows", hot=hot).filter(F.col("_bits").isNotNull()).drop(rater)
+            by_item = drawn.repartition(tasks, "_item", "scope", "_part").sortWithinPartitions("_item", "scope", "_part")
+            sums = by_item.mapInArrow(lambda batches: _item_moments(batches, n_boot), DRAWN_SQL)
+            found.append(cut_lineage(_added(sums)))
+    each = icc_from_cells(_whole_items(_added(reduce(DataFrame.unionByName, found))), ["scope", "rep"], levels)
     cols = [("icc_1_1", "icc_1_1"), ("icc_1_k", "icc_1_k")]
     aggs = []
     for c, name in cols:  # one value per replicate

@@ -2,6 +2,8 @@
 
 import hashlib
 import random
+import time
+from pathlib import Path
 
 import numpy as np
 import pandas as pd
@@ -13,6 +15,7 @@ from ratescale.functions.digests import md5_words
 from ratescale.operators import metrics, novels, reliability, resample, sampling, splits
 from ratescale.operators.deid import id_mappings
 from ratescale.operators.scale import attach_group_stats, first_per_key, hash_order, hash_prefix, range_ranks, take_by_hash, value_prefix
+from ratescale.session import SHUFFLE_CONF
 
 RNG = random.Random(5)
 
@@ -375,3 +378,45 @@ def test_ranks_of_many_small_slices_are_dealt_by_their_number(spark, monkeypatch
     got = metrics.spearman(pairs, "x", "y", ["s"], many_small=True)
     assert "RepartitionByExpression [s" in (plan := got._jdf.queryExecution().optimizedPlan().toString()) and ", 40" in plan
     assert sorted(map(tuple, got.collect())) == want
+
+
+def odd_ratings(spark):
+    """Many raters of some items, one item that a third of the ratings are of, and nulls."""
+    rng = random.Random(11)
+    rows = [(r, f"a{i}", "man" if i % 2 else "woman", float(rng.randint(1, 7))) for r in range(60) for i in range(20) if rng.random() < 0.4]
+    rows += [(r, "hot", "man", float(rng.randint(1, 7))) for r in range(60) for _ in range(4)]
+    rows += [(None, "a1", "man", 3.0), (None, "a1", "other", 3.0), (5, "a1", None, 6.0), (6, None, "man", 2.0), (7, "a1", "man", None), (8, "a2", "ALL", 5.0), (9, "a2", "ALL", 1.0), (9, "a3", "ALL", 2.0)]
+    return spark.createDataFrame(rows, "submission_id long, attribute string, person_term string, rating double").repartition(3)
+
+
+def test_bootstrap_in_passes(spark, monkeypatch):
+    """Passes hold no more ratings with bits than they should, a hot item's included; every rating is in one, and the result is the same."""
+    df, inputs = odd_ratings(spark), []
+    want = reliability.icc_bootstrap(df, n_boot=40, levels=2).orderBy("person_term").collect()
+    assert [r["person_term"] for r in want] == ["ALL", "man", "woman"]
+    in_arrow = type(df).mapInArrow
+    monkeypatch.setattr(type(df), "mapInArrow", lambda self, f, schema: (inputs.append(self) if schema == reliability.DRAWN_SQL else None, in_arrow(self, f, schema))[1])
+    scoped = df.filter("rating IS NOT NULL AND submission_id IS NOT NULL").count() * 2 - 1
+    for pass_bytes in (37 * 400, 37 * 170):  # raters' bits are shared by the passes, or hashed for each
+        inputs.clear()
+        got = reliability.icc_bootstrap(df, n_boot=40, levels=2, part_rows=10, pass_bytes=pass_bytes).orderBy("person_term").collect()
+        sizes = [rows.count() for rows in inputs]
+        assert sum(sizes) == scoped and len(sizes) == -(-scoped * 37 // pass_bytes) and max(sizes) < 2.5 * pass_bytes / 37
+        assert [r["person_term"] for r in got] == [r["person_term"] for r in want]
+        for a, b in zip(want, got):
+            assert [a[c] for c in a.asDict() if c != "person_term"] == pytest.approx([b[c] for c in b.asDict() if c != "person_term"], nan_ok=True)
+
+
+def test_bootstrap_drops_its_shuffle_files(spark):
+    """The bits of a pass stay on no disk when the pass is over, and the session's setting is as before."""
+    before = spark.conf.get(SHUFFLE_CONF, None)
+    files = lambda: sum(f.stat().st_size for f in Path(local).rglob("shuffle_*.data"))
+    local = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()[0].getPath()
+    rows = spark.range(40_000).selectExpr("id % 1000 AS submission_id", "'a' || id % 4000 AS attribute", "'man' AS person_term", "CAST(1 + id * id % 7 AS DOUBLE) AS rating")
+    start = files()
+    reliability.icc_bootstrap(rows, n_boot=800, levels=1, pass_bytes=3_000_000)
+    until = time.time() + 20
+    while files() - start > 2_000_000 and time.time() < until:
+        time.sleep(0.2)
+    assert files() - start < 2_000_000  # of 8 MB of bits
+    assert spark.conf.get(SHUFFLE_CONF, None) == before
