@@ -8,6 +8,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -226,6 +227,21 @@ def _group_moments(packed: np.ndarray, d: np.ndarray, first: np.ndarray, n_boot:
     return moments
 
 
+def _runs(columns: Sequence[pa.Array]) -> tuple[np.ndarray, list[tuple]]:
+    """Where runs of equal rows begin, and the row of each run; only these become Python objects."""
+    begins = np.ones(len(columns[0]), bool)
+    begins[1:] = np.logical_or.reduce([pc.not_equal(c.slice(1), c.slice(0, len(c) - 1)).to_numpy(zero_copy_only=False) for c in columns])
+    first = np.nonzero(begins)[0]
+    return first, list(zip(*(c.take(pa.array(first)).to_pylist() for c in columns)))
+
+
+def _fixed_width(column: pa.Array) -> np.ndarray:
+    """Byte strings of one length, rows by bytes, where they lie."""
+    _, ends, data = (column := column.cast(pa.binary())).buffers()
+    ends = np.frombuffer(ends, np.int32)[column.offset:column.offset + len(column) + 1]
+    return np.frombuffer(data, np.uint8)[ends[0]:ends[-1]].reshape(len(column), -1)
+
+
 def _item_moments(batches: Iterator[pa.RecordBatch], n_boot: int) -> Iterator[pa.RecordBatch]:
     """Cells of the items of a task; of items that are dealt over several tasks, n, sum and sum of squares for each replicate.
 
@@ -247,17 +263,15 @@ def _item_moments(batches: Iterator[pa.RecordBatch], n_boot: int) -> Iterator[pa
     for whole in batches:
         for start in range(0, whole.num_rows, BIT_ROWS):
             batch = whole.slice(start, BIT_ROWS)
-            ones = list(zip(*(batch.column(c).to_pylist() for c in ("_item", "scope", "_part"))))
-            first = np.array([i for i in range(len(ones)) if i == 0 or ones[i] != ones[i - 1]], np.int64)
-            packed = np.frombuffer(b"".join(batch.column("_bits").to_pylist()), np.uint8).reshape(len(ones), -1)
-            moments = _group_moments(packed, batch.column("_d").to_numpy(), first, n_boot)
+            first, ones = _runs([batch.column(c) for c in ("_item", "scope", "_part")])
+            moments = _group_moments(_fixed_width(batch.column("_bits")), batch.column("_d").to_numpy(), first, n_boot)
             if carried is not None:
                 if carried[0] == ones[0]:
                     moments[0] += carried[1]
                 else:
                     yield from closed(*carried)
-            carried = (ones[first[-1]], moments[-1])
-            done = [ones[i] for i in first[:-1].tolist()]
+            *done, last = ones
+            carried = (last, moments[-1])
             for scope in dict.fromkeys(one[1] for one in done if one[2] < 0):
                 cells.add(scope, moments[[i for i, one in enumerate(done) if one[1] == scope and one[2] < 0]])
             for i, one in enumerate(done):

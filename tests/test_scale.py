@@ -407,6 +407,17 @@ def test_bootstrap_in_passes(spark, monkeypatch):
             assert [a[c] for c in a.asDict() if c != "person_term"] == pytest.approx([b[c] for c in b.asDict() if c != "person_term"], nan_ok=True)
 
 
+def test_runs_and_bits_of_a_slice():
+    rows = [(b"a", "x", -1), (b"a", "x", -1), (b"a", "y", -1), (b"a", "y", 0), (b"b", "y", 0), (b"b", "y", 0)]
+    batch = pa.RecordBatch.from_pydict({"_item": [b"z"] + [r[0] for r in rows], "scope": ["x"] + [r[1] for r in rows], "_part": [-1] + [r[2] for r in rows], "_bits": [bytes([i, 7]) for i in range(7)]})
+    for start, size in ((1, 6), (2, 3), (6, 1)):
+        own = batch.slice(start, size)
+        first, ones = reliability._runs([own.column(c) for c in ("_item", "scope", "_part")])
+        here = rows[start - 1:start - 1 + size]
+        assert first.tolist() == [i for i in range(size) if i == 0 or here[i] != here[i - 1]] and ones == [here[i] for i in first]
+        assert reliability._fixed_width(own.column("_bits")).tolist() == [[i, 7] for i in range(start, start + size)]
+
+
 def test_bootstrap_drops_its_shuffle_files(spark):
     """The bits of a pass stay on no disk when the pass is over, and the session's setting is as before."""
     before = spark.conf.get(SHUFFLE_CONF, None)
