@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator, Sequence
+from contextlib import nullcontext
 from functools import reduce
 
 import numpy as np
@@ -18,7 +19,7 @@ from ratescale.operators.joins import restrict_to_items
 from ratescale.operators.metrics import pearson
 from ratescale.operators.scale import HOT_ROWS, attach_group_stats, attach_table, join_small, largest_groups, partitions, whole_groups
 from ratescale.schemas import RATING_MAX, RATING_MIN
-from ratescale.session import cut_lineage, shuffles_dropped
+from ratescale.session import cut_lineage, dealt_to_folders, shuffles_dropped
 
 ITEM = ["attribute", "person_term"]
 CENTRE = (RATING_MIN + RATING_MAX) / 2
@@ -307,10 +308,10 @@ def icc_bootstrap(
     to the rater's ratings; the ratings of an item give the counts, sums and squares of all replicates at once. Items of
     more than `part_rows` ratings are dealt over several tasks.
 
-    The bits are many times as long as a rating. So the items are dealt over passes: a pass shuffles about `pass_bytes` of ratings with
-    bits, hands on its cells and drops its shuffle files. Every rating is in one pass. The raters' bits are hashed once for all
-    passes where they take no more than `pass_bytes`, else for the raters of each pass. `ratings` are read for each pass, and must be
-    the same rows each time.
+    The bits are many times as long as a rating. So the ratings are written without bits, dealt by item over passes: a pass shuffles about
+    `pass_bytes` of ratings with bits, hands on its cells and drops its shuffle files. Every rating is in one pass. The raters' bits are
+    hashed once for all passes where they take no more than `pass_bytes`, else for the raters of each pass. `ratings` are read a few
+    times, and must be the same rows each time.
     """
     width = -(-n_boot // 8) + ROW_BYTES
     one = ratings.filter(F.col("rating").isNotNull() & F.col(rater).isNotNull()).select(rater, *item, "rating").withColumn("_key", F.xxhash64(*item))
@@ -335,16 +336,19 @@ def icc_bootstrap(
         large = one.groupBy("_key").agg(F.ceil(F.count(F.lit(1)) / part_rows).alias("_parts")).filter("_parts > 1")
         dealt = F.when(F.col("_parts").isNotNull(), F.pmod(F.xxhash64(rater), F.col("_parts"))).otherwise(-1).cast("int")
         parted = join_small(one, large, ["_key"], "left").withColumn("_part", dealt)
+        named = parted.select(
+            rater, "person_term", F.unhex(F.md5(F.to_json(F.struct(*item)))).alias("_item"), "_part", (F.col("rating") - CENTRE).cast("double").alias("_d"),
+            F.pmod(F.xxhash64("_key", "_part"), F.lit(passes)).cast("int").alias("_pass"),
+        )
         found = []
-        for number in range(passes):
-            some = parted.filter(F.pmod(F.xxhash64("_key", "_part"), F.lit(passes)) == number)
-            named = some.select(rater, "person_term", F.unhex(F.md5(F.to_json(F.struct(*item)))).alias("_item"), "_part", (F.col("rating") - CENTRE).cast("double").alias("_d"))
-            scoped = under_scopes(named).drop("person_term")
-            table = shared if shared is not None else flagged(count_raters(scoped))
-            drawn = attach_table(scoped, ["scope", rater], table, ["_bits"], "_rows", hot=hot).filter(F.col("_bits").isNotNull()).drop(rater)
-            by_item = drawn.repartition(tasks, "_item", "scope", "_part").sortWithinPartitions("_item", "scope", "_part")
-            sums = by_item.mapInArrow(lambda batches: _item_moments(batches, n_boot), DRAWN_SQL)
-            found.append(cut_lineage(_added(sums)))
+        with dealt_to_folders(named, "_pass", "ratings") if passes > 1 else nullcontext(named) as by_pass:
+            for number in range(passes):
+                scoped = under_scopes(by_pass.filter(F.col("_pass") == number)).drop("person_term", "_pass")
+                table = shared if shared is not None else flagged(count_raters(scoped))
+                drawn = attach_table(scoped, ["scope", rater], table, ["_bits"], "_rows", hot=hot).filter(F.col("_bits").isNotNull()).drop(rater)
+                by_item = drawn.repartition(tasks, "_item", "scope", "_part").sortWithinPartitions("_item", "scope", "_part")
+                sums = by_item.mapInArrow(lambda batches: _item_moments(batches, n_boot), DRAWN_SQL)
+                found.append(cut_lineage(_added(sums)))
     each = icc_from_cells(_whole_items(_added(reduce(DataFrame.unionByName, found))), ["scope", "rep"], levels)
     cols = [("icc_1_1", "icc_1_1"), ("icc_1_k", "icc_1_k")]
     aggs = []

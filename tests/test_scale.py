@@ -15,7 +15,7 @@ from ratescale.functions.digests import md5_words
 from ratescale.operators import metrics, novels, reliability, resample, sampling, splits
 from ratescale.operators.deid import id_mappings
 from ratescale.operators.scale import attach_group_stats, first_per_key, hash_order, hash_prefix, range_ranks, take_by_hash, value_prefix
-from ratescale.session import SHUFFLE_CONF
+from ratescale.session import SHUFFLE_CONF, ensure_checkpoint_dir
 
 RNG = random.Random(5)
 
@@ -395,13 +395,15 @@ def test_bootstrap_in_passes(spark, monkeypatch):
     want = reliability.icc_bootstrap(df, n_boot=40, levels=2).orderBy("person_term").collect()
     assert [r["person_term"] for r in want] == ["ALL", "man", "woman"]
     in_arrow = type(df).mapInArrow
-    monkeypatch.setattr(type(df), "mapInArrow", lambda self, f, schema: (inputs.append(self) if schema == reliability.DRAWN_SQL else None, in_arrow(self, f, schema))[1])
+    monkeypatch.setattr(type(df), "mapInArrow", lambda self, f, schema: (inputs.append((self.count(), self._jdf.queryExecution().optimizedPlan().toString())) if schema == reliability.DRAWN_SQL else None, in_arrow(self, f, schema))[1])
     scoped = df.filter("rating IS NOT NULL AND submission_id IS NOT NULL").count() * 2 - 1
     for pass_bytes in (37 * 400, 37 * 170):  # raters' bits are shared by the passes, or hashed for each
         inputs.clear()
         got = reliability.icc_bootstrap(df, n_boot=40, levels=2, part_rows=10, pass_bytes=pass_bytes).orderBy("person_term").collect()
-        sizes = [rows.count() for rows in inputs]
+        sizes = [size for size, _ in inputs]
         assert sum(sizes) == scoped and len(sizes) == -(-scoped * 37 // pass_bytes) and max(sizes) < 2.5 * pass_bytes / 37
+        assert all("Relation [" in plan and "LocalRelation" not in plan and "ExternalRDD" not in plan for _, plan in inputs)  # the ratings themselves are not read for each pass
+        assert not list(Path(ensure_checkpoint_dir(spark).removeprefix("file:")).glob("ratings-*"))
         assert [r["person_term"] for r in got] == [r["person_term"] for r in want]
         for a, b in zip(want, got):
             assert [a[c] for c in a.asDict() if c != "person_term"] == pytest.approx([b[c] for c in b.asDict() if c != "person_term"], nan_ok=True)
